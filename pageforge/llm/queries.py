@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pageforge.llm import bpe_trie
+from pageforge.llm import bpe_trie, chunkstore, packing
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_chunk_store": chunkstore.query,
+        "op7_config_packing": packing.query,
         "op10_bpe_trie": bpe_trie.query,
     }
 
