@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pageforge.llm import bpe_trie, chunkstore, packing
+from pageforge.llm import bpe_trie, chunkstore, langid, licenses, packing, pii
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_crf_pii": pii.query,
         "op2_chunk_store": chunkstore.query,
+        "op3_license_rules": licenses.query,
         "op7_config_packing": packing.query,
+        "op8_string_kernel": langid.query,
         "op10_bpe_trie": bpe_trie.query,
     }
 
