@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pageforge.llm import bpe_trie, chunkstore, langid, licenses, ngramjoin, packing, pii
+from pageforge.llm import bpe_trie, chunkstore, htmltext, langid, licenses, ngramjoin, packing, pii
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op2_chunk_store": chunkstore.query,
         "op3_license_rules": licenses.query,
         "op5_ngram_join": ngramjoin.query,
+        "op6_html_text": htmltext.query,
         "op7_config_packing": packing.query,
         "op8_string_kernel": langid.query,
         "op10_bpe_trie": bpe_trie.query,
