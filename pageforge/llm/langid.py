@@ -124,6 +124,25 @@ def predict(df: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
     return pick(df, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+#: A text is rejected where no language was found or the best one's score is below this.
+LEAST_SCORE = 0.1
+
+
+def recognized(df: DataFrame, model: Model | None, least: float = LEAST_SCORE, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is recognized; without a model all texts with a letter."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, 1 << 19):
+                seen, keep = presence(part.column(text))
+                if shared.value is not None:
+                    keep = keep & (shared.value.scores(seen).max(1) >= least)
+                yield part.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = predict(docs, train(docs))

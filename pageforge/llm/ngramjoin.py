@@ -305,5 +305,33 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stay when of each group only the document with the smallest id does.
+
+    Most rows pass by a filter of fixed size; only ids that go, ids that occur twice and what the filter mistakes for
+    them are joined.  Of rows with one id, one stays.  Rows without an id cannot be told apart; they stay.
+    """
+    spark = df.sparkSession
+    where = shared_dir(spark)
+    found = cut(groups(df, doc_id, text, where), where, "groups").where(F.col("doc_id").isNotNull())
+    stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    fate = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(stays).alias("stays")).where("rows > 1 or not stays"), where, "fate")
+    unsure = spark.sparkContext.broadcast(Filter.of(fate, "doc_id"))
+
+    def marked(batches, wanted):
+        for b in batches:
+            ids = b.column(doc_id)
+            hit = unsure.value.holds(ids.fill_null(0).to_numpy().view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(hit == wanted))
+
+    sure = df.mapInArrow(lambda batches: marked(batches, False), df.schema)
+    rest = df.mapInArrow(lambda batches: marked(batches, True), df.schema)
+    goes = fate.select(F.col("doc_id").alias("__id"), "rows", "stays")
+    rest = rest.join(goes, rest[f"`{doc_id}`"] == goes["__id"], "left")
+    single = rest.where("__id is null").select(df.columns)
+    twice = rest.where("__id is not null and stays").dropDuplicates(["__id"]).select(df.columns)
+    return sure.unionByName(single).unionByName(twice)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))

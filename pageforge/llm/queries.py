@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pageforge.llm import bpe_trie, chunkstore, htmltext, langid, licenses, ngramjoin, packing, pii
+import corpus_pipeline
+from pageforge.llm import bpe_trie, chunkstore, collisions, htmltext, langid, licenses, ngramjoin, nndescent, packing, pii
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_crf_pii": pii.query,
         "op2_chunk_store": chunkstore.query,
         "op3_license_rules": licenses.query,
+        "op4_nn_descent": nndescent.query,
         "op5_ngram_join": ngramjoin.query,
         "op6_html_text": htmltext.query,
         "op7_config_packing": packing.query,
         "op8_string_kernel": langid.query,
+        "op9_collision_counting": collisions.query,
         "op10_bpe_trie": bpe_trie.query,
     }
 
