@@ -13,6 +13,7 @@ Null and empty texts are documents of one id, the end id.  Repeated rows are pac
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,8 +27,9 @@ from pageforge.llm.common import cut, pick, shared_dir, shuffle_parts, slices, t
 from pageforge.llm.wordcodes import library_codes
 
 CAPACITY, END_ID = 4096, 1
-#: Pricing rounds of the linear program, and how fast prices fall where demand is covered.
-ROUNDS, RATE = 300, 0.5
+#: Pricing rounds of the linear program, how fast prices fall where demand is covered, and the lengths of the highest
+#: price for their size that a round looks at (spread evenly over sizes where prices tie).
+ROUNDS, RATE, WIDTH = 150, 0.5, 192
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -66,15 +68,14 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity
         k = 1
         while k <= m and k * n <= capacity:  # one, two, four ... of a length
             new = best[: capacity + 1 - k * n] + k * v
-            better = np.zeros(capacity + 1, bool)
-            better[k * n :] = new > best[k * n :] + 1e-12
-            best[k * n :] = np.where(better[k * n :], new, best[k * n :])
+            better = new > best[k * n :] + 1e-12
+            np.maximum(best[k * n :], new, out=best[k * n :])
             took.append((n, k, better))
             m, k = m - k, 2 * k
     out: dict[int, int] = {}
     at = int(best.argmax())
     for n, k, better in reversed(took):
-        if better[at]:
+        if at >= k * n and better[at - k * n]:
             out[n] = out.get(n, 0) + k
             at -= k * n
     return out
@@ -113,13 +114,16 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     if left:
         lengths = np.array(sorted(left, reverse=True))
         wanted = np.array([demand[n] for n in lengths.tolist()], float)
+        spread = lengths * 0.6180339887498949 % 1
         prices = lengths / capacity  # a piece is worth what it fills, until its length is covered
         for _ in range(min(rounds, -(-sum(n * c for n, c in left.items()) // (2 * capacity)))):
             have = np.array([left[n] for n in lengths.tolist()])
             open_ = have > 0
             if not open_.any():
                 break
-            found = knapsack(lengths[open_], prices[open_], have[open_], capacity)
+            worth = np.where(open_, prices / lengths, -1)
+            seen = np.lexsort((spread, -worth.round(12)))[: min(WIDTH, int(open_.sum()))]
+            found = knapsack(lengths[seen], prices[seen], have[seen], capacity)
             if not found:
                 break
             share = min(left[n] // k for n, k in found.items())
@@ -131,12 +135,16 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
             prices *= np.exp(-RATE * used)
         order = sorted((n for n, c in left.items() if c), reverse=True)
         while order:
-            found = exact_fill(order, left, capacity)
+            room = capacity - order[0]
+            fits = [order[0], *order[bisect_left(order, -room, lo=1, key=lambda n: -n) :]]
+            found = exact_fill(fits, left, capacity)
             share = min(left[n] // k for n, k in found.items())
             plan.append((found, share))
             for n, k in found.items():
                 left[n] -= k * share
-            order = [n for n in order if left[n]]
+            for n in found:
+                if not left[n]:
+                    del order[bisect_left(order, -n, key=lambda n: -n)]
     return plan
 
 
