@@ -1,4 +1,286 @@
 """All queries of the page engine by name, and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageforge.config import SETTINGS
+from pageforge.functions import lab
+from pageforge.operators import catalog, geometry, rasters, score, stats, uploads
+from pageforge.plans.oracles import ORACLES
+from pageforge.sources import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r(c: str, n: int = 6):
+    return F.round(c, n).alias(c)
+
+
+@query
+def gate_tiles(spark, sf_dir):
+    """Sharpness and glare by tiles, flags, confidence: the flagship."""
+    g = stats.gate(fixtures.gray64(spark, sf_dir))
+    no = F.lit(False)
+    conf = score.confidence(F.col("flags"), no, no, no, F.lit(True))
+    return g.select("page_id", r("sharpness"), "glare_hot_tiles", "long_edge", F.array_join("flags", ",").alias("flags"), "passed", conf.alias("confidence"))
+
+
+@query
+def noise_sigma(spark, sf_dir):
+    return stats.noise_sigma(fixtures.gray8(spark, sf_dir)).select("page_id", r("sigma"))
+
+
+@query
+def adaptive_params(spark, sf_dir):
+    noise = stats.noise_sigma(fixtures.gray8(spark, sf_dir, noisy=True))
+    found = stats.adaptive(noise.join(stats.moire(fixtures.color64(spark, sf_dir)), "page_id"))
+    return found.select("page_id", r("noise_sigma", 1), F.col("denoise.mode").alias("denoise"), F.col("denoise.sigma_color").alias("sigma_color"), F.col("sharpen.amount").alias("amount"), F.col("sharpen.radius").alias("radius"), "route_demoire")
+
+
+@query
+def moire_score(spark, sf_dir):
+    return stats.moire(fixtures.color64(spark, sf_dir)).select("page_id", r("moire", 5))
+
+
+@query
+def paper_fraction(spark, sf_dir):
+    return stats.paper(fixtures.color64(spark, sf_dir)).select("page_id", r("clean_share"), r("paper_share"), "already_clean", "document_like")
+
+
+@query
+def page_sanity(spark, sf_dir):
+    found = stats.sanity(fixtures.color64(spark, sf_dir))
+    return found.select("page_id", r("aspect"), r("uniform_frac"), F.array_join("flags", ",").alias("flags"), "passed")
+
+
+@query
+def level_percentiles(spark, sf_dir):
+    low, high, _ = SETTINGS.light.document
+    return stats.levels(fixtures.gray8(spark, sf_dir), low, high).select("page_id", r("lo"), r("hi"))
+
+
+@query
+def level_stretch(spark, sf_dir):
+    """Stretched pages, as the sum of their pixels weighted by place."""
+    out = stats.stretch(fixtures.gray64(spark, sf_dir), *SETTINGS.light.document)
+    row = F.aggregate(F.transform("v", lambda v, x: v.cast("long") * (x + 1) * (F.col("y") + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.withColumn("row", row).groupBy("page_id").agg(F.sum("row").alias("weighted_sum"), F.max(F.array_max("v")).alias("top"), F.min(F.array_min("v")).alias("bottom"))
+
+
+@query
+def edge_thresholds(spark, sf_dir):
+    return stats.edge_thresholds(fixtures.gray64(spark, sf_dir))
+
+
+@query
+def chroma_gate(spark, sf_dir):
+    """Chroma of each page after the gate, added up; whether any colour is left."""
+    lines = fixtures.color64(spark, sf_dir)
+
+    px = lines.withColumn("px", stats.gate_chroma(lab(F.arrays_zip("b", "g", "r"))))
+    one = lambda k: F.aggregate("px", F.lit(0).cast("long"), lambda s, p: s + p[k])
+    left = F.size(F.filter("px", lambda p: (p["a"] != 128) | (p["b"] != 128)))
+    return px.groupBy("page_id").agg(F.sum(one("a")).alias("sum_a"), F.sum(one("b")).alias("sum_b"), F.sum(left).alias("colored"))
+
+
+@query
+def page_grays(spark, sf_dir):
+    """Mean gray, saturation and value of colour pages."""
+    lines = fixtures.color64(spark, sf_dir)
+    hsv, gray = rasters.hsv_lines(lines), rasters.gray_lines(lines)
+    total = lambda c: F.sum(rasters.add_up(F.col(c), "long"))
+    return gray.groupBy("page_id").agg(total("v").alias("gray")).join(hsv.groupBy("page_id").agg(total("s").alias("saturation"), total("v").alias("value")), "page_id")
+
+
+@query
+def rotate_pages(spark, sf_dir):
+    """Quarter turns clockwise of gray pages, as sums weighted by place; every page by its id modulo 4 turns."""
+    lines = fixtures.gray8(spark, sf_dir)
+    px = lines.select("page_id", "y", "h", "w", F.posexplode("v").alias("x", "v"))
+    turns = F.col("page_id") % 4
+    y = F.when(turns == 0, F.col("y")).when(turns == 1, F.col("x")).when(turns == 2, F.col("h") - 1 - F.col("y")).otherwise(F.col("w") - 1 - F.col("x"))
+    x = F.when(turns == 0, F.col("x")).when(turns == 1, F.col("h") - 1 - F.col("y")).when(turns == 2, F.col("w") - 1 - F.col("x")).otherwise(F.col("y"))
+    moved = px.select("page_id", y.alias("ny"), x.alias("nx"), "v")
+    return moved.groupBy("page_id").agg(F.sum((F.col("ny") * 8 + F.col("nx") + 1).cast("long") * F.col("v")).alias("weighted_sum"))
+
+
+@query
+def quad_geometry(spark, sf_dir):
+    j = geometry.judged(fixtures.quads(spark, sf_dir))
+    top = F.col("rect")[0]
+    return j.select("page_id", F.round(top["x"], 6).alias("tl_x"), F.round(top["y"], 6).alias("tl_y"), r("coverage"), r("skew"), "skip_warp", "plausible", geometry.convex(F.col("rect")).alias("convex"))
+
+
+@query
+def quad_expand(spark, sf_dir):
+    q = fixtures.quads(spark, sf_dir).withColumn("rect", geometry.ordered(F.col("pts")))
+    q = q.withColumn("out", geometry.normalized(geometry.expand(F.col("rect"), F.lit(SETTINGS.perspective.margin), F.col("w"), F.col("h")), F.col("w"), F.col("h")))
+    q = q.withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    at = F.get("out", F.col("corner"))
+    return q.select("page_id", "corner", F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"))
+
+
+@query
+def warp_dims(spark, sf_dir):
+    q = fixtures.quads(spark, sf_dir).withColumn("size", geometry.warp_size(geometry.ordered(F.col("pts"))))
+    return q.select("page_id", F.col("size.w").alias("out_w"), F.col("size.h").alias("out_h"))
+
+
+@query
+def detection_scale(spark, sf_dir):
+    """The factor by which pages of the order lines' sizes shrink for detection."""
+    rows = fixtures.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 100).cast("int").alias("h"), (F.col("p_partkey") % 4000 + 1).cast("int").alias("w"))
+    return rows.select("p_partkey", F.round(geometry.detection_scale(F.col("h"), F.col("w")), 9).alias("scale"))
+
+
+@query
+def quad_choice(spark, sf_dir):
+    """The best of each page's candidate outlines; contours are made from the outlines of pages with the same label."""
+    q = fixtures.quads(spark, sf_dir).withColumn("rect", geometry.ordered(F.col("pts")))
+    made = F.explode(F.sequence(F.lit(0), F.lit(11)))
+    c = q.withColumn("k", made).withColumn("shrink", 1.0 - 0.06 * ((F.col("k") * 5 + F.col("page_id")) % 12))
+    c = c.select(
+        "page_id",
+        (F.col("k") % 2).alias("strategy"),
+        F.floor(F.col("k") / 2).cast("int").alias("nth"),
+        (geometry.area(F.col("rect")) * F.col("shrink") * F.col("shrink")).alias("area"),
+        (geometry.area(F.col("rect")) * F.col("shrink") * F.col("shrink") * (1.0 + (F.col("k") % 3) / 10.0)).alias("rect_area"),
+        (F.col("w") * F.col("h")).cast("double").alias("frame_area"),
+        F.when(F.col("k") % 3 == 0, "rect").otherwise("approx").alias("method"),
+        geometry.scaled(F.col("rect"), F.col("shrink"), F.col("shrink")).alias("pts"),
+    )
+    return geometry.choose(c).select("page_id", "strategy", "nth", "method", r("score"))
+
+
+@query
+def page_decisions(spark, sf_dir):
+    """The decision tree over measured outlines and noise, every path of it."""
+    q = geometry.judged(fixtures.quads(spark, sf_dir)).join(stats.noise_sigma(fixtures.gray8(spark, sf_dir, noisy=True)), "page_id")
+    i = F.col("page_id")
+    q = q.select(
+        "page_id",
+        F.when(i % 3 == 0, F.array(F.lit("blur"))).when(i % 7 == 0, F.array(F.lit("blur"), F.lit("glare"))).otherwise(F.array().cast("array<string>")).alias("gate_flags"),
+        (i % 11 == 0).alias("forced"),
+        (i % 5 == 0).alias("clean"),
+        F.when(i % 4 != 0, F.col("rect")).alias("quad"),
+        F.when(i % 3 == 1, "rect").when(i % 3 == 2, "model").otherwise("approx").alias("method"),
+        "skip_warp",
+        "plausible",
+        F.round("sigma", 2).alias("noise_sigma"),
+        (i % 13 == 0).alias("route_demoire"),
+        F.when(i % 6 == 0, F.lit(True)).when(i % 6 == 1, F.lit(False)).alias("demoire"),
+        F.when(i % 17 == 0, F.array(F.lit("mostly_uniform"))).otherwise(F.array().cast("array<string>")).alias("sanity_flags"),
+    )
+    return score.decide(q).select("page_id", "step", "margin", "routed", F.array_join("flags", ",").alias("flags"), "confidence")
+
+
+@query
+def upload_validate(spark, sf_dir):
+    """Pages and documents as uploads, and one literal row for each signature and fault."""
+    pages = fixtures.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("name"), F.lit("text/html").alias("mime"), F.encode("html", "utf-8").alias("content"))
+    docs = fixtures.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("name"), F.when(F.col("doc_id") % 3 == 0, "application/pdf").when(F.col("doc_id") % 3 == 1, "image/png").alias("mime"), F.encode("text", "utf-8").alias("content"))
+    rows = [("jpeg", None, "FFD8FFE0"), ("png", None, "89504E470D0A1A0A00"), ("heic", "text/plain", "0000001866747970686569630000"), ("pdf", None, "255044462D312E370A2525454F460A"), ("broken", "image/png", "255044462D312E37"), ("empty", "image/png", ""), ("unknown", "text/plain", "00010203"), ("declared", "image/heif", "00010203")]
+    fixed = spark.createDataFrame(rows, "name string, mime string, hex string").select("name", "mime", F.unhex("hex").alias("content"))
+    every = pages.unionByName(docs).unionByName(fixed).withColumn("length", F.length("content"))
+    return uploads.validate(every).select("name", "length", "kind", "reject_reason")
+
+
+@query
+def born_digital(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, "documents").select("doc_id", uploads.is_born_digital(F.col("text")).alias("born_digital"))
+
+
+@query
+def page_order(spark, sf_dir):
+    """Running orders of pages over the files of a session."""
+    p = fixtures.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("turn") % 3).alias("upload"), F.col("turn").alias("page"))
+    return uploads.numbered(p)
+
+
+@query
+def page_rotation(spark, sf_dir):
+    return catalog.page_state(fixtures.edits(spark, sf_dir)).select("page_id", "rotation")
+
+
+@query
+def page_state(spark, sf_dir):
+    return catalog.page_state(fixtures.edits(spark, sf_dir)).select("page_id", "mode", "demoire", "deleted", "n_exports", "n_edits")
+
+
+@query
+def changed_pages(spark, sf_dir):
+    """Pages whose state differs between half of the log and all of it."""
+    log = fixtures.edits(spark, sf_dir)
+    half = log.agg((F.max("seq") / 2).alias("m"))
+    early = log.join(F.broadcast(half), F.col("seq") <= F.col("m")).drop("m")
+    return catalog.to_recompute(catalog.page_state(early), catalog.page_state(log)).select("page_id")
+
+
+@query
+def export_metrics(spark, sf_dir):
+    return catalog.export_metrics(fixtures.catalogue(spark, sf_dir))
+
+
+@query
+def live_pages(spark, sf_dir):
+    """Live pages with their place in the session and what a client sees of them."""
+    from pyspark.sql import Window
+
+    p = fixtures.catalogue(spark, sf_dir).where(~F.col("deleted")).withColumn("confidence", F.col("confidence_pct") / 100.0)
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("order", "id"))
+    return catalog.page_view(p).select("id", "session_id", "order", place.alias("place"), "low_confidence", "passthrough", "preview")
+
+
+@query
+def scan_pages(spark, sf_dir):
+    """Sessions with their live pages nested, as a list of orders and ids; sessions without pages stay."""
+    p = fixtures.catalogue(spark, sf_dir).withColumn("confidence", F.col("confidence_pct") / 100.0)
+    sessions = fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"))
+    nested = catalog.scans(sessions, p)
+    listed = F.array_join(F.transform("pages", lambda x: F.concat_ws(":", x["order"].cast("string"), x["id"])), ",")
+    return nested.select("session_id", F.size("pages").alias("n_pages"), listed.alias("pages"))
+
+
+@query
+def page_reorder(spark, sf_dir):
+    """Pages after each session's list of new places: every other page, in reverse order of id."""
+    p = fixtures.catalogue(spark, sf_dir).dropDuplicates(["id"])
+    wanted = p.where(F.conv(F.substring("id", 1, 2), 16, 10).cast("int") % 2 == 0).groupBy("session_id").agg(F.sort_array(F.collect_list("id"), asc=False).alias("page_ids"))
+    return catalog.reorder(p, wanted).select("id", "session_id", "order")
+
+
+@query
+def latest_pdf(spark, sf_dir):
+    p = fixtures.catalogue(spark, sf_dir).where("passthrough").select("session_id", "id", F.concat(F.lit("pdfs/"), F.col("id"), F.lit(".pdf")).alias("ref"), "created_at")
+    return catalog.latest_pdf(p).select("session_id", "ref", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query
+def edit_errors(spark, sf_dir):
+    """Why edits cannot be applied, counted."""
+    p = fixtures.catalogue(spark, sf_dir).dropDuplicates(["id"])
+    n = F.conv(F.substring("id", 1, 3), 16, 10).cast("int")
+    log = p.select(
+        F.col("id").alias("page_id"),
+        "session_id",
+        F.element_at(F.array(*map(F.lit, ("recrop", "rotate", "mode", "demoire"))), n % 4 + 1).alias("op"),
+        ((n % 8) * 45).alias("degrees"),
+        F.element_at(F.array(*map(F.lit, ("color", "gray", "bw", "sepia"))), F.floor(n / 16).cast("int") % 4 + 1).alias("mode"),
+        F.array_repeat(F.array(F.lit(0.0), F.lit(0.0)), F.floor(n / 4).cast("int") % 3 + 3).alias("corners"),
+    )
+    return catalog.check_edits(log, p).groupBy("op", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query
+def low_confidence_pages(spark, sf_dir):
+    p = fixtures.catalogue(spark, sf_dir).where(~F.col("deleted"))
+    return p.groupBy("passthrough").agg(F.count_if(F.col("confidence_pct") < 60 + 20).alias("below_08"), F.count("*").alias("pages"))
