@@ -19,7 +19,7 @@ def duck():
 
 def rows(frame):
     columns = sorted(frame.columns)
-    return columns, sorted(tuple(None if x != x or x is None else repr(float(x)) if isinstance(x, float) else str(x) for x in row) for row in frame[columns].astype(object).itertuples(index=False))
+    return columns, sorted(tuple("" if x is None or x != x else repr(float(x)) if isinstance(x, float) else str(x) for x in row) for row in frame[columns].astype(object).itertuples(index=False))
 
 
 def test_every_query_has_sql():
