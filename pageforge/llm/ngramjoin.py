@@ -5,12 +5,17 @@ a common order.  Tokens are ordered by frequency grade, then hash.  A rare token
 tokens are in small groups by hash, and a signature is a pair of one group.  A prefix is extended until losing as many
 tokens as similar sets may differ in leaves a signature: a rare token counts one, a group of k frequent tokens k - 1.
 
-Grades come from counts over all documents and are kept in an array of fixed size, so they can be broadcast whatever
-the input; two tokens in one cell share the higher grade, which changes cost, never results.
+Grades come from counts of all tokens of all documents in an array of cells of fixed size, so they can be broadcast
+whatever the input; tokens that share a cell share a grade, which changes cost, never results.
 
-Signatures give candidates in two steps.  First each holder is compared with the smallest holder of the signature;
-links found make provisional components.  Then signatures whose holders are in several components give the pairs
-across components, all of them.  Pairs within a component need no comparison: one row per document with its component
+Two sets whose signatures are all single tokens and that share c of them overlap in at most c tokens and what lies
+behind the prefix of one of them; pairs for which that is too little, or whose sizes are too far apart, are no
+candidates.
+
+Signatures give candidates in three steps.  First each holder is compared with the smallest and the largest holder of
+the signature, then with a few others; links found make provisional components.  Then signatures whose holders are in
+several components give the pairs across components, all of them: signatures with many holders in blocks, where each
+two holders meet once whatever they share, the others by a join.  Pairs within a component need no comparison: one row per document with its component
 is the result.  Documents with equal sets are one node from the start.
 
 Nodes and shingles are 64-bit hashes: for n distinct sets the odds that any two sets share a node are about n**2 / 2**65.
@@ -28,14 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import SpanHasher, byte_view, cut, pick, shared_dir, signed, slices, splitmix, table
+from pageforge.llm.common import SpanHasher, byte_view, cut, pick, shared_dir, shuffle_parts, signed, slices, splitmix, table
 from pageforge.llm.components import components
 
 WORDS = 5
-#: A token that at least this many prefixes hold is frequent; grade g: 2**(g-1) times as many.
-FREQUENT, GRADES = 32, 12
+#: A token is frequent when its cell has at least this many documents' tokens, and this many times the mean of a cell;
+#: grade g: 2**(g-1) times as many.
+FREQUENT, OVER_MEAN, GRADES = 8, 3, 20
+#: Holders with which, by turns of the signature, all others are compared in the second step.
+CENTERS = 8
+#: Holders from which on a signature is large, and rows of a block in which the holders of large ones are compared.
+LARGE, ROWS = 64, 256
 #: Cells of the grade array and bits of the candidate filters: fixed sizes for broadcasts.
-CELLS, FILTER_BITS = 1 << 22, 1 << 25
+CELLS, BLOCK, FILTER_BITS = 1 << 24, 1 << 14, 1 << 25
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -95,19 +105,27 @@ def _cell(tokens: np.ndarray, cells: int) -> np.ndarray:
     return (splitmix(tokens + np.uint64(0x632BE59BD9B4E019)) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def bands_of(n: int) -> list[int]:
-    """Powers of two between which the sizes of this set or a similar one may lie."""
-    own = n.bit_length() - 1
-    out = [own]
-    if 5 * n >= 4 << own + 1:
-        out.append(own + 1)
-    if own and 4 * n <= 5 << own:
-        out.append(own - 1)
-    return out
+def band_of(n: int) -> int:
+    """Sizes in bands that are a twentieth wide."""
+    return int(np.log(n) / np.log(1.05) + 1e-9)
+
+
+def band_least(band: int) -> int:
+    """A size that no set of the band is below."""
+    return int(np.exp(band * np.log(1.05)) - 1e-6)
+
+
+def spare_for(n: int, other: int) -> int:
+    """Tokens of a set of n that a similar set of at least `other` tokens may lack."""
+    return n - -(-4 * (n + max(other, -(-4 * n // 5))) // 9)
 
 
 def signatures(tokens: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """The signatures of a set; sets of up to three tokens have none, as only equal sets are similar to them."""
+    """The signatures of a set; sets of up to three tokens have none, as only equal sets are similar to them.
+
+    Where rare tokens are too few, pairs of frequent tokens follow, apart for each band of sizes that a similar set may
+    have: the nearer the sizes, the fewer tokens may differ.  Two sets use the same groups and bands for each other.
+    """
     n = len(tokens)
     if n < 4:
         return np.zeros(0, np.uint64)
@@ -116,16 +134,19 @@ def signatures(tokens: np.ndarray, grades: np.ndarray) -> np.ndarray:
     rare = tokens[grade == 0]
     if len(rare) >= need:
         return rare[:need]
-    order = np.argsort(grade, kind="stable")[len(rare) :]
-    often = tokens[order]
-    out = [rare]
-    for band in bands_of(n):
-        bits = max(0, band - 2)  # groups: a quarter of the smallest size in the band
+    often = tokens[np.argsort(grade, kind="stable")[len(rare) :]]
+    out, own_band = [rare], band_of(n)
+    for band in range(band_of(-(-4 * n // 5)), band_of(5 * n // 4) + 1):
+        more = spare_for(n, band_least(band)) + 1 - len(rare)
+        if more <= 0:
+            continue
+        low_band, high_band = min(band, own_band), max(band, own_band)
+        bits = max(0, int(band_least(low_band)).bit_length() - 3)  # groups: a quarter of the smaller size at most
         group = often >> np.uint64(64 - bits) if bits else np.zeros(len(often), np.uint64)
         _, first = np.unique(group, return_index=True)
         gain = np.ones(len(often), np.int64)
         gain[first] = 0
-        stop = int(np.searchsorted(len(rare) + np.cumsum(gain), need)) + 1
+        stop = int(np.searchsorted(np.cumsum(gain), more)) + 1
         own, part = often[:stop], group[:stop]
         rank = np.argsort(part, kind="stable")
         own, part = own[rank], part[rank]
@@ -135,7 +156,8 @@ def signatures(tokens: np.ndarray, grades: np.ndarray) -> np.ndarray:
         a = np.repeat(np.arange(len(own)), left)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
         low, high = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
-        out.append(splitmix(low * _MIX[0] + high * _MIX[1] + np.uint64(band + 1) * _MIX[2]))
+        key = np.array([low_band * 4096 + high_band + 1], np.uint64) * _MIX[2]
+        out.append(splitmix(low * _MIX[0] + high * _MIX[1] + key))
     return np.concatenate(out)
 
 
@@ -196,25 +218,57 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(signed(flat)))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens by cell of a task's documents, as blocks of cells; several rows for a block where counts would overflow."""
+    count = np.zeros(CELLS, np.uint16)
+    held = 0
+
+    def rows():
+        blocks = count.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        for at in range(0, len(some), 64):
+            own = some[at : at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([blocks[i].tobytes() for i in own], pa.binary())], ["block", "counts"])
+
     for _, sets, _, new in _sets(batches):
-        rows = [s[: spare(len(s)) + 1] for s, n in zip(sets, new) if n and len(s) > 3]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(rows) if rows else np.zeros(0, np.uint64)))], ["token"])
+        tokens = [s for s, n in zip(sets, new) if n]
+        if tokens:
+            cells, times = np.unique(_cell(np.concatenate(tokens), CELLS), return_counts=True)
+            count[cells] += times.astype(np.uint16)
+            held += len(tokens)
+        if held > 60_000:
+            yield from rows()
+            count[:], held = 0, 0
+    yield from rows()
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
+            sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.uint16).astype(np.uint32)
+    for block, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([int(total.sum())])], ["block", "counts", "all"])
 
 
-def _grades(docs: DataFrame) -> np.ndarray:
-    """The grade of each cell, from how many prefixes hold its tokens: counts over all documents."""
-    counts = docs.select("text").mapInArrow(_prefixes, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
+def _grades(docs: DataFrame, where: str) -> np.ndarray:
+    """The grade of each cell."""
+    parts = docs.select("text").mapInArrow(_cell_counts, "block int, counts binary")
+    sums = parts.repartition(shuffle_parts(docs.sparkSession), "block").mapInArrow(_block_sums, "block int, counts binary, all long")
+    sums = cut(sums, where, "cells")
+    least = max(FREQUENT, OVER_MEAN * (sums.agg(F.sum("all")).first()[0] or 0) / CELLS)
 
     def graded(batches):
         for b in batches:
-            n, token = b.column("count").to_numpy(), b.column("token").to_numpy().view(np.uint64)
-            grade = np.minimum(GRADES, 1 + np.log2(n // FREQUENT).astype(int))
-            yield pa.RecordBatch.from_arrays([pa.array(_cell(token, CELLS).astype(np.int32)), pa.array(grade.astype(np.int8))], ["cell", "grade"])
+            rows = []
+            for counts in b.column("counts").to_pylist():
+                n = np.frombuffer(counts, np.uint32)
+                rows.append(np.where(n >= least, np.minimum(GRADES, 1 + np.log2(np.maximum(n / least, 1)).astype(int)), 0).astype(np.int8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(rows, pa.binary())], ["block", "grades"])
 
-    found = counts.mapInArrow(graded, "cell int, grade byte").groupBy("cell").agg(F.max("grade").alias("grade")).toArrow()
     out = np.zeros(CELLS, np.int8)
-    out[found.column("cell").to_numpy()] = found.column("grade").to_numpy()
+    for row in sums.mapInArrow(graded, "block int, grades binary").toLocalIterator():  # CELLS bytes in all
+        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["grades"], np.int8)
     return out
 
 
@@ -231,10 +285,9 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, where: str, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(Filter.of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"))
+def _held_sets(docs: DataFrame, nodes: DataFrame, where: str, name: str) -> DataFrame:
+    """(node, tokens) of at least the given nodes."""
+    wanted = docs.sparkSession.sparkContext.broadcast(Filter.of(nodes, "node"))
 
     def sets(batches):
         for _, rows, nodes, new in _sets(batches):
@@ -243,29 +296,101 @@ def _verified(docs: DataFrame, pairs: DataFrame, where: str, name: str) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in hit], pa.int64()), pa.array([rows[i].tobytes() for i in hit], pa.binary())], ["node", "tokens"])
 
     held = docs.select("text").mapInArrow(sets, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    held = cut(held, where, f"{name}-sets")
+    return cut(held, where, name)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, where: str, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+    held = _held_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), where, f"{name}-sets")
     out = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     out = out.join(held.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
     return cut(out.select("a", "b", "left", "right").mapInArrow(_intersections, "a long, b long"), where, name)
 
 
+def _block_links(group: pa.Table) -> pa.Table:
+    """Similar pairs of two blocks that are in different components, by products of 0/1 matrices."""
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    node, part, block = (group.column(c).to_numpy() for c in ("node", "part", "block"))
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = count[inverse] > 1  # what one set alone holds is in no intersection
+    place = np.cumsum(count > 1) - 1
+    row, column = row[keep], place[inverse[keep]]
+    same = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int((count > 1).sum()), 8192):
+        own = (column >= first) & (column < first + 8192)
+        m = np.zeros((len(sets), 8192), np.float32)
+        m[row[own], column[own] - first] = 1
+        same += m @ m.T
+    good = 100 * same >= 80 * (size[:, None] + size - same)
+    good &= (part[:, None] != part) & ((block == i)[:, None] & (block == j))
+    a, b = np.nonzero(good)
+    low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+    return pa.table({"a": low, "b": high}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _large(docs: DataFrame, held: DataFrame, where: str) -> DataFrame:
+    """Links across components among the holders of large signatures.
+
+    Large signatures have much the same holders (variants of one text), so those that share holders are put together
+    and their holders compared once, block by block, however many signatures they share.
+    """
+    stars = cut(held.groupBy("sig").agg(F.min("node").alias("a")), where, "hubs")
+    stars = held.join(stars, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    crowd = cut(components(stars, where, "crowd").withColumnRenamed("component", "crowd"), where, "crowds")
+    sets = _held_sets(docs, crowd.select("node"), where, "crowd-sets")
+    sizes = cut(crowd.groupBy("crowd").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")), where, "crowd-sizes")
+    rows = crowd.join(held.select("node", "part").distinct(), "node").join(sizes, "crowd")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("crowd", "node", "part", "tokens", "block", other)
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return cut(rows.groupBy("crowd", "i", "j").applyInArrow(_block_links, "a long, b long"), where, "crowd-links")
+
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def parted(held: DataFrame, parts: DataFrame, where: str, name: str) -> DataFrame:
+    """Holders (sig, node, n) with their component, of the signatures whose holders are in several."""
+    held = held.join(parts, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part"))
+    across = held.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("sig")
+    return cut(held.join(cut(across, where, f"{name}-sigs"), "sig"), where, name)
+
+
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = df.sparkSession
     where = where or shared_dir(spark)
     docs = pick(df, doc_id=doc_id, text=text)
-    grades = spark.sparkContext.broadcast(_grades(docs))
+    grades = spark.sparkContext.broadcast(_grades(docs, where))
 
     def index(batches):
         for part, sets, nodes, new in _sets(batches):
             rows = [signatures(s, grades.value) if n else s[:0] for s, n in zip(sets, new)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(rows)], ["doc_id", "node", "n", "sigs"])
-
-    facts = cut(docs.mapInArrow(index, "doc_id long, node long, n long, sigs array<long>"), where, "facts")
+            single = [len(r) == spare(len(s)) + 1 and bool((grades.value[_cell(r, CELLS)] == 0).all()) for r, s in zip(rows, sets)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(single), _lists(rows)],
+                ["doc_id", "node", "n", "single", "sigs"],
+            )
+
+    facts = cut(docs.mapInArrow(index, "doc_id long, node long, n long, single boolean, sigs array<long>"), where, "facts")
+    sizes = facts.where("n > 3 and size(sigs) > 0").select("node", "n", "single").distinct()
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of (a, b, shared signatures) those whose sets may be similar."""
+        for c in ("a", "b"):
+            pairs = pairs.join(sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("single").alias(f"s{c}")), c)
+        near = "5 * na >= 4 * nb and 5 * nb >= 4 * na"
+        enough = "not (sa and sb) or c + ceil(4 * greatest(na, nb) / 5) - 1 >= ceil(4 * (na + nb) / 9)"
+        return pairs.where(f"{near} and ({enough})").select("a", "b")
 
     # Signatures that several nodes hold; most are held by one and go no further than these counts.
     every = facts.select("node", F.explode("sigs").alias("sig"))
-    shared = every.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("sig", "least")
+    shared = every.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     shared = cut(shared, where, "shared")
     several = spark.sparkContext.broadcast(Filter.of(shared, "sig"))
 
@@ -279,25 +404,36 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str
             yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), b.column("node").take(at), b.column("n").take(at)], ["sig", "node", "n"])
 
     held = facts.where(F.size("sigs") > 0).select("node", "n", "sigs").mapInArrow(holders, "sig long, node long, n long")
-    held = cut(held.join(shared, "sig"), where, "held")
+    held = cut(held.distinct().join(shared, "sig"), where, "held")
 
-    stars = cut(held.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), where, "stars")
+    # First every holder with the smallest and the largest one; then, for what is still apart, with a few others.
+    ends = held.select("node", F.explode(F.array("least", "most")).alias("a")).where("node <> a")
+    stars = ends.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    stars = cut(unordered(likely(stars)), where, "stars")
     links = _verified(docs, stars, where, "links")
-    parts = cut(components(links, where, "first"), where, "parts")
+    apart = parted(held.select("sig", "node", "n"), cut(components(links, where, "first"), where, "parts"), where, "apart1")
+
+    center = F.min_by(F.struct("node", "part"), F.xxhash64("node", F.pmod("sig", F.lit(CENTERS)))).alias("center")
+    chosen = cut(apart.groupBy("sig").agg(center).select("sig", F.col("center.node").alias("a"), F.col("center.part").alias("pa")), where, "centers")
+    tried = apart.join(chosen, "sig").where("part <> pa").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    tried = cut(unordered(likely(tried)).join(stars, ["a", "b"], "left_anti"), where, "tried")
+    links = cut(links.union(_verified(docs, tried, where, "links2")), where, "links12")
+    tried = stars.union(tried)
 
     # Signatures across provisional components: every pair of holders in different ones.
-    held = held.join(parts, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part"))
-    held = cut(held.distinct(), where, "parted")
-    across = held.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("sig")
-    sizes = held.join(cut(across, where, "across"), "sig").groupBy("sig", "part").count()
-    main = sizes.groupBy("sig").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    held = parted(apart.select("sig", "node", "n"), cut(components(links, where, "second"), where, "parts2"), where, "apart2")
+    sizes2 = cut(held.groupBy("sig").count(), where, "holders")
+    large = _large(docs, held.join(sizes2.where(F.col("count") > LARGE), "sig"), where)
+    held = held.join(sizes2.where(F.col("count") <= LARGE), "sig").drop("count")
+    main = held.groupBy("sig", "part").count().groupBy("sig").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
     held = held.join(cut(main, where, "main"), "sig")
+    # A pair across components has one outside the largest one; if both are outside, it comes up twice, and once counts.
     few = held.where("part <> main").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
-    pairs = held.select("sig", "node", "n", "part").join(few, "sig").where("part <> px and 5 * n >= 4 * nx and 5 * nx >= 4 * n")
-    pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    pairs = cut(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), where, "pairs")
+    pairs = held.join(few, "sig").where("part <> px and (part = main or node < x) and 5 * n >= 4 * nx and 5 * nx >= 4 * n")
+    pairs = pairs.groupBy(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).agg(F.count("*").alias("c"))
+    pairs = cut(likely(pairs).join(tried, ["a", "b"], "left_anti"), where, "pairs")
     more = _verified(docs, pairs, where, "more")
-    parts = cut(components(links.union(more), where, "second"), where, "nodes")
+    parts = cut(components(links.union(more).union(large), where, "third"), where, "nodes")
 
     out = facts.select("doc_id", "node", "n").join(parts, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("part"))
     first = cut(out.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("component_id")), where, "smallest")
