@@ -11,13 +11,13 @@ word is never part of a span.  Null and empty texts have no spans.  Repeated row
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pageforge.llm.common import byte_view, pick, slices, table
 
@@ -387,19 +387,23 @@ def mask(df: DataFrame, field: Field | None = None, text: str = "text") -> DataF
     return df.mapInArrow(run, df.schema)
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(train())
+def digest(found: DataFrame) -> DataFrame:
+    """Counts and digests of base spans, and all spans, from the rows of `spans`."""
+    written = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    place = F.array(*[F.lit(k) for k in KINDS])
+    ranked = F.transform(F.concat("base", "added"), lambda x: F.struct(F.array_position(place, x["kind"]).alias("nth"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("base", _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.array_sort(ranked)).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                base, added = find(part.column("text"), shared.value)
-                written = lambda rows: ",".join(f"{k}:{s}:{e}" for k, s, e in rows)
-                cols = [part.column("doc_id"), *(pa.array([sum(x[0] == k for x in row) for row in base], pa.int64()) for k in KINDS)]
-                cols.append(pa.array([hashlib.sha256(written(row).encode()).hexdigest() for row in base], pa.string()))
-                every = [sorted(b + a, key=lambda x: (KINDS.index(x[0]), x[1])) for b, a in zip(base, added)]
-                cols += [pa.array([written(row) for row in every], pa.string()), pa.array([len(row) for row in added], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
-
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").mapInArrow(run, schema)
+
+def _is(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(spans(table(spark, sf_dir, "documents")))
