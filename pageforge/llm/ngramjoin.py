@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageforge.llm.common import SpanHasher, byte_view, cut, pick, shared_dir, shuffle_parts, signed, slices, splitmix, table
@@ -175,7 +175,7 @@ class Filter:
         cells = cells.groupBy(F.shiftright("c", 15).alias("block")).agg(F.collect_set(F.col("c").bitwiseAND(32767).cast("short")).alias("cells"))
         for row in cells.toLocalIterator(prefetchPartitions=True):
             out.cells[(row["block"] << 15) + np.array(row["cells"], np.int64)] = True
-        return out
+        return out.pack()
 
     @staticmethod
     def places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -188,14 +188,14 @@ class Filter:
         h = (h ^ h >> np.uint64(29)) * p3
         return ((h ^ h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
-    def __getstate__(self):
-        return {"packed": np.packbits(self.cells), "bits": len(self.cells)}
-
-    def __setstate__(self, state) -> None:
-        self.cells = np.unpackbits(state["packed"], count=state["bits"]).view(bool)
+    def pack(self) -> "Filter":
+        """Eight cells a byte from now on: workers hold several filters."""
+        self.cells = np.packbits(self.cells)
+        return self
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        return self.cells[self.places(keys, len(self.cells))]
+        at = self.places(keys, 8 * len(self.cells))
+        return (self.cells[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int], list[bool]]]:
@@ -337,12 +337,14 @@ def _large(docs: DataFrame, held: DataFrame, where: str) -> DataFrame:
     Large signatures have much the same holders (variants of one text), so those that share holders are put together
     and their holders compared once, block by block, however many signatures they share.
     """
-    stars = cut(held.groupBy("sig").agg(F.min("node").alias("a")), where, "hubs")
-    stars = held.join(stars, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    crowd = cut(components(stars, where, "crowd").withColumnRenamed("component", "crowd"), where, "crowds")
+    first = F.min("sig").over(Window.partitionBy("node"))  # a node's signatures go with its first one
+    own = cut(held.select("sig", "node", "part", first.alias("first")), where, "own")
+    alike = components(own.select(F.col("sig").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), where, "alike")
+    crowd = own.select("node", "part", F.col("first")).distinct().join(cut(alike, where, "crowds").withColumnRenamed("node", "first"), "first", "left")
+    crowd = cut(crowd.select("node", "part", F.coalesce("component", "first").alias("crowd")), where, "crowd")
     sets = _held_sets(docs, crowd.select("node"), where, "crowd-sets")
     sizes = cut(crowd.groupBy("crowd").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")), where, "crowd-sizes")
-    rows = crowd.join(held.select("node", "part").distinct(), "node").join(sizes, "crowd")
+    rows = crowd.join(sizes, "crowd")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("crowd", "node", "part", "tokens", "block", other)
