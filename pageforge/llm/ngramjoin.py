@@ -285,23 +285,36 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
 
-def _held_sets(docs: DataFrame, nodes: DataFrame, where: str, name: str) -> DataFrame:
-    """(node, tokens) of at least the given nodes."""
-    wanted = docs.sparkSession.sparkContext.broadcast(Filter.of(nodes, "node"))
+def _held_sets(docs: DataFrame, sizes: DataFrame, nodes: DataFrame, where: str, name: str) -> DataFrame:
+    """(node, tokens) of at least the given nodes.
+
+    Of the documents with one set only the owner named in `sizes` is looked at, and what the filter mistakes for one;
+    rows without an id always are.
+    """
+    nodes = nodes.distinct()
+    owners = sizes.join(nodes, "node", "left_semi").select("owner")
+    sc = docs.sparkSession.sparkContext
+    wanted, ids = sc.broadcast(Filter.of(nodes, "node")), sc.broadcast(Filter.of(owners, "owner"))
+
+    def owned(batches):
+        for b in batches:
+            own = b.column("doc_id")
+            hit = ids.value.holds(own.fill_null(0).to_numpy().view(np.uint64)) | own.is_null().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(hit))
 
     def sets(batches):
-        for _, rows, nodes, new in _sets(batches):
+        for _, rows, nodes, new in _sets(owned(batches)):
             fresh = np.flatnonzero(new)
             hit = fresh[wanted.value.holds(np.array(nodes, np.int64)[fresh])].tolist()
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in hit], pa.int64()), pa.array([rows[i].tobytes() for i in hit], pa.binary())], ["node", "tokens"])
 
-    held = docs.select("text").mapInArrow(sets, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    held = docs.select("doc_id", "text").mapInArrow(sets, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
     return cut(held, where, name)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, where: str, name: str) -> DataFrame:
+def _verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, where: str, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
-    held = _held_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), where, f"{name}-sets")
+    held = _held_sets(docs, sizes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), where, f"{name}-sets")
     out = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     out = out.join(held.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
     return cut(out.select("a", "b", "left", "right").mapInArrow(_intersections, "a long, b long"), where, name)
@@ -331,7 +344,7 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": low, "b": high}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _large(docs: DataFrame, held: DataFrame, where: str) -> DataFrame:
+def _large(docs: DataFrame, sizes: DataFrame, held: DataFrame, where: str) -> DataFrame:
     """Links across components among the holders of large signatures.
 
     Large signatures have much the same holders (variants of one text), so those that share holders are put together
@@ -342,9 +355,9 @@ def _large(docs: DataFrame, held: DataFrame, where: str) -> DataFrame:
     alike = components(own.select(F.col("sig").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), where, "alike")
     crowd = own.select("node", "part", F.col("first")).distinct().join(cut(alike, where, "crowds").withColumnRenamed("node", "first"), "first", "left")
     crowd = cut(crowd.select("node", "part", F.coalesce("component", "first").alias("crowd")), where, "crowd")
-    sets = _held_sets(docs, crowd.select("node"), where, "crowd-sets")
-    sizes = cut(crowd.groupBy("crowd").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")), where, "crowd-sizes")
-    rows = crowd.join(sizes, "crowd")
+    sets = _held_sets(docs, sizes, crowd.select("node"), where, "crowd-sets")
+    counts = cut(crowd.groupBy("crowd").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")), where, "crowd-sizes")
+    rows = crowd.join(counts, "crowd")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("crowd", "node", "part", "tokens", "block", other)
@@ -380,7 +393,8 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str
             )
 
     facts = cut(docs.mapInArrow(index, "doc_id long, node long, n long, single boolean, sigs array<long>"), where, "facts")
-    sizes = facts.where("n > 3 and size(sigs) > 0").select("node", "n", "single").distinct()
+    sizes = facts.where("n > 3 and size(sigs) > 0").groupBy("node", "n", "single").agg(F.min("doc_id").alias("owner"))
+    sizes = cut(sizes, where, "sizes")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Of (a, b, shared signatures) those whose sets may be similar."""
@@ -412,20 +426,20 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str
     ends = held.select("node", F.explode(F.array("least", "most")).alias("a")).where("node <> a")
     stars = ends.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     stars = cut(unordered(likely(stars)), where, "stars")
-    links = _verified(docs, stars, where, "links")
+    links = _verified(docs, sizes, stars, where, "links")
     apart = parted(held.select("sig", "node", "n"), cut(components(links, where, "first"), where, "parts"), where, "apart1")
 
     center = F.min_by(F.struct("node", "part"), F.xxhash64("node", F.pmod("sig", F.lit(CENTERS)))).alias("center")
     chosen = cut(apart.groupBy("sig").agg(center).select("sig", F.col("center.node").alias("a"), F.col("center.part").alias("pa")), where, "centers")
     tried = apart.join(chosen, "sig").where("part <> pa").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     tried = cut(unordered(likely(tried)).join(stars, ["a", "b"], "left_anti"), where, "tried")
-    links = cut(links.union(_verified(docs, tried, where, "links2")), where, "links12")
+    links = cut(links.union(_verified(docs, sizes, tried, where, "links2")), where, "links12")
     tried = stars.union(tried)
 
     # Signatures across provisional components: every pair of holders in different ones.
     held = parted(apart.select("sig", "node", "n"), cut(components(links, where, "second"), where, "parts2"), where, "apart2")
     sizes2 = cut(held.groupBy("sig").count(), where, "holders")
-    large = _large(docs, held.join(sizes2.where(F.col("count") > LARGE), "sig"), where)
+    large = _large(docs, sizes, held.join(sizes2.where(F.col("count") > LARGE), "sig"), where)
     held = held.join(sizes2.where(F.col("count") <= LARGE), "sig").drop("count")
     main = held.groupBy("sig", "part").count().groupBy("sig").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
     held = held.join(cut(main, where, "main"), "sig")
@@ -434,7 +448,7 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str
     pairs = held.join(few, "sig").where("part <> px and (part = main or node < x) and 5 * n >= 4 * nx and 5 * nx >= 4 * n")
     pairs = pairs.groupBy(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).agg(F.count("*").alias("c"))
     pairs = cut(likely(pairs).join(tried, ["a", "b"], "left_anti"), where, "pairs")
-    more = _verified(docs, pairs, where, "more")
+    more = _verified(docs, sizes, pairs, where, "more")
     parts = cut(components(links.union(more).union(large), where, "third"), where, "nodes")
 
     out = facts.select("doc_id", "node", "n").join(parts, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("part"))
