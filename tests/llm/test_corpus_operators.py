@@ -161,6 +161,22 @@ def test_near_duplicate_vectors(spark):
         assert out[b[0]]["n_links"] == 0 and out[b[0]]["component_id"] == b[0] and out[b[0]]["kept"]
 
 
+def test_tight_groups_that_link(spark):
+    rng = np.random.default_rng(9)
+    base = np.linalg.qr(rng.standard_normal((24, 24)))[0]
+    turn = np.arccos(0.95)
+    # Two groups of 40 with 0.95 across and a third with 0.8: every list of 16 is full of the own group.
+    centers = [base[0], np.cos(turn) * base[0] + np.sin(turn) * base[1], 0.8 * base[0] + 0.6 * base[2]]
+    x = np.array([c + 0.002 * rng.standard_normal(24) for c in centers for _ in range(40)], np.float32)
+    out = {r["vec_id"]: r for r in nndescent.near_duplicates(vectors(spark, [(i, x[i].tolist(), 0, "z", 0) for i in range(120)])).collect()}
+    m = x / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None]
+    near = m @ m.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert near[:40, 40:80].all() and not near[:80, 80:].any()
+    assert [out[i]["n_links"] for i in range(120)] == near.sum(1).tolist()
+    assert [out[i]["component_id"] for i in range(120)] == [0] * 80 + [80] * 40
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((3000, 32)).astype(np.float32)
