@@ -1,8 +1,10 @@
 """License scans by ordered signature rules (operator 3).
 
-Rules are regexes over lower-cased bytes.  Each has a keyword; a rule runs only on texts that hold it, and only texts
-with one of the few gate words get that far.  Rules come in order of priority; a detection that lies inside an
-accepted one of the same or a higher priority is suppressed.  The phrases of `BASE` are always reported.
+Rules are regexes over lower-cased bytes.  Each has sets of words, one for each of its names; a rule runs only on texts
+that hold all words of one of its sets, and only texts with one of the few gates get that far.  Gates are derived from
+the sets: each set has a word that holds a gate.  Both are single words, as any run of non-words may stand between
+words.  Rules come in order of priority; a detection that lies inside an accepted one of the same or a higher priority
+is suppressed.  The phrases of `BASE` are always reported.
 
 Words are runs of ASCII digits and letters and of all bytes above 127.  Null and empty texts have no words, no
 detections, score 0.  Repeated rows give repeated rows.
@@ -22,92 +24,92 @@ from pageforge.llm.common import byte_view, pick, slices, table
 
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Label (the public SPDX identifier), the license's names as words, the keyword that a text must hold.
+#: Label (the public SPDX identifier), the license's names as words.
 LICENSES = (
-    ("apache-2.0", ("apache license version 2 0", "apache license v2", "apache 2 0", "apache software license version 2"), "apache"),
-    ("apache-1.1", ("apache license version 1 1", "apache software license version 1 1"), "apache"),
-    ("mit", ("mit license", "expat license", "mit x11 license"), "mit"),
-    ("mit-0", ("mit no attribution",), "mit"),
-    ("bsd-2-clause", ("bsd 2 clause", "simplified bsd", "two clause bsd", "freebsd license"), "bsd"),
-    ("bsd-3-clause", ("bsd 3 clause", "new bsd", "modified bsd", "three clause bsd", "revised bsd"), "bsd"),
-    ("bsd-4-clause", ("bsd 4 clause", "original bsd", "four clause bsd"), "bsd"),
-    ("0bsd", ("bsd zero clause", "zero clause bsd"), "bsd"),
-    ("gpl-2.0", ("gnu general public license version 2", "gnu gpl version 2", "gnu gpl v2", "gpl version 2", "gplv2", "gpl v2"), "g"),
-    ("gpl-3.0", ("gnu general public license version 3", "gnu gpl version 3", "gnu gpl v3", "gpl version 3", "gplv3", "gpl v3"), "g"),
-    ("gpl-1.0", ("gnu general public license version 1", "gpl version 1", "gplv1"), "g"),
-    ("lgpl-2.0", ("gnu library general public license", "lgpl version 2 0"), "l"),
-    ("lgpl-2.1", ("gnu lesser general public license version 2 1", "lgpl version 2 1", "lgplv2 1", "lgpl v2 1"), "lesser"),
-    ("lgpl-3.0", ("gnu lesser general public license version 3", "lgpl version 3", "lgplv3", "lgpl v3"), "l"),
-    ("agpl-3.0", ("gnu affero general public license version 3", "agpl version 3", "agplv3", "agpl v3", "gnu affero general public license"), "a"),
-    ("gfdl-1.3", ("gnu free documentation license",), "documentation"),
-    ("mpl-1.1", ("mozilla public license version 1 1", "mpl 1 1"), "m"),
-    ("mpl-2.0", ("mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0"), "m"),
-    ("epl-1.0", ("eclipse public license version 1 0", "eclipse public license v1 0"), "eclipse"),
-    ("epl-2.0", ("eclipse public license version 2 0", "eclipse public license v2 0", "eclipse public license 2 0"), "eclipse"),
-    ("cddl-1.0", ("common development and distribution license version 1 0", "common development and distribution license"), "common development"),
-    ("cpl-1.0", ("common public license version 1 0", "common public license"), "common public"),
-    ("cpal-1.0", ("common public attribution license",), "attribution"),
-    ("isc", ("isc license",), "isc"),
-    ("zlib", ("zlib license", "zlib libpng license"), "zlib"),
-    ("libpng-2.0", ("png reference library license", "libpng license"), "png"),
-    ("bsl-1.0", ("boost software license version 1 0", "boost software license"), "boost"),
-    ("artistic-1.0", ("artistic license 1 0", "artistic license version 1 0"), "artistic"),
-    ("artistic-2.0", ("artistic license 2 0", "artistic license version 2 0"), "artistic"),
-    ("unlicense", ("the unlicense",), "unlicense"),
-    ("wtfpl", ("do what the fuck you want to public license", "wtfpl"), "w"),
-    ("python-2.0", ("python software foundation license", "psf license"), "p"),
-    ("php-3.01", ("php license version 3 01", "php license"), "php"),
-    ("ruby", ("ruby license",), "ruby"),
-    ("postgresql", ("postgresql license",), "postgresql"),
-    ("openssl", ("openssl license",), "openssl"),
-    ("w3c", ("w3c software notice and license", "w3c license"), "w3c"),
-    ("x11", ("x11 license",), "x11"),
-    ("ncsa", ("university of illinois ncsa open source license", "ncsa open source license"), "ncsa"),
-    ("ofl-1.1", ("sil open font license version 1 1", "sil open font license", "open font license"), "font"),
-    ("upl-1.0", ("universal permissive license",), "universal permissive"),
-    ("eupl-1.2", ("european union public licence", "european union public license", "eupl v1 2"), "eu"),
-    ("osl-3.0", ("open software license version 3 0", "open software license 3 0"), "open software"),
-    ("afl-3.0", ("academic free license version 3 0", "academic free license"), "academic"),
-    ("ms-pl", ("microsoft public license",), "microsoft"),
-    ("ms-rl", ("microsoft reciprocal license",), "microsoft"),
-    ("odbl-1.0", ("open database license", "odc open database license"), "database"),
-    ("odc-by-1.0", ("open data commons attribution license",), "data commons"),
-    ("pddl-1.0", ("public domain dedication and license",), "dedication"),
-    ("cc0-1.0", ("cc0 1 0", "cc0 public domain dedication", "creative commons zero"), "c"),
-    ("cc-by-4.0", ("cc by 4 0", "creative commons attribution 4 0"), "c"),
-    ("cc-by-3.0", ("cc by 3 0", "creative commons attribution 3 0"), "c"),
-    ("cc-by-2.0", ("cc by 2 0", "creative commons attribution 2 0"), "c"),
-    ("cc-by-sa-4.0", ("cc by sa 4 0", "creative commons attribution sharealike 4 0", "creative commons attribution share alike 4 0"), "c"),
-    ("cc-by-sa-3.0", ("cc by sa 3 0", "creative commons attribution sharealike 3 0", "creative commons attribution share alike 3 0"), "c"),
-    ("cc-by-nc-4.0", ("cc by nc 4 0", "creative commons attribution noncommercial 4 0"), "c"),
-    ("cc-by-nd-4.0", ("cc by nd 4 0", "creative commons attribution noderivatives 4 0"), "c"),
-    ("cc-by-nc-sa-4.0", ("cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0"), "c"),
-    ("cc-by-nc-nd-4.0", ("cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0"), "c"),
-    ("cecill-2.1", ("cecill free software license", "cecill 2 1", "cecill license"), "cecill"),
-    ("sspl-1.0", ("server side public license",), "server side"),
-    ("busl-1.1", ("business source license 1 1", "business source license"), "business source"),
-    ("elastic-2.0", ("elastic license 2 0", "elastic license"), "elastic"),
-    ("bigscience-openrail-m", ("bigscience openrail m", "responsible ai license"), "r"),
-    ("vim", ("vim license",), "vim"),
-    ("beerware", ("beer ware license", "beerware license"), "beer"),
-    ("ecl-2.0", ("educational community license",), "educational"),
-    ("mulanpsl-2.0", ("mulan psl v2", "mulan permissive software license"), "mulan"),
-    ("naumen", ("naumen public license",), "naumen"),
-    ("sleepycat", ("sleepycat license",), "sleepycat"),
+    ("apache-2.0", ("apache license version 2 0", "apache license v2", "apache 2 0", "apache software license version 2")),
+    ("apache-1.1", ("apache license version 1 1", "apache software license version 1 1")),
+    ("mit", ("mit license", "expat license", "mit x11 license")),
+    ("mit-0", ("mit no attribution",)),
+    ("bsd-2-clause", ("bsd 2 clause", "simplified bsd", "two clause bsd", "freebsd license")),
+    ("bsd-3-clause", ("bsd 3 clause", "new bsd", "modified bsd", "three clause bsd", "revised bsd")),
+    ("bsd-4-clause", ("bsd 4 clause", "original bsd", "four clause bsd")),
+    ("0bsd", ("bsd zero clause", "zero clause bsd")),
+    ("gpl-2.0", ("gnu general public license version 2", "gnu gpl version 2", "gnu gpl v2", "gpl version 2", "gplv2", "gpl v2")),
+    ("gpl-3.0", ("gnu general public license version 3", "gnu gpl version 3", "gnu gpl v3", "gpl version 3", "gplv3", "gpl v3")),
+    ("gpl-1.0", ("gnu general public license version 1", "gpl version 1", "gplv1")),
+    ("lgpl-2.0", ("gnu library general public license", "lgpl version 2 0")),
+    ("lgpl-2.1", ("gnu lesser general public license version 2 1", "lgpl version 2 1", "lgplv2 1", "lgpl v2 1")),
+    ("lgpl-3.0", ("gnu lesser general public license version 3", "lgpl version 3", "lgplv3", "lgpl v3")),
+    ("agpl-3.0", ("gnu affero general public license version 3", "agpl version 3", "agplv3", "agpl v3", "gnu affero general public license")),
+    ("gfdl-1.3", ("gnu free documentation license",)),
+    ("mpl-1.1", ("mozilla public license version 1 1", "mpl 1 1")),
+    ("mpl-2.0", ("mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0")),
+    ("epl-1.0", ("eclipse public license version 1 0", "eclipse public license v1 0")),
+    ("epl-2.0", ("eclipse public license version 2 0", "eclipse public license v2 0", "eclipse public license 2 0")),
+    ("cddl-1.0", ("common development and distribution license version 1 0", "common development and distribution license")),
+    ("cpl-1.0", ("common public license version 1 0", "common public license")),
+    ("cpal-1.0", ("common public attribution license",)),
+    ("isc", ("isc license",)),
+    ("zlib", ("zlib license", "zlib libpng license")),
+    ("libpng-2.0", ("png reference library license", "libpng license")),
+    ("bsl-1.0", ("boost software license version 1 0", "boost software license")),
+    ("artistic-1.0", ("artistic license 1 0", "artistic license version 1 0")),
+    ("artistic-2.0", ("artistic license 2 0", "artistic license version 2 0")),
+    ("unlicense", ("the unlicense",)),
+    ("wtfpl", ("do what the fuck you want to public license", "wtfpl")),
+    ("python-2.0", ("python software foundation license", "psf license")),
+    ("php-3.01", ("php license version 3 01", "php license")),
+    ("ruby", ("ruby license",)),
+    ("postgresql", ("postgresql license",)),
+    ("openssl", ("openssl license",)),
+    ("w3c", ("w3c software notice and license", "w3c license")),
+    ("x11", ("x11 license",)),
+    ("ncsa", ("university of illinois ncsa open source license", "ncsa open source license")),
+    ("ofl-1.1", ("sil open font license version 1 1", "sil open font license", "open font license")),
+    ("upl-1.0", ("universal permissive license",)),
+    ("eupl-1.2", ("european union public licence", "european union public license", "eupl v1 2")),
+    ("osl-3.0", ("open software license version 3 0", "open software license 3 0")),
+    ("afl-3.0", ("academic free license version 3 0", "academic free license")),
+    ("ms-pl", ("microsoft public license",)),
+    ("ms-rl", ("microsoft reciprocal license",)),
+    ("odbl-1.0", ("open database license", "odc open database license")),
+    ("odc-by-1.0", ("open data commons attribution license",)),
+    ("pddl-1.0", ("public domain dedication and license",)),
+    ("cc0-1.0", ("cc0 1 0", "cc0 public domain dedication", "creative commons zero")),
+    ("cc-by-4.0", ("cc by 4 0", "creative commons attribution 4 0")),
+    ("cc-by-3.0", ("cc by 3 0", "creative commons attribution 3 0")),
+    ("cc-by-2.0", ("cc by 2 0", "creative commons attribution 2 0")),
+    ("cc-by-sa-4.0", ("cc by sa 4 0", "creative commons attribution sharealike 4 0", "creative commons attribution share alike 4 0")),
+    ("cc-by-sa-3.0", ("cc by sa 3 0", "creative commons attribution sharealike 3 0", "creative commons attribution share alike 3 0")),
+    ("cc-by-nc-4.0", ("cc by nc 4 0", "creative commons attribution noncommercial 4 0")),
+    ("cc-by-nd-4.0", ("cc by nd 4 0", "creative commons attribution noderivatives 4 0")),
+    ("cc-by-nc-sa-4.0", ("cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0")),
+    ("cc-by-nc-nd-4.0", ("cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0")),
+    ("cecill-2.1", ("cecill free software license", "cecill 2 1", "cecill license")),
+    ("sspl-1.0", ("server side public license",)),
+    ("busl-1.1", ("business source license 1 1", "business source license")),
+    ("elastic-2.0", ("elastic license 2 0", "elastic license")),
+    ("bigscience-openrail-m", ("bigscience openrail m", "responsible ai license")),
+    ("vim", ("vim license",)),
+    ("beerware", ("beer ware license", "beerware license")),
+    ("ecl-2.0", ("educational community license",)),
+    ("mulanpsl-2.0", ("mulan psl v2", "mulan permissive software license")),
+    ("naumen", ("naumen public license",)),
+    ("sleepycat", ("sleepycat license",)),
 )
 
-#: Whole notices: label, regex with a space for any run of non-words, keyword, score.
+#: Whole notices: label, regex with a space for any run of non-words, words that it always holds, score.
 NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted", 0.97),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use", 0.95),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission", 0.95),
     ("bsd-3-clause", "neither the name of [^.]{1,120} may be used to endorse or promote products", "neither the name", 0.93),
-    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use", 0.85),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute it", 0.95),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution", 0.85),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute license", 0.95),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 0.97),
     ("public-domain", "(?:placed|released|dedicated) (?:in|into|to) the public domain", "public domain", 0.8),
     ("proprietary", "all rights reserved worldwide", "all rights reserved", 0.5),
-    ("cc-by-sa", "licensed under (?:a|the) creative commons attribution share ?alike", "creative commons", 0.85),
-    ("gpl-or-later", "gnu general public license (?:as published by the free software foundation )?(?:either )?version [123] (?:of the license )?or at your option any later version", "any later version", 0.98),
+    ("cc-by-sa", "licensed under (?:a|the) creative commons attribution share ?alike", "licensed creative commons", 0.85),
+    ("gpl-or-later", "gnu general public license (?:as published by the free software foundation )?(?:either )?version [123] (?:of the license )?or at your option any later version", "license later version", 0.98),
 )
 
 #: How a name is put to use: the form around it, its priority (smaller goes first) and its score.
@@ -117,7 +119,6 @@ FORMS = (
     ("{}", 3, 0.7),
 )
 
-GATES = (b"licen", b"spdx", b"gnu", b"gpl", b"creative commons", b"creativecommons", b"public domain", b"apache", b"redistribution and use", b"hereby granted", b"all rights reserved", b"cc0", b"wtfpl", b"permission to use", b"neither the name", b"openrail", b"mozilla", b"mpl ", b"unencumbered", b"bsd")
 _CC_BY = re.compile(rb"cc[\x00-\x2f\x3a-\x60\x7b-\x7f]+by(?![^\x00-\x2f\x3a-\x60\x7b-\x7f])")
 GAP = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
 WORD = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]"
@@ -127,28 +128,47 @@ def _regex(words: str) -> re.Pattern:
     return re.compile((rf"(?<!{WORD})(?:" + words.replace(" ", f"{GAP}+") + rf")(?!{WORD})").encode())
 
 
-def build_rules() -> list[tuple[int, str, str, re.Pattern, bytes, float]]:
-    """(priority, label, rule name, regex, keyword, score), in the order in which they apply."""
+def _words(*names: str) -> tuple[frozenset[bytes], ...]:
+    """The sets of words of which a text must hold one whole set."""
+    return tuple(frozenset(name.encode().split()) for name in names)
+
+
+def build_rules() -> list[tuple[int, str, str, re.Pattern, tuple[frozenset[bytes], ...], float]]:
+    """(priority, label, rule name, regex, sets of words, score), in the order in which they apply."""
     rules = []
     for label, text, key, score in NOTICES:
-        rules.append((0, label, f"notice:{label}", _regex(text), key.encode(), score))
-    for label, names, key in LICENSES:
+        rules.append((0, label, f"notice:{label}", _regex(text), _words(key), score))
+    for label, names in LICENSES:
         own = re.escape(label).replace(r"\-", "-")
         spdx = rf"spdx-license-identifier:[\x20\x09(]*{own}(?:-only|-or-later|\+)?(?![-.\w])"
-        rules.append((0, label, f"spdx:{label}", re.compile(spdx.encode()), b"spdx", 1.0))
+        rules.append((0, label, f"spdx:{label}", re.compile(spdx.encode()), _words("spdx license identifier"), 1.0))
         link = rf"(?:spdx\.org/licenses|opensource\.org/licen[cs]es?)/{own}(?![-.\w])"
-        rules.append((1, label, f"link:{label}", re.compile(link.encode()), b"licen", 0.9))
+        rules.append((1, label, f"link:{label}", re.compile(link.encode()), _words("spdx licenses", "opensource licenses", "opensource licences"), 0.9))
         for form, priority, score in FORMS:
             some = "(?:" + "|".join(sorted(names, key=lambda n: (-len(n), n))) + ")"
-            rules.append((priority, label, f"name{priority}:{label}", _regex(form.format(some)), key.encode(), score))
+            rules.append((priority, label, f"name{priority}:{label}", _regex(form.format(some)), _words(*names), score))
     for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"):
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             link = rf"creativecommons\.org/licenses/{kind}/{re.escape(version)}"
-            rules.append((0, f"cc-{kind}-{version}", f"link:cc-{kind}-{version}", re.compile(link.encode()), b"creativecommons", 0.98))
+            rules.append((0, f"cc-{kind}-{version}", f"link:cc-{kind}-{version}", re.compile(link.encode()), _words("creativecommons licenses"), 0.98))
     return sorted(rules, key=lambda r: r[0])
 
 
+def build_gates(needs: set[frozenset[bytes]]) -> list[bytes]:
+    """Few parts of words, of which each set of words holds one: those that most sets hold first, long ones before short ones.
+
+    Sets with `cc` and `by` have a gate of their own, as their words are too short.
+    """
+    gates, left = [b"licen"], {s for s in needs if not {b"cc", b"by"} <= s}
+    while left := {s for s in left if not any(gates[-1] in w for w in s)}:
+        some = sorted({w for s in left for w in s if len(w) > 2})
+        gates.append(max(some, key=lambda g: (sum(any(g in w for w in s) for s in left), len(g))))
+    return gates
+
+
 RULES = build_rules()
+GATES = build_gates({s for r in RULES for s in r[4]} | set(_words(*(phrase for phrase, _ in BASE))))
+_KEYS = sorted({w for r in RULES for s in r[4] for w in s})
 _BASE = [(label, _regex(phrase)) for phrase, label in BASE]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -159,8 +179,9 @@ _IS_WORD[: 0x30] = _IS_WORD[0x3A : 0x61] = _IS_WORD[0x7B : 0x80] = False
 def detect(text: bytes) -> list[tuple[int, int, str, str, float]]:
     """Accepted detections (start, end, label, rule, score) of a lower-cased text, in order of start."""
     found = []
-    for order, (priority, label, name, regex, key, score) in enumerate(RULES):
-        if key in text:
+    held = {w for w in _KEYS if w in text}
+    for order, (priority, label, name, regex, keys, score) in enumerate(RULES):
+        if any(s <= held for s in keys):
             found += [(priority, m.start() - m.end(), order, m.start(), m.end(), label, name, score) for m in regex.finditer(text)]
     accepted: list[tuple[int, int, str, str, float]] = []
     starts: list[tuple[int, int]] = []  # accepted intervals that lie in no other, so both ends ascend

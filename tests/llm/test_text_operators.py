@@ -98,6 +98,28 @@ def test_license_places(spark):
         assert out[i]["base_labels"] == ",".join(sorted({label for _, label in places})) and 0 <= out[i]["score"] <= 1
 
 
+@pytest.mark.parametrize("gap", [" ", "\n * ", "-"])
+def test_every_license_name_is_found_alone(gap):
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "isc": "Permission to use, copy, modify and or distribute this software for any purpose with or without fee",
+        "bsd-3-clause": "Neither the name of the owner may be used to endorse or promote products",
+        "bsd-2-clause": "Redistribution and use in source and binary forms with or without modification are permitted",
+        "gpl": "you can redistribute it and or modify it under the terms of the GNU General Public License",
+        "unlicense": "This is free and unencumbered software released into the public domain",
+        "public-domain": "Placed in the public domain",
+        "proprietary": "All rights reserved worldwide",
+        "cc-by-sa": "licensed under the Creative Commons Attribution Share Alike",
+        "gpl-or-later": "GNU General Public License version 2 or at your option any later version",
+    }
+    assert set(notices) == {n[0] for n in licenses.NOTICES}
+    cases = [*notices.items(), *((label, name) for label, names, *_ in licenses.LICENSES for name in names), ("lgpl-2.1", "Licensed under LGPL v2.1"), ("mpl-2.0", "MPL-2.0")]
+    texts = ["Notes. " + text.replace(" ", gap) + " end" for _, text in cases]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    found = [row for part in licenses._scan(iter([batch])) for row in part.column("found").to_pylist()]
+    assert [case for case, row in zip(cases, found) if case[0] not in {d["label"] for d in row}] == []
+
+
 def test_license_suppression():
     found = licenses.detect(b"licensed under the apache license, version 2.0. spdx-license-identifier: gpl-3.0-or-later")
     assert [(label, rule.split(":")[0]) for _, _, label, rule, _ in found] == [("apache-2.0", "name1"), ("gpl-3.0", "spdx")]
