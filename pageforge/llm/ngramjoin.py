@@ -120,20 +120,20 @@ def spare_for(n: int, other: int) -> int:
     return n - -(-4 * (n + max(other, -(-4 * n // 5))) // 9)
 
 
-def signatures(tokens: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """The signatures of a set; sets of up to three tokens have none, as only equal sets are similar to them.
+def signatures(tokens: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The signatures of a set, and whether they are single tokens only, enough of them; sets of up to three tokens have none, as only equal sets are similar to them.
 
     Where rare tokens are too few, pairs of frequent tokens follow, apart for each band of sizes that a similar set may
     have: the nearer the sizes, the fewer tokens may differ.  Two sets use the same groups and bands for each other.
     """
     n = len(tokens)
     if n < 4:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), False
     need = spare(n) + 1
     grade = grades[_cell(tokens, len(grades))]
     rare = tokens[grade == 0]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], True
     often = tokens[np.argsort(grade, kind="stable")[len(rare) :]]
     out, own_band = [rare], band_of(n)
     for band in range(band_of(-(-4 * n // 5)), band_of(5 * n // 4) + 1):
@@ -158,7 +158,7 @@ def signatures(tokens: np.ndarray, grades: np.ndarray) -> np.ndarray:
         low, high = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
         key = np.array([low_band * 4096 + high_band + 1], np.uint64) * _MIX[2]
         out.append(splitmix(low * _MIX[0] + high * _MIX[1] + key))
-    return np.concatenate(out)
+    return np.concatenate(out), False
 
 
 class Filter:
@@ -385,8 +385,8 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str
 
     def index(batches):
         for part, sets, nodes, new in _sets(batches):
-            rows = [signatures(s, grades.value) if n else s[:0] for s, n in zip(sets, new)]
-            single = [len(r) == spare(len(s)) + 1 and bool((grades.value[_cell(r, CELLS)] == 0).all()) for r, s in zip(rows, sets)]
+            both = [signatures(s, grades.value) if n else (s[:0], False) for s, n in zip(sets, new)]
+            rows, single = [r for r, _ in both], [x for _, x in both]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(single), _lists(rows)],
                 ["doc_id", "node", "n", "single", "sigs"],

@@ -130,6 +130,18 @@ def test_ngram_join(spark, monkeypatch, large):
     assert got == brute_groups(rows)
 
 
+def test_ngram_join_of_sets_one_rare_token_short(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 3)
+    monkeypatch.setattr(ngramjoin, "OVER_MEAN", 0)
+    words = iter(range(1000))
+    some = lambda n: " ".join(f"w{next(words)}" for _ in range(n))
+    # 119 and 120 shingles: 96 frequent ones and 11 rare ones in common, each with spare(n) rare ones in all.
+    passage, tail = some(100), some(11)
+    texts = [f"{passage} {tail} {some(12)}", f"{passage} {tail} {some(13)}", f"{passage} {some(200)}", f"{passage} {some(200)}"]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngramjoin.groups(docs(spark, texts)).collect()}
+    assert got == brute_groups(list(enumerate(texts))) and (1, 120, 0) in got
+
+
 def test_one_of_each(spark):
     same = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     table = docs(spark, [same, same, same + " end", "other words", None, None, same], ids=[3, 5, 9, 4, 6, None, 3])
