@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageforge.llm.common import SpanHasher, byte_view, cut, pick, shared_dir, shuffle_parts, signed, slices, splitmix, table
 from pageforge.llm.components import components
@@ -378,6 +379,11 @@ def parted(held: DataFrame, parts: DataFrame, where: str, name: str) -> DataFram
 
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return named_groups(df, doc_id, text, where).select("doc_id", "n_shingles", "component_id")
+
+
+def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str | None = None) -> DataFrame:
+    """The groups with each row's node, and part: the smallest node of its component."""
     spark = df.sparkSession
     where = where or shared_dir(spark)
     docs = pick(df, doc_id=doc_id, text=text)
@@ -451,24 +457,27 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str
     more = _verified(docs, sizes, pairs, where, "more")
     parts = cut(components(links.union(more).union(large), where, "third"), where, "nodes")
 
-    out = facts.select("doc_id", "node", "n").join(parts, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("part"))
+    out = facts.select("doc_id", "node", "n").join(parts, "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("part"))
     first = cut(out.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("component_id")), where, "smallest")
     out = out.join(first, "part", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "node", "part", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, that stay when of each group only the document with the smallest id does.
 
     Most rows pass by a filter of fixed size; only ids that go, ids that occur twice and what the filter mistakes for
-    them are joined.  Of rows with one id, one stays.  Rows without an id cannot be told apart; they stay.
+    them are joined.  Rows with one id are told apart by their sets: of those in one group, one stays, the first by set,
+text and the other columns; those in other groups are other documents.  Rows without an id cannot be told apart; they
+stay.
     """
     spark = df.sparkSession
     where = shared_dir(spark)
-    found = cut(groups(df, doc_id, text, where), where, "groups").where(F.col("doc_id").isNotNull())
+    found = cut(named_groups(df, doc_id, text, where), where, "groups").where(F.col("doc_id").isNotNull())
     stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    fate = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(stays).alias("stays")).where("rows > 1 or not stays"), where, "fate")
+    fate = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(stays).alias("stays")).where("rows > 1 or not stays"), where, "fate")
     unsure = spark.sparkContext.broadcast(Filter.of(fate, "doc_id"))
+    names = [f"`{c}`" for c in df.columns]
 
     def marked(batches, wanted):
         for b in batches:
@@ -477,11 +486,21 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             yield b.filter(pa.array(hit == wanted))
 
     sure = df.mapInArrow(lambda batches: marked(batches, False), df.schema)
-    rest = df.mapInArrow(lambda batches: marked(batches, True), df.schema)
-    goes = fate.select(F.col("doc_id").alias("__id"), "rows", "stays")
-    rest = rest.join(goes, rest[f"`{doc_id}`"] == goes["__id"], "left")
-    single = rest.where("__id is null").select(df.columns)
-    twice = rest.where("__id is not null and stays").dropDuplicates(["__id"]).select(df.columns)
+
+    def noded(batches):
+        for b in marked(batches, True):
+            for part in slices(b, text):
+                nodes = [node_of(s) for s in shingle_sets(part.column(text))]
+                yield part.append_column("__node", pa.array(nodes, pa.int64()))
+
+    rest = df.mapInArrow(noded, T.StructType([*df.schema.fields, T.StructField("__node", T.LongType())]))
+    unclear = found.join(fate.select("doc_id"), "doc_id", "left_semi")
+    goes = unclear.select(F.col("doc_id").alias("__id"), F.col("node").alias("__set"), F.col("part").alias("__part"), stays.alias("__stays")).distinct()
+    goes = cut(goes, where, "goes")
+    rest = rest.join(goes, (F.col(f"`{doc_id}`") == F.col("__id")) & (F.col("__node") == F.col("__set")), "left")
+    single = rest.where("__id is null").select(names)
+    order = Window.partitionBy("__id", "__part").orderBy("__set", f"`{text}`", F.to_json(F.struct(*names)))
+    twice = rest.where("__stays").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(names)
     return sure.unionByName(single).unionByName(twice)
 
 

@@ -148,6 +148,15 @@ def test_one_of_each(spark):
     assert sorted((str(r["doc_id"]), r["sig"]) for r in ngramjoin.one_of_each(table).collect()) == [("3", 5), ("4", 5), ("6", 5), ("None", 5)]
 
 
+def test_one_of_each_tells_rows_with_one_id_apart(spark):
+    some = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    texts = [some[0], some[1], some[1] + " end", some[2], some[0], some[3], some[3], "", "", some[2]]
+    table = docs(spark, texts, ids=[3, 3, 3, 3, 1, 5, 5, 7, 7, 2])
+    out = sorted((r["doc_id"], r["text"]) for r in ngramjoin.one_of_each(table).collect())
+    assert [i for i, _ in out] == [1, 2, 3, 5, 7]
+    assert dict(out)[1] == some[0] and dict(out)[3] in texts[1:3] and dict(out)[5] == some[3]
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, dim string, v long")
 
