@@ -43,6 +43,13 @@ def cut(df: DataFrame, where: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, where: str, *names: str) -> None:
+    """Removes tables that `cut` wrote, once what was made of them is written itself."""
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,14 +69,18 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch between rows so that each part has about `most` bytes of text: whole rows, bounded scratch memory."""
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20, rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch between rows so that each part has about `most` bytes of text, and `rows` rows at most.
+
+    Rows stay whole: a row that is longer than `most` is a part of its own.
+    """
     _, off = byte_view(batch.column(text))
     at, n = 0, batch.num_rows
     while at < n:
         end = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
-        yield batch.slice(at, min(end, n) - at)
-        at = min(end, n)
+        end = min(end, at + rows, n)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

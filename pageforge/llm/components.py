@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import cut
+from pageforge.llm.common import cut, drop
 
 
 def _is_done(edges: DataFrame) -> bool:
@@ -16,7 +16,7 @@ def _is_done(edges: DataFrame) -> bool:
 
 
 def components(links: DataFrame, where: str, name: str = "links") -> DataFrame:
-    """(node, component): for each node in a link (columns a, b) the smallest node that links lead to.
+    """(node, component): for each node in a link (columns a, b) the smallest node that links lead to; a table `name`.
 
     Alternating large-star and small-star rounds: every node's larger neighbours, then its smaller ones, are linked to
     the smallest of them, until all are stars; the number of rounds grows with the logarithm of the longest path.
@@ -36,5 +36,8 @@ def components(links: DataFrame, where: str, name: str = "links") -> DataFrame:
         down = cut(kept.groupBy("u").agg(F.min("v").alias("m")), where, f"{name}-{step}-down")
         small = kept.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct(), where, f"{name}-{step}")
+        drop(links.sparkSession, where, f"{name}-{step}-least", f"{name}-{step}-large", f"{name}-{step}-down", f"{name}-{step - 1}")
     up = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return up.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = cut(up.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), where, name)
+    drop(links.sparkSession, where, f"{name}-{step}")
+    return out

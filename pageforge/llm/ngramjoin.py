@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageforge.llm.common import SpanHasher, byte_view, cut, pick, shared_dir, shuffle_parts, signed, slices, splitmix, table
+from pageforge.llm.common import SpanHasher, byte_view, cut, drop, pick, shared_dir, shuffle_parts, signed, slices, splitmix, table
 from pageforge.llm.components import components
 
 WORDS = 5
@@ -43,8 +43,8 @@ WORDS = 5
 FREQUENT, OVER_MEAN, GRADES = 8, 3, 20
 #: Holders with which, by turns of the signature, all others are compared in the second step.
 CENTERS = 8
-#: Holders from which on a signature is large, and rows of a block in which the holders of large ones are compared.
-LARGE, ROWS = 64, 256
+#: Holders from which on a signature is large; rows and tokens of a block in which the holders of large ones are compared.
+LARGE, ROWS, TOKENS = 64, 256, 1 << 19
 #: Cells of the grade array and bits of the candidate filters: fixed sizes for broadcasts.
 CELLS, BLOCK, FILTER_BITS = 1 << 24, 1 << 14, 1 << 25
 
@@ -165,53 +165,38 @@ def signatures(tokens: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, bool
 class Filter:
     """A set of 64-bit keys as bits of a fixed number; it may hold too much, never too little."""
 
-    def __init__(self, bits: int = FILTER_BITS) -> None:
-        self.cells = np.zeros(bits, bool)
-
-    @staticmethod
-    def of(keys: DataFrame, name: str, bits: int = FILTER_BITS) -> "Filter":
-        """From a column of longs; at most `bits` numbers reach the driver, as Arrow."""
-        out = Filter(bits)
-        cells = keys.select(F.pmod(F.xxhash64(name), F.lit(bits)).cast("int").alias("c"))
+    def __init__(self, keys: DataFrame, name: str, bits: int = FILTER_BITS) -> None:
+        """From a column of longs; at most `bits` numbers reach the driver."""
+        held = np.zeros(bits, bool)
+        cells = keys.select(F.pmod(F.col(name), F.lit(bits)).cast("int").alias("c"))
         cells = cells.groupBy(F.shiftright("c", 15).alias("block")).agg(F.collect_set(F.col("c").bitwiseAND(32767).cast("short")).alias("cells"))
         for row in cells.toLocalIterator(prefetchPartitions=True):
-            out.cells[(row["block"] << 15) + np.array(row["cells"], np.int64)] = True
-        return out.pack()
-
-    @staticmethod
-    def places(keys: np.ndarray, bits: int) -> np.ndarray:
-        """Spark's xxhash64 of longs (seed 42), as published, modulo the number of bits."""
-        p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-        turn = lambda x, r: x << np.uint64(r) | x >> np.uint64(64 - r)
-        h = np.uint64(42) + p5 + np.uint64(8) ^ turn(keys.astype(np.uint64) * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ h >> np.uint64(33)) * p2
-        h = (h ^ h >> np.uint64(29)) * p3
-        return ((h ^ h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
-
-    def pack(self) -> "Filter":
-        """Eight cells a byte from now on: workers hold several filters."""
-        self.cells = np.packbits(self.cells)
-        return self
+            held[(row["block"] << 15) + np.array(row["cells"], np.int64)] = True
+        self.bits = np.packbits(held)  # eight cells a byte: workers hold several filters
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = self.places(keys, 8 * len(self.cells))
-        return (self.cells[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        at = keys.astype(np.int64, copy=False) & (8 * len(self.bits) - 1)
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+#: Nodes that a task remembers: a table of fixed size, in which a node takes the place of an older one.
+REMEMBERED = 1 << 18
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int], list[bool]]]:
     """Slices with each row's set, its node, and whether this task meets the node for the first time (or again after a while)."""
-    seen: set[int] = set()
+    table, used = np.zeros(REMEMBERED, np.int64), np.zeros(REMEMBERED, bool)
     for batch in batches:
         for part in slices(batch, "text"):
             sets = shingle_sets(part.column("text"))
-            nodes, new = [node_of(s) for s in sets], []
-            for node, s in zip(nodes, sets):
-                new.append(len(s) > 0 and node not in seen)
-                seen.add(node)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield part, sets, nodes, new
+            nodes = np.array([node_of(s) for s in sets], np.int64)
+            at = nodes & (REMEMBERED - 1)
+            new = ~(used[at] & (table[at] == nodes)) & np.array([len(s) > 0 for s in sets])
+            first = np.zeros(len(nodes), bool)
+            first[np.unique(nodes, return_index=True)[1]] = True
+            new &= first
+            table[at[new]], used[at[new]] = nodes[new], True
+            yield part, sets, nodes.tolist(), new.tolist()
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -270,6 +255,7 @@ def _grades(docs: DataFrame, where: str) -> np.ndarray:
     out = np.zeros(CELLS, np.int8)
     for row in sums.mapInArrow(graded, "block int, grades binary").toLocalIterator():  # CELLS bytes in all
         out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["grades"], np.int8)
+    drop(docs.sparkSession, where, "cells")
     return out
 
 
@@ -295,12 +281,12 @@ def _held_sets(docs: DataFrame, sizes: DataFrame, nodes: DataFrame, where: str,
     nodes = nodes.distinct()
     owners = sizes.join(nodes, "node", "left_semi").select("owner")
     sc = docs.sparkSession.sparkContext
-    wanted, ids = sc.broadcast(Filter.of(nodes, "node")), sc.broadcast(Filter.of(owners, "owner"))
+    wanted, ids = sc.broadcast(Filter(nodes, "node")), sc.broadcast(Filter(owners, "owner"))
 
     def owned(batches):
         for b in batches:
             own = b.column("doc_id")
-            hit = ids.value.holds(own.fill_null(0).to_numpy().view(np.uint64)) | own.is_null().to_numpy(zero_copy_only=False)
+            hit = ids.value.holds(own.fill_null(0).to_numpy()) | own.is_null().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(hit))
 
     def sets(batches):
@@ -318,7 +304,9 @@ def _verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, where: str, n
     held = _held_sets(docs, sizes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), where, f"{name}-sets")
     out = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     out = out.join(held.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
-    return cut(out.select("a", "b", "left", "right").mapInArrow(_intersections, "a long, b long"), where, name)
+    out = cut(out.select("a", "b", "left", "right").mapInArrow(_intersections, "a long, b long"), where, name)
+    drop(docs.sparkSession, where, f"{name}-sets")
+    return out
 
 
 def _block_links(group: pa.Table) -> pa.Table:
@@ -352,18 +340,21 @@ def _large(docs: DataFrame, sizes: DataFrame, held: DataFrame, where: str) -> Da
     and their holders compared once, block by block, however many signatures they share.
     """
     first = F.min("sig").over(Window.partitionBy("node"))  # a node's signatures go with its first one
-    own = cut(held.select("sig", "node", "part", first.alias("first")), where, "own")
-    alike = components(own.select(F.col("sig").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), where, "alike")
-    crowd = own.select("node", "part", F.col("first")).distinct().join(cut(alike, where, "crowds").withColumnRenamed("node", "first"), "first", "left")
-    crowd = cut(crowd.select("node", "part", F.coalesce("component", "first").alias("crowd")), where, "crowd")
+    own = cut(held.select("sig", "node", "n", "part", first.alias("first")), where, "own")
+    alike = components(own.select(F.col("sig").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), where, "crowds")
+    crowd = own.select("node", "n", "part", "first").distinct().join(alike.withColumnRenamed("node", "first"), "first", "left")
+    crowd = cut(crowd.select("node", "n", "part", F.coalesce("component", "first").alias("crowd")), where, "crowd")
     sets = _held_sets(docs, sizes, crowd.select("node"), where, "crowd-sets")
-    counts = cut(crowd.groupBy("crowd").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")), where, "crowd-sizes")
+    blocks = F.ceil(F.greatest(F.count("*") / ROWS, F.sum("n") / TOKENS)).cast("int")
+    counts = cut(crowd.groupBy("crowd").agg(blocks.alias("blocks")), where, "crowd-sizes")
     rows = crowd.join(counts, "crowd")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("crowd", "node", "part", "tokens", "block", other)
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return cut(rows.groupBy("crowd", "i", "j").applyInArrow(_block_links, "a long, b long"), where, "crowd-links")
+    out = cut(rows.groupBy("crowd", "i", "j").applyInArrow(_block_links, "a long, b long"), where, "crowd-links")
+    drop(docs.sparkSession, where, "own", "crowds", "crowd", "crowd-sets", "crowd-sizes")
+    return out
 
 
 def unordered(pairs: DataFrame) -> DataFrame:
@@ -414,26 +405,28 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
     every = facts.select("node", F.explode("sigs").alias("sig"))
     shared = every.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     shared = cut(shared, where, "shared")
-    several = spark.sparkContext.broadcast(Filter.of(shared, "sig"))
+    several = spark.sparkContext.broadcast(Filter(shared, "sig"))
 
     def holders(batches):
         for b in batches:
             sigs = b.column("sigs")
             flat = sigs.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), np.diff(sigs.offsets.to_numpy()))
-            hit = np.flatnonzero(several.value.holds(flat.view(np.uint64)))
+            hit = np.flatnonzero(several.value.holds(flat))
             at = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), b.column("node").take(at), b.column("n").take(at)], ["sig", "node", "n"])
 
     held = facts.where(F.size("sigs") > 0).select("node", "n", "sigs").mapInArrow(holders, "sig long, node long, n long")
     held = cut(held.distinct().join(shared, "sig"), where, "held")
+    drop(spark, where, "shared")
 
     # First every holder with the smallest and the largest one; then, for what is still apart, with a few others.
     ends = held.select("node", F.explode(F.array("least", "most")).alias("a")).where("node <> a")
     stars = ends.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     stars = cut(unordered(likely(stars)), where, "stars")
     links = _verified(docs, sizes, stars, where, "links")
-    apart = parted(held.select("sig", "node", "n"), cut(components(links, where, "first"), where, "parts"), where, "apart1")
+    apart = parted(held.select("sig", "node", "n"), components(links, where, "parts"), where, "apart1")
+    drop(spark, where, "held", "parts", "apart1-sigs")
 
     center = F.min_by(F.struct("node", "part"), F.xxhash64("node", F.pmod("sig", F.lit(CENTERS)))).alias("center")
     chosen = cut(apart.groupBy("sig").agg(center).select("sig", F.col("center.node").alias("a"), F.col("center.part").alias("pa")), where, "centers")
@@ -443,8 +436,9 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
     tried = stars.union(tried)
 
     # Signatures across provisional components: every pair of holders in different ones.
-    held = parted(apart.select("sig", "node", "n"), cut(components(links, where, "second"), where, "parts2"), where, "apart2")
+    held = parted(apart.select("sig", "node", "n"), components(links, where, "parts2"), where, "apart2")
     sizes2 = cut(held.groupBy("sig").count(), where, "holders")
+    drop(spark, where, "apart1", "apart2-sigs", "parts2", "centers")
     large = _large(docs, sizes, held.join(sizes2.where(F.col("count") > LARGE), "sig"), where)
     held = held.join(sizes2.where(F.col("count") <= LARGE), "sig").drop("count")
     main = held.groupBy("sig", "part").count().groupBy("sig").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
@@ -455,7 +449,8 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
     pairs = pairs.groupBy(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).agg(F.count("*").alias("c"))
     pairs = cut(likely(pairs).join(tried, ["a", "b"], "left_anti"), where, "pairs")
     more = _verified(docs, sizes, pairs, where, "more")
-    parts = cut(components(links.union(more).union(large), where, "third"), where, "nodes")
+    parts = components(links.union(more).union(large), where, "nodes")
+    drop(spark, where, "sizes", "stars", "links", "links2", "links12", "tried", "apart2", "holders", "main", "pairs", "more", "crowd-links")
 
     out = facts.select("doc_id", "node", "n").join(parts, "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("part"))
     first = cut(out.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("component_id")), where, "smallest")
@@ -468,39 +463,40 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     Most rows pass by a filter of fixed size; only ids that go, ids that occur twice and what the filter mistakes for
     them are joined.  Rows with one id are told apart by their sets: of those in one group, one stays, the first by set,
-text and the other columns; those in other groups are other documents.  Rows without an id cannot be told apart; they
-stay.
+    text and the other columns; those in other groups are other documents.  Rows without an id cannot be told apart; they
+    stay.  Documents without words (null or empty texts) are in no group and stay, one for each id.  Columns may have any
+    names: they travel as one struct.  An empty table gives an empty one.
     """
     spark = df.sparkSession
     where = shared_dir(spark)
     found = cut(named_groups(df, doc_id, text, where), where, "groups").where(F.col("doc_id").isNotNull())
+    drop(spark, where, "facts", "nodes", "smallest")
     stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    fate = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(stays).alias("stays")).where("rows > 1 or not stays"), where, "fate")
-    unsure = spark.sparkContext.broadcast(Filter.of(fate, "doc_id"))
-    names = [f"`{c}`" for c in df.columns]
+    fate = cut(found.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.min(stays).alias("every_stays")).where("n_rows > 1 or not every_stays"), where, "fate")
+    unsure = spark.sparkContext.broadcast(Filter(fate, "doc_id"))
+    rows = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
     def marked(batches, wanted):
         for b in batches:
-            ids = b.column(doc_id)
-            hit = unsure.value.holds(ids.fill_null(0).to_numpy().view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            ids = b.column("id")
+            hit = unsure.value.holds(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(hit == wanted))
 
-    sure = df.mapInArrow(lambda batches: marked(batches, False), df.schema)
+    sure = rows.mapInArrow(lambda batches: marked(batches, False), rows.schema).select("row.*")
 
     def noded(batches):
         for b in marked(batches, True):
-            for part in slices(b, text):
-                nodes = [node_of(s) for s in shingle_sets(part.column(text))]
-                yield part.append_column("__node", pa.array(nodes, pa.int64()))
+            for part in slices(b, "text"):
+                nodes = [node_of(s) for s in shingle_sets(part.column("text"))]
+                yield part.append_column("node", pa.array(nodes, pa.int64()))
 
-    rest = df.mapInArrow(noded, T.StructType([*df.schema.fields, T.StructField("__node", T.LongType())]))
+    rest = rows.mapInArrow(noded, T.StructType([*rows.schema.fields, T.StructField("node", T.LongType())]))
     unclear = found.join(fate.select("doc_id"), "doc_id", "left_semi")
-    goes = unclear.select(F.col("doc_id").alias("__id"), F.col("node").alias("__set"), F.col("part").alias("__part"), stays.alias("__stays")).distinct()
-    goes = cut(goes, where, "goes")
-    rest = rest.join(goes, (F.col(f"`{doc_id}`") == F.col("__id")) & (F.col("__node") == F.col("__set")), "left")
-    single = rest.where("__id is null").select(names)
-    order = Window.partitionBy("__id", "__part").orderBy("__set", f"`{text}`", F.to_json(F.struct(*names)))
-    twice = rest.where("__stays").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(names)
+    goes = cut(unclear.select(F.col("doc_id").alias("id"), "node", "part", stays.alias("stays")).distinct(), where, "goes")
+    rest = rest.join(goes, ["id", "node"], "left")
+    single = rest.where("part is null").select("row.*")
+    order = Window.partitionBy("id", "part").orderBy("node", "text", F.to_json("row"))
+    twice = rest.where("stays").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
     return sure.unionByName(single).unionByName(twice)
 
 

@@ -159,7 +159,7 @@ def _joined(unit: DataFrame, strong: DataFrame, full: DataFrame, where: str, nam
     """(node, component) of links, joined by the links between saturated vertices that their lists have no place for."""
     step = 0
     while True:
-        parts = cut(components(strong, where, f"{name}-parts{step}"), where, f"{name}-component{step}")
+        parts = components(strong, where, f"{name}-component{step}")
         apart = unit.drop("own").join(parts.join(full, "node").select(F.col("node").alias("id"), F.col("component").alias("own")), "id")
         apart = cut(apart, where, f"{name}-apart{step}")
         several = apart.groupBy("label", "dim").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("label", "dim")
