@@ -10,8 +10,17 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Bytes of an Arrow batch at most (a single row may be larger): what JVM and Python worker hold at once for a task.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Puts the package's folder on the workers' path; on a cluster without that folder, ship it with --py-files."""
+    """Puts the package's folder on the workers' path and bounds Arrow batches by bytes.
+
+    On a cluster without that folder, ship it with --py-files.
+    """
+    if int(spark.conf.get(BATCH[0], str(BATCH[1] + 1)).rstrip("b")) > BATCH[1]:
+        spark.conf.set(BATCH[0], str(BATCH[1]))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
