@@ -13,26 +13,31 @@ from pyspark.sql import functions as F
 
 from pageforge.llm import langid, ngramjoin, packing, pii
 from pageforge.llm.common import cut, shared_dir, table
+from pageforge.session import prepare
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier recognizes; texts without a letter go.  It learns from docs."""
+    prepare(spark)
     return langid.recognized(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that are linked by similar shingle sets, the one with the smallest doc_id."""
+    prepare(spark)
     return ngramjoin.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind, n_chars counted anew."""
+    prepare(spark)
     out = pii.mask(docs)
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in the sequences."""
+    prepare(spark)
     return packing.pack(packing.pieces(docs, path("word_bpe_49k.json")))
 
 
