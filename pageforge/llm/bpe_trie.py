@@ -62,11 +62,12 @@ class TrieBpe:
                         break
                     until, at = made[at][0], made[at][part]
                 side[t] = tuple(reversed(chain))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by first id * size of the vocabulary + second id
+        self.size = max(self.vocab.values()) + 1
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b, side by side, stay as they are: of the parts that meet at the border at any time, none merge."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a * self.size + b)
         if known is not None:
             return known
         x, y, i, j, good = self.right[a], self.left[b], 0, 0, True
@@ -82,9 +83,9 @@ class TrieBpe:
                 j += 1
             if i == len(x) or j == len(y):
                 break
-        if len(self.pairs) > 4_000_000:
+        if len(self.pairs) > 500_000:  # about 50 MB
             self.pairs.clear()
-        self.pairs[a, b] = good
+        self.pairs[a * self.size + b] = good
         return good
 
     def __call__(self, words: list[str]) -> list[list[int]]:
@@ -177,7 +178,7 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
     """(doc_id, ids): the ids themselves, for use outside the digest query."""
     codes, _ = trie_codes(path)
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
+        for part in slices(batch, "text"):
             ids, off = codes(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
@@ -189,7 +190,7 @@ def _joined(spelled: list[bytes], ids: np.ndarray) -> bytes:
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     codes, spelled = trie_codes(path)
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
+        for part in slices(batch, "text"):
             ids, off = codes(part.column("text"))
             ids = ids.astype("<u4")
             spans = list(zip(off[:-1].tolist(), off[1:].tolist()))

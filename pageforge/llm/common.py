@@ -69,7 +69,7 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20, rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 18, rows: int = 1 << 12) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that each part has about `most` bytes of text, and `rows` rows at most.
 
     Rows stay whole: a row that is longer than `most` is a part of its own.

@@ -190,7 +190,7 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", markup: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "html", 4 << 20):
+            for part in slices(batch, "html", 1 << 20):
                 texts = [main_text(x, score) if x else "" for x in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

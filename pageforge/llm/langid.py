@@ -111,7 +111,7 @@ def predict(df: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19, 512):
+            for part in slices(batch, "text", rows=512):
                 lang, score = [UND] * part.num_rows, np.zeros(part.num_rows)
                 if model is not None:
                     seen, has = presence(part.column("text"))
@@ -134,7 +134,7 @@ def recognized(df: DataFrame, model: Model | None, least: float = LEAST_SCORE, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 19, 512):
+            for part in slices(batch, text, rows=512):
                 seen, keep = presence(part.column(text))
                 if shared.value is not None:
                     keep = keep & (shared.value.scores(seen).max(1) >= least)

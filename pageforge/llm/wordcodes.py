@@ -122,7 +122,7 @@ class KeyTable:
 class WordCodes:
     """The ids of texts; `encode_words` gets distinct pre-tokens, `encode_texts` gets whole unusual texts."""
 
-    def __init__(self, encode_words: Callable, encode_texts: Callable, most: int = 300_000) -> None:
+    def __init__(self, encode_words: Callable, encode_texts: Callable, most: int = 200_000) -> None:
         self.encode_words, self.encode_texts, self.most = encode_words, encode_texts, most
         self.hash = SpanHasher()
         self.clear()
