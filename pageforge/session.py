@@ -14,6 +14,10 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
+#: Python workers live on between tasks; with these they give the memory of a task's arrays back.
+ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": "1000000", "MALLOC_TRIM_THRESHOLD_": "4000000", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Puts the package's folder on the workers' path and bounds Arrow batches by bytes.
 
@@ -25,6 +29,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for name, value in ALLOCATION.items():
+        env.setdefault(name, value)
     return spark
 
 
