@@ -17,9 +17,7 @@ class Upload:
 @dataclass(frozen=True)
 class Ingest:
     detect_edge: int = 1500
-    dpi: int = 200
     low_edge: int = 800
-    preview_edge: int = 1200
     born_digital_chars: int = 30
 
 
@@ -58,14 +56,16 @@ class Perspective:
 class Light:
     estimate_edge: int = 256
     close_share: float = 0.25
+    tiles: int = 8
+    median: int = 5
     clean_share: float = 0.75
     clean_val: int = 200
     clean_sat: int = 40
     paper_share: float = 0.40
     paper_val: int = 180
     paper_sat: int = 45
-    document: tuple[float, float, int] = (4.0, 78.0, 32)  # black and white percentile, floor
-    photo: tuple[float, float, int] = (2.0, 98.0, 0)
+    document: tuple[float, float, int, float, float] = (4.0, 78.0, 32, 1.0, 2.0)  # black and white percentile, floor, gamma, clip of contrast
+    photo: tuple[float, float, int, float, float] = (2.0, 98.0, 0, 1.0, 1.0)
     moire_white: float = 60.0
     gate_low: float = 12.0
     gate_high: float = 30.0
@@ -96,6 +96,7 @@ class Sanity:
 @dataclass(frozen=True)
 class Output:
     encoding: str = "jpeg"
+    quality: int = 95
     dpi: int = 200
     low_confidence: float = 0.6
 

@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clip(x: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

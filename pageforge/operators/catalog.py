@@ -14,23 +14,27 @@ MODES = ("color", "gray", "bw")
 
 
 def page_state(log: DataFrame) -> DataFrame:
-    """page_id, rotation, mode, demoire, deleted, n_exports, n_edits from edits (page_id, at, seq, op, k).
+    """page_id, corners, rotation, mode, demoire, deleted, n_exports, n_edits from edits (page_id, at, seq, op, degrees, mode, on, corners).
 
-    recrop sets the rotation to 0; rotate adds quarter turns; mode and demoire keep the last value; delete is final.
-    Aggregates only: a page's history never has to fit one task's memory.
+    recrop sets the corners and turns the page back to 0; rotate adds its degrees; mode and demoire keep the last
+    value; delete is final.  Edits that `check_edits` finds fault with must be gone.  Two aggregates, the second over the
+    turns alone: a page's history never has to fit one task's memory.
     """
     key = F.struct("at", "seq")
-    crop = Window.partitionBy("page_id")
-    last = log.withColumn("cropped", F.max(F.when(F.col("op") == "recrop", key)).over(crop))
-    turns = (F.col("op") == "rotate") & (F.col("cropped").isNull() | (key > F.col("cropped")))
-    return last.groupBy("page_id").agg(
-        F.pmod(F.coalesce(F.sum(F.when(turns, 90 * (F.col("k") % 4))), F.lit(0)), F.lit(360)).cast("int").alias("rotation"),
-        F.coalesce(F.max_by(F.when(F.col("op") == "mode", F.element_at(F.array(*map(F.lit, MODES)), (F.col("k") % 3 + 1).cast("int"))), F.when(F.col("op") == "mode", key)), F.lit("color")).alias("mode"),
-        F.max_by(F.when(F.col("op") == "demoire", F.col("k") % 2 == 1), F.when(F.col("op") == "demoire", key)).alias("demoire"),
+    of = lambda op, c: F.max_by(F.when(F.col("op") == op, F.col(c)), F.when(F.col("op") == op, key))
+    folded = log.groupBy("page_id").agg(
+        F.max(F.when(F.col("op") == "recrop", key)).alias("cropped"),
+        of("recrop", "corners").alias("corners"),
+        F.coalesce(of("mode", "mode"), F.lit("color")).alias("mode"),
+        of("demoire", "on").alias("demoire"),
         F.bool_or(F.col("op") == "delete").alias("deleted"),
         F.count_if(F.col("op") == "export").alias("n_exports"),
         F.count("*").alias("n_edits"),
     )
+    turns = log.where("op = 'rotate'").select("page_id", key.alias("key"), "degrees").join(folded.select("page_id", "cropped"), "page_id")
+    turns = turns.where(F.col("cropped").isNull() | (F.col("key") > F.col("cropped"))).groupBy("page_id").agg(F.sum("degrees").alias("degrees"))
+    out = folded.drop("cropped").join(turns, "page_id", "left")
+    return out.withColumn("rotation", F.pmod(F.coalesce("degrees", F.lit(0)), F.lit(360)).cast("int")).drop("degrees")
 
 
 def check_edits(log: DataFrame, pages: DataFrame) -> DataFrame:
@@ -45,7 +49,7 @@ def check_edits(log: DataFrame, pages: DataFrame) -> DataFrame:
     return out.withColumn("error", error)
 
 
-def to_recompute(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("rotation", "mode", "demoire")) -> DataFrame:
+def to_recompute(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("corners", "rotation", "mode", "demoire")) -> DataFrame:
     """The pages whose folded state changed; only their pixels are computed again."""
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("page_id", *by)]
     condition = same[0]
@@ -79,10 +83,10 @@ def scans(sessions: DataFrame, pages: DataFrame, s: Settings = SETTINGS) -> Data
     return sessions.join(nested, "session_id", "left").withColumn("pages", F.coalesce("pages", F.array().cast(nested.schema["pages"].dataType)))
 
 
-def page_image(pages: DataFrame, session_id: Column, page_id: Column, original: bool = False) -> DataFrame:
-    """The reference of a live page's image."""
-    live = pages.where((F.col("session_id") == session_id) & (F.col("id") == page_id) & ~F.col("deleted"))
-    return live.select("id", F.col("original_ref" if original else "processed_ref").alias("ref"))
+def page_images(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (session_id, id, original) with ref, the reference of the image; pages that are not live or not of that session are not found."""
+    live = pages.where(~F.col("deleted")).select("session_id", "id", "original_ref", "processed_ref")
+    return asked.join(live, ["session_id", "id"]).withColumn("ref", F.when(F.col("original"), F.col("original_ref")).otherwise(F.col("processed_ref"))).drop("original_ref", "processed_ref")
 
 
 def export_metrics(pages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
@@ -117,6 +121,17 @@ def orphans(pages: DataFrame, sessions: DataFrame) -> DataFrame:
     return pages.join(sessions.select("session_id"), "session_id", "left_anti")
 
 
+def handoff(exports: DataFrame, pages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """What another system gets of exported sessions (session_id, ref): the file's reference and its metrics."""
+    return exports.select("session_id", "ref").join(export_metrics(pages, s).drop("low_pages"), "session_id")
+
+
+def low_confidence_count(pages: DataFrame, by: list[str], s: Settings = SETTINGS) -> DataFrame:
+    """Live pages, and those below the threshold, by some columns."""
+    low = F.count_if(F.col("confidence_pct") < round(100 * s.output.low_confidence))
+    return pages.where(~F.col("deleted")).groupBy(*by).agg(low.alias("low"), F.count("*").alias("pages"))
+
+
 def audit(actor: Column, action: str, target: Column, detail: Column) -> list[Column]:
     """Columns of an audit event."""
     return [F.sha2(F.concat_ws("|", actor, F.lit(action), target), 256).alias("id"), actor.alias("actor"), F.lit(action).alias("action"), target.alias("target"), detail.alias("detail"), F.current_timestamp().alias("timestamp")]

@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS, Settings
+from pageforge.kernels.encode import jpeg
+from pageforge.operators.rasters import per_page
+
+
+def page_stream(page: np.ndarray, encoding: str, quality: int) -> bytes:
+    """The image object of a page: its dictionary and its pixels, as JPEG or lossless, without metadata."""
+    if encoding == "png":
+        name, data = b"FlateDecode", zlib.compress(page[..., ::-1].tobytes())
+    else:
+        name, data = b"DCTDecode", jpeg(page, quality)
+    head = b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /%s /Length %d >>"
+    return head % (page.shape[1], page.shape[0], name, len(data)) + b"\nstream\n" + data + b"\nendstream"
 
 
 def write_pdf(pages: list[tuple[int, int, bytes]], dpi: int) -> bytes:
-    """A PDF of packed BGR pages, each as large as its pixels at the given resolution, without metadata."""
+    """A PDF of (height, width, image object), each page as large as its pixels at the given resolution."""
     out, places = bytearray(b"%PDF-1.4\n"), []
 
     def put(body: bytes) -> int:
@@ -23,42 +36,43 @@ def write_pdf(pages: list[tuple[int, int, bytes]], dpi: int) -> bytes:
     put(b"<< /Type /Catalog /Pages 2 0 R >>")
     kids = b" ".join(b"%d 0 R" % (3 + 3 * i) for i in range(len(pages)))
     put(b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(pages)))
-    for height, width, bgr in pages:
+    for height, width, image in pages:
         n = len(places) + 1
         w, h = (b"%.4f" % (72 * x / dpi) for x in (width, height))
         put(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %s %s] /Contents %d 0 R /Resources << /XObject << /I %d 0 R >> >> >>" % (w, h, n + 1, n + 2))
         draw = b"q %s 0 0 %s 0 0 cm /I Do Q" % (w, h)
         put(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(draw), draw))
-        rgb = bytearray(bgr)
-        rgb[0::3], rgb[2::3] = bgr[2::3], bgr[0::3]
-        data = zlib.compress(bytes(rgb))
-        head = b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode /Length %d >>"
-        put(head % (width, height, len(data)) + b"\nstream\n" + data + b"\nendstream")
+        put(image)
     start = len(out)
     out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(places) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
     return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(places) + 1, start))
 
 
-def assemble(pages: DataFrame, s: Settings = SETTINGS, max_pages: int | None = None) -> DataFrame:
-    """session_id, pages, pdf: the live pages of each session in order.
+def streams(pages: DataFrame, encoding: str | None = None, s: Settings = SETTINGS) -> DataFrame:
+    """Adds height, width and image (the PDF object) to rasters; pages without pixels get nulls."""
+    kind, quality = encoding or s.output.encoding, s.output.quality
+    run = lambda page, _: {"height": page.shape[0], "width": page.shape[1], "image": page_stream(page, kind, quality)}
+    return per_page(pages, run, "height int, width int, image binary")
+
+
+def image_pdfs(pages: DataFrame, encoding: str | None = None, s: Settings = SETTINGS) -> DataFrame:
+    """Adds pdf: each page as a file of its own."""
+    dpi, kind, quality = s.output.dpi, encoding or s.output.encoding, s.output.quality
+    return per_page(pages, lambda page, _: {"pdf": write_pdf([(*page.shape[:2], page_stream(page, kind, quality))], dpi)}, "pdf binary")
 
-    In: session_id, id, order, deleted, raster.  A session's pages meet in one task, so sessions with more pages than
-    a PDF may have are left out; `too_long` names them.
+
+def assemble(pages: DataFrame, encoding: str | None = None, s: Settings = SETTINGS) -> DataFrame:
+    """session_id, pages, pdf: the live pages of each session in order, however many; sessions without any are not exported.
+
+    In: session_id, id, order, deleted, raster.  Pages become compressed streams first, each where it lies; only those
+    move, and only they meet in one task, as they do in the file.  Pages without pixels are left out.
     """
-    most = max_pages or s.upload.max_pages
-    live = pages.where(~F.col("deleted"))
-    fit = live.join(live.groupBy("session_id").count().where(F.col("count") <= most).select("session_id"), "session_id", "left_semi")
+    rows = streams(pages.where(~F.col("deleted")).select("session_id", "id", "order", "raster"), encoding, s).drop("raster").where("image is not null")
     kind = pages.schema["session_id"].dataType.simpleString()
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["order", "id"])
-        body = write_pdf([(h, w, bytes(d)) for h, w, d in zip(f["height"], f["width"], f["data"])], s.output.dpi)
+        body = write_pdf(list(zip(f["height"].tolist(), f["width"].tolist(), f["image"])), s.output.dpi)
         return pd.DataFrame({"session_id": [f["session_id"].iat[0]], "pages": [len(f)], "pdf": [body]})
 
-    r = F.col("raster")
-    rows = fit.select("session_id", "id", "order", r["height"].alias("height"), r["width"].alias("width"), r["data"].alias("data"))
     return rows.groupBy("session_id").applyInPandas(build, f"session_id {kind}, pages long, pdf binary")
-
-
-def too_long(pages: DataFrame, s: Settings = SETTINGS, max_pages: int | None = None) -> DataFrame:
-    return pages.where(~F.col("deleted")).groupBy("session_id").count().where(F.col("count") > (max_pages or s.upload.max_pages))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS, Settings
-from pageforge.functions import clip
+from pageforge.functions import clip, let
 
 
 def point(x: Column, y: Column) -> Column:
@@ -108,6 +108,33 @@ def judged(quads: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     return q.withColumns({"skip_warp": (F.col("coverage") >= p.flat_cover) & (F.col("skew") < p.flat_skew), "plausible": fair})
 
 
+def model_plausible(pts: Column, w: Column, h: Column, s: Settings = SETTINGS) -> Column:
+    """Whether a model's corners cover a fair share of the page and none lies within the others' triangle."""
+
+    def fair(rect: Column) -> Column:
+        def turn(p: Column, i: Column) -> Column:
+            a, b = _next(rect, i), _next(rect, i, 2)
+            return (a["x"] - p["x"]) * (b["y"] - a["y"]) - (a["y"] - p["y"]) * (b["x"] - a["x"])
+
+        return (area(rect) / (w * h)).between(s.boundary.min_area, s.boundary.max_cover) & F.forall(F.transform(rect, turn), lambda t: t > 0)
+
+    return let(ordered(pts), fair)
+
+
+def score(c: Column, s: Settings = SETTINGS) -> Column:
+    """A candidate's score: the share it covers, less where it fills its least rectangle badly or is that rectangle."""
+    full = F.when(c["rect_area"] > 0, c["area"] / c["rect_area"]).otherwise(0.0)
+    return area(c["pts"]) / c["frame_area"] * (0.5 + 0.5 * full) * F.when(c["method"] == "approx", 1.0).otherwise(s.boundary.rect_factor)
+
+
+def best_of(candidates: Column, s: Settings = SETTINGS) -> Column:
+    """The best outline in an array of them, null without one; ties go to the first strategy and contour."""
+    b = s.boundary
+    fair = lambda c: (c["area"] >= b.min_area * c["frame_area"]) & (area(c["pts"]) / c["frame_area"]).between(b.min_area, b.max_cover) & convex(c["pts"])
+    ranked = F.transform(F.filter(candidates, fair), lambda c: F.struct(score(c, s).alias("score"), (-c["strategy"]).alias("s"), (-c["nth"]).alias("n"), c["method"].alias("method"), c["pts"].alias("pts")))
+    return F.array_max(ranked)
+
+
 def choose(candidates: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """The best outline of each page from contours (page_id, strategy, nth, area, rect_area, frame_area, method, pts).
 
@@ -118,11 +145,15 @@ def choose(candidates: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("page_id", "strategy").orderBy(F.desc("area"), "nth"))
     c = candidates.withColumn("place", first).where(F.col("place") <= b.top).withColumn("coverage", area(F.col("pts")) / F.col("frame_area"))
     c = c.where((F.col("area") >= b.min_area * F.col("frame_area")) & F.col("coverage").between(b.min_area, b.max_cover) & convex(F.col("pts")))
-    full = F.when(F.col("rect_area") > 0, F.col("area") / F.col("rect_area")).otherwise(0.0)
-    c = c.withColumn("score", F.col("coverage") * (0.5 + 0.5 * full) * F.when(F.col("method") == "approx", 1.0).otherwise(b.rect_factor))
+    c = c.withColumn("score", score(F.struct("area", "rect_area", "frame_area", "method", "pts"), s))
     best = F.max_by(F.struct("strategy", "nth", "method", "score", "pts"), F.struct(F.col("score"), -F.col("strategy"), -F.col("place")))
     return c.groupBy("page_id").agg(best.alias("c")).select("page_id", "c.*")
 
 
 def detection_scale(h: Column, w: Column, s: Settings = SETTINGS) -> Column:
     return F.least(F.lit(1.0), s.ingest.detect_edge / F.greatest(h, w))
+
+
+def median_turn(lines: DataFrame, by: list[str], degrees: str = "degrees") -> DataFrame:
+    """The exact median of near-horizontal lines' turns, as `turn`; groups without such lines have none."""
+    return lines.where((F.col(degrees) > -45) & (F.col(degrees) < 45)).groupBy(*by).agg(F.percentile(degrees, 0.5).alias("turn"))

@@ -1,33 +1,80 @@
 """Page rasters as relations.
 
-A packed raster is a struct (height, width, nChannels, mode, data) as Spark's image source gives it, BGR by rows.  For
-statistics a page becomes scan lines: one row per line with its pixels in arrays.  Neighbours within a line are array
-elements, neighbours between lines come from lag and lead over the page's lines, so a stencil needs one sort by
-(page, line) and no join, and a page of any size is many small rows.
+A packed raster is a struct (height, width, nChannels, mode, data) as Spark's image source gives it, BGR by rows;
+`per_page` runs numpy over one after the other inside Arrow batches.  A page can become scan lines too: one row per line
+with its pixels in arrays.  Neighbours within a line are array elements, neighbours between lines come from lag and lead
+over the page's lines, so a stencil needs one sort by (page, line) and no join, and a page of any size is many small rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pageforge.functions import gray, saturation, value
 
 
+RASTER = "raster struct<height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+
+def unpacked(raster: dict | None) -> np.ndarray | None:
+    """[height, width, (b, g, r)] of a packed raster, None where it has no pixels; gray counts for all channels, alpha goes."""
+    if raster is None or not raster["height"] or not raster["width"] or raster["data"] is None:
+        return None
+    page = np.frombuffer(raster["data"], np.uint8).reshape(raster["height"], raster["width"], -1)
+    return np.repeat(page, 3, axis=2) if page.shape[2] == 1 else page[..., :3]
+
+
+def packed(page: np.ndarray) -> dict:
+    return {"height": page.shape[0], "width": page.shape[1], "nChannels": 3, "mode": 16, "data": page.tobytes()}
+
+
+def per_page(pages: DataFrame, run: Callable[[np.ndarray, dict], dict], adds: str, needs: tuple[str, ...] = (), empty: dict | None = None) -> DataFrame:
+    """Adds (or replaces) the columns `adds` by run(page, needed columns); rows without pixels get `empty`, else nulls."""
+    new = T._parse_datatype_string(adds)
+    kept = [f for f in pages.schema.fields if f.name not in new.fieldNames()]
+    arrow, names = to_arrow_schema(new), new.fieldNames()
+    wanted = ["raster", *needs]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in wanted}
+                page = unpacked(row["raster"])
+                if page is None:
+                    rows.append({"raster": row["raster"]} | (empty or {}))
+                else:
+                    rows.append(run(page, row))
+            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array([r.get(n) for r in rows], arrow.field(n).type) for n in names], [f.name for f in kept] + names)
+
+    return pages.mapInArrow(go, T.StructType([*kept, *new.fields]))
+
+
 def scan_lines(pages: DataFrame, raster: str = "raster", page_id: str = "page_id") -> DataFrame:
-    """page_id, y, h, w and the byte arrays b, g, r of every line of packed BGR rasters."""
-    r = F.col(raster)
-    lines = pages.select(F.col(page_id).alias("page_id"), r["height"].alias("h"), r["width"].alias("w"), r["nChannels"].alias("n"), r["data"].alias("data"))
-    lines = lines.where((F.col("h") > 0) & (F.col("w") > 0)).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-    lines = lines.withColumn("line", F.substring("data", F.col("y") * F.col("w") * F.col("n") + 1, F.col("w") * F.col("n")))
-    digits = F.hex("line")
-
-    def channel(k: Column) -> Column:
-        at = lambda x: F.conv(F.substring(digits, (x * F.col("n") + k) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.col("w") - 1), at)
-
-    last = F.col("n") - 1
-    return lines.select("page_id", "y", "h", "w", channel(F.lit(0)).alias("b"), channel(F.least(F.lit(1), last)).alias("g"), channel(F.least(F.lit(2), last)).alias("r"))
+    """page_id, y, h, w and the byte arrays b, g, r of every line of packed BGR rasters, some lines of a page at a time."""
+    kind = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                page = unpacked(batch.column("raster")[i].as_py())
+                for y in range(0, 0 if page is None else len(page), 256):
+                    part = page[y : y + 256].astype(np.int32)
+                    n, w = part.shape[:2]
+                    ends = pa.array(np.arange(n + 1, dtype=np.int32) * w)
+                    planes = [pa.ListArray.from_arrays(ends, part[..., k].ravel()).cast(kind) for k in range(3)]
+                    whole = lambda v: pa.array(np.full(n, v, np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column("page_id").take(whole(i)), pa.array(np.arange(y, y + n, dtype=np.int32)), whole(len(page)), whole(w), *planes], ["page_id", "y", "h", "w", "b", "g", "r"])
+
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(raster).alias("raster"))
+    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, y int, h int, w int, b array<int>, g array<int>, r array<int>")
 
 
 def pack(lines: DataFrame) -> DataFrame:

@@ -71,21 +71,25 @@ def moire(lines: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     return tiles.groupBy("page_id").agg(F.coalesce(F.max(F.when(fit, spread)), F.lit(0.0)).alias("moire"))
 
 
-def adaptive(measured: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+def adaptive_columns(s: Settings = SETTINGS) -> dict[str, Column]:
     """Denoising, sharpening and routing from the columns sigma and moire; decided on the values as measured, rounded after."""
     a, sigma, moire_ = s.adaptive, F.col("sigma"), F.col("moire")
     routed = moire_ >= a.moire
     mode = F.when(sigma < a.skip, "none").when(sigma < a.heavy, "bilateral").otherwise("nlm")
     color = F.when(sigma < a.skip, 0).when(sigma < a.light, a.light_color).when(sigma < a.heavy, a.strong_color).otherwise(0)
     amount = F.when(sigma < a.skip, a.amounts[0]).when(sigma < a.heavy, a.amounts[1]).otherwise(a.amounts[2])
-    return measured.select(
-        "page_id",
-        F.bround(sigma, 2).alias("noise_sigma"),
-        F.bround(moire_, 2).alias("moire_score"),
-        F.struct(mode.alias("mode"), color.alias("sigma_color")).alias("denoise"),
-        F.struct(F.when(routed, F.least(amount, F.lit(a.moire_amount))).otherwise(amount).alias("amount"), F.lit(a.radius).alias("radius")).alias("sharpen"),
-        routed.alias("route_demoire"),
-    )
+    return {
+        "noise_sigma": F.bround(sigma, 2),
+        "moire_score": F.bround(moire_, 2),
+        "denoise": F.struct(mode.alias("mode"), color.alias("sigma_color")),
+        "sharpen": F.struct(F.when(routed, F.least(amount, F.lit(a.moire_amount))).otherwise(amount).alias("amount"), F.lit(a.radius).alias("radius")),
+        "route_demoire": routed,
+    }
+
+
+def adaptive(measured: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """page_id and the columns of `adaptive_columns`."""
+    return measured.select("page_id", *[c.alias(n) for n, c in adaptive_columns(s).items()])
 
 
 def paper(lines: DataFrame, s: Settings = SETTINGS) -> DataFrame:

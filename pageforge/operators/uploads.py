@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS, Settings
 from pageforge.functions import python_strip
 
-# Signatures of the accepted formats, as hexadecimal bytes.
-PDF = "255044462D"
-JPEG = "FFD8FF"
-PNG = "89504E470D0A1A0A"
-HEIF = ("6674797068656963", "6674797068656978", "667479706D696631", "667479706865696D", "6674797068657663")
-END_OF_PDF = "2525454F46"
+# Signatures of the accepted formats.
+PDF = b"%PDF-"
+JPEG = b"\xff\xd8\xff"
+PNG = b"\x89PNG\r\n\x1a\n"
+HEIF = (b"ftypheic", b"ftypheix", b"ftypmif1", b"ftypheim", b"ftyphevc")
+END_OF_PDF = b"%%EOF"
 
 
 def kind_of(content: Column, mime: Column, s: Settings = SETTINGS) -> Column:
     """image, pdf or null: by the first bytes, else by a declared type that is allowed."""
-    start = F.hex(F.substring(content, 1, 12))
-    magic = F.when(start.startswith(PDF), "pdf").when(start.startswith(JPEG) | start.startswith(PNG) | F.substring(start, 9, 16).isin(*HEIF), "image")
+    starts = lambda mark: F.substring(content, 1, len(mark)) == F.lit(mark)
+    brand = reduce(or_, [F.substring(content, 5, 8) == F.lit(mark) for mark in HEIF])
+    magic = F.when(starts(PDF), "pdf").when(starts(JPEG) | starts(PNG) | brand, "image")
     declared = F.when(mime == "application/pdf", "pdf").when(mime.isin(*s.upload.mimes), "image")
     return F.coalesce(magic, declared)
 
 
 def has_pdf_end(content: Column) -> Column:
-    return F.coalesce(F.position(F.unhex(F.lit(END_OF_PDF)), content) > 0, F.lit(False))
+    return F.coalesce(F.position(F.lit(END_OF_PDF), content) > 0, F.lit(False))
 
 
 def validate(uploads: DataFrame, s: Settings = SETTINGS, width: str | None = None, height: str | None = None) -> DataFrame:

@@ -57,6 +57,7 @@ _EDITS = """ed as (select user_id as page_id, ts, event_id, cast(json_extract_st
 _STATE = """select page_id,
   cast(coalesce(sum(case when op = 'rotate' and n > coalesce(crop, 0) then 90 * (k % 4) end), 0) % 360 as int) as rotation,
   coalesce(arg_max(case when op = 'mode' then ['color', 'gray', 'bw'][k % 3 + 1] end, case when op = 'mode' then n end), 'color') as mode,
+  arg_max(case when op = 'recrop' then k / 400.0::double end, case when op = 'recrop' then n end) as inset,
   arg_max(case when op = 'demoire' then k % 2 = 1 end, case when op = 'demoire' then n end) as demoire,
   bool_or(op = 'delete') as deleted, cast(count(*) filter (op = 'export') as bigint) as n_exports, cast(count(*) as bigint) as n_edits
   from (select *, max(case when op = 'recrop' then n end) over (partition by page_id) as crop from {}) group by page_id"""
@@ -64,17 +65,21 @@ _CAT = """cat as (select md5(concat_ws('|', l_orderkey::bigint, l_linenumber::bi
   l_orderkey as session_id, cast(l_linenumber as int) as "order", l_returnflag = 'R' as deleted, l_linestatus = 'O' as passthrough,
   100 - cast(round(l_discount * 500) as int) as pct, l_shipdate as created_at from lineitem)"""
 
-ORACLES: dict[str, str] = {
-    "gate_tiles": f"""with {_GRAY64},
+_GATE = f"""with {_GRAY64},
 hx as (select *, coalesce(lag(v) over wx, lead(v) over wx) as l, coalesce(lead(v) over wx, lag(v) over wx) as r from px window wx as (partition by page_id, y order by x)),
 ds as (select page_id, x, y, v, r - l as d, l + 2 * v + r as s from hx),
 gs as (select page_id, x, y, v, coalesce(lag(d) over wy, lead(d) over wy) + 2 * d + coalesce(lead(d) over wy, lag(d) over wy) as gx, coalesce(lead(s) over wy, lag(s) over wy) - coalesce(lag(s) over wy, lead(s) over wy) as gy from ds window wy as (partition by page_id, x order by y)),
 tiles as (select page_id, y // 8 as ty, x // 8 as tx, avg(cast(gx * gx + gy * gy as double)) as m, avg((v >= 250)::int) as hot from gs group by all),
 ranked as (select *, row_number() over (partition by page_id order by m desc, ty, tx) as n from tiles),
 one as (select page_id, avg(m) filter (n <= 6) as sharpness, cast(count(*) filter (hot >= 0.6) as int) as glare_hot_tiles from ranked group by page_id)
-select page_id, round(sharpness, 6) as sharpness, glare_hot_tiles, 64 as long_edge,
+"""
+
+ORACLES: dict[str, str] = {
+    "gate_tiles": f"""{_GATE}select page_id, round(sharpness, 6) as sharpness, glare_hot_tiles, 64 as long_edge,
   concat_ws(',', case when sharpness < 500 then 'blur' end, case when glare_hot_tiles > 2 then 'glare' end, 'low_resolution') as flags, false as passed,
   round_even(1.0::double - 0.15::double * (1 + (sharpness < 500)::int + (glare_hot_tiles > 2)::int), 3) as confidence from one""",
+    "gate_lines": f"""{_GATE}select page_id, round(sharpness, 6) as sharpness, glare_hot_tiles, 64 as long_edge,
+  concat_ws(',', case when sharpness < 500 then 'blur' end, case when glare_hot_tiles > 2 then 'glare' end, 'low_resolution') as flags, false as passed from one""",
     "noise_sigma": f"with {_GRAY8} {_SIGMA} select page_id, round(sigma, 6) as sigma from noise",
     "moire_score": f"with {_COLOR64} {_LAB} {_MOIRE} select page_id, round(moire, 5) as moire from moire",
     "adaptive_params": f"""with {_NOISY8} {_SIGMA}, {_COLOR64.replace(_VEC + ',', '').replace('ev as', 'ev2 as').replace('from ev a join ev b', 'from ev2 a join ev2 b')} {_LAB} {_MOIRE}
@@ -85,14 +90,43 @@ select page_id, round(round_even(sigma, 2), 1) as noise_sigma, case when sigma <
     "paper_fraction": f"""with {_COLOR64}
 select page_id, round(avg((val > 200 and sat < 40)::int), 6) as clean_share, round(avg((val > 180 and sat < 45)::int), 6) as paper_share,
   avg((val > 200 and sat < 40)::int) > 0.75 as already_clean, avg((val > 180 and sat < 45)::int) >= 0.40 as document_like from hx group by page_id""",
-    "page_sanity": f"""with {_COLOR64}, n as (select page_id, (b + g + r) // 3 as m, count(*) as n from cx group by all)
-select page_id, 1.0::double as aspect, round(max(n) / sum(n)::double, 6) as uniform_frac, case when max(n) / sum(n)::double > 0.98 then 'mostly_uniform' else '' end as flags, max(n) / sum(n)::double <= 0.98 as passed from n group by page_id""",
+    "page_sanity": f"""with {_COLOR64}, n as (select page_id, (b + g + r) // 3 as m, count(*) as n from cx group by all),
+f as (select page_id, max(n) / sum(n)::double as share, page_id % 50 = 7 as blank from n group by page_id)
+select page_id, case when blank then 0.0::double else 1.0::double end as aspect, case when blank then 1.0::double else round(share, 6) end as uniform_frac,
+  case when blank then 'empty' when share > 0.98 then 'mostly_uniform' else '' end as flags, not blank and share <= 0.98 as passed from f""",
     "level_percentiles": f"with {_GRAY8} select page_id, round(quantile_cont(v, 0.04), 6) as lo, round(quantile_cont(v, 0.78), 6) as hi from px group by page_id",
     "level_stretch": f"""with {_GRAY64}, lv as (select page_id, quantile_cont(v, 0.04) as lo, quantile_cont(v, 0.78) as hi from px group by page_id),
 st as (select page_id, x, y, case when hi - lo < 1 then v else cast(floor(greatest(0.0, least(1.0, (v - lo) / (hi - lo))) * 223 + 32) as int) end as v from px join lv using (page_id))
 select page_id, cast(sum(v::bigint * (x + 1) * (y + 1)) as bigint) as weighted_sum, max(v) as top, min(v) as bottom from st group by page_id""",
     "edge_thresholds": f"""with {_GRAY64}, m as (select page_id, quantile_cont(v, 0.5) as median from px group by page_id)
 select page_id, median, cast(trunc(greatest(0.0, (1.0::double - 0.33::double) * median)) as int) as low, cast(trunc(least(255.0, (1.0::double + 0.33::double) * median)) as int) as high from m""",
+    "black_white": f"""with {_GRAY64}, pad as (select t.i, case when t.i < 0 then -t.i when t.i > 63 then 126 - t.i else t.i end as k from range(-12, 76) t(i)),
+wide as (select page_id, ay.i as y, ax.i as x, v::double as v from px join pad ay on px.y = ay.k join pad ax on px.x = ax.k),
+rows as (select page_id, y, x, v, sum(v) over w as s1, sum(v * v) over w as s2 from wide window w as (partition by page_id, y order by x rows between 12 preceding and 12 following)),
+sums as (select page_id, y, x, v, sum(s1) over w / 625 as m, sum(s2) over w / 625 as q from rows window w as (partition by page_id, x order by y rows between 12 preceding and 12 following)),
+white as (select page_id, y, x from sums where y between 0 and 63 and x between 0 and 63 and v > m * (1 + 0.2::double * (sqrt(greatest(0, q - m * m)) / 127.5::double - 1)))
+select page_id, cast(count(y) as bigint) as white, cast(coalesce(sum((y + 1) * (x + 1)), 0) as bigint) as weighted_sum from v0 left join white using (page_id) group by page_id""",
+    "background_close": f"""with {_GRAY8},
+d as (select page_id, y, x, greatest(v, lag(v) over wx, lead(v) over wx, lag(v) over wy, lead(v) over wy) as v from px window wx as (partition by page_id, y order by x), wy as (partition by page_id, x order by y)),
+e as (select page_id, y, x, least(v, lag(v) over wx, lead(v) over wx, lag(v) over wy, lead(v) over wy) as v from d window wx as (partition by page_id, y order by x), wy as (partition by page_id, x order by y))
+select page_id, cast(sum(v * (y + 1) * (x + 1)) as bigint) as weighted_sum from e group by page_id""",
+    "corner_heat": f"""with recursive {_GRAY8}, hot as (select page_id, y, x from px where v >= 160),
+reach as (select page_id, y, x, y * 8 + x as root from hot union select h.page_id, h.y, h.x, r.root from reach r join hot h on h.page_id = r.page_id and abs(h.y - r.y) <= 1 and abs(h.x - r.x) <= 1),
+own as (select page_id, y, x, min(root) as root from reach group by all),
+blobs as (select page_id, root, count(*) as n, avg(x) as cx, avg(y) as cy from own group by all),
+best as (select *, row_number() over (partition by page_id order by n desc, root) as k from blobs)
+select v0.page_id, round(cx, 6) as x, round(cy, 6) as y from v0 left join (select * from best where k = 1) using (page_id)""",
+    "model_corners": f"""with {_QUADS},
+mp as (select page_id, case when page_id % 5 = 0 and k = 2 then 420.0::double else x end as x, case when page_id % 5 = 0 and k = 2 then 430.0::double else y end as y from rect),
+mc as (select *, atan2(y - avg(y) over (partition by page_id), x - avg(x) over (partition by page_id)) as a from mp),
+mr as (select page_id, x, y, row_number() over (partition by page_id order by a) as k from mc),
+m2 as (select a.page_id, a.x, a.y, b.x as nx, b.y as ny, c.x as ox, c.y as oy from mr a join mr b on a.page_id = b.page_id and b.k = a.k % 4 + 1 join mr c on a.page_id = c.page_id and c.k = (a.k + 1) % 4 + 1)
+select page_id, abs(sum(x * ny - nx * y)) / 2 / 1000000.0 between 0.18 and 0.985 and bool_and((nx - x) * (oy - ny) - (ny - y) * (ox - nx) > 0) as plausible from m2 group by page_id""",
+    "warp_coordinates": f"""with {_QUADS},
+c as (select page_id, max(x) filter (k = 0) as x0, max(y) filter (k = 0) as y0, max(x) filter (k = 1) as x1, max(y) filter (k = 1) as y1, max(x) filter (k = 2) as x2, max(y) filter (k = 2) as y2, max(x) filter (k = 3) as x3, max(y) filter (k = 3) as y3 from rect group by page_id),
+t as (select *, ((x1 - x0) * (y3 - y1) - (y1 - y0) * (x3 - x1)) / ((x2 - x0) * (y3 - y1) - (y2 - y0) * (x3 - x1)) as t from c)
+select page_id, round(x0 + t * (x2 - x0), 4) as x, round(y0 + t * (y2 - y0), 4) as y from t""",
+    "moire_borders": "with s as (select p_partkey, (32 - (p_size * 10 + p_partkey % 7) % 32) % 32 as spare from part) select p_partkey, cast(spare // 2 as int) as before, cast(spare - spare // 2 as int) as after from s",
     "chroma_gate": f"""with {_COLOR64} {_LAB},
 g as (select page_id, la - 128.0::double as da, lbb - 128.0::double as db, greatest(0.0, least(1.0, (sqrt((la - 128.0::double) * (la - 128.0::double) + (lbb - 128.0::double) * (lbb - 128.0::double)) - 12.0::double) / 18.0::double)) as s from ab),
 o as (select page_id, cast(floor(128.0::double + da * s) as int) as a, cast(floor(128.0::double + db * s) as int) as b from g)
@@ -116,10 +150,10 @@ g as (select *, cover * (0.5 + 0.5 * a / ra) * (case when method = 'approx' then
 select page_id, cast(strategy as int) as strategy, cast(nth as int) as nth, method, round(score, 6) as score from (select *, row_number() over (partition by page_id order by score desc, strategy, place) as n from g) where n = 1""",
     "page_decisions": f"""with {_QUADS} {_JUDGED}, {_NOISY8.replace(_VEC + ',', '')} {_SIGMA},
 d as (select page_id, page_id as i, case when page_id % 3 = 0 then 'blur' when page_id % 7 = 0 then 'blur,glare' else '' end as gf, case when page_id % 3 = 0 then 1 when page_id % 7 = 0 then 2 else 0 end as ng,
-  page_id % 11 = 0 as forced, page_id % 5 = 0 as clean, page_id % 4 <> 0 and page_id % 5 <> 0 as quad, page_id % 3 as meth, coverage >= 0.92 and skew < 2.0 as skip, plausible as ok,
+  page_id % 11 = 0 as forced, page_id % 5 = 0 as clean, page_id % 4 <> 0 and page_id % 5 <> 0 and (plausible or page_id % 3 = 2) as quad, page_id % 3 as meth, coverage >= 0.92 and skew < 2.0 as skip, plausible as ok,
   round(sigma, 2) >= 9 as noisy, case when page_id % 6 = 0 then true when page_id % 6 = 1 then false else page_id % 13 = 0 end as routed, page_id % 17 = 0 as bad from judged join noise using (page_id)),
 t as (select *, not forced and not quad and not clean as missing, not forced and quad and not skip and not ok as unsure, forced or (quad and not skip and ok) as warped, not forced and quad and not skip and ok and meth = 1 as approx from d)
-select page_id, case when warped then 'warp' else 'deskew' end as step, (case when not warped then null when forced then 0.0 when meth = 2 then 0.02 else 0.05 end)::double as margin, routed,
+select page_id, case when warped then 'warp' else 'deskew' end as step, (case when not warped then null when forced then 0.0 when meth = 2 then 0.02 else 0.05 end)::double as margin, not forced and quad as keeps_quad, routed,
   concat_ws(',', nullif(gf, ''), case when missing then 'boundary_not_found' end, case when unsure then 'geometry_uncertain' end, case when approx then 'approx_crop' end, case when noisy then 'noisy' end, case when routed then 'screen_moire' end, case when bad then 'sanity_mostly_uniform' end) as flags,
   round_even(greatest(0.0, 1.0::double - 0.15::double * ng - 0.25::double * missing::int - 0.30::double * unsure::int - 0.10::double * approx::int - 0.30::double * bad::int), 3) as confidence from t""",
     "upload_validate": """with u as (select 'p' || page_id as name, 'text/html' as mime, encode(html) as content from pages
@@ -132,9 +166,9 @@ select name, length, kind, case when length = 0 then 'empty file' when kind is n
     "born_digital": r"select doc_id, coalesce(length(regexp_replace(text, '^[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')) >= 30, false) as born_digital from documents",
     "page_order": "select conv_id as session_id, turn % 3 as upload, turn as page, cast(row_number() over (partition by conv_id order by turn % 3, turn) - 1 as int) as \"order\" from conversations",
     "page_rotation": f"with {_EDITS} select page_id, rotation from ({_STATE.format('ed')})",
-    "page_state": f"with {_EDITS} select page_id, mode, demoire, deleted, n_exports, n_edits from ({_STATE.format('ed')})",
+    "page_state": f"with {_EDITS} select page_id, round(inset, 6) as inset, mode, demoire, deleted, n_exports, n_edits from ({_STATE.format('ed')})",
     "changed_pages": f"""with {_EDITS}, early as (select * from ed where event_id <= (select max(event_id) / 2 from events)), a as ({_STATE.format('ed')}), b as ({_STATE.format('early')})
-select a.page_id from a left join b on a.page_id = b.page_id and a.rotation = b.rotation and a.mode = b.mode and a.demoire is not distinct from b.demoire where b.page_id is null""",
+select a.page_id from a left join b on a.page_id = b.page_id and a.rotation = b.rotation and a.mode = b.mode and a.demoire is not distinct from b.demoire and a.inset is not distinct from b.inset where b.page_id is null""",
     "export_metrics": f"with {_CAT} select session_id, cast(count(*) as bigint) as pages, round_even(sum(pct) / (100.0::double * count(*)), 3) as mean_confidence, cast(count(*) filter (pct < 60) as bigint) as low_pages from cat where not deleted group by session_id",
     "live_pages": f"with {_CAT} select id, session_id, \"order\", cast(row_number() over (partition by session_id order by \"order\", id) as int) as place, pct / 100.0::double < 0.6 as low_confidence, passthrough, '/api/scans/' || session_id || '/pages/' || id || '/preview' as preview from cat where not deleted",
     "scan_pages": f"""with {_CAT}, l as (select session_id, count(*) as n, string_agg("order" || ':' || id, ',' order by "order", id, pct) as pages from cat where not deleted group by session_id)
@@ -147,5 +181,13 @@ select one.id, one.session_id, cast(coalesce(pos, "order") as int) as "order" fr
 e as (select *, ['recrop', 'rotate', 'mode', 'demoire'][n % 4 + 1] as op, (n % 8) * 45 as degrees, ['color', 'gray', 'bw', 'sepia'][(n // 16) % 4 + 1] as mode, (n // 4) % 3 + 3 as corners from one)
 select op, case when deleted then 'page not found' when passthrough and op in ('recrop', 'mode', 'demoire') then 'page passes through' when op = 'recrop' and corners <> 4 then 'four corners needed'
   when op = 'rotate' and degrees % 90 <> 0 then 'degrees must be a multiple of 90' when op = 'mode' and mode = 'sepia' then 'unknown mode' else '' end as error, cast(count(*) as bigint) as n from e group by all""",
-    "low_confidence_pages": f"with {_CAT} select passthrough, cast(count(*) filter (pct < 80) as bigint) as below_08, cast(count(*) as bigint) as pages from cat where not deleted group by passthrough",
+    "low_confidence_pages": f"with {_CAT} select passthrough, cast(count(*) filter (pct < 60) as bigint) as low, cast(count(*) as bigint) as pages from cat where not deleted group by passthrough",
+    "image_lookup": f"""with {_CAT}, one as (select distinct id, session_id, deleted, ('0x' || substr(id, 1, 2))::int as n from cat)
+select id, case when n % 2 = 0 then 'originals/' else 'processed/' end || id || '.png' as ref from one where not deleted and n % 3 <> 0""",
+    "export_handoff": f"with {_CAT} select session_id, 'pdfs/' || session_id || '.pdf' as ref, cast(count(*) as bigint) as pages, round_even(sum(pct) / (100.0::double * count(*)), 3) as mean_confidence from cat where not deleted group by session_id",
+    "created_pages": f"""with {_CAT}, one as (select distinct id, session_id, "order", passthrough, pct from cat)
+select id, session_id, "order", case when not passthrough then 'processed/' || id end as processed_ref, passthrough, case when passthrough then 1.0::double else pct / 100.0::double end as confidence,
+  case when passthrough then 'born_digital' else 'blur' end as flags, case when passthrough then 'passthrough' else 'auto' end as ops, 0 as rotation, 'color' as mode, false as deleted
+from one where session_id in (select o_orderkey from orders where o_orderkey % 2 = 0)""",
+    "line_turn": "with e as (select label, unnest(embedding)::double * 90.0::double as d from embeddings) select label, round(quantile_cont(d, 0.5), 6) as turn from e where d > -45 and d < 45 group by label",
 }

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS
 from pageforge.functions import lab
-from pageforge.operators import catalog, geometry, rasters, score, stats, uploads
+from pageforge.kernels import filters, light, outline, warp
+from pageforge.operators import catalog, geometry, pages, rasters, score, stats, uploads
 from pageforge.plans.oracles import ORACLES
 from pageforge.sources import fixtures
 
@@ -28,10 +31,17 @@ def r(c: str, n: int = 6):
 @query
 def gate_tiles(spark, sf_dir):
     """Sharpness and glare by tiles, flags, confidence: the flagship."""
-    g = stats.gate(fixtures.gray64(spark, sf_dir))
+    g = pages.gate(fixtures.rasters64(spark, sf_dir))
     no = F.lit(False)
-    conf = score.confidence(F.col("flags"), no, no, no, F.lit(True))
-    return g.select("page_id", r("sharpness"), "glare_hot_tiles", "long_edge", F.array_join("flags", ",").alias("flags"), "passed", conf.alias("confidence"))
+    conf = score.confidence(F.col("gate_flags"), no, no, no, F.lit(True))
+    return g.select("page_id", r("sharpness"), "glare_hot_tiles", "long_edge", F.array_join("gate_flags", ",").alias("flags"), "passed", conf.alias("confidence"))
+
+
+@query
+def gate_lines(spark, sf_dir):
+    """The same measures over scan lines, by windows and aggregates instead of arrays."""
+    g = stats.gate(fixtures.gray64(spark, sf_dir))
+    return g.select("page_id", r("sharpness"), "glare_hot_tiles", "long_edge", F.array_join("flags", ",").alias("flags"), "passed")
 
 
 @query
@@ -42,38 +52,43 @@ def noise_sigma(spark, sf_dir):
 @query
 def adaptive_params(spark, sf_dir):
     noise = stats.noise_sigma(fixtures.gray8(spark, sf_dir, noisy=True))
-    found = stats.adaptive(noise.join(stats.moire(fixtures.color64(spark, sf_dir)), "page_id"))
+    found = stats.adaptive(noise.join(pages.measure(fixtures.rasters64(spark, sf_dir, color=True)).select("page_id", "moire"), "page_id"))
     return found.select("page_id", r("noise_sigma", 1), F.col("denoise.mode").alias("denoise"), F.col("denoise.sigma_color").alias("sigma_color"), F.col("sharpen.amount").alias("amount"), F.col("sharpen.radius").alias("radius"), "route_demoire")
 
 
 @query
 def moire_score(spark, sf_dir):
-    return stats.moire(fixtures.color64(spark, sf_dir)).select("page_id", r("moire", 5))
+    return pages.measure(fixtures.rasters64(spark, sf_dir, color=True)).select("page_id", r("moire", 5))
 
 
 @query
 def paper_fraction(spark, sf_dir):
-    return stats.paper(fixtures.color64(spark, sf_dir)).select("page_id", r("clean_share"), r("paper_share"), "already_clean", "document_like")
+    return pages.paper(fixtures.rasters64(spark, sf_dir, color=True)).select("page_id", r("clean_share"), r("paper_share"), "already_clean", "document_like")
 
 
 @query
 def page_sanity(spark, sf_dir):
-    found = stats.sanity(fixtures.color64(spark, sf_dir))
+    blank = F.when(F.col("page_id") % 50 == 7, F.struct(F.lit(0).alias("height"), F.lit(64).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.lit(b"").alias("data"))).otherwise(F.col("raster"))
+    found = pages.sanity(fixtures.rasters64(spark, sf_dir, color=True).withColumn("raster", blank))
     return found.select("page_id", r("aspect"), r("uniform_frac"), F.array_join("flags", ",").alias("flags"), "passed")
 
 
 @query
 def level_percentiles(spark, sf_dir):
-    low, high, _ = SETTINGS.light.document
+    low, high, *_ = SETTINGS.light.document
     return stats.levels(fixtures.gray8(spark, sf_dir), low, high).select("page_id", r("lo"), r("hi"))
 
 
 @query
 def level_stretch(spark, sf_dir):
     """Stretched pages, as the sum of their pixels weighted by place."""
-    out = stats.stretch(fixtures.gray64(spark, sf_dir), *SETTINGS.light.document)
-    row = F.aggregate(F.transform("v", lambda v, x: v.cast("long") * (x + 1) * (F.col("y") + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return out.withColumn("row", row).groupBy("page_id").agg(F.sum("row").alias("weighted_sum"), F.max(F.array_max("v")).alias("top"), F.min(F.array_min("v")).alias("bottom"))
+    low, high, floor, gamma, _ = SETTINGS.light.document
+
+    def run(page, _):
+        out = light.stretched(page[..., 0], low, high, floor, gamma).astype(np.int64)
+        return {"weighted_sum": int((out * np.outer(np.arange(1, len(out) + 1), np.arange(1, out.shape[1] + 1))).sum()), "top": int(out.max()), "bottom": int(out.min())}
+
+    return pages.per_page(fixtures.rasters64(spark, sf_dir), run, "weighted_sum long, top int, bottom int").drop("raster")
 
 
 @query
@@ -81,6 +96,84 @@ def edge_thresholds(spark, sf_dir):
     return stats.edge_thresholds(fixtures.gray64(spark, sf_dir))
 
 
+@query
+def clean_pages(spark, sf_dir):
+    """The whole way of small colour pages; its stages have queries of their own with SQL, the whole has tests."""
+    done = pages.process(fixtures.rasters64(spark, sf_dir, color=True))
+    return done.select("page_id", F.col("raster.height").alias("height"), F.col("raster.width").alias("width"), F.array_join("flags", ",").alias("flags"), "confidence", "noise_sigma", "moire_score", "routed")
+
+
+@query
+def black_white(spark, sf_dir):
+    """Pages of 64 by 64 in black and white: white pixels, and their sum weighted by place."""
+
+    def run(page, _):
+        white = light.in_mode(page, "bw")[..., 0].astype(np.int64) // 255
+        return {"white": int(white.sum()), "weighted_sum": int((white * np.outer(np.arange(1, len(white) + 1), np.arange(1, white.shape[1] + 1))).sum())}
+
+    return pages.per_page(fixtures.rasters64(spark, sf_dir), run, "white long, weighted_sum long").drop("raster")
+
+
+@query
+def background_close(spark, sf_dir):
+    """Marks closed on pages of 8 by 8 by a disc of 3 by 3 (a cross), added up by place."""
+
+    def run(page, _):
+        out = filters.close_ellipse(page[..., 0], 3).astype(np.int64)
+        return {"weighted_sum": int((out * np.outer(np.arange(1, 9), np.arange(1, 9))).sum())}
+
+    return pages.per_page(fixtures.rasters8(spark, sf_dir), run, "weighted_sum long").drop("raster")
+
+
+@query
+def corner_heat(spark, sf_dir):
+    """Centres of the largest hot region in heat of 8 by 8 for each vector."""
+
+    def run(page, _):
+        spot = outline.blob_center(page[..., 0], 160)
+        return {"x": spot[0], "y": spot[1]} if spot else {}
+
+    return pages.per_page(fixtures.rasters8(spark, sf_dir), run, "x double, y double").select("page_id", r("x"), r("y"))
+
+
+@query
+def model_corners(spark, sf_dir):
+    """Whether corners are what a model may give: those of the outlines, every fifth page with one corner drawn inwards."""
+    q = fixtures.quads(spark, sf_dir).withColumn("rect", geometry.ordered(F.col("pts")))
+    inner = F.struct(F.lit(420.0).alias("x"), F.lit(430.0).alias("y"))
+    pts = F.transform("rect", lambda p, i: F.when((F.col("page_id") % 5 == 0) & (i == 2), inner).otherwise(p))
+    return q.select("page_id", geometry.model_plausible(pts, F.col("w"), F.col("h")).alias("plausible"))
+
+
+@query
+def warp_coordinates(spark, sf_dir):
+    """Where the middle of each warped page comes from: the crossing of its diagonals."""
+
+    def points(batches):
+        for b in batches:
+            rows = []
+            for pts, size in zip(b.column("rect").to_pylist(), b.column("size").to_pylist()):
+                w, h = size["w"], size["h"]
+                m = warp.homography(np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float), np.array([[p["x"], p["y"]] for p in pts]))
+                x, y, z = m @ ((w - 1) / 2, (h - 1) / 2, 1)
+                rows.append((x / z, y / z))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array([p[k] for p in rows], pa.float64()) for k in (0, 1))], ["page_id", "x", "y"])
+
+    q = fixtures.quads(spark, sf_dir).withColumn("rect", geometry.ordered(F.col("pts"))).withColumn("size", geometry.warp_size(F.col("rect")))
+    q = q.select("page_id", "rect", "size").mapInArrow(points, "page_id long, x double, y double")
+    return q.select("page_id", r("x", 4), r("y", 4))
+
+
+@query
+def moire_borders(spark, sf_dir):
+    """Pixels before and after that bring sizes to multiples of 32."""
+    from pageforge.kernels.model import STEP
+
+    size = F.col("p_size") * 10 + F.col("p_partkey") % 7
+    spare = F.pmod(-size, F.lit(STEP))
+    return fixtures.table(spark, sf_dir, "part").select("p_partkey", F.floor(spare / 2).cast("int").alias("before"), (spare - F.floor(spare / 2)).cast("int").alias("after"))
+
+
 @query
 def chroma_gate(spark, sf_dir):
     """Chroma of each page after the gate, added up; whether any colour is left."""
@@ -104,13 +197,9 @@ def page_grays(spark, sf_dir):
 @query
 def rotate_pages(spark, sf_dir):
     """Quarter turns clockwise of gray pages, as sums weighted by place; every page by its id modulo 4 turns."""
-    lines = fixtures.gray8(spark, sf_dir)
-    px = lines.select("page_id", "y", "h", "w", F.posexplode("v").alias("x", "v"))
-    turns = F.col("page_id") % 4
-    y = F.when(turns == 0, F.col("y")).when(turns == 1, F.col("x")).when(turns == 2, F.col("h") - 1 - F.col("y")).otherwise(F.col("w") - 1 - F.col("x"))
-    x = F.when(turns == 0, F.col("x")).when(turns == 1, F.col("h") - 1 - F.col("y")).when(turns == 2, F.col("w") - 1 - F.col("x")).otherwise(F.col("y"))
-    moved = px.select("page_id", y.alias("ny"), x.alias("nx"), "v")
-    return moved.groupBy("page_id").agg(F.sum((F.col("ny") * 8 + F.col("nx") + 1).cast("long") * F.col("v")).alias("weighted_sum"))
+    turned = pages.rotated(fixtures.rasters8(spark, sf_dir), (90 * (F.col("page_id") % 4)).cast("int"))
+    run = lambda page, _: {"weighted_sum": int((page[..., 0].astype(np.int64).ravel() * np.arange(1, 65)).sum())}
+    return pages.per_page(turned, run, "weighted_sum long").drop("raster")
 
 
 @query
@@ -169,18 +258,17 @@ def page_decisions(spark, sf_dir):
     q = q.select(
         "page_id",
         F.when(i % 3 == 0, F.array(F.lit("blur"))).when(i % 7 == 0, F.array(F.lit("blur"), F.lit("glare"))).otherwise(F.array().cast("array<string>")).alias("gate_flags"),
-        (i % 11 == 0).alias("forced"),
+        F.when(i % 11 == 0, F.col("rect")).alias("forced"),
         (i % 5 == 0).alias("clean"),
         F.when(i % 4 != 0, F.col("rect")).alias("quad"),
         F.when(i % 3 == 1, "rect").when(i % 3 == 2, "model").otherwise("approx").alias("method"),
         "skip_warp",
         "plausible",
         F.round("sigma", 2).alias("noise_sigma"),
-        (i % 13 == 0).alias("route_demoire"),
-        F.when(i % 6 == 0, F.lit(True)).when(i % 6 == 1, F.lit(False)).alias("demoire"),
+        F.coalesce(F.when(i % 6 == 0, F.lit(True)).when(i % 6 == 1, F.lit(False)), i % 13 == 0).alias("routed"),
         F.when(i % 17 == 0, F.array(F.lit("mostly_uniform"))).otherwise(F.array().cast("array<string>")).alias("sanity_flags"),
     )
-    return score.decide(q).select("page_id", "step", "margin", "routed", F.array_join("flags", ",").alias("flags"), "confidence")
+    return score.decide(score.route(q)).select("page_id", "step", "margin", F.col("kept_quad").isNotNull().alias("keeps_quad"), "routed", F.array_join("flags", ",").alias("flags"), "confidence")
 
 
 @query
@@ -213,7 +301,8 @@ def page_rotation(spark, sf_dir):
 
 @query
 def page_state(spark, sf_dir):
-    return catalog.page_state(fixtures.edits(spark, sf_dir)).select("page_id", "mode", "demoire", "deleted", "n_exports", "n_edits")
+    inset = F.round(F.col("corners")[0][0], 6).alias("inset")
+    return catalog.page_state(fixtures.edits(spark, sf_dir)).select("page_id", inset, "mode", "demoire", "deleted", "n_exports", "n_edits")
 
 
 @query
@@ -282,5 +371,38 @@ def edit_errors(spark, sf_dir):
 
 @query
 def low_confidence_pages(spark, sf_dir):
-    p = fixtures.catalogue(spark, sf_dir).where(~F.col("deleted"))
-    return p.groupBy("passthrough").agg(F.count_if(F.col("confidence_pct") < 60 + 20).alias("below_08"), F.count("*").alias("pages"))
+    return catalog.low_confidence_count(fixtures.catalogue(spark, sf_dir), ["passthrough"])
+
+
+@query
+def image_lookup(spark, sf_dir):
+    """References of the images of live pages, asked for by session and page; every third page by a wrong session."""
+    p = fixtures.catalogue(spark, sf_dir).dropDuplicates(["id"])
+    p = p.withColumns({"original_ref": F.concat(F.lit("originals/"), F.col("id"), F.lit(".png")), "processed_ref": F.concat(F.lit("processed/"), F.col("id"), F.lit(".png"))})
+    n = F.conv(F.substring("id", 1, 2), 16, 10).cast("int")
+    asked = p.select((F.col("session_id") + F.when(n % 3 == 0, 1).otherwise(0)).alias("session_id"), "id", (n % 2 == 0).alias("original"))
+    return catalog.page_images(p, asked).select("id", "ref")
+
+
+@query
+def export_handoff(spark, sf_dir):
+    p = fixtures.catalogue(spark, sf_dir)
+    exports = p.where("not deleted").select("session_id").distinct().withColumn("ref", F.concat(F.lit("pdfs/"), F.col("session_id").cast("string"), F.lit(".pdf")))
+    return catalog.handoff(exports, p)
+
+
+@query
+def created_pages(spark, sf_dir):
+    """Rows of the page table from processed and from passing pages of sessions that exist."""
+    p = fixtures.catalogue(spark, sf_dir).dropDuplicates(["id"])
+    sessions = fixtures.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("session_id"))
+    made = p.where("not passthrough").select("id", "session_id", "order", F.concat(F.lit("processed/"), F.col("id")).alias("processed_ref"), (F.col("confidence_pct") / 100.0).alias("confidence"), F.array(F.lit("blur")).alias("flags"))
+    out = catalog.create_pages(sessions, made, p.where("passthrough").select("id", "session_id", "order"))
+    return out.select("id", "session_id", "order", "processed_ref", "passthrough", "confidence", F.array_join("gate_flags", ",").alias("flags"), F.array_join("ops", ",").alias("ops"), "rotation", "mode", "deleted")
+
+
+@query
+def line_turn(spark, sf_dir):
+    """The median turn of each label's lines; lines are the vectors' numbers as degrees."""
+    e = fixtures.table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x")).select("label", (F.col("x").cast("double") * 90.0).alias("degrees"))
+    return geometry.median_turn(e, ["label"]).select("label", r("turn"))

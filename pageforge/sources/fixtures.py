@@ -5,10 +5,17 @@ They prove decisions and arithmetic, not image quality.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pageforge.functions import clip
+from pageforge.operators.rasters import RASTER, packed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +35,38 @@ def gray64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "y", F.lit(64).alias("h"), F.lit(64).alias("w"), v.alias("v"))
 
 
+def rasters64(spark: SparkSession, sf_dir: str, color: bool = False) -> DataFrame:
+    """page_id and packed raster of the pages of `gray64` or `color64`."""
+
+    def pixels(page_id: int, label: int, e: np.ndarray) -> np.ndarray:
+        down, across = e[:, None], e[None, :]
+        if color:
+            base, tint = 172 + 8 * label, 4 * (1 + page_id % 12)
+            planes = (base + tint * down + 0 * across, base + tint * across + 0 * down, base + 4 + tint * (across + down) / 2)
+        else:
+            planes = (28 * label + 10 + 5 * (1 + page_id % 8) * (down + across),) * 3
+        return np.stack(planes, 2)
+
+    return _painted(spark, sf_dir, pixels)
+
+
+def rasters8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and packed raster of the pages of `gray8`."""
+    return _painted(spark, sf_dir, lambda _, __, e: np.repeat((e.reshape(8, 8, 1) + 0.6) * 212.5, 3, 2))
+
+
+def _painted(spark: SparkSession, sf_dir: str, pixels: Callable[[int, int, np.ndarray], np.ndarray]) -> DataFrame:
+    kind = to_arrow_schema(T._parse_datatype_string(RASTER)).field("raster").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column("page_id").to_pylist(), b.column("label").to_pylist(), b.column("e").to_pylist())
+            pages = [packed(np.clip(np.floor(pixels(i, label, np.array(e))), 0, 255).astype(np.uint8)) for i, label, e in rows]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(pages, kind)], ["page_id", "raster"])
+
+    return _vectors(spark, sf_dir).select("page_id", "label", "e").mapInArrow(run, f"page_id long, {RASTER}")
+
+
 def gray8(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
     """Scan lines of a gray page of 8 by 8 for each vector; `noisy` pages differ in strength, so that every branch occurs."""
     rows = _vectors(spark, sf_dir).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(7))))
@@ -65,12 +104,22 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edit log: page_id, at, seq, op, k."""
+    """The edit log: page_id, at, seq, op, degrees, mode, on, corners; all arguments come from one number of the event."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     kind = F.col("event_type")
     op = F.when(kind == "click", "recrop").when(kind == "view", "rotate").when(kind == "error", "demoire").when(kind == "signup", "mode").when(k == 0, "delete").otherwise("export")
-    return e.select(F.col("user_id").alias("page_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), op.alias("op"), k.alias("k"))
+    near, far = k / 400.0, 1.0 - k / 400.0
+    return e.select(
+        F.col("user_id").alias("page_id"),
+        F.col("ts").alias("at"),
+        F.col("event_id").alias("seq"),
+        op.alias("op"),
+        (90 * (k % 4)).cast("int").alias("degrees"),
+        F.element_at(F.array(F.lit("color"), F.lit("gray"), F.lit("bw")), (k % 3 + 1).cast("int")).alias("mode"),
+        (k % 2 == 1).alias("on"),
+        F.array(F.array(near, near), F.array(far, near), F.array(far, far), F.array(near, far)).alias("corners"),
+    )
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

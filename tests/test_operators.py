@@ -72,16 +72,44 @@ def test_edit_fold_matches_python(spark):
     import random
 
     random.seed(4)
-    log = [(p, i, i, random.choice(["rotate", "recrop", "mode", "demoire", "delete"]), random.randint(0, 9)) for p in range(5) for i in range(12)]
-    got = {r["page_id"]: r for r in catalog.page_state(spark.createDataFrame(log, "page_id long, at long, seq long, op string, k long")).collect()}
+    some = lambda: {"degrees": 90 * random.randint(-4, 9), "mode": random.choice(catalog.MODES), "on": random.random() < 0.5, "corners": [[random.random()] * 2] * 4}
+    log = [{"page_id": p, "at": i, "seq": i, "op": random.choice(["rotate", "recrop", "mode", "demoire", "delete"])} | some() for p in range(5) for i in range(12)]
+    schema = "page_id long, at long, seq long, op string, degrees int, mode string, `on` boolean, corners array<array<double>>"
+    got = {r["page_id"]: r for r in catalog.page_state(spark.createDataFrame(log, schema)).collect()}
     for p in range(5):
-        turn, mode, wish, gone = 0, "color", None, False
-        for _, _, _, op, k in (e for e in log if e[0] == p):
-            turn = 0 if op == "recrop" else (turn + 90 * (k % 4)) % 360 if op == "rotate" else turn
-            mode = catalog.MODES[k % 3] if op == "mode" else mode
-            wish = k % 2 == 1 if op == "demoire" else wish
-            gone = gone or op == "delete"
-        assert (got[p]["rotation"], got[p]["mode"], got[p]["demoire"], got[p]["deleted"]) == (turn, mode, wish, gone)
+        turn, mode, wish, gone, corners = 0, "color", None, False, None
+        for e in (e for e in log if e["page_id"] == p):
+            turn = 0 if e["op"] == "recrop" else (turn + e["degrees"]) % 360 if e["op"] == "rotate" else turn
+            corners = e["corners"] if e["op"] == "recrop" else corners
+            mode = e["mode"] if e["op"] == "mode" else mode
+            wish = e["on"] if e["op"] == "demoire" else wish
+            gone = gone or e["op"] == "delete"
+        assert (got[p]["rotation"], got[p]["mode"], got[p]["demoire"], got[p]["deleted"], got[p]["corners"]) == (turn, mode, wish, gone, corners)
+
+
+def test_a_recrop_alone_is_computed_again(spark):
+    schema = "page_id long, at long, seq long, op string, degrees int, mode string, `on` boolean, corners array<array<double>>"
+    square = lambda a: [[a, a], [1 - a, a], [1 - a, 1 - a], [a, 1 - a]]
+    log = spark.createDataFrame([(1, 1, 1, "mode", None, "bw", None, None), (2, 1, 2, "mode", None, "bw", None, None), (1, 2, 3, "recrop", None, None, None, square(0.1)), (2, 2, 4, "export", None, None, None, None)], schema)
+    before, after = catalog.page_state(log.where("seq < 3")), catalog.page_state(log)
+    assert [r["page_id"] for r in catalog.to_recompute(before, after).collect()] == [1]
+
+
+@pytest.mark.parametrize("method,skip,plausible,want", [
+    # an implausible outline that no model found counts as none, also where it fills the frame
+    ("approx", False, False, ("deskew", None, ["boundary_not_found"], 0.75, False)),
+    ("rect", True, False, ("deskew", None, ["boundary_not_found"], 0.75, False)),
+    ("approx", True, True, ("deskew", None, [], 1.0, True)),
+    ("rect", False, True, ("warp", 0.05, ["approx_crop"], 0.9, True)),
+    ("model", False, False, ("deskew", None, ["geometry_uncertain"], 0.7, True)),
+    ("model", True, False, ("deskew", None, [], 1.0, True)),
+    ("model", False, True, ("warp", 0.02, [], 1.0, True)),
+    (None, None, None, ("deskew", None, ["boundary_not_found"], 0.75, False)),
+])
+def test_decisions(spark, method, skip, plausible, want):
+    rows = spark.createDataFrame([(None, False, [1] if method else None, method, skip, plausible, [], 0.0, False, [])], "forced array<int>, clean boolean, quad array<int>, method string, skip_warp boolean, plausible boolean, gate_flags array<string>, noise_sigma double, routed boolean, sanity_flags array<string>")
+    r = score.decide(score.route(rows)).first()
+    assert (r["step"], r["margin"], r["flags"], r["confidence"], r["kept_quad"] is not None) == want
 
 
 def test_reorder_takes_the_last_place_of_doubles(spark):

@@ -1,8 +1,9 @@
 """Files in and out, and the stream of uploads."""
 
 import datetime
+import struct
 
-from pyspark.sql import functions as F
+import pytest
 
 from pageforge.operators import documents
 from pageforge.operators.uploads import validate
@@ -17,7 +18,7 @@ def test_png_round_trip_and_header(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"\x89PNG\r\n\x1a\n junk")
     got = images.rasters(spark, str(tmp_path)).collect()
     assert [bytes(r["raster"]["data"]) for r in got] == [DATA]
-    again = images.encoded(images.rasters(spark, str(tmp_path))).first()["png"]
+    again = images.encoded(images.rasters(spark, str(tmp_path)), "png").first()["file"]
     assert bytes(again) == images.png(5, 4, DATA)
     sized = images.header_sizes(images.uploads(spark, str(tmp_path)))
     judged = {r["name"]: (r["width"], r["height"], r["reject_reason"]) for r in validate(sized, width="width", height="height").collect()}
@@ -31,13 +32,40 @@ def test_pdf_of_a_session(spark):
     (one,) = documents.assemble(pages).collect()
     pdf = bytes(one["pdf"])
     assert one["pages"] == 2 and pdf.startswith(b"%PDF-") and pdf.endswith(b"%%EOF\n") and b"/Count 2" in pdf and b"Exif" not in pdf
-    assert documents.assemble(pages, max_pages=1).count() == 0 and documents.too_long(pages, max_pages=1).count() == 1
 
 
 def test_blobs(spark, tmp_path):
-    rows = spark.createDataFrame([("k/1.png", b"x"), ("k/2.png", b"y")], "key string, data binary")
-    refs = images.put(rows, str(tmp_path), "originals")
-    assert {r["ref"]: bytes(r["data"]) for r in images.get(spark, str(tmp_path), refs).collect()} == {"originals/k/1.png": b"x", "originals/k/2.png": b"y"}
+    rows = lambda *pairs: spark.createDataFrame(pairs, "key string, data binary")
+    refs = images.put(rows(("k/1.png", b"x"), ("k/2.png", b"y")), str(tmp_path), "originals")
+    more = images.put(rows(("k/2.png", b"z"), ("k/3.png", b"w")), str(tmp_path), "originals").union(refs)
+    images.put(rows(("k/2.png", b"other bucket")), str(tmp_path), "pdfs")
+    want = {"originals/k/1.png": b"x", "originals/k/2.png": b"z", "originals/k/3.png": b"w"}
+    assert {r["ref"]: bytes(r["data"]) for r in images.get(spark, str(tmp_path), more).collect()} == want
+    images.compact(spark, str(tmp_path), str(tmp_path / "new"))
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 4
+    assert {r["ref"]: bytes(r["data"]) for r in images.get(spark, str(tmp_path / "new"), more).collect()} == want
+    with pytest.raises(ValueError):
+        images.put(rows(("a", b"")), str(tmp_path), "elsewhere")
+
+
+def box(kind, body):
+    return struct.pack(">I", len(body) + 8) + kind + body
+
+
+def test_sizes_stand_anywhere_in_a_file(spark):
+    size = lambda w, h: box(b"ispe", struct.pack(">III", 0, w, h))
+    heic = box(b"ftyp", b"heic\0\0\0\0") + box(b"meta", b"\0\0\0\0" + box(b"hdlr", b"x" * 20) + box(b"iprp", box(b"ipco", size(512, 512) + box(b"hvcC", b"y") + size(4032, 3024))))
+    segment = b"\xff\xe1" + struct.pack(">H", 65535) + b"x" * 65533
+    jpeg = b"\xff\xd8" + segment * 3 + b"\xff\xc2" + struct.pack(">HBHHB", 17, 8, 16, 32, 3) + b"\0" * 9
+    huge = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", 8000, 7501) + b"\x08\x02\0\0\0"
+    fits = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", 8000, 7500) + b"\x08\x02\0\0\0"
+    files = [("heic", heic), ("jpeg", jpeg), ("cut", jpeg[:70000]), ("huge", huge), ("fits", fits), ("pdf", b"%PDF-1 %%EOF"), ("broken box", heic[:40])]
+    sized = images.header_sizes(spark.createDataFrame([(n, None, c, len(c)) for n, c in files], "name string, mime string, content binary, length int"))
+    got = {r["name"]: (r["width"], r["height"], r["reject_reason"]) for r in validate(sized, width="width", height="height").collect()}
+    assert got == {
+        "heic": (4032, 3024, None), "jpeg": (32, 16, None), "cut": (None, None, "unreadable image"), "huge": (8000, 7501, "image exceeds pixel limit"),
+        "fits": (8000, 7500, None), "pdf": (None, None, None), "broken box": (None, None, "unreadable image"),
+    }
 
 
 def test_stream_of_uploads(spark, tmp_path):
