@@ -3,8 +3,9 @@
 A first neighbour graph comes from rows that stand next to each other after sorting by random hyperplane codes.  Each
 round then joins neighbours of neighbours: the members of a vertex's list are compared with one another, and better
 edges go into their lists, until few change.  Lists keep the `LIST` best edges above a floor.  A list that is full of
-edges at or above the threshold is saturated: it is enlarged to the vertex's whole provisional component, which is
-compared in blocks.  Only between two saturated vertices can a link be missing from both lists.  So the saturated
+edges at or above the threshold is saturated: it is enlarged to the vertex's whole provisional component, whose links are
+counted by angles to a pivot and, where these leave it open, in blocks.  Links are decided on the original vectors in
+double precision.  Only between two saturated vertices can a link be missing from both lists.  So the saturated
 vertices descend again, with lists of edges out of their own component only, and the components that link are joined;
 this goes on until no list holds a link.  An audit compares a fixed number of vertices with all rows by brute force; if
 too few of their links were found, a further graph with other hyperplanes is added, and a last recall that is too low
@@ -24,10 +25,10 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import cut, pick, shared_dir, shuffle_parts, table
+from pageforge.llm.common import cut, drop, pick, shared_dir, shuffle_parts, table
 from pageforge.llm.components import components
 from pageforge.llm.vectors import is_sound, matrix
 
@@ -37,6 +38,8 @@ THRESHOLD = 0.93
 LIST, FLOOR, NEXT, ROUNDS, FEW = 16, 0.6, 6, 5, 0.01
 #: Rows of a block, vertices of the audit, its least recall, graphs at most.
 BLOCK, AUDIT, RECALL, GRAPHS = 256, 200, 0.97, 3
+#: How far the similarity of unit vectors in single precision may be off; how far an angle in double precision may.
+BAND, SLACK = 1e-6, 1e-7
 
 
 def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
@@ -99,15 +102,21 @@ def _lists(edges: DataFrame) -> DataFrame:
 
 
 def _meet(groups: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
-    """The members of each list compared with one another, those of one component left out."""
+    """The members of each list compared with one another: edges that a member's list lacks and has a place for."""
     for batch in groups:
         out = []
         for members in batch.column("members"):
-            ids = members.values.field("u").to_numpy()
-            own = members.values.field("own").to_numpy()
-            x = matrix(members.values.field("v"))
+            rows = members.values
+            ids, own, low = (rows.field(c).to_numpy() for c in ("u", "own", "low"))
+            x = matrix(rows.field("v"))
             near = x @ x.T
-            a, b = np.nonzero(np.triu((near >= floor) & (own[:, None] != own), 1))
+            held = rows.field("held")
+            has = np.zeros(near.shape, bool)
+            owner = np.repeat(np.arange(len(ids)), np.diff(held.offsets.to_numpy()))
+            spot, place = np.nonzero(held.flatten().to_numpy()[:, None] == ids)
+            has[owner[spot], place] = True
+            wanted = (near > low[:, None]) & ~has
+            a, b = np.nonzero(np.triu((near >= floor) & (wanted | wanted.T) & (own[:, None] != own), 1))
             out.append((ids[a], ids[b], near[a, b]))
         if out:
             a, b, near = (np.concatenate([o[i] for o in out]) for i in range(3))
@@ -129,33 +138,84 @@ def graph(vertices: DataFrame, where: str, name: str, n: int, seed: int, thresho
     lists = cut(_lists(edges), where, f"{name}-0")
     for step in range(1, ROUNDS + 1):
         known = lists.select(F.col("v").alias("at"), "u").union(lists.select(F.col("u").alias("at"), F.col("v").alias("u"))).distinct()
-        # Who lists a vertex is dealt into groups of the length of a list, so that no group is large.
-        rank = F.row_number().over(Window.partitionBy("at").orderBy(F.xxhash64("u")))
-        known = known.withColumn("part", F.floor((rank - 1) / (2 * LIST)))
-        met = known.join(vertices.select(F.col("id").alias("u"), "v", "own"), "u")
-        met = met.groupBy("at", "part").agg(F.collect_list(F.struct("u", "v", "own")).alias("members")).where(F.size("members") > 1)
+        # Who lists a vertex is dealt by hash into groups of about two lists, so that no group is large.
+        parts = known.groupBy("at").agg(F.ceil(F.count("*") / (2 * LIST)).alias("parts"))
+        known = known.join(parts, "at").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")))
+        own = lists.groupBy(F.col("v").alias("id")).agg(F.collect_list("u").alias("held"), F.min("near").alias("least"))  # LIST at most
+        own = vertices.select("id", "v", "own").join(own, "id", "left")
+        low = F.when(F.size("held") >= LIST, F.col("least")).otherwise(floor)
+        state = own.select(F.col("id").alias("u"), "v", "own", low.alias("low"), F.coalesce("held", F.array().cast("array<long>")).alias("held"))
+        met = known.select("at", "part", "u").join(state, "u")
+        met = met.groupBy("at", "part").agg(F.collect_list(F.struct("u", "v", "own", "low", "held")).alias("members")).where(F.size("members") > 1)
         new = met.select("members").mapInArrow(partial(_meet, floor=floor), EDGE)
         old = lists.select(F.col("v").alias("a"), F.col("u").alias("b"), "near")
         after = cut(_lists(new.groupBy("a", "b").agg(F.max("near").alias("near")).union(old)), where, f"{name}-{step}")
         changed, size = after.join(lists, ["v", "u"], "left_anti").count(), after.count()
+        drop(spark, where, f"{name}-{step - 1}")
         lists = after
         if changed <= FEW * size:
             break
     return lists
 
 
-def _block(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of the rows of two blocks with one another, by weight; a block meets itself where the two are one."""
-    low, high = f[f["block"] == f["i"].iat[0]], f[f["block"] == f["j"].iat[0]]
-    x, y = (np.stack(g["v"].to_numpy()).astype(np.float64) for g in (low, high))
-    near = (x @ y.T) / np.sqrt((x**2).sum(1))[:, None] / np.sqrt((y**2).sum(1)) >= threshold
-    if f["i"].iat[0] == f["j"].iat[0]:
-        np.fill_diagonal(near, False)
-        return pd.DataFrame({"id": low["id"].to_numpy(), "n": near @ high["w"].to_numpy()})
-    return pd.DataFrame({"id": np.concatenate([low["id"], high["id"]]), "n": np.concatenate([near @ high["w"].to_numpy(), near.T @ low["w"].to_numpy()])})
-
-
-def _joined(unit: DataFrame, strong: DataFrame, full: DataFrame, where: str, name: str, seed: int, threshold: float) -> DataFrame:
+def _cosine(x: Column, y: Column) -> Column:
+    """In double precision, of the vectors as they are."""
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda m, n: m.cast("double") * n.cast("double")), F.lit(0.0), lambda s, m: s + m)
+    return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+
+
+def _strong(lists: DataFrame, exact: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) among edges (v, u, near): those too near the threshold for unit vectors in single precision are decided on the originals."""
+    edges = lists.where(F.col("near") >= threshold - BAND).groupBy(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).agg(F.max("near").alias("near"))
+    unsure = edges.where(F.col("near") < threshold + BAND)
+    for c in ("a", "b"):
+        unsure = unsure.join(exact.select(F.col("id").alias(c), F.col("v").alias(f"v{c}")), c)
+    decided = unsure.where(_cosine(F.col("va"), F.col("vb")) >= threshold)
+    return edges.where(F.col("near") >= threshold + BAND).select("a", "b").union(decided.select("a", "b"))
+
+
+def _across(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links between the outer rows of one block and all rows of another, by weight; inner rows of the second get theirs too."""
+    x, y = f[f["asks"]], f[~f["asks"]]
+    if not len(x) or not len(y):
+        return pd.DataFrame({"id": [], "n": []})
+    p, q = (np.stack(g["v"].to_numpy()).astype(np.float64) for g in (x, y))
+    near = (p @ q.T) / np.sqrt((p**2).sum(1))[:, None] / np.sqrt((q**2).sum(1)) >= threshold
+    near &= x["id"].to_numpy()[:, None] != y["id"].to_numpy()
+    inner = y["inner"].to_numpy()
+    return pd.DataFrame({"id": np.concatenate([x["id"], y["id"][inner]]), "n": np.concatenate([near @ y["w"].to_numpy(), near[:, inner].T @ x["w"].to_numpy()])})
+
+
+def _counted(members: DataFrame, where: str, name: str, threshold: float) -> DataFrame:
+    """(id, n) for the members (component, id, v, w) of components with saturated lists: n by weight of those linked.
+
+    The angle d to the component's pivot, its first vertex, decides most pairs: two vectors with d of at most half the
+    threshold's angle are linked, so the weights of these inner ones are only added up; two whose d differ by more than
+    the whole angle are not.  What is left, outer vectors against those in their ring of d and the rings beside it, is
+    compared in blocks.
+    """
+    angle = float(np.arccos(threshold))
+    pivots = members.where("id = component").select("component", F.col("v").alias("pivot"))
+    d = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _cosine(F.col("v"), F.col("pivot")))))
+    rows = members.join(pivots, "component").withColumn("d", d).drop("pivot")
+    rows = rows.withColumns({"inner": F.col("d") <= angle / 2 - SLACK, "ring": F.floor(F.col("d") / (angle + SLACK)).cast("int")})
+    rows = cut(rows, where, f"{name}-rings")
+    inside = rows.groupBy("component").agg(F.sum(F.when(F.col("inner"), F.col("w"))).alias("all"))
+    base = rows.where("inner").join(inside, "component").select("id", (F.col("all") - F.col("w")).alias("n"))
+    sizes = rows.groupBy("component", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_if(~F.col("inner")).alias("outer"))
+    sizes = cut(sizes, where, f"{name}-sizes")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = rows.join(sizes, ["component", "ring"]).withColumn("block", block).drop("d", "blocks", "outer")
+    beside = F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))
+    blocks = lambda ring, blk, some: sizes.where(some).select("component", F.col("ring").alias(ring), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(blk))
+    asks = placed.where("not inner").select("component", "id", "v", "w", "inner", F.col("ring").alias("i"), F.col("block").alias("ib"), beside.alias("j")).join(blocks("j", "jb", "true"), ["component", "j"]).withColumn("asks", F.lit(True))
+    answers = placed.select("component", "id", "v", "w", "inner", F.col("ring").alias("j"), F.col("block").alias("jb"), beside.alias("i")).join(blocks("i", "ib", "outer > 0"), ["component", "i"]).withColumn("asks", F.lit(False))
+    more = asks.unionByName(answers).groupBy("component", "i", "ib", "j", "jb").applyInPandas(lambda f: _across(f, threshold), "id long, n double")
+    out = base.union(more.select("id", F.col("n").cast("long"))).groupBy("id").agg(F.sum("n").alias("n"))
+    return out
+
+
+def _joined(exact: DataFrame, unit: DataFrame, strong: DataFrame, full: DataFrame, where: str, name: str, seed: int, threshold: float) -> DataFrame:
     """(node, component) of links, joined by the links between saturated vertices that their lists have no place for."""
     step = 0
     while True:
@@ -167,35 +227,29 @@ def _joined(unit: DataFrame, strong: DataFrame, full: DataFrame, where: str, nam
         n = apart.count()
         if not n:
             return parts
-        met = graph(apart, where, f"{name}-across{step}", n, GRAPHS * (step + 1) + seed, threshold).where(F.col("near") >= threshold)
+        met = _strong(graph(apart, where, f"{name}-across{step}", n, GRAPHS * (step + 1) + seed, threshold), exact, threshold)
+        met = cut(met, where, f"{name}-met{step}")
         if met.isEmpty():
             return parts
-        strong = strong.union(met.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct())
+        strong = strong.union(met)
         step += 1
 
 
-def _found(vertices: DataFrame, unit: DataFrame, lists: DataFrame, where: str, name: str, seed: int, threshold: float) -> DataFrame:
+def _found(exact: DataFrame, unit: DataFrame, lists: DataFrame, where: str, name: str, seed: int, threshold: float) -> DataFrame:
     """(id, n, component) of the vertices that link: n by weight of the others."""
-    strong = cut(lists.where(F.col("near") >= threshold).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct(), where, f"{name}-strong")
-    full = lists.where(F.col("near") >= threshold).groupBy("v").count().where(F.col("count") >= LIST).select(F.col("v").alias("node"))
+    strong = cut(_strong(lists, exact, threshold), where, f"{name}-strong")
+    full = lists.where(F.col("near") >= threshold - BAND).groupBy("v").count().where(F.col("count") >= LIST).select(F.col("v").alias("node"))
     full = cut(full, where, f"{name}-full")
-    parts = _joined(unit, strong, full, where, name, seed, threshold)
+    parts = _joined(exact, unit, strong, full, where, name, seed, threshold)
     large = cut(parts.join(full, "node").select("component").distinct(), where, f"{name}-large")
     # Components without a saturated list: their lists hold all their edges.
-    w = vertices.select(F.col("id").alias("u"), "w")
+    w = exact.select(F.col("id").alias("u"), "w")
     ends = strong.select(F.col("a").alias("id"), F.col("b").alias("u")).union(strong.select(F.col("b").alias("id"), F.col("a").alias("u")))
     ends = ends.join(parts.select(F.col("node").alias("id"), "component"), "id").join(large, "component", "left_anti")
     few = ends.join(w, "u").groupBy("id").agg(F.sum("w").alias("n"))
-    # The others, enlarged to the component: blocks of its members, each pair of blocks once.
-    members = parts.join(large, "component").select("component", F.col("node").alias("id"))
-    size = cut(members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), where, f"{name}-sizes")
-    members = members.join(size, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = members.join(vertices.select("id", "v", "w"), "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = members.select("component", "id", "v", "w", "block", other)
-    paired = paired.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    many = paired.groupBy("component", "i", "j").applyInPandas(partial(_block, threshold=threshold), "id long, n double")
-    many = many.groupBy("id").agg(F.sum("n").cast("long").alias("n"))
+    # The others' lists, enlarged to the component.
+    members = parts.join(large, "component").select("component", F.col("node").alias("id")).join(exact.select("id", "v", "w"), "id")
+    many = _counted(members, where, name, threshold)
     return cut(few.union(many).join(parts.withColumnRenamed("node", "id"), "id"), where, f"{name}-found")
 
 
