@@ -2,10 +2,12 @@
 
 The histogram of piece lengths (at most `capacity` rows, so it may go to the driver) defines a covering program with
 one variable for each way to fill a sequence.  Multiplicative weights price the lengths, a knapsack dynamic program
-finds the best filling at those prices, and each filling found takes a share of what it can cover.  Rounded down, the
-fillings become a plan; what rounding leaves is filled exactly, largest piece first, by subset sums.  The plan says
-for each length which of its pieces, by rank, go where; its size depends on `capacity` alone.  Ranks come from counts
-by length and bucket, so a length that a third of all pieces share is ranked in many tasks.
+finds what fillings are worth at those prices, and fractional fillings cover the demand; the prices give a lower bound,
+so the gap of the solution is known.  Rounded down, the fillings become a plan; where rounding leaves lengths over, the
+fillings go on with subset sums of what is left.  The plan says for each length which of its pieces, by rank, go where;
+its size depends on `capacity` alone.  Ranks come from counts by length and bucket, and rows are dealt into buckets by a
+number that each got when the pieces were written, so neither a length nor an id that a third of all pieces share is
+ranked in one task.
 
 Null and empty texts are documents of one id, the end id.  Repeated rows are packed separately.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,9 +30,9 @@ from pageforge.llm.common import cut, pick, shared_dir, shuffle_parts, slices, t
 from pageforge.llm.wordcodes import library_codes
 
 CAPACITY, END_ID = 4096, 1
-#: Pricing rounds of the linear program, how fast prices fall where demand is covered, and the lengths of the highest
-#: price for their size that a round looks at (spread evenly over sizes where prices tie).
-ROUNDS, RATE, WIDTH = 150, 0.5, 192
+#: Pricings of the linear program, how fast prices fall where demand is covered, the share of the best filling's value
+#: that another may lose, and what counts as nothing.
+ROUNDS, RATE, STEP, EMPTY = 16, 1e-3, 1e-3, 1e-9
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -60,91 +63,121 @@ def pieces(df: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPAC
     return pick(df, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The filling of greatest value: how many of each length (at most two to the number of its bits at a time)."""
-    best = np.zeros(capacity + 1)
-    took = []
-    for n, v, m in zip(lengths.tolist(), values.tolist(), most.tolist()):
-        k = 1
-        while k <= m and k * n <= capacity:  # one, two, four ... of a length
-            new = best[: capacity + 1 - k * n] + k * v
-            better = new > best[k * n :] + 1e-12
-            np.maximum(best[k * n :], new, out=best[k * n :])
-            took.append((n, k, better))
-            m, k = m - k, 2 * k
-    out: dict[int, int] = {}
-    at = int(best.argmax())
-    for n, k, better in reversed(took):
-        if at >= k * n and better[at - k * n]:
-            out[n] = out.get(n, 0) + k
-            at -= k * n
-    return out
-
-
-def exact_fill(lengths: list[int], left: dict[int, int], capacity: int) -> dict[int, int]:
-    """The largest length left, and other lengths, larger ones first, that fill the rest as far as sums of them can."""
-    first = lengths[0]
-    room = capacity - first
+def knapsack(prices: np.ndarray) -> np.ndarray:
+    """For each room from 0 on the greatest value of lengths that fit; prices: by length, from 0 to the capacity."""
+    best = np.zeros(len(prices))
+    for room in range(1, len(prices)):
+        best[room] = max(best[room - 1], float((prices[1 : room + 1] + best[:room][::-1]).max()))
+    return best
+
+
+def solve(demand: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE, step: float = STEP) -> tuple[dict[tuple[int, ...], float], float]:
+    """Fractional fillings that cover the demand, and a lower bound on what any solution needs.
+
+    A filling starts with the longest length whose demand is open.  As long as there is room, lengths follow that keep
+    it within a small step of the greatest value that the knapsack program finds at the prices, and of these the
+    longest one with open demand.  It is taken until one of its lengths is covered.  By multiplicative weights a length's
+    price falls with the share of its demand that is covered; the program is solved anew `rounds` times along the way.
+    At any prices, the demand's worth over that of the best filling bounds the number of sequences from below.
+    """
+    lengths = np.array(sorted(demand, reverse=True))
+    want, size = np.zeros(capacity + 1), np.arange(capacity + 1)
+    want[lengths] = [demand[n] for n in lengths.tolist()]
+    held, left, bound = want > 0, want.copy(), float(want @ size) / capacity
+    out: dict[tuple[int, ...], float] = {}
+    best, done, price_at = np.zeros(0), 0.0, 0.0
+    for n in lengths.tolist():
+        while left[n] > EMPTY:
+            if done >= price_at:
+                prices = np.where(held, size / capacity * np.exp(-rate * (1 - left / np.maximum(want, 1))), 0)
+                best = knapsack(prices)
+                bound = max(bound, float(want @ prices) / best[capacity])
+                price_at += bound / rounds
+            filling, room, slack = [n], capacity - n, step * best[capacity]
+            while room:
+                lost = best[room] - prices[1 : room + 1] - best[:room][::-1]  # by a length that goes in next
+                fits = np.flatnonzero((lost <= slack) & held[1 : room + 1])
+                if not len(fits):
+                    break
+                still = fits[left[1:][fits] > EMPTY]
+                m = int(still[-1] if len(still) else fits[left[1:][fits].argmax()])
+                slack -= max(0.0, float(lost[m]))
+                filling.append(m + 1)
+                room -= m + 1
+            counts = Counter(filling)
+            times = min(left[m] / k for m, k in counts.items() if m == n or left[m] > EMPTY)
+            out[tuple(filling)] = out.get(tuple(filling), 0.0) + times
+            done += times
+            for m, k in counts.items():
+                left[m] -= k * times
+    return out, bound
+
+
+def completed(core: Counter, lengths: list[int], left: dict[int, int], capacity: int) -> dict[int, int]:
+    """A filling that holds the core, and lengths that are left, larger ones first, filling the rest as far as sums of them can."""
+    room = capacity - sum(n * k for n, k in core.items())
     full, mask = 1 << room, (1 << room + 1) - 1
     reach, steps = 1, []
-    for n in lengths:
-        m, k = left[n] - (n == first), 1
+    for n in lengths[bisect_left(lengths, -room, key=lambda n: -n) :]:
+        if reach & full:
+            break
+        m, k = left[n] - core[n], 1
         while k <= m and k * n <= room:
             wider = (reach | reach << k * n) & mask
             if wider != reach:
                 steps.append((n, k, reach))
                 reach = wider
             m, k = m - k, 2 * k
-        if reach & full:
-            break
     at = reach.bit_length() - 1
-    out = {first: 1}
+    out = Counter(core)
     for n, k, before in reversed(steps):
         if not before >> at & 1:
-            out[n] = out.get(n, 0) + k
+            out[n] += k
             at -= k * n
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Fillings and how many sequences get each; together they take every piece once."""
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, facts: dict | None = None) -> list[tuple[dict[int, int], int]]:
+    """Fillings and how many sequences get each; together they take every piece once.
+
+    The fractional solution is rounded down, then each filling is taken once more in order of what rounding lost.
+    Where other fillings have used up a length, the filling goes on without it, and its room is completed by lengths
+    that are left; what no filling covers is filled in the same way, longest piece first.  `facts` gets the numbers of
+    sequences of each kind, the fractional solution's and the bound.
+    """
     left = {n: c for n, c in histogram.items() if n < capacity}
     plan = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
-    demand = dict(left)
-    if left:
-        lengths = np.array(sorted(left, reverse=True))
-        wanted = np.array([demand[n] for n in lengths.tolist()], float)
-        spread = lengths * 0.6180339887498949 % 1
-        prices = lengths / capacity  # a piece is worth what it fills, until its length is covered
-        for _ in range(min(rounds, -(-sum(n * c for n, c in left.items()) // (2 * capacity)))):
-            have = np.array([left[n] for n in lengths.tolist()])
-            open_ = have > 0
-            if not open_.any():
-                break
-            worth = np.where(open_, prices / lengths, -1)
-            seen = np.lexsort((spread, -worth.round(12)))[: min(WIDTH, int(open_.sum()))]
-            found = knapsack(lengths[seen], prices[seen], have[seen], capacity)
-            if not found:
-                break
-            share = min(left[n] // k for n, k in found.items())
-            share = max(1, share // 2 if share > 8 else share)
-            plan.append((found, share))
-            for n, k in found.items():
-                left[n] -= k * share
-            used = np.array([found.get(n, 0) for n in lengths.tolist()]) * share / wanted
-            prices *= np.exp(-RATE * used)
-        order = sorted((n for n, c in left.items() if c), reverse=True)
-        while order:
-            room = capacity - order[0]
-            fits = [order[0], *order[bisect_left(order, -room, lo=1, key=lambda n: -n) :]]
-            found = exact_fill(fits, left, capacity)
-            share = min(left[n] // k for n, k in found.items())
+    made = {"full": histogram.get(capacity, 0), "fractional": 0.0, "bound": 0.0, "rounded": 0, "completed": 0, "rest": 0}
+    order = sorted(left, reverse=True)
+
+    def take(found: dict[int, int], most: int, kind: str) -> int:
+        share = min(most, *(left[n] // k for n, k in found.items()))
+        if share:
             plan.append((found, share))
+            made[kind] += share
             for n, k in found.items():
                 left[n] -= k * share
-            for n in found:
                 if not left[n]:
                     del order[bisect_left(order, -n, key=lambda n: -n)]
+        return share
+
+    if left:
+        solved, made["bound"] = solve(left, capacity, rounds)
+        made["fractional"] = float(sum(solved.values()))
+        rounded = [(f, int(x)) for f, x in solved.items()] + [(f, 1) for f, x in sorted(solved.items(), key=lambda f: int(f[1]) - f[1]) if x > int(x)]
+        for filling, times in rounded:
+            whole = Counter(filling)
+            times -= take(whole, times, "rounded")
+            while times and left[filling[0]]:  # a filling whose longest piece is gone has no use
+                core = Counter()
+                for n in filling:
+                    core[n] += left[n] > core[n]
+                times -= take(completed(+core, order, left, capacity), times, "completed")
+        while order:
+            found = completed(Counter(order[:1]), order, left, capacity)
+            take(found, left[order[0]], "rest")
+    if facts is not None:
+        facts.update(made)
     return plan
 
 
@@ -181,15 +214,15 @@ def _place(frames: Iterator[pd.DataFrame], plan) -> Iterator[pd.DataFrame]:
 def pack(df: DataFrame, capacity: int = CAPACITY, where: str | None = None) -> DataFrame:
     """Adds sequence_id and offset to rows with `doc_id, piece, start, length, ids_crc32`."""
     spark = df.sparkSession
-    df = cut(df, where or shared_dir(spark), "pieces")  # encoded once
+    df = cut(df.withColumn("number", F.monotonically_increasing_id()), where or shared_dir(spark), "pieces")  # encoded and numbered once
     histogram = {r["length"]: r["n"] for r in df.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(placing(configurations(histogram, capacity)))
     buckets = 4 * shuffle_parts(spark)
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("number"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("number")
     ranked = df.withColumn("nth", F.row_number().over(within)).join(counts, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

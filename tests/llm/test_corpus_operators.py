@@ -86,6 +86,45 @@ def test_configurations_take_everything_once():
         assert taken == histogram
 
 
+def test_configurations_are_near_the_optimum_and_the_bound_holds():
+    def least(items, capacity):
+        """Fewest sequences of a few pieces: by all ways to put each piece, largest first."""
+        best, rooms = [len(items)], []
+
+        def go(k):
+            if len(rooms) >= best[0]:
+                return
+            if k == len(items):
+                best[0] = len(rooms)
+                return
+            for i in range(len(rooms)):
+                if rooms[i] >= items[k] and rooms[i] not in rooms[:i]:
+                    rooms[i] -= items[k]
+                    go(k + 1)
+                    rooms[i] += items[k]
+            rooms.append(capacity - items[k])
+            go(k + 1)
+            rooms.pop()
+
+        go(0)
+        return best[0]
+
+    rng = random.Random(8)
+    for _ in range(60):
+        items = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        facts: dict = {}
+        made = sum(times for _, times in packing.configurations(dict(Counter(items)), 20, facts=facts))
+        best = least(items, 20)
+        full = sum(n == 20 for n in items)
+        assert best <= made <= best + 1 and facts["bound"] <= best - full + 1e-9
+    histogram = Counter(min(4095, int(rng.lognormvariate(6, 1.3)) + 1) for _ in range(20000))
+    facts = {}
+    made = sum(times for _, times in packing.configurations(dict(histogram), facts=facts))
+    assert facts["bound"] <= facts["fractional"] <= 1.01 * facts["bound"] and made <= facts["bound"] + 5 and facts["rounded"] > 0.5 * made
+    best = packing.knapsack(np.array([0, 0, 3.0, 0, 5.0, 0, 0, 0]))
+    assert best.tolist() == [0, 0, 3, 3, 6, 6, 9, 9]
+
+
 def brute_groups(rows):
     sets = []
     for _, text in rows:
