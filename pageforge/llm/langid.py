@@ -4,17 +4,18 @@ Texts are compared by the blended-spectrum presence kernel: the share of byte n-
 and digits as spaces) that two texts both hold.  A bounded sample of labelled texts gives the Nystrom landmarks and
 the one-versus-rest kernel ridge regression; scoring is two matrix products for each slice of texts.
 
-Null texts and texts without a letter are `und` with score 0; so is every text when nothing was learned.  A null
-doc_id counts as held out.  Repeated rows give repeated rows.
+Null texts and texts without a letter (Unicode category L) are `und` with score 0; so is every text when nothing was
+learned.  A null doc_id counts as held out.  Repeated rows give repeated rows, an empty table an empty one.  Languages
+of equal score: the first by name.  Long texts are scored whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex as re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ UND = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ANY_LETTER = re.compile(r"\p{L}")
 
 
 def presence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
