@@ -11,7 +11,8 @@ and a manifest, ascending by doc_id, with each document's place in the stream of
 chunk's digest from its bytes and each root from its recipe.
 
 Null and empty texts are documents of one id, the end id.  Rows with equal doc_id are documents of their own, ordered
-by root; a null doc_id comes first.
+by root; a null doc_id comes first.  Ids that do not fit `width` bytes are an error.  An empty table gives empty files.
+Long texts are cut into chunks like others; only one text's recipe meets in one task.
 """
 
 from __future__ import annotations
@@ -80,6 +81,8 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int)
             flat = np.full(int(size.sum()), end_id, np.int64)
             flat[np.arange(len(ids)) + np.repeat(np.arange(len(size)), size - 1)] = ids
             off = np.concatenate([[0], np.cumsum(size)])
+            if len(flat) and int(flat.max()) >> 8 * width:
+                raise ValueError(f"id {int(flat.max())} does not fit {width} bytes")
             raw = flat.astype(f"<u{width}").tobytes()
             cols: list[list] = [[] for _ in range(8)]
 
