@@ -1,17 +1,20 @@
 """Personal data by patterns and a linear-chain conditional random field (operator 1).
 
 Patterns give the base spans.  The field reads word shapes (letters, digit runs by length, single marks), is trained
-on the small labelled table below, and is decoded by Viterbi in numpy over many sequences at once.  It adds spans of
-the same kinds that the patterns miss (telephone numbers without a plus sign, addresses with "[at]", spaced numbers);
-base spans always stay.
+on the small labelled table below, and is decoded by Viterbi in numpy over many sequences at once.  It adds spans that
+the patterns miss (telephone numbers without a plus sign, addresses with "[at]", spaced numbers) and a kind that they
+do not know (secrets: keys and tokens); added spans that touch a base span go, base spans always stay.
 
 A sequence is a stretch of words around a digit or an at sign: elsewhere every word's shape is plain, and a plain
-word is never part of a span.  Null and empty texts have no spans.  Repeated rows give repeated rows.
+word is never part of a span.  Null and empty texts have no spans.  Repeated rows give repeated rows, an empty table an
+empty one; ties between labels go to the first label in the order of `LABELS`.  A text is read whole, whatever its
+length: a row that is longer than a slice is a slice of its own.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from pageforge.llm.common import byte_view, pick, slices, table
 
+#: The kinds that the patterns find; the field finds secrets (keys, tokens) besides.
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+EVERY = (*KINDS, "secret")
+LABELS = ("O", *(f"{p}-{k}" for k in EVERY for p in "BI"))
 
 #: The labelled table: {kind|text} marks a span, all other words are outside.
 LABELLED = (
@@ -35,7 +40,10 @@ LABELLED = (
     "server {ip|192.168.10.4} is down", "host {ip|10.0.0.17}, port 80", "from {ip|203.0.113.9} to {ip|198.51.100.23}", "ping {ip|127.0.0.1}.", "login from {ip|172.16.254.1} failed",
     "card {card|4111 1111 1111 1111} expires", "pay with {card|5500-0000-0000-0004} now", "{card|4785380592391139} was used", "no. {card|3400 0000 0000 0090 12} ok", "visa {card|4012888888881881}, thanks",
     "on 12 March 2021 we met", "the year 1998 was good", "in 2020-04-15 at 10:30", "at 09:45:12 on 3/4/2019", "costs $ 1,299.00 each", "EUR 45.50 per unit", "version 3.11.4 of it",
-    "page 12 of 340", "chapter 4, section 2.3.1", "ISBN 978-3-16-148410-0 printed", "token = \"1eb9c654e721b4f812088970e66a63\"", "sha 6df57b16f87eabefefcab67b433efd90636bb6bd ok",
+    "page 12 of 340", "chapter 4, section 2.3.1", "ISBN 978-3-16-148410-0 printed", "sha 6df57b16f87eabefefcab67b433efd90636bb6bd ok", "commit 9e107d9d372bb6826bd81d3542a419d6 of it",
+    "token = \"{secret|1eb9c654e721b4f812088970e66a63ac}\"", "the token = \"{secret|e7fbfec6a80404dc513b99d3fdbf2a6e53400638}\" lay", "api_key = \"{secret|sk4f9a0c2b7d8e1f6a5b3c2d1e}\"", "TOKEN = \"{secret|9233A8ECF7C5B09FE5949719B6B82BC439E9329B}\"!! AND",
+    "secret: \"{secret|a8f5f167f44f4964e6c998dee827110c}\" here", "key = '{secret|0cc175b9c0f1b6a831c399e269772661}' set", "set \"{secret|92eb5ffee6ae2fec3ad71c777531578f3e2a}\" now", "token = \"{secret|40d78a45c418324758e099eb7cb89bc0f5fa9f62}\"### La", "x = \"{secret|4a8a08f09d37b73795649038408b5f33d9fc1c80}\".",
+    "he said \"the 3 of us\" and", "a \"b2b\" firm", "model \"x200\" is out", "name = \"unit 7\" set", "\"R2D2\" and \"C3PO\" met", "code \"4f2a\" fits", "id = \"12345678\" of", "\"2021-04-05\" is", "key = \"abc123\" ok",
     "order 100234 shipped", "id: 48219", "a 10% rise, then 5%", "between 100 and 200 people", "rated 4.5 / 5 stars", "lines 10-20 and 31-40", "pp. 123-145, vol. 7", "in 1999-2004 they",
     "64 bit, 3.2 GHz and 16 GB", "scored 3-2 at home", "see rfc 2616 and 7230", "room 12b, floor 3", "x = 3 + 4 * 5", "12 345 678 units", "1 2 3 4 5 6 7", "tel aviv in 2003", "phone it in",
     "License, Version 2.0.", "license, version 3.", "CC BY-NC 4.0 applies", "item @ 5 each", "@user said 20 things", "# 17 @ home", "the 3 of 4 (2001) in", "(1998) and (2004)", "no 5, no 6, no 7",
@@ -304,6 +312,8 @@ def sound(kind: str, text: str) -> bool:
     digits = sum("0" <= c <= "9" for c in text)
     if kind == "phone":
         return 7 <= digits <= 15
+    if kind == "secret":
+        return len(text) >= 20 and 4 <= digits < len(text)
     if kind == "card":
         return 16 <= digits <= 19 and luhn("".join(c for c in text if "0" <= c <= "9"))
     if kind == "ip":
@@ -316,6 +326,24 @@ SCHEMA = "doc_id long, base array<struct<kind:string,start:long,end:long>>, adde
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _whole(text: str, a: int, b: int) -> tuple[int, int]:
+    while a and text[a - 1].isalnum():
+        a -= 1
+    while b < len(text) and text[b].isalnum():
+        b += 1
+    return a, b
+
+
+def _apart(added: list, base: list) -> list:
+    """The added spans that touch none of the base: by start, and the furthest end of all that start before."""
+    base = sorted((s, e) for _, s, e in base)
+    starts, far, most = [s for s, _ in base], [], -1
+    for _, e in base:
+        most = max(most, e)
+        far.append(most)
+    return [x for x in added if (k := bisect_left(starts, x[2])) == 0 or far[k - 1] <= x[1]]
+
+
 def find(text_column: pa.Array, field: Field) -> tuple[list[list], list[list]]:
     """For each row the base spans and the field's own, as (kind, start, end) in code points."""
     data, off = byte_view(text_column)
@@ -334,12 +362,16 @@ def find(text_column: pa.Array, field: Field) -> tuple[list[list], list[list]]:
         if i not in chars:
             chars[i] = np.concatenate([[0], np.cumsum((data[off[i] : off[i + 1]] & 0xC0) != 0x80)])
         a, b = int(chars[i][s - off[i]]), int(chars[i][e - off[i]])
+        if kind == "secret":  # whole words
+            a, b = _whole(texts[i], a, b)
+            if added[i] and added[i][-1] == (kind, a, b):
+                continue
         if sound(kind, texts[i][a:b]):
             added[i].append((kind, a, b))
     for i in range(n):
         if added[i] and base[i]:
-            added[i] = [x for x in added[i] if not any(x[1] < e and s < x[2] for _, s, e in base[i])]
-        added[i].sort(key=lambda x: (KINDS.index(x[0]), x[1]))
+            added[i] = _apart(added[i], base[i])
+        added[i].sort(key=lambda x: (EVERY.index(x[0]), x[1]))
     return base, added
 
 
@@ -390,7 +422,7 @@ def mask(df: DataFrame, field: Field | None = None, text: str = "text") -> DataF
 def digest(found: DataFrame) -> DataFrame:
     """Counts and digests of base spans, and all spans, from the rows of `spans`."""
     written = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    place = F.array(*[F.lit(k) for k in KINDS])
+    place = F.array(*[F.lit(k) for k in EVERY])
     ranked = F.transform(F.concat("base", "added"), lambda x: F.struct(F.array_position(place, x["kind"]).alias("nth"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     return found.select(
         "doc_id",
@@ -398,6 +430,7 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.array_sort(ranked)).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        F.size(F.concat("base", "added")).cast("long").alias("n_spans"),
     )
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
@@ -49,6 +50,12 @@ def test_store_keeps_rows_with_one_id(spark):
     assert [g[1] for g in got] == [1, 7, 7, 7] and got[-1][0] + got[-1][2] == 1 + 3 + 3 + 2
 
 
+def test_ids_that_do_not_fit_are_an_error():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of a text"])], ["doc_id", "text"])
+    with pytest.raises(ValueError, match="does not fit"):
+        list(chunkstore._rows(iter([batch]), VOCABULARY, 2, 1))
+
+
 def check_packing(rows, want, capacity):
     places = {}
     for r in rows:
