@@ -7,7 +7,9 @@ words.  Rules come in order of priority; a detection that lies inside an accepte
 is suppressed.  The phrases of `BASE` are always reported.
 
 Words are runs of ASCII digits and letters and of all bytes above 127.  Null and empty texts have no words, no
-detections, score 0.  Repeated rows give repeated rows.
+detections, score 0.  Repeated rows give repeated rows, an empty table an empty one.  Of detections that lie in each
+other the one of higher priority counts, then the longer one, then the rule that comes first.  Texts are scanned whole,
+whatever their length.
 """
 
 from __future__ import annotations
@@ -110,6 +112,69 @@ NOTICES = (
     ("proprietary", "all rights reserved worldwide", "all rights reserved", 0.5),
     ("cc-by-sa", "licensed under (?:a|the) creative commons attribution share ?alike", "licensed creative commons", 0.85),
     ("gpl-or-later", "gnu general public license (?:as published by the free software foundation )?(?:either )?version [123] (?:of the license )?or at your option any later version", "license later version", 0.98),
+    ("apache-2.0", "you may not use this file except in compliance with the license", "compliance license", 0.9),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "applicable license", 0.93),
+    ("apache-2.0", "grant of patent license subject to the terms and conditions of this license each contributor hereby grants", "patent license", 0.95),
+    ("apache-1.1", "the end user documentation included with the redistribution if any must include the following acknowledg(?:e?ment)", "redistribution documentation", 0.85),
+    ("gpl", "this program is free software you can redistribute it and or modify", "redistribute", 0.85),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty", "distributed warranty", 0.85),
+    ("gpl", "you should have received a copy of the gnu general public license along with", "gnu license", 0.95),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document", "verbatim license", 0.9),
+    ("gpl-classpath", "as a special exception the copyright holders of this library give you permission to link this library with independent modules", "exception independent", 0.95),
+    ("lgpl", "under the terms of the gnu (?:lesser|library) general public license", "gnu license", 0.95),
+    ("lgpl", "this library is free software you can redistribute it and or modify", "redistribute library", 0.9),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license", "gnu license", 0.95),
+    ("agpl", "under the terms of the gnu affero general public license", "affero", 0.97),
+    ("agpl", "you should have received a copy of the gnu affero general public license", "affero", 0.97),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "documentation license", 0.97),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial permission", 0.93),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "noninfringement", 0.9),
+    ("x11", "except as contained in this notice the name of [^.]{1,120} shall not be used in advertising or otherwise to promote the sale", "advertising notice", 0.93),
+    ("json", "the software shall be used for good not evil", "evil", 0.97),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions", 0.9),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "redistributions", 0.9),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e?ment)", "advertising", 0.95),
+    ("bsd", "this software is provided by the (?:copyright holders?|regents|authors?) and contributors as is", "contributors", 0.88),
+    ("isc", "the software is provided as is and the authors? disclaims? all warranties with regard to this software", "warranties regard", 0.9),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "warranty liable", 0.95),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "misrepresented", 0.95),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "organization hereby", 0.97),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", "mozilla", 0.97),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version", "mozilla", 0.95),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", "mpl", 0.95),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse", 0.97),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "common development", 0.97),
+    ("cpl-1.0", "this program and the accompanying materials are made available under the terms of the common public license", "common accompanying", 0.95),
+    ("artistic", "you may copy and distribute verbatim copies of the (?:standard version|source form of the standard version) of (?:the|this) package", "verbatim package", 0.9),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "written agreement", 0.97),
+    ("hpnd", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", "sell hereby", 0.95),
+    ("ntp", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted", "documentation hereby", 0.93),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", "openssl", 0.95),
+    ("python-2.0", "this license agreement is between the python software foundation", "python foundation", 0.97),
+    ("ofl", "this font software is licensed under the sil open font license", "font license", 0.97),
+    ("ofl", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself", "typefaces", 0.9),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", "governs license", 0.9),
+    ("ncsa", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal with the software without restriction", "hereby restriction", 0.93),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone compile", 0.95),
+    ("unlicense", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain", "jurisdictions", 0.95),
+    ("cc0-1.0", "to the extent possible under law [^.]{1,120} has waived all copyright and related or neighboring rights", "waived", 0.97),
+    ("cc-by", "this work is licensed under (?:a|the) creative commons attribution (?:[0-9] [0-9] )?(?:international |unported |generic )?licen[cs]e", "creative commons", 0.95),
+    ("cc-by-nc", "licensed under (?:a|the) creative commons attribution non ?commercial", "creative commons", 0.9),
+    ("cc-by-nd", "licensed under (?:a|the) creative commons attribution no ?deriv(?:ative)?s", "creative commons", 0.9),
+    ("wtfpl", "you just do what the fuck you want to", "fuck", 0.97),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer in return", "beer", 0.97),
+    ("public-domain", "this (?:work|file|software|code|program) is (?:hereby )?in the public domain", "public domain", 0.9),
+    ("public-domain", "the authors? disclaims? copyright to this source code", "copyright source", 0.9),
+    ("public-domain", "no copyright is claimed", "copyright claimed", 0.6),
+    ("sspl", "making the functionality of the program or modified version available to third parties as a service", "functionality service", 0.95),
+    ("busl", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "licensor production", 0.97),
+    ("elastic", "you may not provide the software to third parties as a hosted or managed service", "hosted managed", 0.97),
+    ("commons-clause", "the software is provided to you by the licensor under the license as defined below subject to the following condition", "licensor license", 0.95),
+    ("openrail", "you agree not to use the model or derivatives of the model", "derivatives model", 0.9),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", "unauthorized prohibited", 0.9),
+    ("proprietary", "proprietary and confidential", "proprietary confidential", 0.7),
+    ("proprietary", "no part of this (?:publication|book|document|work) may be reproduced", "reproduced", 0.85),
+    ("proprietary", "may not be reproduced distributed or transmitted in any form or by any means", "reproduced transmitted", 0.85),
 )
 
 #: How a name is put to use: the form around it, its priority (smaller goes first) and its score.
@@ -136,8 +201,8 @@ def _words(*names: str) -> tuple[frozenset[bytes], ...]:
 def build_rules() -> list[tuple[int, str, str, re.Pattern, tuple[frozenset[bytes], ...], float]]:
     """(priority, label, rule name, regex, sets of words, score), in the order in which they apply."""
     rules = []
-    for label, text, key, score in NOTICES:
-        rules.append((0, label, f"notice:{label}", _regex(text), _words(key), score))
+    for k, (label, text, key, score) in enumerate(NOTICES):
+        rules.append((0, label, f"notice{k}:{label}", _regex(text), _words(key), score))
     for label, names in LICENSES:
         own = re.escape(label).replace(r"\-", "-")
         spdx = rf"spdx-license-identifier:[\x20\x09(]*{own}(?:-only|-or-later|\+)?(?![-.\w])"

@@ -193,8 +193,11 @@ def test_every_license_name_is_found_alone(gap):
         "cc-by-sa": "licensed under the Creative Commons Attribution Share Alike",
         "gpl-or-later": "GNU General Public License version 2 or at your option any later version",
     }
-    assert set(notices) == {n[0] for n in licenses.NOTICES}
-    cases = [*notices.items(), *((label, name) for label, names, *_ in licenses.LICENSES for name in names), ("lgpl-2.1", "Licensed under LGPL v2.1"), ("mpl-2.0", "MPL-2.0")]
+    assert set(notices) <= {n[0] for n in licenses.NOTICES}
+    plain = [(label, text) for label, text, *_ in licenses.NOTICES if not re.search(r"[^a-z0-9 ]", text)]
+    fits = lambda text: re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)*\)\??", r"\1", text.replace("(?:e?ment)", "ment").replace("[^.]{1,120}", "the owner")).replace("?", "").replace("[0-9]", "4").replace("[cs]", "c").replace("[123]", "2")
+    plain += [(label, fits(text)) for label, text, *_ in licenses.NOTICES if re.search(r"[^a-z0-9 ]", text)]
+    cases = [*notices.items(), *plain, *((label, name) for label, names, *_ in licenses.LICENSES for name in names), ("lgpl-2.1", "Licensed under LGPL v2.1"), ("mpl-2.0", "MPL-2.0")]
     texts = ["Notes. " + text.replace(" ", gap) + " end" for _, text in cases]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
     found = [row for part in licenses._scan(iter([batch])) for row in part.column("found").to_pylist()]
