@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from pageforge.llm import bpe_trie, chunkstore, collisions, htmltext, langid, licenses, ngramjoin, nndescent, packing, pii
+from pageforge.llm import bpe_trie, chunkstore, collisions, htmltext, langid, licenses, ngramjoin, nndescent, oracles, packing, pii
 
 
 def queries() -> dict[str, Callable]:
@@ -25,4 +25,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others, SQL has no tokenizer, no field, no classifier and no packing, or only a part of their columns."""
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**oracles.ORACLES, **pipeline}
