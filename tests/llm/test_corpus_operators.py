@@ -244,7 +244,10 @@ def test_tight_groups_that_link(spark):
     assert [out[i]["component_id"] for i in range(120)] == [0] * 80 + [80] * 40
 
 
-def test_nearest_neighbours(spark):
+@pytest.mark.parametrize("most,least", [(50_000, 5_000), (300, 400)])
+def test_nearest_neighbours(spark, monkeypatch, most, least):
+    monkeypatch.setattr(collisions, "MOST", most)
+    monkeypatch.setattr(collisions, "LEAST", least)
     rng = np.random.default_rng(6)
     x = rng.standard_normal((3000, 32)).astype(np.float32)
     x[7] = x[8]
@@ -254,6 +257,7 @@ def test_nearest_neighbours(spark):
     for r in out:
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 3000, 100))
+    assert collisions.recall(vectors(spark, rows), spark.createDataFrame(out), [0, 100, 200]) >= 0.9
     hits = 0
     for q, found in got.items():
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
@@ -265,6 +269,23 @@ def test_nearest_neighbours(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_neighbours_of_one_hot_vector_and_of_few(spark, monkeypatch):
+    monkeypatch.setattr(collisions, "MOST", 40)
+    monkeypatch.setattr(collisions, "LEAST", 50)
+    rng = np.random.default_rng(16)
+    x = rng.standard_normal((300, 8)).astype(np.float32)
+    x[::3] = x[0]  # a third of all rows are one vector
+    rows = [(i, x[i].tolist(), 0, "z", 0) for i in range(300)] + [(400, [1.0, 2.0], 0, "z", 0), (401, [1.0, 3.0], 0, "z", 0), (500, [1.0] * 5, 0, "z", 0)]
+    got = {}
+    for r in collisions.search(vectors(spark, rows), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got[400]) == [(1, 401, 1.0)] and 500 not in got
+    assert [v for _, v, _ in sorted(got[0])] == list(range(3, 31, 3)) and {s for _, _, s in got[0]} == {0.0}
+    d = np.sqrt(((x.astype(float) - x[100].astype(float)) ** 2).sum(1))
+    d[100] = np.inf
+    assert len({v for _, v, _ in got[100]} & set(np.lexsort((np.arange(300), d))[:10].tolist())) >= 8
+
+
 def test_empty_tables(spark):
     none, empty = docs(spark, ["x"]).where("false"), vectors(spark, [(1, [1.0], 1, "z", 0)]).where("false")
     assert ngramjoin.groups(none).count() == 0
