@@ -94,9 +94,9 @@ def _beside(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.Reco
 
 
 def _lists(edges: DataFrame) -> DataFrame:
-    """The best edges of each vertex (v, u, near), from edges in either direction."""
-    both = edges.select(F.col("a").alias("v"), F.col("b").alias("u"), "near").union(edges.select(F.col("b").alias("v"), F.col("a").alias("u"), "near"))
-    both = both.where("v <> u").groupBy("v", "u").agg(F.max("near").alias("near"))
+    """The best edges of each vertex (v, u, near, new), from edges (a, b, near, new) in either direction."""
+    both = edges.select(F.col("a").alias("v"), F.col("b").alias("u"), "near", "new").union(edges.select(F.col("b").alias("v"), F.col("a").alias("u"), "near", "new"))
+    both = both.where("v <> u").groupBy("v", "u").agg(F.max("near").alias("near"), F.min("new").alias("new"))
     rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("near"), "u"))
     return both.withColumn("rank", rank).where(F.col("rank") <= LIST).drop("rank")
 
@@ -107,6 +107,8 @@ def _meet(groups: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordB
         out = []
         for members in batch.column("members"):
             rows = members.values
+            _, once = np.unique(rows.field("u").to_numpy(), return_index=True)  # who lists and is listed comes twice
+            rows = rows.take(pa.array(once))
             ids, own, low = (rows.field(c).to_numpy() for c in ("u", "own", "low"))
             x = matrix(rows.field("v"))
             near = x @ x.T
@@ -135,27 +137,26 @@ def graph(vertices: DataFrame, where: str, name: str, n: int, seed: int, thresho
     keys = ("label", "dim", "code", "spot", "id")
     # Sorted by range, a bucket of any size is spread over tasks; edges across a border of tasks are found in other tables.
     edges = coded.repartitionByRange(2 * shuffle_parts(spark), *keys).sortWithinPartitions(*keys).mapInArrow(partial(_beside, floor=floor), EDGE)
-    lists = cut(_lists(edges), where, f"{name}-0")
+    lists = cut(_lists(edges.withColumn("new", F.lit(True))), where, f"{name}-0")
     for step in range(1, ROUNDS + 1):
-        known = lists.select(F.col("v").alias("at"), "u").union(lists.select(F.col("u").alias("at"), F.col("v").alias("u"))).distinct()
-        # Who lists a vertex is dealt by hash into groups of about two lists, so that no group is large.
-        parts = known.groupBy("at").agg(F.ceil(F.count("*") / (2 * LIST)).alias("parts"))
-        known = known.join(parts, "at").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")))
+        known = lists.select(F.col("v").alias("at"), "u").union(lists.select(F.col("u").alias("at"), F.col("v").alias("u")))
+        # Who lists a vertex that many list is dealt by hash into groups of about two lists, so that no group is large.
+        hubs = lists.groupBy(F.col("u").alias("at")).count().where(F.col("count") > 2 * LIST).select("at", F.ceil((F.col("count") + LIST) / (2 * LIST)).alias("parts"))
+        known = known.join(hubs, "at", "left").select("at", "u", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).alias("part"))
         own = lists.groupBy(F.col("v").alias("id")).agg(F.collect_list("u").alias("held"), F.min("near").alias("least"))  # LIST at most
         own = vertices.select("id", "v", "own").join(own, "id", "left")
         low = F.when(F.size("held") >= LIST, F.col("least")).otherwise(floor)
         state = own.select(F.col("id").alias("u"), "v", "own", low.alias("low"), F.coalesce("held", F.array().cast("array<long>")).alias("held"))
-        met = known.select("at", "part", "u").join(state, "u")
+        met = known.join(state, "u")
         met = met.groupBy("at", "part").agg(F.collect_list(F.struct("u", "v", "own", "low", "held")).alias("members")).where(F.size("members") > 1)
-        new = met.select("members").mapInArrow(partial(_meet, floor=floor), EDGE)
-        old = lists.select(F.col("v").alias("a"), F.col("u").alias("b"), "near")
-        after = cut(_lists(new.groupBy("a", "b").agg(F.max("near").alias("near")).union(old)), where, f"{name}-{step}")
-        changed, size = after.join(lists, ["v", "u"], "left_anti").count(), after.count()
+        new = met.select("members").mapInArrow(partial(_meet, floor=floor), EDGE).withColumn("new", F.lit(True))
+        old = lists.select(F.col("v").alias("a"), F.col("u").alias("b"), "near", F.lit(False).alias("new"))
+        lists = cut(_lists(new.union(old)), where, f"{name}-{step}")
         drop(spark, where, f"{name}-{step - 1}")
-        lists = after
-        if changed <= FEW * size:
+        changed = lists.agg(F.count_if("new").alias("new"), F.count("*").alias("all")).first()
+        if changed["new"] <= FEW * changed["all"]:
             break
-    return lists
+    return lists.drop("new")
 
 
 def _cosine(x: Column, y: Column) -> Column:
@@ -164,10 +165,13 @@ def _cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
-def _strong(lists: DataFrame, exact: DataFrame, threshold: float) -> DataFrame:
+def _strong(lists: DataFrame, exact: DataFrame, where: str, name: str, threshold: float) -> DataFrame:
     """The links (a, b) among edges (v, u, near): those too near the threshold for unit vectors in single precision are decided on the originals."""
     edges = lists.where(F.col("near") >= threshold - BAND).groupBy(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).agg(F.max("near").alias("near"))
+    edges = cut(edges, where, name)
     unsure = edges.where(F.col("near") < threshold + BAND)
+    if unsure.isEmpty():  # mostly
+        return edges.select("a", "b")
     for c in ("a", "b"):
         unsure = unsure.join(exact.select(F.col("id").alias(c), F.col("v").alias(f"v{c}")), c)
     decided = unsure.where(_cosine(F.col("va"), F.col("vb")) >= threshold)
@@ -227,8 +231,7 @@ def _joined(exact: DataFrame, unit: DataFrame, strong: DataFrame, full: DataFram
         n = apart.count()
         if not n:
             return parts
-        met = _strong(graph(apart, where, f"{name}-across{step}", n, GRAPHS * (step + 1) + seed, threshold), exact, threshold)
-        met = cut(met, where, f"{name}-met{step}")
+        met = _strong(graph(apart, where, f"{name}-across{step}", n, GRAPHS * (step + 1) + seed, threshold), exact, where, f"{name}-met{step}", threshold)
         if met.isEmpty():
             return parts
         strong = strong.union(met)
@@ -237,7 +240,7 @@ def _joined(exact: DataFrame, unit: DataFrame, strong: DataFrame, full: DataFram
 
 def _found(exact: DataFrame, unit: DataFrame, lists: DataFrame, where: str, name: str, seed: int, threshold: float) -> DataFrame:
     """(id, n, component) of the vertices that link: n by weight of the others."""
-    strong = cut(_strong(lists, exact, threshold), where, f"{name}-strong")
+    strong = _strong(lists, exact, where, f"{name}-strong", threshold)
     full = lists.where(F.col("near") >= threshold - BAND).groupBy("v").count().where(F.col("count") >= LIST).select(F.col("v").alias("node"))
     full = cut(full, where, f"{name}-full")
     parts = _joined(exact, unit, strong, full, where, name, seed, threshold)
@@ -301,7 +304,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, vec_id: str = "
     for seed in range(GRAPHS):
         new = graph(unit, where, f"graph{seed}", n, seed, threshold)
         if lists is not None:
-            new = cut(_lists(new.union(lists).select(F.col("v").alias("a"), F.col("u").alias("b"), "near")), where, f"graph{seed}-joined")
+            new = cut(_lists(new.union(lists).select(F.col("v").alias("a"), F.col("u").alias("b"), "near", F.lit(False).alias("new"))).drop("new"), where, f"graph{seed}-joined")
         lists = new
         found = _found(exact, unit, lists, where, f"found{seed}", seed, threshold)
         recall = audit(exact, found, threshold)
