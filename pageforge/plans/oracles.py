@@ -74,6 +74,11 @@ ranked as (select *, row_number() over (partition by page_id order by m desc, ty
 one as (select page_id, avg(m) filter (n <= 6) as sharpness, cast(count(*) filter (hot >= 0.6) as int) as glare_hot_tiles from ranked group by page_id)
 """
 
+_CHROMA = f"""with {_COLOR64} {_LAB},
+g as (select page_id, la - 128.0::double as da, lbb - 128.0::double as db, greatest(0.0, least(1.0, (sqrt((la - 128.0::double) * (la - 128.0::double) + (lbb - 128.0::double) * (lbb - 128.0::double)) - 12.0::double) / 18.0::double)) as s from ab),
+o as (select page_id, cast(floor(128.0::double + da * s) as int) as a, cast(floor(128.0::double + db * s) as int) as b from g)
+select page_id, cast(sum(a) as bigint) as sum_a, cast(sum(b) as bigint) as sum_b, cast(count(*) filter (a <> 128 or b <> 128) as bigint) as colored from o group by page_id"""
+
 ORACLES: dict[str, str] = {
     "gate_tiles": f"""{_GATE}select page_id, round(sharpness, 6) as sharpness, glare_hot_tiles, 64 as long_edge,
   concat_ws(',', case when sharpness < 500 then 'blur' end, case when glare_hot_tiles > 2 then 'glare' end, 'low_resolution') as flags, false as passed,
@@ -127,10 +132,8 @@ c as (select page_id, max(x) filter (k = 0) as x0, max(y) filter (k = 0) as y0,
 t as (select *, ((x1 - x0) * (y3 - y1) - (y1 - y0) * (x3 - x1)) / ((x2 - x0) * (y3 - y1) - (y2 - y0) * (x3 - x1)) as t from c)
 select page_id, round(x0 + t * (x2 - x0), 4) as x, round(y0 + t * (y2 - y0), 4) as y from t""",
     "moire_borders": "with s as (select p_partkey, (32 - (p_size * 10 + p_partkey % 7) % 32) % 32 as spare from part) select p_partkey, cast(spare // 2 as int) as before, cast(spare - spare // 2 as int) as after from s",
-    "chroma_gate": f"""with {_COLOR64} {_LAB},
-g as (select page_id, la - 128.0::double as da, lbb - 128.0::double as db, greatest(0.0, least(1.0, (sqrt((la - 128.0::double) * (la - 128.0::double) + (lbb - 128.0::double) * (lbb - 128.0::double)) - 12.0::double) / 18.0::double)) as s from ab),
-o as (select page_id, cast(floor(128.0::double + da * s) as int) as a, cast(floor(128.0::double + db * s) as int) as b from g)
-select page_id, cast(sum(a) as bigint) as sum_a, cast(sum(b) as bigint) as sum_b, cast(count(*) filter (a <> 128 or b <> 128) as bigint) as colored from o group by page_id""",
+    "chroma_gate": _CHROMA,
+    "chroma_lines": _CHROMA,
     "page_grays": f"""with {_COLOR64} select page_id, cast(sum(cast(floor(0.114::double * b + 0.587::double * g + 0.299::double * r + 0.5::double) as int)) as bigint) as gray, cast(sum(sat) as bigint) as saturation, cast(sum(val) as bigint) as value from hx group by page_id""",
     "rotate_pages": f"""with {_GRAY8} select page_id, cast(sum(v * (1 + case page_id % 4 when 0 then y * 8 + x when 1 then x * 8 + 7 - y when 2 then (7 - y) * 8 + 7 - x else (7 - x) * 8 + y end)) as bigint) as weighted_sum from px group by page_id""",
     "quad_geometry": f"""with {_QUADS} {_JUDGED}, ints as (select page_id, k, trunc(x) as x, trunc(y) as y, trunc(nx) as nx, trunc(ny) as ny, trunc(px) as px, trunc(py) as py from ring),

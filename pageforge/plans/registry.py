@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS
 from pageforge.functions import lab
-from pageforge.kernels import filters, light, outline, warp
-from pageforge.operators import catalog, geometry, pages, rasters, score, stats, uploads
+from pageforge.kernels import color, filters, light, outline, warp
+from pageforge.operators import catalog, geometry, pages, score, stats, uploads
 from pageforge.plans.oracles import ORACLES
 from pageforge.sources import fixtures
 
@@ -177,9 +177,19 @@ def moire_borders(spark, sf_dir):
 @query
 def chroma_gate(spark, sf_dir):
     """Chroma of each page after the gate, added up; whether any colour is left."""
-    lines = fixtures.color64(spark, sf_dir)
+    c = SETTINGS.light
 
-    px = lines.withColumn("px", stats.gate_chroma(lab(F.arrays_zip("b", "g", "r"))))
+    def run(page, _):
+        out = light.gated(color.lab(page)[..., 1:], c.gate_low, c.gate_high).astype(np.int64)
+        return {"sum_a": int(out[..., 0].sum()), "sum_b": int(out[..., 1].sum()), "colored": int((out != 128).any(2).sum())}
+
+    return pages.per_page(fixtures.rasters64(spark, sf_dir, color=True), run, "sum_a long, sum_b long, colored long").drop("raster")
+
+
+@query
+def chroma_lines(spark, sf_dir):
+    """The same over scan lines, by array functions."""
+    px = fixtures.color64(spark, sf_dir).withColumn("px", stats.gate_chroma(lab(F.arrays_zip("b", "g", "r"))))
     one = lambda k: F.aggregate("px", F.lit(0).cast("long"), lambda s, p: s + p[k])
     left = F.size(F.filter("px", lambda p: (p["a"] != 128) | (p["b"] != 128)))
     return px.groupBy("page_id").agg(F.sum(one("a")).alias("sum_a"), F.sum(one("b")).alias("sum_b"), F.sum(left).alias("colored"))
@@ -187,11 +197,12 @@ def chroma_gate(spark, sf_dir):
 
 @query
 def page_grays(spark, sf_dir):
-    """Mean gray, saturation and value of colour pages."""
-    lines = fixtures.color64(spark, sf_dir)
-    hsv, gray = rasters.hsv_lines(lines), rasters.gray_lines(lines)
-    total = lambda c: F.sum(rasters.add_up(F.col(c), "long"))
-    return gray.groupBy("page_id").agg(total("v").alias("gray")).join(hsv.groupBy("page_id").agg(total("s").alias("saturation"), total("v").alias("value")), "page_id")
+    """Gray, saturation and value of colour pages, added up."""
+
+    def run(page, _):
+        return {"gray": int(color.gray(page).sum(dtype=np.int64)), "saturation": int(color.saturation(page).sum(dtype=np.int64)), "value": int(color.value(page).sum(dtype=np.int64))}
+
+    return pages.per_page(fixtures.rasters64(spark, sf_dir, color=True), run, "gray long, saturation long, value long").drop("raster")
 
 
 @query
