@@ -1,4 +1,4 @@
-"""Sessions' pages as PDF files."""
+"""PDF files in and out: pages of uploads, sessions' pages as one file."""
 
 from __future__ import annotations
 
@@ -6,12 +6,17 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pageforge.config import SETTINGS, Settings
+from pageforge.kernels import pdf
 from pageforge.kernels.encode import jpeg
-from pageforge.operators.rasters import per_page
+from pageforge.operators.rasters import RASTER, packed, per_page
+from pageforge.operators.uploads import is_born_digital
 
 
 def page_stream(page: np.ndarray, encoding: str, quality: int) -> bytes:
@@ -76,3 +81,75 @@ def assemble(pages: DataFrame, encoding: str | None = None, s: Settings = SETTIN
         return pd.DataFrame({"session_id": [f["session_id"].iat[0]], "pages": [len(f)], "pdf": [body]})
 
     return rows.groupBy("session_id").applyInPandas(build, f"session_id {kind}, pages long, pdf binary")
+
+
+def split_pdfs(uploads: DataFrame, content: str = "content", s: Settings = SETTINGS) -> DataFrame:
+    """One row for each page of PDF uploads: all other columns, page (from 0), item_type, pdf, raster, error.
+
+    Pages with enough text are born digital: item_type pdf_page, the page as a file of its own.  The others are images:
+    a raster where the page is one lossless picture; other scans need a rasterizer, which is not here, so they come with
+    the page's file and an error.  Files that cannot be read, or have more pages than the limit, give one row with an
+    error.
+    """
+    kept = [f for f in uploads.schema.fields if f.name != content]
+    new = T._parse_datatype_string(f"page int, text string, pdf binary, {RASTER}, error string")
+    arrow, most = to_arrow_schema(new), s.upload.max_pages
+
+    def items(data: bytes | None) -> list[dict]:
+        try:
+            file = pdf.File(data or b"")
+            if len(file.pages) > most:
+                raise ValueError(f"PDF has more than {most} pages")
+            out = []
+            for k, page in enumerate(file.pages):
+                text, image = file.text(page), file.image(page)
+                out.append({"page": k, "text": text, "pdf": pdf.joined([(file, page, 0)]), "raster": None if image is None else packed(image)})
+            return out
+        except (ValueError, KeyError, IndexError, TypeError, AttributeError, zlib.error) as fault:
+            return [{"error": f"unreadable PDF: {fault}" if not isinstance(fault, ValueError) else str(fault)}]
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                rows = items(b.column(content)[i].as_py())
+                at = pa.array([i] * len(rows))
+                yield pa.RecordBatch.from_arrays([b.column(f.name).take(at) for f in kept] + [pa.array([r.get(n) for r in rows], arrow.field(n).type) for n in new.fieldNames()], [f.name for f in kept] + new.fieldNames())
+
+    found = uploads.mapInArrow(run, T.StructType([*kept, *new.fields]))
+    born = is_born_digital(F.col("text"), s)
+    kind = F.when(F.col("error").isNull(), F.when(born, "pdf_page").otherwise("image"))
+    found = found.withColumns({"item_type": kind, "error": F.when(F.col("error").isNull() & ~born & F.col("raster").isNull(), "page needs a rasterizer").otherwise(F.col("error"))})
+    return found.withColumn("raster", F.when(F.col("item_type") == "image", F.col("raster"))).drop("text")
+
+
+def turned_pdfs(pages: DataFrame, degrees: Column) -> DataFrame:
+    """The files in column pdf with every page turned clockwise by multiples of 90 degrees, bytes of the pages unchanged."""
+
+    @F.pandas_udf("binary")
+    def turn(files: pd.Series, by: pd.Series) -> pd.Series:
+        def one(data, angle):
+            file = pdf.File(data)
+            return pdf.joined([(file, page, int(angle)) for page in file.pages])
+
+        return pd.Series([None if f is None else one(f, a) for f, a in zip(files, by)])
+
+    return pages.withColumn("pdf", turn(F.col("pdf"), degrees))
+
+
+def export(pages: DataFrame, encoding: str | None = None, s: Settings = SETTINGS) -> DataFrame:
+    """session_id, pages, pdf: the live pages of each session in order, pages that pass through as they are.
+
+    In: session_id, id, order, deleted, passthrough, pdf (of pages that pass through), raster.  Rasters become files of
+    one page where they lie; the files of a session meet in one task, as they do in the result.
+    """
+    live = pages.where(~F.col("deleted")).select("session_id", "id", "order", "passthrough", "pdf", "raster")
+    made = image_pdfs(live.where(~F.col("passthrough")), encoding, s).select("session_id", "id", "order", "pdf")
+    rows = made.unionByName(live.where("passthrough").select("session_id", "id", "order", "pdf")).where("pdf is not null")
+    kind = pages.schema["session_id"].dataType.simpleString()
+
+    def build(f: pd.DataFrame) -> pd.DataFrame:
+        files = [pdf.File(bytes(x)) for x in f.sort_values(["order", "id"])["pdf"]]
+        parts = [(file, page, 0) for file in files for page in file.pages]
+        return pd.DataFrame({"session_id": [f["session_id"].iat[0]], "pages": [len(parts)], "pdf": [pdf.joined(parts)]})
+
+    return rows.groupBy("session_id").applyInPandas(build, f"session_id {kind}, pages long, pdf binary")

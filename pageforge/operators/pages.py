@@ -219,6 +219,16 @@ def process(pages: DataFrame, corners: Callable | None = None, demoire: Callable
     return out.withColumnRenamed("kept_quad", "quad").withColumn("mode", F.coalesce("output_mode", F.lit("color"))).drop("output_mode")
 
 
+def reprocess(edited: DataFrame, s: Settings = SETTINGS, **models: Callable) -> DataFrame:
+    """Pages as their edits want them, from the original rasters: warped by the corners, in the mode, then turned.
+
+    In: raster (the original) and, as `catalog.page_state` folds them, corners (normalized), mode, demoire, rotation.
+    """
+    forced = F.transform("corners", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    done = process(edited.withColumn("forced", forced).withColumnRenamed("mode", "output_mode").drop("corners"), s=s, **models)
+    return rotated(done, F.coalesce("rotation", F.lit(0)))
+
+
 def rotated(pages: DataFrame, degrees: Column) -> DataFrame:
     """Rasters turned clockwise by multiples of 90 degrees."""
     run = lambda page, row: {"raster": packed(warp.quarter_turns(page, row["degrees"]))}

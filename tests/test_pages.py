@@ -9,7 +9,7 @@ from drawn import form, photo
 from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS
-from pageforge.kernels import color, encode, filters, light, model, outline, stats, warp
+from pageforge.kernels import color, encode, filters, light, model, outline, pdf, stats, warp
 from pageforge.operators import documents, pages
 from pageforge.sources import images
 
@@ -210,3 +210,61 @@ def test_pdf_of_pages(spark):
     assert documents.image_pdfs(rasters(spark, [page])).first()["pdf"].count(b"/Type /Page ") == 1
     files = images.encoded(rasters(spark, [page, None]), "png").orderBy("page_id").collect()
     assert files[0]["file"][:4] == b"\x89PNG" and files[1]["file"] is None
+
+
+def text_pdf(text):
+    """A page of text with hand-made objects, one of them in an object stream."""
+    stream = b"BT /F1 24 Tf 72 700 Td (" + text.encode() + b") Tj [(a\\)b) -20 <6364>] TJ ET"
+    held = b"7 0 << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"
+    bodies = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 612 792] /Rotate 90 >>",
+        b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 7 0 R >> >> /Contents 4 0 R >>",
+        b"<< /Length 5 0 R >>\nstream\n" + stream + b"\nendstream",
+        b"%d" % len(stream),
+        b"<< /Type /ObjStm /N 1 /First 4 /Filter /FlateDecode /Length %d >>\nstream\n" % len(zlib.compress(held)) + zlib.compress(held) + b"\nendstream",
+    ]
+    out = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n" % k + body + b"\nendobj\n" for k, body in enumerate(bodies, 1))
+    return out + b"trailer\n<< /Root 1 0 R >>\nstartxref\n0\n%%EOF"
+
+
+def test_pages_of_pdf_uploads(spark):
+    page, _ = photo(seed=7, size=0.1)
+    image = documents.write_pdf([(*page.shape[:2], documents.page_stream(page, "png", 95))], 200)
+    born = text_pdf("This page was written and never photographed")
+    mixed = pdf.joined([(pdf.File(born), pdf.File(born).pages[0], 0), (pdf.File(image), pdf.File(image).pages[0], 0)])
+    photo_pdf = documents.write_pdf([(*page.shape[:2], documents.page_stream(page, "jpeg", 95))], 200)
+    many = pdf.joined([(f := pdf.File(born), f.pages[0], 0)] * 51)
+    files = [("mixed", mixed), ("short", text_pdf("only this")), ("jpeg", photo_pdf), ("many", many), ("junk", b"%PDF-1.4 nothing %%EOF"), ("none", None), ("locked", born.replace(b"/Root", b"/Encrypt 9 0 R /Root"))]
+    out = {}
+    for r in documents.split_pdfs(spark.createDataFrame(files, "name string, content binary")).collect():
+        out.setdefault(r["name"], []).append((r["page"], r["item_type"], r["error"], r["pdf"], r["raster"]))
+    assert [x[:3] for x in out["mixed"]] == [(0, "pdf_page", None), (1, "image", None)]
+    assert (pages.unpacked(out["mixed"][1][4].asDict()) == page).all() and out["mixed"][0][4] is None
+    own = pdf.File(bytes(out["mixed"][0][3]))
+    assert own.text(own.pages[0]) == "This page was written and never photographeda)bcd" and own.pages[0]["/Rotate"] == 90 and b"Helvetica" in out["mixed"][0][3]
+    assert [x[1] for x in out["short"]] == ["image"] and out["jpeg"][0][2] == "page needs a rasterizer"
+    assert out["many"][0][:3] == (None, None, "PDF has more than 50 pages") and out["locked"][0][2] == "encrypted PDF"
+    assert out["junk"][0][2] and out["none"][0][2]
+
+
+def test_export_keeps_text_and_order(spark):
+    page, _ = photo(seed=7, size=0.1)
+    born = text_pdf("Kept as it is")
+    raster = pages.packed(page)
+    rows = [(1, "b", 1, False, True, born, None), (1, "a", 2, False, False, None, raster), (1, "c", 0, False, False, None, raster), (1, "d", 3, True, True, born, None), (2, "e", 0, True, False, None, raster)]
+    table = spark.createDataFrame(rows, "session_id long, id string, `order` int, deleted boolean, passthrough boolean, pdf binary, raster struct<height:int,width:int,nChannels:int,mode:int,data:binary>")
+    (one,) = documents.export(table, "png").collect()
+    file = pdf.File(bytes(one["pdf"]))
+    assert one["pages"] == 3 and [file.text(p)[:7] for p in file.pages] == ["", "Kept as", ""] and (file.image(file.pages[0]) == page).all()
+    turned = documents.turned_pdfs(table.where("passthrough"), F.lit(-90)).first()["pdf"]
+    assert pdf.File(bytes(turned)).pages[0]["/Rotate"] == 0 and pdf.File(bytes(turned)).text(pdf.File(bytes(turned)).pages[0]).startswith("Kept")
+
+
+def test_edited_pages_are_made_anew(spark):
+    page, _ = photo(seed=8, size=0.1)
+    corners = [[0.0, 0.0], [0.5, 0.0], [0.5, 0.8], [0.0, 0.8]]
+    state = spark.createDataFrame([(0, corners, "gray", False, 90)], "page_id long, corners array<array<double>>, mode string, demoire boolean, rotation int")
+    row = pages.reprocess(rasters(spark, [page]).join(state, "page_id")).first()
+    done = pages.unpacked(row["raster"].asDict())
+    assert done.shape[:2] == (round(0.5 * page.shape[1]), round(0.8 * page.shape[0])) and (done[..., 0] == done[..., 2]).all() and row["mode"] == "gray" and row["rotation"] == 90
