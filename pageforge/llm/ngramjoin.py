@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from pageforge.llm.common import SpanHasher, byte_view, cut, drop, pick, shared_dir, shuffle_parts, signed, slices, splitmix, table
 from pageforge.llm.components import components
+from pageforge.llm.wordcodes import forget
 
 WORDS = 5
 #: A token is frequent when its cell has at least this many documents' tokens, and this many times the mean of a cell;
@@ -185,6 +186,7 @@ REMEMBERED = 1 << 18
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int], list[bool]]]:
     """Slices with each row's set, its node, and whether this task meets the node for the first time (or again after a while)."""
+    forget()
     table, used = np.zeros(REMEMBERED, np.int64), np.zeros(REMEMBERED, bool)
     for batch in batches:
         for part in slices(batch, "text"):

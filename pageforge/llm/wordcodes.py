@@ -98,9 +98,9 @@ class KeyTable:
 
     def add(self, keys: np.ndarray, first: int) -> None:
         """Distinct keys that it doesn't have yet; they get rows from `first` on."""
-        if (self.size + len(keys)) * 3 > 1 << self.bits:
+        if (self.size + len(keys)) * 2 > 1 << self.bits:
             held, rows = self.keys[self.rows >= 0], self.rows[self.rows >= 0]
-            while (self.size + len(keys)) * 3 > 1 << self.bits:
+            while (self.size + len(keys)) * 2 > 1 << self.bits:
                 self.bits += 1
             self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
             self._put(held, rows)
@@ -122,17 +122,17 @@ class KeyTable:
 class WordCodes:
     """The ids of texts; `encode_words` gets distinct pre-tokens, `encode_texts` gets whole unusual texts."""
 
-    def __init__(self, encode_words: Callable, encode_texts: Callable, most: int = 200_000) -> None:
+    def __init__(self, encode_words: Callable, encode_texts: Callable, most: int = 1_000_000) -> None:
         self.encode_words, self.encode_texts, self.most = encode_words, encode_texts, most
         self.hash = SpanHasher()
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.flat, self.used, self.n = KeyTable(), np.zeros(1 << 16, np.uint32), 0, 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.table, self.flat, self.used, self.n = KeyTable(), np.zeros(1 << 16, np.uint16), 0, 0
+        self.start, self.length = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _learn(self, low: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if self.n > self.most:  # the memory of a worker stays bounded; results do not depend on what is held
+        if self.n > self.most or self.used > 8 * self.most:  # about 50 MB; results do not depend on what is held
             self.clear()
         new, at = np.unique(keys, return_index=True)
         if self.n:
@@ -144,8 +144,10 @@ class WordCodes:
         ids = self.encode_words([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for row in ids for x in row), np.uint32, int(length.sum()))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        if len(flat) and self.flat.dtype == np.uint16 and int(flat.max()) >> 16:
+            self.flat = self.flat.astype(np.uint32)
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, len(flat)), self.flat.dtype)])
         while self.n + len(new) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         self.flat[self.used : self.used + len(flat)] = flat
@@ -174,10 +176,10 @@ class WordCodes:
                 miss = np.flatnonzero(at < 0)
                 self._learn(low, keys[miss], starts[miss], ends[miss])
                 at = self.table.find(keys)
-        length = self.length[at]
+        length = self.length[at].astype(np.int64)
         end = np.cumsum(length)
         total = int(end[-1]) if len(end) else 0
-        ids = self.flat[np.repeat(self.start[at] - (end - length), length) + np.arange(total)]
+        ids = self.flat[np.repeat(self.start[at] - (end - length), length) + np.arange(total)].astype(np.uint32)
         words = np.searchsorted(row, np.arange(len(plain) + 1))
         bounds = np.concatenate([[0], end])[words]
         if plain.all():
@@ -194,6 +196,12 @@ class WordCodes:
 _held: dict = {}
 
 
+def forget() -> None:
+    """Empties the worker's tables: stages that need memory for other things call it."""
+    for codes in _held.values():
+        codes.clear()
+
+
 def library_codes(path: str) -> WordCodes:
     """The ids that the tokenizers library gives; one per worker, kept between tasks."""
     if path not in _held:
