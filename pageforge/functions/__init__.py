@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,15 +29,6 @@ def gray(b: Column, g: Column, r: Column) -> Column:
     return nearest(0.114 * b + 0.587 * g + 0.299 * r)
 
 
-def value(b: Column, g: Column, r: Column) -> Column:
-    return F.greatest(b, g, r)
-
-
-def saturation(b: Column, g: Column, r: Column) -> Column:
-    top = F.greatest(b, g, r)
-    return F.when(top == 0, F.lit(0)).otherwise(nearest((top - F.least(b, g, r)) * 255.0 / top)).cast("int")
-
-
 def _linear(byte: int) -> float:
     x = byte / 255.0
     return x / 12.92 if x <= 0.04045 else ((x + 0.055) / 1.055) ** 2.4
@@ -67,10 +56,6 @@ def lab(pixels: Column) -> Column:
     return F.transform(bent, lambda p: F.struct(to_byte(p["l"] * 255.0 / 100.0).alias("l"), to_byte(500.0 * (p["x"] - p["y"]) + 128.0).alias("a"), to_byte(200.0 * (p["y"] - p["z"]) + 128.0).alias("b")))
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
 def python_strip(text: Column) -> Column:
     """Without white space at either end, white space in the Unicode sense."""
     space = "[\\\\s\\\\x{1c}-\\\\x{1f}\\\\x{85}\\\\x{a0}\\\\x{1680}\\\\x{2000}-\\\\x{200a}\\\\x{2028}\\\\x{2029}\\\\x{202f}\\\\x{205f}\\\\x{3000}]".replace("\\\\", "\\")

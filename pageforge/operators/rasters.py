@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pageforge.functions import gray, saturation, value
+from pageforge.functions import gray
 
 
 RASTER = "raster struct<height:int,width:int,nChannels:int,mode:int,data:binary>"
@@ -96,10 +96,6 @@ def gray_lines(lines: DataFrame) -> DataFrame:
     return lines.select("page_id", "y", "h", "w", F.transform(per_pixel(gray), lambda v: v.cast("int")).alias("v"))
 
 
-def hsv_lines(lines: DataFrame) -> DataFrame:
-    return lines.select("page_id", "y", "h", "w", per_pixel(saturation).alias("s"), per_pixel(value).alias("v"))
-
-
 def line_above(name: str, mirror: bool) -> Column:
     """The line before; at the top the line after (mirrored border) or the line itself (replicated border)."""
     w = Window.partitionBy("page_id").orderBy("y")

@@ -1,4 +1,4 @@
-"""Statistics of pages: sharpness, glare, noise, moire, paper, levels, sanity."""
+"""Statistics of pages over scan lines: sharpness, glare, noise, levels, chroma; what is decided from measures."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS, Settings
-from pageforge.functions import clip, flags, lab, saturation, value
-from pageforge.operators.rasters import add_up, gray_lines, line_above, line_below, neighbours, per_pixel, tile_parts
+from pageforge.functions import clip, flags
+from pageforge.operators.rasters import add_up, line_above, line_below, neighbours, tile_parts
 
 
 def sharpness(gray: DataFrame, s: Settings = SETTINGS) -> DataFrame:
@@ -55,22 +55,6 @@ def noise_sigma(gray: DataFrame) -> DataFrame:
     return sums.select("page_id", F.when((F.col("h") < 3) | (F.col("w") < 3), 0.0).otherwise(sigma).alias("sigma"))
 
 
-def moire(lines: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """page_id, moire: the greatest spread of chroma in a tile that is mostly paper; 0 without such a tile."""
-    pixels = F.arrays_zip("b", "g", "r")
-    both = F.zip_with(pixels, lab(pixels), lambda p, q: F.struct((saturation(p["b"], p["g"], p["r"]) < 40).alias("low"), F.sqrt((q["a"] - 128) * (q["a"] - 128) + (q["b"] - 128) * (q["b"] - 128)).alias("c")))
-    parts = tile_parts(lines.withColumn("px", both), "px", s.adaptive.grid)
-    low = F.filter("part", lambda p: p["low"])
-    one = parts.select(
-        "page_id", "ty", "tx", F.size("part").alias("n"), F.size(low).alias("k"),
-        add_up(F.transform(low, lambda p: p["c"])).alias("s1"), add_up(F.transform(low, lambda p: p["c"] * p["c"])).alias("s2"),
-    )
-    tiles = one.groupBy("page_id", "ty", "tx").agg(*[F.sum(c).alias(c) for c in ("n", "k", "s1", "s2")])
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("k") - F.pow(F.col("s1") / F.col("k"), F.lit(2))))
-    fit = (F.col("k") / F.col("n") > 0.5) & (F.col("k") > 20)
-    return tiles.groupBy("page_id").agg(F.coalesce(F.max(F.when(fit, spread)), F.lit(0.0)).alias("moire"))
-
-
 def adaptive_columns(s: Settings = SETTINGS) -> dict[str, Column]:
     """Denoising, sharpening and routing from the columns sigma and moire; decided on the values as measured, rounded after."""
     a, sigma, moire_ = s.adaptive, F.col("sigma"), F.col("moire")
@@ -92,15 +76,6 @@ def adaptive(measured: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     return measured.select("page_id", *[c.alias(n) for n, c in adaptive_columns(s).items()])
 
 
-def paper(lines: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """page_id, clean_share, paper_share, already_clean, document_like."""
-    c = s.light
-    bright = per_pixel(lambda b, g, r: F.struct(((value(b, g, r) > c.clean_val) & (saturation(b, g, r) < c.clean_sat)).alias("clean"), ((value(b, g, r) > c.paper_val) & (saturation(b, g, r) < c.paper_sat)).alias("paper")))
-    rows = lines.withColumn("px", bright).select("page_id", F.size("px").alias("n"), F.size(F.filter("px", lambda p: p["clean"])).alias("clean"), F.size(F.filter("px", lambda p: p["paper"])).alias("paper"))
-    out = rows.groupBy("page_id").agg(*[(F.sum(k) / F.sum("n")).alias(f"{k}_share") for k in ("clean", "paper")])
-    return out.withColumns({"already_clean": F.col("clean_share") > c.clean_share, "document_like": F.col("paper_share") >= c.paper_share})
-
-
 def counts_of(lines: DataFrame, name: str = "v") -> DataFrame:
     """page_id, value, n: the histogram of each page, at most 256 rows a page."""
     return lines.select("page_id", F.explode(name).alias("value")).groupBy("page_id", "value").agg(F.count("*").alias("n"))
@@ -112,14 +87,6 @@ def levels(light: DataFrame, low: float, high: float) -> DataFrame:
     return counts_of(light).groupBy("page_id").agg(both.alias("p")).select("page_id", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
 
 
-def stretch(light: DataFrame, low: float, high: float, floor: int) -> DataFrame:
-    """The lines with v stretched between two percentiles to floor..255 and truncated; unchanged where they are within 1."""
-    joined = light.join(levels(light, low, high), "page_id")
-    span = F.col("hi") - F.col("lo")
-    out = F.transform("v", lambda v: F.floor(clip((v - F.col("lo")) / span, 0.0, 1.0) * (255 - floor) + floor).cast("int"))
-    return joined.withColumn("v", F.when(span < 1.0, F.col("v")).otherwise(out)).drop("lo", "hi")
-
-
 def edge_thresholds(gray: DataFrame) -> DataFrame:
     """page_id, low, high: a third around the median, for edge detection."""
     middle = counts_of(gray).groupBy("page_id").agg(F.percentile("value", 0.5, F.col("n")).alias("m"))
@@ -134,20 +101,3 @@ def gate_chroma(colors: Column, s: Settings = SETTINGS) -> Column:
     byte = lambda d, k: F.floor(clip(128.0 + (d - 128.0) * k, 0.0, 255.0)).cast("int")
     scaled = F.transform(colors, lambda p: F.struct(p["l"].alias("l"), p["a"].alias("a"), p["b"].alias("b"), share(p).alias("k")))
     return F.transform(scaled, lambda p: F.struct(p["l"].alias("l"), byte(p["a"], p["k"]).alias("a"), byte(p["b"], p["k"]).alias("b")))
-
-
-def sanity(lines: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """page_id, aspect, uniform_frac, flags, passed of pages after warping."""
-    c = s.sanity
-    mean = lines.withColumn("v", per_pixel(lambda b, g, r: F.floor((b + g + r) / 3.0).cast("int")))
-    top = counts_of(mean).groupBy("page_id").agg((F.max("n") / F.sum("n")).alias("uniform_frac"))
-    size = lines.groupBy("page_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    wide, tall = F.col("w") / F.col("h"), F.col("h") / F.col("w")
-    found = flags((~wide.between(c.min_aspect, c.max_aspect) & ~tall.between(c.min_aspect, c.max_aspect), "implausible_aspect"), (F.col("uniform_frac") > c.uniform, "mostly_uniform"))
-    out = size.join(top, "page_id").select("page_id", F.greatest(wide, tall).alias("aspect"), "uniform_frac", found.alias("flags"))
-    return out.withColumn("passed", F.size("flags") == 0)
-
-
-def measure(lines: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """Noise and moire of colour lines, for `adaptive`."""
-    return noise_sigma(gray_lines(lines)).join(moire(lines, s), "page_id")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS, Settings
 from pageforge.kernels.encode import jpeg
+from pageforge.operators.documents import split_pdfs
 from pageforge.operators.rasters import RASTER, packed, per_page
 from pageforge.operators.uploads import kind_of
 
@@ -46,6 +47,13 @@ def rasters(spark: SparkSession, folder: str) -> DataFrame:
     return upright.unionByName(turned).select(F.sha2("path", 256).alias("page_id"), "raster")
 
 
+def load(spark: SparkSession, folder: str, s: Settings = SETTINGS) -> DataFrame:
+    """The pages of all images and PDFs of a folder: id (of the file), page, item_type, raster, pdf, error."""
+    pictures = rasters(spark, folder).select(F.col("page_id").alias("id"), F.lit(0).alias("page"), F.lit("image").alias("item_type"), "raster", F.lit(None).cast("binary").alias("pdf"), F.lit(None).cast("string").alias("error"))
+    files = uploads(spark, folder, s=s).where(kind_of(F.col("content"), F.col("mime"), s) == "pdf").select("id", "content")
+    return pictures.unionByName(split_pdfs(files, s=s).select("id", "page", "item_type", "raster", "pdf", "error"))
+
+
 #: What makes a page upright, by the camera's note.
 UPRIGHT = {
     2: lambda p: p[:, ::-1],

@@ -112,6 +112,15 @@ def test_decisions(spark, method, skip, plausible, want):
     assert (r["step"], r["margin"], r["flags"], r["confidence"], r["kept_quad"] is not None) == want
 
 
+def test_audit_and_orphans(spark):
+    event = spark.range(1).select(*catalog.audit(F.lit("me"), "page.rotate", F.lit("p1"), F.create_map(F.lit("deg"), F.lit("90")))).first()
+    assert (event["actor"], event["action"], event["target"], event["detail"]) == ("me", "page.rotate", "p1", {"deg": "90"}) and len(event["id"]) == 64 and event["timestamp"]
+    pages = spark.createDataFrame([("a", 1), ("b", 2)], "id string, session_id long")
+    assert [r["id"] for r in catalog.orphans(pages, spark.createDataFrame([(1,)], "session_id long")).collect()] == ["b"]
+    live = spark.createDataFrame([("b", 1, 0, False), ("a", 1, 0, False), ("c", 1, 0, True)], "id string, session_id long, order int, deleted boolean")
+    assert [r["id"] for r in catalog.ordered_pages(live).collect()] == ["a", "b"]
+
+
 def test_reorder_takes_the_last_place_of_doubles(spark):
     pages = spark.createDataFrame([("a", 1, 0), ("b", 1, 1), ("c", 1, 2)], "id string, session_id long, order int")
     wanted = spark.createDataFrame([(1, ["c", "a", "c"])], "session_id long, page_ids array<string>")

@@ -248,6 +248,15 @@ def test_pages_of_pdf_uploads(spark):
     assert out["junk"][0][2] and out["none"][0][2]
 
 
+def test_images_and_pdfs_of_a_folder(spark, tmp_path):
+    page, _ = photo(seed=7, size=0.05)
+    (tmp_path / "a.png").write_bytes(images.png(page.shape[0], page.shape[1], page.tobytes()))
+    (tmp_path / "b.pdf").write_bytes(text_pdf("This page was written and never photographed"))
+    (tmp_path / "c.txt").write_bytes(b"no page")
+    out = sorted((r["item_type"], r["page"], r["raster"] is not None, r["pdf"] is not None, r["error"]) for r in images.load(spark, str(tmp_path)).collect())
+    assert out == [("image", 0, True, False, None), ("pdf_page", 0, False, True, None)]
+
+
 def test_export_keeps_text_and_order(spark):
     page, _ = photo(seed=7, size=0.1)
     born = text_pdf("Kept as it is")
