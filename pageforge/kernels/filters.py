@@ -82,19 +82,20 @@ def close_ellipse(plane: np.ndarray, size: int) -> np.ndarray:
 
 
 def _resample(plane: np.ndarray, n: int, axis: int, area: bool) -> np.ndarray:
-    p = np.moveaxis(plane.astype(np.float64), axis, 0)
-    m = len(p)
-    if area:
-        sums = np.concatenate([np.zeros_like(p[:1]), np.cumsum(p, 0)])
+    p = np.moveaxis(plane.astype(np.float32), axis, 0)
+    m, shape = len(p), (-1, *[1] * (p.ndim - 1))
+    out = 0.0
+    if area:  # each new line is a mean of the few old ones that it covers
         at = np.arange(n + 1) * (m / n)
-        low = np.minimum(at.astype(int), m)
-        part = (at - low).reshape(-1, *[1] * (p.ndim - 1))
-        edge = sums[low] + part * (sums[np.minimum(low + 1, m)] - sums[low])
-        out = (edge[1:] - edge[:-1]) * (n / m)
+        low = np.minimum((at[:-1] + 1e-9).astype(int), m - 1)
+        for k in range(int(np.ceil(m / n)) + 1):
+            line = low + k
+            part = np.clip(np.minimum(at[1:], line + 1) - np.maximum(at[:-1], line), 0, None) * (n / m)
+            out = out + p[np.minimum(line, m - 1)] * part.astype(np.float32).reshape(shape)
     else:
         at = np.clip((np.arange(n) + 0.5) * (m / n) - 0.5, 0, m - 1)
         low = at.astype(int)
-        part = (at - low).reshape(-1, *[1] * (p.ndim - 1))
+        part = (at - low).astype(np.float32).reshape(shape)
         out = p[low] * (1 - part) + p[np.minimum(low + 1, m - 1)] * part
     return np.moveaxis(out, 0, axis)
 
@@ -106,20 +107,26 @@ def resize(page: np.ndarray, height: int, width: int, area: bool = False) -> np.
 
 def bilateral(page: np.ndarray, size: int, sigma_color: float, sigma_space: float) -> np.ndarray:
     """Means of a disc's pixels, weighted by nearness in place and colour (the sum of the channels' differences)."""
-    planes = page if page.ndim == 3 else page[..., None]
-    r, (h, w, n) = size // 2, planes.shape
-    p = padded(planes, r).astype(np.int16)
-    here = planes.astype(np.int16)
-    by_color = np.exp(-(np.arange(255 * n + 1) ** 2) / (2 * sigma_color**2)).astype(np.float32)
-    total, weight = np.zeros(planes.shape, np.float32), np.zeros((h, w), np.float32)
-    for dy in range(-r, r + 1):
-        for dx in range(-r, r + 1):
-            if dx * dx + dy * dy <= r * r:
-                there = p[r + dy : r + dy + h, r + dx : r + dx + w]
-                k = by_color[np.abs(there - here).sum(2)] * np.float32(np.exp(-(dx * dx + dy * dy) / (2 * sigma_space**2)))
-                total += there * k[..., None]
-                weight += k
-    return np.floor(total / weight[..., None] + 0.5).astype(np.uint8).reshape(page.shape)
+    planes = np.ascontiguousarray(page[None] if page.ndim == 2 else np.moveaxis(page, 2, 0))
+    r, (n, h, w) = size // 2, planes.shape
+    p = np.stack([padded(c, r) for c in planes])
+    wide = p.astype(np.float32)
+    by_color = np.exp(-(np.arange(255 * n + 1) ** 2) / (2 * sigma_color**2))
+    disc = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dx * dx + dy * dy <= r * r]
+    tables = {d: (by_color * np.exp(-(d[0] ** 2 + d[1] ** 2) / (2 * sigma_space**2))).astype(np.float32) for d in disc}
+    out = np.empty((n, h, w), np.uint8)
+    for y in range(0, h, 32):  # some lines at a time, so that they stay in the cache
+        rows = min(32, h - y)
+        here = planes[:, y : y + rows]
+        total, weight = np.zeros((n, rows, w), np.float32), np.zeros((rows, w), np.float32)
+        for dy, dx in disc:
+            at = (slice(None), slice(y + r + dy, y + r + dy + rows), slice(r + dx, r + dx + w))
+            off = np.maximum(p[at], here) - np.minimum(p[at], here)
+            k = tables[dy, dx].take(off[0] if n == 1 else off.sum(0, dtype=np.uint16))
+            total += k * wide[at]
+            weight += k
+        out[:, y : y + rows] = total / weight + np.float32(0.5)
+    return out[0] if page.ndim == 2 else np.ascontiguousarray(np.moveaxis(out, 0, 2))
 
 
 def _means(plane: np.ndarray, size: int) -> np.ndarray:
@@ -146,14 +153,21 @@ def non_local_means(planes: np.ndarray, strength: float, patch: int = 7, search:
 
 
 def median(plane: np.ndarray, size: int) -> np.ndarray:
-    """Medians of square windows, with edges replicated, some lines at a time."""
+    """Medians of square windows of 8-bit pixels, with edges replicated, bit by bit: the greatest value that half of a window reaches."""
     r, (h, w) = size // 2, plane.shape
     p = padded(plane, r, "edge")
     out = np.empty_like(plane)
-    for y in range(0, h, 64):
-        n = min(64, h - y)
-        stack = np.stack([p[y + dy : y + dy + n, dx : dx + w] for dy in range(size) for dx in range(size)])
-        out[y : y + n] = np.partition(stack, size * size // 2, axis=0)[size * size // 2]
+    for y in range(0, h, 32):  # some lines at a time, so that they stay in the cache
+        rows = min(32, h - y)
+        shifts = [p[y + dy : y + dy + rows, dx : dx + w] for dy in range(size) for dx in range(size)]
+        value = np.zeros((rows, w), np.uint8)
+        for bit in (128, 64, 32, 16, 8, 4, 2, 1):
+            higher = value | np.uint8(bit)
+            count = np.zeros((rows, w), np.uint8)
+            for there in shifts:
+                count += there >= higher
+            value = np.where(count > size * size // 2, higher, value)
+        out[y : y + rows] = value
     return out
 
 
