@@ -25,12 +25,13 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import cut, drop, pick, shared_dir, shuffle_parts, table
+from pageforge.llm.common import cut, drop, pick, shared_dir, shuffle_parts, signed, splitmix, table
 from pageforge.llm.components import components
-from pageforge.llm.vectors import is_sound, matrix
+from pageforge.llm.vectors import matrix
 
 THRESHOLD = 0.93
 #: Length of neighbour lists, least similarity of an edge, rows that the sort links on each side, rounds at most, share
@@ -38,8 +39,36 @@ THRESHOLD = 0.93
 LIST, FLOOR, NEXT, ROUNDS, FEW = 16, 0.6, 6, 5, 0.01
 #: Rows of a block, vertices of the audit, its least recall, graphs at most.
 BLOCK, AUDIT, RECALL, GRAPHS = 256, 200, 0.97, 3
-#: How far the similarity of unit vectors in single precision may be off; how far an angle in double precision may.
-BAND, SLACK = 1e-6, 1e-7
+#: How far an angle in double precision may be off.
+SLACK = 1e-7
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    """Vectors of one length in double precision, divided by their lengths."""
+    x = matrix(column)
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
+FACTS = "vec_id long, label long, dim int, v {kind}, sound boolean, h1 long, h2 long"
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether a vector takes part, and two hashes of it: equal vectors have equal ones."""
+    for b in batches:
+        lists = b.column("v")
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        sound, hashes = np.zeros(b.num_rows, bool), np.zeros((2, b.num_rows), np.uint64)
+        for dim in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == dim)
+            x = matrix(lists.take(pa.array(own))) + 0.0  # one zero, no negative one
+            sound[own] = np.isfinite(x).all(1) & (x != 0).any(1)
+            odd = np.random.default_rng([11, dim]).integers(1, 2**63, (dim, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            bits = splitmix(np.ascontiguousarray(x).view(np.uint64))
+            for k in (0, 1):
+                hashes[k, own] = splitmix((bits * odd[:, k]).sum(1, dtype=np.uint64))
+        fine = b.column("vec_id").is_valid().to_numpy(zero_copy_only=False) & b.column("label").is_valid().to_numpy(zero_copy_only=False)
+        cols = [b.column("vec_id"), b.column("label"), pa.array(size), lists, pa.array(sound & fine), *(pa.array(signed(h)) for h in hashes)]
+        yield pa.RecordBatch.from_arrays(cols, ["vec_id", "label", "dim", "v", "sound", "h1", "h2"])
 
 
 def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
@@ -52,7 +81,7 @@ def _codes(batches: Iterator[pa.RecordBatch], tables: int, bits: int, seed: int)
         dims = batch.column("dim").to_numpy()
         for dim in np.unique(dims):
             part = batch.filter(pa.array(dims == dim))
-            x = matrix(part.column("v"))
+            x = _units(part.column("v"))
             spots = np.einsum("nd,dtb->ntb", x, _planes(int(dim), tables, bits, seed), optimize=True)
             code = ((spots[:, :, :bits] > 0) << np.arange(bits)).sum(2).astype(np.int64)
             for t in range(tables):
@@ -79,6 +108,7 @@ def _beside(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.Reco
             own = np.flatnonzero(dims == dim)
             ends = np.cumsum(dims)
             x = flat[(ends[own] - dim)[:, None] + np.arange(dim)]
+            x /= np.sqrt((x**2).sum(1))[:, None]
             for step in range(1, NEXT + 1):
                 a, b = np.arange(len(own) - step), np.arange(step, len(own))
                 good = (own[b] - own[a] == step) & (own[b] >= carried) & (comp[own[a]] != comp[own[b]])
@@ -110,7 +140,7 @@ def _meet(groups: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordB
             _, once = np.unique(rows.field("u").to_numpy(), return_index=True)  # who lists and is listed comes twice
             rows = rows.take(pa.array(once))
             ids, own, low = (rows.field(c).to_numpy() for c in ("u", "own", "low"))
-            x = matrix(rows.field("v"))
+            x = _units(rows.field("v"))
             near = x @ x.T
             held = rows.field("held")
             has = np.zeros(near.shape, bool)
@@ -133,7 +163,8 @@ def graph(vertices: DataFrame, where: str, name: str, n: int, seed: int, thresho
     spark = vertices.sparkSession
     bits = int(np.clip(np.log2(max(n, 1) / 80), 1, 24))
     tables = int(min(64, max(16, np.ceil(5 / (1 - np.arccos(threshold) / np.pi) ** bits))))
-    coded = vertices.mapInArrow(partial(_codes, tables=tables, bits=bits, seed=seed), "label long, dim int, code long, spot double, id long, v array<float>, own long")
+    kind = vertices.schema["v"].dataType.simpleString()
+    coded = vertices.mapInArrow(partial(_codes, tables=tables, bits=bits, seed=seed), f"label long, dim int, code long, spot double, id long, v {kind}, own long")
     keys = ("label", "dim", "code", "spot", "id")
     # Sorted by range, a bucket of any size is spread over tasks; edges across a border of tasks are found in other tables.
     edges = coded.repartitionByRange(2 * shuffle_parts(spark), *keys).sortWithinPartitions(*keys).mapInArrow(partial(_beside, floor=floor), EDGE)
@@ -165,17 +196,9 @@ def _cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
-def _strong(lists: DataFrame, exact: DataFrame, where: str, name: str, threshold: float) -> DataFrame:
-    """The links (a, b) among edges (v, u, near): those too near the threshold for unit vectors in single precision are decided on the originals."""
-    edges = lists.where(F.col("near") >= threshold - BAND).groupBy(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).agg(F.max("near").alias("near"))
-    edges = cut(edges, where, name)
-    unsure = edges.where(F.col("near") < threshold + BAND)
-    if unsure.isEmpty():  # mostly
-        return edges.select("a", "b")
-    for c in ("a", "b"):
-        unsure = unsure.join(exact.select(F.col("id").alias(c), F.col("v").alias(f"v{c}")), c)
-    decided = unsure.where(_cosine(F.col("va"), F.col("vb")) >= threshold)
-    return edges.where(F.col("near") >= threshold + BAND).select("a", "b").union(decided.select("a", "b"))
+def _strong(lists: DataFrame, where: str, name: str, threshold: float) -> DataFrame:
+    """The links (a, b) among edges (v, u, near)."""
+    return cut(lists.where(F.col("near") >= threshold).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct(), where, name)
 
 
 def _across(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -219,39 +242,39 @@ def _counted(members: DataFrame, where: str, name: str, threshold: float) -> Dat
     return out
 
 
-def _joined(exact: DataFrame, unit: DataFrame, strong: DataFrame, full: DataFrame, where: str, name: str, seed: int, threshold: float) -> DataFrame:
+def _joined(vertices: DataFrame, strong: DataFrame, full: DataFrame, where: str, name: str, seed: int, threshold: float) -> DataFrame:
     """(node, component) of links, joined by the links between saturated vertices that their lists have no place for."""
     step = 0
     while True:
         parts = components(strong, where, f"{name}-component{step}")
-        apart = unit.drop("own").join(parts.join(full, "node").select(F.col("node").alias("id"), F.col("component").alias("own")), "id")
+        apart = vertices.drop("own").join(parts.join(full, "node").select(F.col("node").alias("id"), F.col("component").alias("own")), "id")
         apart = cut(apart, where, f"{name}-apart{step}")
         several = apart.groupBy("label", "dim").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("label", "dim")
         apart = apart.join(several, ["label", "dim"])
         n = apart.count()
         if not n:
             return parts
-        met = _strong(graph(apart, where, f"{name}-across{step}", n, GRAPHS * (step + 1) + seed, threshold), exact, where, f"{name}-met{step}", threshold)
+        met = _strong(graph(apart, where, f"{name}-across{step}", n, GRAPHS * (step + 1) + seed, threshold), where, f"{name}-met{step}", threshold)
         if met.isEmpty():
             return parts
         strong = strong.union(met)
         step += 1
 
 
-def _found(exact: DataFrame, unit: DataFrame, lists: DataFrame, where: str, name: str, seed: int, threshold: float) -> DataFrame:
+def _found(vertices: DataFrame, lists: DataFrame, where: str, name: str, seed: int, threshold: float) -> DataFrame:
     """(id, n, component) of the vertices that link: n by weight of the others."""
-    strong = _strong(lists, exact, where, f"{name}-strong", threshold)
-    full = lists.where(F.col("near") >= threshold - BAND).groupBy("v").count().where(F.col("count") >= LIST).select(F.col("v").alias("node"))
+    strong = _strong(lists, where, f"{name}-strong", threshold)
+    full = lists.where(F.col("near") >= threshold).groupBy("v").count().where(F.col("count") >= LIST).select(F.col("v").alias("node"))
     full = cut(full, where, f"{name}-full")
-    parts = _joined(exact, unit, strong, full, where, name, seed, threshold)
+    parts = _joined(vertices, strong, full, where, name, seed, threshold)
     large = cut(parts.join(full, "node").select("component").distinct(), where, f"{name}-large")
     # Components without a saturated list: their lists hold all their edges.
-    w = exact.select(F.col("id").alias("u"), "w")
+    w = vertices.select(F.col("id").alias("u"), "w")
     ends = strong.select(F.col("a").alias("id"), F.col("b").alias("u")).union(strong.select(F.col("b").alias("id"), F.col("a").alias("u")))
     ends = ends.join(parts.select(F.col("node").alias("id"), "component"), "id").join(large, "component", "left_anti")
     few = ends.join(w, "u").groupBy("id").agg(F.sum("w").alias("n"))
     # The others' lists, enlarged to the component.
-    members = parts.join(large, "component").select("component", F.col("node").alias("id")).join(exact.select("id", "v", "w"), "id")
+    members = parts.join(large, "component").select("component", F.col("node").alias("id")).join(vertices.select("id", "v", "w"), "id")
     many = _counted(members, where, name, threshold)
     return cut(few.union(many).join(parts.withColumnRenamed("node", "id"), "id"), where, f"{name}-found")
 
@@ -288,31 +311,27 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, vec_id: str = "
     """vec_id, n_links, component_id, kept of every row, and the audit's recall."""
     spark = df.sparkSession
     where = where or shared_dir(spark)
-    rows = pick(df, vec_id=vec_id, v=embedding, label=label)
-    rows = rows.withColumn("sound", F.col("label").isNotNull() & F.col("vec_id").isNotNull() & is_sound(F.col("v")))
-    # Unit vectors; rows with equal vectors and labels are one vertex, named by the smallest id.
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    sound = rows.where("sound").select("vec_id", F.xxhash64("label").alias("label"), F.size("v").alias("dim"), "v", F.xxhash64("v", "label").alias("h1"), F.xxhash64(F.lit(1), F.reverse("v")).alias("h2"))
-    merged = sound.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"))
-    merged = cut(merged, where, "merged")
-    vertices = sound.join(merged, ["h1", "h2"]).where("vec_id = id").dropDuplicates(["id", "h1", "h2"])
-    vertices = cut(vertices.withColumn("norm", norm).select("id", "w", "label", "dim", F.transform("v", lambda x: (x / F.col("norm")).cast("double")).alias("u"), "v"), where, "vertices")
-    exact = vertices.select("id", "w", "label", "dim", "v")
-    unit = vertices.select("id", "w", "label", "dim", F.col("u").cast("array<float>").alias("v"), F.col("id").alias("own"))
-    n = unit.count()
+    rows = pick(df, vec_id=vec_id, v=embedding, label=label).withColumn("label", F.when(F.col("label").isNotNull(), F.xxhash64("label")))
+    rows = cut(rows.mapInArrow(_facts, FACTS.format(kind=rows.schema["v"].dataType.simpleString())), where, "rows")
+    # Rows with equal vectors and labels are one vertex, named by the smallest id.
+    sound = rows.where("sound")
+    key = ["h1", "h2", "label", "dim"]
+    vertices = sound.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.min_by("v", "vec_id").alias("v"))
+    vertices = cut(vertices.withColumn("own", F.col("id")), where, "vertices")
+    n = vertices.count()
     lists, recall = None, 0.0
     for seed in range(GRAPHS):
-        new = graph(unit, where, f"graph{seed}", n, seed, threshold)
+        new = graph(vertices, where, f"graph{seed}", n, seed, threshold)
         if lists is not None:
             new = cut(_lists(new.union(lists).select(F.col("v").alias("a"), F.col("u").alias("b"), "near", F.lit(False).alias("new"))).drop("new"), where, f"graph{seed}-joined")
         lists = new
-        found = _found(exact, unit, lists, where, f"found{seed}", seed, threshold)
-        recall = audit(exact, found, threshold)
+        found = _found(vertices, lists, where, f"found{seed}", seed, threshold)
+        recall = audit(vertices, found, threshold)
         if recall >= RECALL:
             break
     else:
         warnings.warn(f"the audit found {recall:.3f} of the links after {GRAPHS} graphs, less than {RECALL}", stacklevel=2)
-    held = sound.select("vec_id", "h1", "h2").join(merged, ["h1", "h2"]).join(found, "id", "left")
+    held = sound.select("vec_id", *key).join(vertices.select(*key, "id", "w"), key).join(found, "id", "left")
     linked = held.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     alone = rows.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.union(alone)
