@@ -23,7 +23,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     On a cluster without that folder, ship it with --py-files.
     """
-    if int(spark.conf.get(BATCH[0], str(BATCH[1] + 1)).rstrip("b")) > BATCH[1]:
+    held = spark.conf.get(BATCH[0], None)
+    held = held.rstrip("b") if held else "0"
+    if held.isdigit() and not 0 < int(held) <= BATCH[1]:  # what a user has set with a unit stays
         spark.conf.set(BATCH[0], str(BATCH[1]))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
