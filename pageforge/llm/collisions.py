@@ -111,8 +111,8 @@ def euclidean(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
 FOUND = "query_id long, vec_id long, score double, dim int, cell int, low array<double>, high array<double>"
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by length, cell and shard, a shard's vectors before its queries; what is found, and each shard's reach of projections."""
+def _search(batches: Iterator[pa.RecordBatch], k: int, ends: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come by length, cell and shard, a shard's vectors before its queries; what is found and, with `ends`, each shard's reach of projections."""
     key, held, shard = None, [], None
     names = [x.split()[0] for x in FOUND.split(", ")]
     doubles = pa.list_(pa.float64())
@@ -121,6 +121,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         nonlocal shard, held
         if shard is None and held:
             shard, held = Shard(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])), []
+            if not ends:
+                return
             one = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32())]
             yield pa.RecordBatch.from_arrays([*one, pa.array([shard.low.tolist()], doubles), pa.array([shard.high.tolist()], doubles)], names)
 
@@ -132,7 +134,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
             part, now = matrix(batch.column("v").slice(a, b - a)), tuple(int(c[a]) for c in cols[:3])
             if now != key:
-                yield from built()
+                if ends:  # also of shards without queries
+                    yield from built()
                 key, held, shard = now, [], None
             if not cols[3][a]:
                 held.append((cols[4][a:b].copy(), part.copy()))
@@ -145,7 +148,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             asked = np.repeat([x[0] for x in out], [len(x[1]) for x in out]).astype(np.int64)
             found = [pa.array(asked), *(pa.array(np.concatenate([x[i] for x in out])) for i in (1, 2))]
             yield pa.RecordBatch.from_arrays([*found, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, doubles), pa.nulls(n, doubles)], names)
-    yield from built()
+    if ends:
+        yield from built()
 
 
 def _celled(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
@@ -215,15 +219,15 @@ def search(df: DataFrame, asks: Column, k: int = 10, vec_id: str = "vec_id", emb
     shards = sizes.agg(F.sum("subs")).first()[0] or 1
     columns = ("dim", "cell", "sub", "asks", "vec_id", "v", "within")
 
-    def searched(queries: DataFrame, name: str) -> DataFrame:
+    def searched(queries: DataFrame, name: str, ends: bool = False) -> DataFrame:
         held = placed.withColumns({"asks": F.lit(False), "within": F.lit(None).cast("double")})
         both = held.select(*columns).unionByName(queries.withColumn("asks", F.lit(True)).select(*columns))
         # More tasks than shards, so that few tasks get two of them.
         both = both.repartition(min(4 * shards, 20_000), "dim", "cell", "sub").sortWithinPartitions("dim", "cell", "sub", "asks")
-        return cut(both.mapInArrow(partial(_search, k=k), FOUND), where, name)
+        return cut(both.mapInArrow(partial(_search, k=k, ends=ends), FOUND), where, name)
 
     queries = placed.where(asks)
-    home = searched(queries.withColumn("within", F.lit(None).cast("double")), "home")
+    home = searched(queries.withColumn("within", F.lit(None).cast("double")), "home", ends=True)
     near = home.where("query_id is not null").select("query_id", "vec_id", "score")
     reach: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     ends = home.where("low is not null and cell >= 0").select("dim", "cell", F.posexplode(F.arrays_zip("low", "high")).alias("axis", "x")).groupBy("dim", "cell", "axis").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))

@@ -315,6 +315,18 @@ def test_pages(spark):
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract(rows).collect()) == [(1, "", 0), (2, "hello there", 11), (2, "hello there", 11)]
 
 
+def test_repeated_rows_and_long_texts(spark):
+    long = "licensed under the mit license to a.b@c.org. " * 20000
+    texts = ["the words of a text", "the words of a text", long, None, ""]
+    rows = frame(spark, texts).withColumn("doc_id", F.col("doc_id") % 3)
+    model = langid.fit(["the words of it", "die worte davon"], ["en", "de"])
+    for f in (lambda d: bpe_trie.digests(d, VOCABULARY), lambda d: licenses.digest(licenses.scan(d)), lambda d: langid.predict(d, model), lambda d: pii.digest(pii.spans(d))):
+        assert sorted(r["doc_id"] for r in f(rows).collect()) == [0, 0, 1, 1, 2]
+    found = {r["n_words"]: r for r in licenses.digest(licenses.scan(rows)).collect()}[10 * 20000]
+    assert (found["n_base"], found["first_word"], found["last_word"], found["labels"]) == (20000, 3, 10 * 19999 + 3, "mit")
+    assert {r["n_email"] for r in pii.digest(pii.spans(rows)).collect()} == {0, 20000}
+
+
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).where("false")
     for f in (lambda d: bpe_trie.digests(d, VOCABULARY), pii.spans, licenses.scan, lambda d: langid.predict(d, langid.train(d))):
