@@ -167,9 +167,9 @@ class Filter:
     """A set of 64-bit keys as bits of a fixed number; it may hold too much, never too little."""
 
     def __init__(self, keys: DataFrame, name: str, bits: int = FILTER_BITS) -> None:
-        """From a column of longs; at most `bits` numbers reach the driver."""
+        """From a column of longs, nulls aside; at most `bits` numbers reach the driver."""
         held = np.zeros(bits, bool)
-        cells = keys.select(F.pmod(F.col(name), F.lit(bits)).cast("int").alias("c"))
+        cells = keys.where(F.col(name).isNotNull()).select(F.pmod(F.col(name), F.lit(bits)).cast("int").alias("c"))
         cells = cells.groupBy(F.shiftright("c", 15).alias("block")).agg(F.collect_set(F.col("c").bitwiseAND(32767).cast("short")).alias("cells"))
         for row in cells.toLocalIterator(prefetchPartitions=True):
             held[(row["block"] << 15) + np.array(row["cells"], np.int64)] = True
@@ -274,25 +274,23 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
 
-def _held_sets(docs: DataFrame, sizes: DataFrame, nodes: DataFrame, where: str, name: str) -> DataFrame:
-    """(node, tokens) of at least the given nodes.
+def _held_sets(docs: DataFrame, owned: DataFrame, where: str, name: str) -> DataFrame:
+    """(node, tokens) of at least the given nodes (node, owner).
 
-    Of the documents with one set only the owner named in `sizes` is looked at, and what the filter mistakes for one;
-    rows without an id always are.
+    Of the documents with one set only the owner is looked at, and what the filter mistakes for one; rows without an id
+    always are.
     """
-    nodes = nodes.distinct()
-    owners = sizes.join(nodes, "node", "left_semi").select("owner")
     sc = docs.sparkSession.sparkContext
-    wanted, ids = sc.broadcast(Filter(nodes, "node")), sc.broadcast(Filter(owners, "owner"))
+    wanted, ids = sc.broadcast(Filter(owned, "node")), sc.broadcast(Filter(owned, "owner"))
 
-    def owned(batches):
+    def looked_at(batches):
         for b in batches:
             own = b.column("doc_id")
             hit = ids.value.holds(own.fill_null(0).to_numpy()) | own.is_null().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(hit))
 
     def sets(batches):
-        for _, rows, nodes, new in _sets(owned(batches)):
+        for _, rows, nodes, new in _sets(looked_at(batches)):
             fresh = np.flatnonzero(new)
             hit = fresh[wanted.value.holds(np.array(nodes, np.int64)[fresh])].tolist()
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in hit], pa.int64()), pa.array([rows[i].tobytes() for i in hit], pa.binary())], ["node", "tokens"])
@@ -301,9 +299,10 @@ def _held_sets(docs: DataFrame, sizes: DataFrame, nodes: DataFrame, where: str,
     return cut(held, where, name)
 
 
-def _verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, where: str, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    held = _held_sets(docs, sizes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), where, f"{name}-sets")
+def _verified(docs: DataFrame, pairs: DataFrame, where: str, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar, of pairs with their owners (a, b, oa, ob)."""
+    owned = pairs.select(F.col("a").alias("node"), F.col("oa").alias("owner")).union(pairs.select("b", "ob"))
+    held = _held_sets(docs, owned, where, f"{name}-sets")
     out = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     out = out.join(held.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
     out = cut(out.select("a", "b", "left", "right").mapInArrow(_intersections, "a long, b long"), where, name)
@@ -346,7 +345,7 @@ def _large(docs: DataFrame, sizes: DataFrame, held: DataFrame, where: str) -> Da
     alike = components(own.select(F.col("sig").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), where, "crowds")
     crowd = own.select("node", "n", "part", "first").distinct().join(alike.withColumnRenamed("node", "first"), "first", "left")
     crowd = cut(crowd.select("node", "n", "part", F.coalesce("component", "first").alias("crowd")), where, "crowd")
-    sets = _held_sets(docs, sizes, crowd.select("node"), where, "crowd-sets")
+    sets = _held_sets(docs, sizes.join(crowd.select("node"), "node", "left_semi").select("node", "owner"), where, "crowd-sets")
     blocks = F.ceil(F.greatest(F.count("*") / ROWS, F.sum("n") / TOKENS)).cast("int")
     counts = cut(crowd.groupBy("crowd").agg(blocks.alias("blocks")), where, "crowd-sizes")
     rows = crowd.join(counts, "crowd")
@@ -360,7 +359,10 @@ def _large(docs: DataFrame, sizes: DataFrame, held: DataFrame, where: str) -> Da
 
 
 def unordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Each pair once, the smaller node first, with the owners."""
+    ends = [F.struct(F.col(x).alias("node"), F.col(f"o{x}").alias("owner")) for x in "ab"]
+    low, high = F.least(*ends), F.greatest(*ends)
+    return pairs.select(low["node"].alias("a"), high["node"].alias("b"), low["owner"].alias("oa"), high["owner"].alias("ob")).distinct()
 
 
 def parted(held: DataFrame, parts: DataFrame, where: str, name: str) -> DataFrame:
@@ -396,12 +398,12 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
     sizes = cut(sizes, where, "sizes")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Of (a, b, shared signatures) those whose sets may be similar."""
+        """Of (a, b, shared signatures) those whose sets may be similar, with their owners (a, b, oa, ob)."""
         for c in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("single").alias(f"s{c}")), c)
+            pairs = pairs.join(sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("single").alias(f"s{c}"), F.col("owner").alias(f"o{c}")), c)
         near = "5 * na >= 4 * nb and 5 * nb >= 4 * na"
         enough = "not (sa and sb) or c + ceil(4 * greatest(na, nb) / 5) - 1 >= ceil(4 * (na + nb) / 9)"
-        return pairs.where(f"{near} and ({enough})").select("a", "b")
+        return pairs.where(f"{near} and ({enough})").select("a", "b", "oa", "ob")
 
     # Signatures that several nodes hold; most are held by one and go no further than these counts.
     every = facts.select("node", F.explode("sigs").alias("sig"))
@@ -426,7 +428,7 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
     ends = held.select("node", F.explode(F.array("least", "most")).alias("a")).where("node <> a")
     stars = ends.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     stars = cut(unordered(likely(stars)), where, "stars")
-    links = _verified(docs, sizes, stars, where, "links")
+    links = _verified(docs, stars, where, "links")
     apart = parted(held.select("sig", "node", "n"), components(links, where, "parts"), where, "apart1")
     drop(spark, where, "held", "parts", "apart1-sigs")
 
@@ -434,7 +436,7 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
     chosen = cut(apart.groupBy("sig").agg(center).select("sig", F.col("center.node").alias("a"), F.col("center.part").alias("pa")), where, "centers")
     tried = apart.join(chosen, "sig").where("part <> pa").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     tried = cut(unordered(likely(tried)).join(stars, ["a", "b"], "left_anti"), where, "tried")
-    links = cut(links.union(_verified(docs, sizes, tried, where, "links2")), where, "links12")
+    links = cut(links.union(_verified(docs, tried, where, "links2")), where, "links12")
     tried = stars.union(tried)
 
     # Signatures across provisional components: every pair of holders in different ones.
@@ -450,7 +452,7 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
     pairs = held.join(few, "sig").where("part <> px and (part = main or node < x) and 5 * n >= 4 * nx and 5 * nx >= 4 * n")
     pairs = pairs.groupBy(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).agg(F.count("*").alias("c"))
     pairs = cut(likely(pairs).join(tried, ["a", "b"], "left_anti"), where, "pairs")
-    more = _verified(docs, sizes, pairs, where, "more")
+    more = _verified(docs, pairs, where, "more")
     parts = components(links.union(more).union(large), where, "nodes")
     drop(spark, where, "sizes", "stars", "links", "links2", "links12", "tried", "apart2", "holders", "main", "pairs", "more", "crowd-links")
 

@@ -188,6 +188,14 @@ def test_ngram_join_of_sets_one_rare_token_short(spark, monkeypatch):
     assert got == brute_groups(list(enumerate(texts))) and (1, 120, 0) in got
 
 
+def test_ngram_join_of_rows_without_ids(spark):
+    some = " ".join(f"w{k}" for k in range(40))
+    texts = [some, some + " end", some + " more", "other words"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3])]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngramjoin.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("7", 37, "7"), ("8", 1, "8"), ("None", 36, "7"), ("None", 37, "7")]
+
+
 def test_one_of_each(spark):
     same = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     table = docs(spark, [same, same, same + " end", "other words", None, None, same], ids=[3, 5, 9, 4, 6, None, 3])
