@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from pageforge.llm import bpe_trie, chunkstore, collisions, htmltext, langid, licenses, ngramjoin, nndescent, oracles, packing, pii
+from pageforge.llm import bpe_trie, chunkstore, collisions, fillmiddle, htmltext, langid, licenses, ngramjoin, nndescent, oracles, packing, pii, tokencounts, whitening
 
 
 def queries() -> dict[str, Callable]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable]:
         "op8_string_kernel": langid.query,
         "op9_collision_counting": collisions.query,
         "op10_bpe_trie": bpe_trie.query,
+        "op11_chan_whitening": whitening.query,
+        "op12_pretoken_counts": tokencounts.query,
+        "op13_fill_middle": fillmiddle.query,
     }
 
 
