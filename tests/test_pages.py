@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from drawn import form, photo
+from drawn import CHIP, SEAL, sheet, snapshot
 from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS
@@ -24,26 +24,24 @@ def ordered(pts):
     return np.roll(ring, -int(ring.sum(1).argmin()), axis=0)
 
 
-@pytest.mark.parametrize("seed,cluttered,reach", [(1, False, 0.03), (5, True, 0.10)])
-def test_outline_of_a_photo(spark, seed, cluttered, reach):
-    page, truth = photo(seed=seed, cluttered=cluttered)
+@pytest.mark.parametrize("seed,busy,reach", [(1, False, 0.03), (5, True, 0.10)])
+def test_outline_of_a_snapshot(spark, seed, busy, reach):
+    page, truth = snapshot(seed=seed, busy=busy)
     row = pages.detect(rasters(spark, [page])).first()
     found = np.array([[p["x"], p["y"]] for p in row["quad"]])
     assert np.sqrt(((found - ordered(truth)) ** 2).sum(1)).max() < reach * np.hypot(*page.shape[:2])
 
 
 def test_light_keeps_colour():
-    page = form()
-    page = (page * np.linspace(0.5, 1.0, page.shape[1])[None, :, None]).astype(np.uint8)
+    page = sheet()
+    page = (page * np.linspace(1.0, 0.5, page.shape[0])[:, None, None]).astype(np.uint8)
     flat = light.flattened(page, stats.share_of(page, 180, 45) >= 0.40, SETTINGS.light)
-    h, w = flat.shape[:2]
-    assert color.saturation(flat[h - 270 : h - 130, w - 230 : w - 90]).max() > 80
-    assert color.saturation(flat[h - 290 : h - 220, 80:420]).max() > 60
-    assert np.median(flat[:, 250:400]) > 230 and np.median(flat[:, -200:]) > 230
+    assert np.percentile(color.saturation(flat[SEAL]), 90) > 60 and np.median(color.saturation(flat[CHIP])) > 80
+    assert np.median(flat[10:50]) > 230 and np.median(flat[975:1005]) > 230
 
 
 def test_whole_way(spark):
-    page, truth = photo(seed=2, size=0.5)
+    page, truth = snapshot(seed=2, size=0.5)
     empty = np.zeros((0, 10, 3), np.uint8)
     blank = np.full((300, 200, 3), 255, np.uint8)
     rows = rasters(spark, [page, blank, empty, None]).withColumns({"title": F.lit("x"), "output_mode": F.when(F.col("page_id") == 1, "gray")})
@@ -59,7 +57,7 @@ def test_whole_way(spark):
 
 
 def test_forced_corners_and_moire(spark):
-    page, _ = photo(seed=3, size=0.3)
+    page, _ = snapshot(seed=3, size=0.3)
     rows = rasters(spark, [page]).select("*", F.expr("transform(array(array(0.1, 0.1), array(0.9, 0.1), array(0.9, 0.8), array(0.1, 0.8)), p -> named_struct('x', double(p[0]), 'y', double(p[1])))").alias("forced"), F.lit(True).alias("demoire"))
     out = pages.process(rows, demoire=lambda p: p[::-1]).first()
     done = pages.unpacked(out["raster"].asDict())
@@ -68,7 +66,7 @@ def test_forced_corners_and_moire(spark):
 
 
 def test_a_model_finds_corners(spark):
-    page, truth = photo(seed=5, size=0.3)
+    page, truth = snapshot(seed=5, size=0.3)
 
     def heat(x):
         h, w = page.shape[:2]
@@ -87,7 +85,7 @@ def test_a_model_finds_corners(spark):
 
 
 def test_quarter_turns_and_level_pages():
-    page = form()[:700]
+    page = sheet()[:700]
     assert (warp.quarter_turns(page, 90)[:, -1] == page[0]).all() and (warp.quarter_turns(page, -270) == warp.quarter_turns(page, 90)).all() and (warp.quarter_turns(page, 45) == page).all()
     for angle in (3, -4):
         tilted = warp.turned(page, angle)
@@ -172,7 +170,7 @@ def test_outlines_of_drawn_shapes():
 
 
 def test_jpeg_is_read_by_another_decoder(spark, tmp_path):
-    page, _ = photo(seed=6, size=0.2)
+    page, _ = snapshot(seed=6, size=0.2)
     odd = page[:101, :67]
     flat = np.full((9, 9, 3), 200, np.uint8)
     for name, p in (("a", page), ("b", odd), ("c", flat)):
@@ -200,7 +198,7 @@ def test_photos_are_turned_upright(spark, tmp_path):
 
 
 def test_pdf_of_pages(spark):
-    page, _ = photo(seed=3, size=0.1)
+    page, _ = snapshot(seed=3, size=0.1)
     live = rasters(spark, [page] * 61 + [None]).selectExpr("7L as session_id", "cast(page_id as string) as id", "cast(100 - page_id as int) as order", "page_id = 5 as deleted", "raster")
     row = documents.assemble(live).first()
     assert row["pages"] == 60 and row["pdf"][:5] == b"%PDF-" and b"Exif" not in row["pdf"] and row["pdf"].count(b"/DCTDecode") == 60
@@ -229,13 +227,13 @@ def text_pdf(text):
 
 
 def test_pages_of_pdf_uploads(spark):
-    page, _ = photo(seed=7, size=0.1)
+    page, _ = snapshot(seed=7, size=0.1)
     image = documents.write_pdf([(*page.shape[:2], documents.page_stream(page, "png", 95))], 200)
     born = text_pdf("This page was written and never photographed")
     mixed = pdf.joined([(pdf.File(born), pdf.File(born).pages[0], 0), (pdf.File(image), pdf.File(image).pages[0], 0)])
-    photo_pdf = documents.write_pdf([(*page.shape[:2], documents.page_stream(page, "jpeg", 95))], 200)
+    jpeg_pdf = documents.write_pdf([(*page.shape[:2], documents.page_stream(page, "jpeg", 95))], 200)
     many = pdf.joined([(f := pdf.File(born), f.pages[0], 0)] * 51)
-    files = [("mixed", mixed), ("short", text_pdf("only this")), ("jpeg", photo_pdf), ("many", many), ("junk", b"%PDF-1.4 nothing %%EOF"), ("none", None), ("locked", born.replace(b"/Root", b"/Encrypt 9 0 R /Root"))]
+    files = [("mixed", mixed), ("short", text_pdf("only this")), ("jpeg", jpeg_pdf), ("many", many), ("junk", b"%PDF-1.4 nothing %%EOF"), ("none", None), ("locked", born.replace(b"/Root", b"/Encrypt 9 0 R /Root"))]
     out = {}
     for r in documents.split_pdfs(spark.createDataFrame(files, "name string, content binary")).collect():
         out.setdefault(r["name"], []).append((r["page"], r["item_type"], r["error"], r["pdf"], r["raster"]))
@@ -249,7 +247,7 @@ def test_pages_of_pdf_uploads(spark):
 
 
 def test_images_and_pdfs_of_a_folder(spark, tmp_path):
-    page, _ = photo(seed=7, size=0.05)
+    page, _ = snapshot(seed=7, size=0.05)
     (tmp_path / "a.png").write_bytes(images.png(page.shape[0], page.shape[1], page.tobytes()))
     (tmp_path / "b.pdf").write_bytes(text_pdf("This page was written and never photographed"))
     (tmp_path / "c.txt").write_bytes(b"no page")
@@ -258,7 +256,7 @@ def test_images_and_pdfs_of_a_folder(spark, tmp_path):
 
 
 def test_export_keeps_text_and_order(spark):
-    page, _ = photo(seed=7, size=0.1)
+    page, _ = snapshot(seed=7, size=0.1)
     born = text_pdf("Kept as it is")
     raster = pages.packed(page)
     rows = [(1, "b", 1, False, True, born, None), (1, "a", 2, False, False, None, raster), (1, "c", 0, False, False, None, raster), (1, "d", 3, True, True, born, None), (2, "e", 0, True, False, None, raster)]
@@ -271,7 +269,7 @@ def test_export_keeps_text_and_order(spark):
 
 
 def test_edited_pages_are_made_anew(spark):
-    page, _ = photo(seed=8, size=0.1)
+    page, _ = snapshot(seed=8, size=0.1)
     corners = [[0.0, 0.0], [0.5, 0.0], [0.5, 0.8], [0.0, 0.8]]
     state = spark.createDataFrame([(0, corners, "gray", False, 90)], "page_id long, corners array<array<double>>, mode string, demoire boolean, rotation int")
     row = pages.reprocess(rasters(spark, [page]).join(state, "page_id")).first()
