@@ -1,7 +1,8 @@
 """Token counts from the counts of distinct pre-tokens (operator 12).
 
-The vocabulary says where a text may be cut without changing its tokens: before white space that follows something else,
-and around line ends, as no piece holds either inside.  So a text's count is the sum of its pre-tokens' counts:
+The vocabulary says where a text may be cut without changing its tokens: where no piece reaches over.  That is before
+white space that follows something else, around line ends and digits, and between ASCII letters and ASCII marks; the
+vocabulary is looked through for pieces that do.  So a text's count is the sum of its pre-tokens' counts:
 
 1. the corpus' distinct pre-tokens and how often they occur, summed in each task before they are shuffled;
 2. the library counts the pieces of each distinct pre-token once;
@@ -31,12 +32,14 @@ from pageforge.llm.common import cut, pick, shared_dir, slices, table
 
 LIMIT = 4096
 #: Pre-tokens that are joined without a shuffle, at most, and bytes of one that are kept as they are (else its digest).
-COMMON, KEPT = 1 << 18, 64
+COMMON, KEPT = 1 << 20, 64
 #: Distinct pre-tokens that a task holds before it passes them on.
 HELD = 1 << 17
 
 SPACE = "▁"  # how the vocabulary writes a space
-_PRETOKEN = re.compile(r" *[^ \n]+| +|\n")
+_MARK = r"[\x00-\x09\x0b-\x1f!-/:-@\[-`{-\x7f]++"  # marks and control characters of ASCII
+#: Runs of letters or of marks; characters beyond ASCII keep what stands beside them.
+_PRETOKEN = re.compile(rf" *(?:(?:(?:[A-Za-z]++|{_MARK})(?=[^\x00-\x7f])|[^\x00-\x7f]++)+(?:[A-Za-z]++|{_MARK})?|[A-Za-z]++|{_MARK}|[0-9])| +|\n")
 
 
 def pretokens(text: str) -> Counter:
@@ -54,8 +57,8 @@ def library(path: str):
 
         own = SentencePieceProcessor(model_file=path)
         pieces = [own.id_to_piece(i) for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i))]
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):
-            raise ValueError("the vocabulary has pieces that reach over white space")
+        if any(pretokens(p.lstrip(SPACE)).total() > 1 for p in pieces):
+            raise ValueError("the vocabulary has pieces that reach over the borders of pre-tokens")
         if own.encode("a  b") != own.encode("a") + own.encode("\n  b")[2:] or own.encode("\n") + own.encode("\nb")[2:] != own.encode("\nb"):
             raise ValueError("the model changes white space")
         _held[path] = own

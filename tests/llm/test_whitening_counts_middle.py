@@ -48,6 +48,7 @@ def test_counts_of_rows_with_equal_and_without_ids(spark):
 def test_vocabulary_counts_each_pretoken_once(spark):
     words = {r["word"]: (r["times"], r["pieces"]) for r in tokencounts.vocabulary(docs(spark, ["a b a", "b\nb", None, ""] * 50), PIECES).collect()}
     own = SentencePieceProcessor(model_file=PIECES)
+    assert tokencounts.pretokens("a1b, é.x\r\n ()") == {" a": 1, "1": 1, "b": 1, ",": 1, " é.": 1, "x": 1, "\r": 1, "\n": 1, " ()": 1}
     assert words == {" a": (100, len(own.encode("a"))), " b": (100, len(own.encode("b"))), "\n": (50, 1), "b": (50, 1)}
 
 
