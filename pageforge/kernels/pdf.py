@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -195,19 +196,20 @@ def _shown(token: bytes) -> str:
     return re.sub(rb"\\(?:([0-7]{1,3})|(\r\n|.))", one, token[1:-1], flags=re.S).decode("latin-1")
 
 
-def joined(parts: list[tuple[File, dict, int]]) -> bytes:
-    """One file of pages (file, page, degrees to turn it clockwise), each with everything it refers to, bytes unchanged."""
-    rows: list[bytes] = [b"", b""]  # the root and the list of pages
+def copied(parts: list[tuple[File, dict, int]], first: int, parent: Callable[[int], int]) -> tuple[list[bytes], list[int]]:
+    """The objects of pages (file, page, degrees to turn it clockwise) with everything they refer to, numbered from `first`
+    on, bytes of streams unchanged; and the numbers of the pages.  `parent` gives the number above the k-th page."""
+    rows: list[bytes] = []
     kids, numbers = [], {}
-    for file, page, turn in parts:
+    for k, (file, page, turn) in enumerate(parts):
         todo: list = []
 
         def moved(value, file=file, todo=todo):
             if isinstance(value, Ref):
                 key = (id(file), value.number)
                 if key not in numbers:
+                    numbers[key] = first + len(rows)
                     rows.append(b"")
-                    numbers[key] = len(rows)
                     todo.append((numbers[key], file.objects.get(value.number)))
                 return Ref(numbers[key])
             if isinstance(value, dict):
@@ -216,20 +218,26 @@ def joined(parts: list[tuple[File, dict, int]]) -> bytes:
                 return [moved(v) for v in value]
             return Stream(moved(value.head), value.body) if isinstance(value, Stream) else value
 
-        own = moved(page) | {"/Parent": Ref(2)}
+        own = moved(page) | {"/Parent": Ref(parent(k))}
         if turn % 360:
             own["/Rotate"] = ((file.get(page.get("/Rotate")) or 0) + turn) % 360
+        kids.append(first + len(rows))
         rows.append(written(own))
-        kids.append(Ref(len(rows)))
         while todo:
             number, value = todo.pop()
-            rows[number - 1] = written(moved(value))
-    rows[0] = written({Name("/Type"): Name("/Catalog"), Name("/Pages"): Ref(2)})
-    rows[1] = written({Name("/Type"): Name("/Pages"), Name("/Kids"): kids, Name("/Count"): len(kids)})
+            rows[number - first] = written(moved(value))
+    return [b"%d 0 obj\n" % k + body + b"\nendobj\n" for k, body in enumerate(rows, first)], kids
+
+
+def joined(parts: list[tuple[File, dict, int]]) -> bytes:
+    """One file of pages (file, page, degrees to turn it clockwise), each with everything it refers to, bytes unchanged."""
+    rows, kids = copied(parts, 3, lambda _: 2)
+    tops = [{Name("/Type"): Name("/Catalog"), Name("/Pages"): Ref(2)}, {Name("/Type"): Name("/Pages"), Name("/Kids"): list(map(Ref, kids)), Name("/Count"): len(kids)}]
+    rows = [b"%d 0 obj\n" % k + written(top) + b"\nendobj\n" for k, top in enumerate(tops, 1)] + rows
     out, places = bytearray(b"%PDF-1.5\n"), []
-    for k, body in enumerate(rows, 1):
+    for body in rows:
         places.append(len(out))
-        out += b"%d 0 obj\n" % k + body + b"\nendobj\n"
+        out += body
     start = len(out)
     out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(rows) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
     return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(rows) + 1, start))

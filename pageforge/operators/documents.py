@@ -19,14 +19,13 @@ from pageforge.operators.rasters import RASTER, packed, per_page
 from pageforge.operators.uploads import is_born_digital
 
 
-def page_stream(page: np.ndarray, encoding: str, quality: int) -> bytes:
-    """The image object of a page: its dictionary and its pixels, as JPEG or lossless, without metadata."""
-    if encoding == "png":
-        name, data = b"FlateDecode", zlib.compress(page[..., ::-1].tobytes())
-    else:
-        name, data = b"DCTDecode", jpeg(page, quality)
-    head = b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /%s /Length %d >>"
-    return head % (page.shape[1], page.shape[0], name, len(data)) + b"\nstream\n" + data + b"\nendstream"
+def page_stream(page: np.ndarray, encoding: str, quality: int, gray: bool = False) -> bytes:
+    """The image object of a page, without metadata: its dictionary and its pixels, as JPEG, lossless (png) or as they are (raw)."""
+    space, name = ("DeviceGray" if gray and encoding != "jpeg" else "DeviceRGB"), {"png": "/FlateDecode", "raw": ""}.get(encoding, "/DCTDecode")
+    pixels = page[..., 0] if space == "DeviceGray" else page[..., ::-1]
+    data = jpeg(page, quality) if name == "/DCTDecode" else zlib.compress(pixels.tobytes()) if name else pixels.tobytes()
+    head = f"<< /Type /XObject /Subtype /Image /Width {page.shape[1]} /Height {page.shape[0]} /ColorSpace /{space} /BitsPerComponent 8 {f'/Filter {name} ' if name else ''}/Length {len(data)} >>"
+    return head.encode() + b"\nstream\n" + data + b"\nendstream"
 
 
 def write_pdf(pages: list[tuple[int, int, bytes]], dpi: int) -> bytes:
@@ -56,7 +55,7 @@ def write_pdf(pages: list[tuple[int, int, bytes]], dpi: int) -> bytes:
 def streams(pages: DataFrame, encoding: str | None = None, s: Settings = SETTINGS) -> DataFrame:
     """Adds height, width and image (the PDF object) to rasters; pages without pixels get nulls."""
     kind, quality = encoding or s.output.encoding, s.output.quality
-    run = lambda page, _: {"height": page.shape[0], "width": page.shape[1], "image": page_stream(page, kind, quality)}
+    run = lambda page, row: {"height": page.shape[0], "width": page.shape[1], "image": page_stream(page, kind, quality, row["raster"]["nChannels"] == 1)}
     return per_page(pages, run, "height int, width int, image binary")
 
 
@@ -66,23 +65,6 @@ def image_pdfs(pages: DataFrame, encoding: str | None = None, s: Settings = SETT
     return per_page(pages, lambda page, _: {"pdf": write_pdf([(*page.shape[:2], page_stream(page, kind, quality))], dpi)}, "pdf binary")
 
 
-def assemble(pages: DataFrame, encoding: str | None = None, s: Settings = SETTINGS) -> DataFrame:
-    """session_id, pages, pdf: the live pages of each session in order, however many; sessions without any are not exported.
-
-    In: session_id, id, order, deleted, raster.  Pages become compressed streams first, each where it lies; only those
-    move, and only they meet in one task, as they do in the file.  Pages without pixels are left out.
-    """
-    rows = streams(pages.where(~F.col("deleted")).select("session_id", "id", "order", "raster"), encoding, s).drop("raster").where("image is not null")
-    kind = pages.schema["session_id"].dataType.simpleString()
-
-    def build(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["order", "id"])
-        body = write_pdf(list(zip(f["height"].tolist(), f["width"].tolist(), f["image"])), s.output.dpi)
-        return pd.DataFrame({"session_id": [f["session_id"].iat[0]], "pages": [len(f)], "pdf": [body]})
-
-    return rows.groupBy("session_id").applyInPandas(build, f"session_id {kind}, pages long, pdf binary")
-
-
 def split_pdfs(uploads: DataFrame, content: str = "content", s: Settings = SETTINGS) -> DataFrame:
     """One row for each page of PDF uploads: all other columns, page (from 0), item_type, pdf, raster, error.
 
@@ -134,22 +116,3 @@ def turned_pdfs(pages: DataFrame, degrees: Column) -> DataFrame:
         return pd.Series([None if f is None else one(f, a) for f, a in zip(files, by)])
 
     return pages.withColumn("pdf", turn(F.col("pdf"), degrees))
-
-
-def export(pages: DataFrame, encoding: str | None = None, s: Settings = SETTINGS) -> DataFrame:
-    """session_id, pages, pdf: the live pages of each session in order, pages that pass through as they are.
-
-    In: session_id, id, order, deleted, passthrough, pdf (of pages that pass through), raster.  Rasters become files of
-    one page where they lie; the files of a session meet in one task, as they do in the result.
-    """
-    live = pages.where(~F.col("deleted")).select("session_id", "id", "order", "passthrough", "pdf", "raster")
-    made = image_pdfs(live.where(~F.col("passthrough")), encoding, s).select("session_id", "id", "order", "pdf")
-    rows = made.unionByName(live.where("passthrough").select("session_id", "id", "order", "pdf")).where("pdf is not null")
-    kind = pages.schema["session_id"].dataType.simpleString()
-
-    def build(f: pd.DataFrame) -> pd.DataFrame:
-        files = [pdf.File(bytes(x)) for x in f.sort_values(["order", "id"])["pdf"]]
-        parts = [(file, page, 0) for file in files for page in file.pages]
-        return pd.DataFrame({"session_id": [f["session_id"].iat[0]], "pages": [len(parts)], "pdf": [pdf.joined(parts)]})
-
-    return rows.groupBy("session_id").applyInPandas(build, f"session_id {kind}, pages long, pdf binary")

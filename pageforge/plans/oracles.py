@@ -79,6 +79,30 @@ g as (select page_id, la - 128.0::double as da, lbb - 128.0::double as db, great
 o as (select page_id, cast(floor(128.0::double + da * s) as int) as a, cast(floor(128.0::double + db * s) as int) as b from g)
 select page_id, cast(sum(a) as bigint) as sum_a, cast(sum(b) as bigint) as sum_b, cast(count(*) filter (a <> 128 or b <> 128) as bigint) as colored from o group by page_id"""
 
+_PDF = r"""t as (select conv_id as session_id, turn, encode(text) as b from conversations where role <> 'system' and octet_length(encode(coalesce(text, ''))) > 0),
+px as (select session_id, row_number() over (partition by session_id order by turn) - 1 as rank, count(*) over (partition by session_id) as n, (octet_length(b) + 63) // 64 as h, b || unhex(repeat('FF', cast((octet_length(b) + 63) // 64 * 64 - octet_length(b) as int))) as px from t),
+sess as (select session_id, max(n) as n from px group by session_id),
+wl as (select session_id, n, l, (n + 4 ** l - 1)::bigint // (4 ** l)::bigint as w, (n + 4 ** (l - 1) - 1)::bigint // (4 ** (l - 1))::bigint as below from sess, range(1, 7) r(l)),
+lv as (select *, cast(3 + 3 * n + coalesce(sum(w) over (partition by session_id order by l rows between unbounded preceding and 1 preceding), 0) as bigint) as base from wl where l = 1 or below > 1),
+nd as (select session_id, n, l, w, base, below, unnest(range(w)) as j from lv),
+nx as (select nd.*, case when nd.w = 1 then 2 else nd.base + nd.j end as number, case when nd.w = 1 then '' else '/Parent ' || case when up.w = 1 then 2 else up.base + nd.j // 4 end || ' 0 R ' end as above,
+  list_transform(range(least(4, nd.below - 4 * nd.j)), lambda i: case when nd.l = 1 then 3 + 3 * (4 * nd.j + i) else down.base + 4 * nd.j + i end || ' 0 R') as kids, least((4 ** nd.l)::bigint, nd.n - nd.j * (4 ** nd.l)::bigint) as c
+  from nd left join lv up on up.session_id = nd.session_id and up.l = nd.l + 1 left join lv down on down.session_id = nd.session_id and down.l = nd.l - 1),
+nt as (select session_id, l, j, number, number || ' 0 obj' || chr(10) || '<< /Type /Pages ' || above || '/Kids [' || array_to_string(kids, ' ') || '] /Count ' || c || ' >>' || chr(10) || 'endobj' || chr(10) as text from nx),
+size as (select *, 3 + 3 * rank as k, case when n <= 4 then 2 else 3 + 3 * n + rank // 4 end as up, (64 * 1440000 + 200) // 400 as qw, (h * 1440000 + 200) // 400 as qh from px),
+pts as (select *, qw // 10000 || '.' || lpad((qw % 10000)::varchar, 4, '0') as pw, qh // 10000 || '.' || lpad((qh % 10000)::varchar, 4, '0') as ph from size),
+drawn as (select *, 'q ' || pw || ' 0 0 ' || ph || ' 0 0 cm /I Do Q' as d from pts),
+ob as (select session_id, n, rank, k,
+  k || ' 0 obj' || chr(10) || '<< /Type /Page /Parent ' || up || ' 0 R /MediaBox [0 0 ' || pw || ' ' || ph || '] /Contents ' || k + 1 || ' 0 R /Resources << /XObject << /I ' || k + 2 || ' 0 R >> >> >>' || chr(10) || 'endobj' || chr(10) as o1,
+  k + 1 || ' 0 obj' || chr(10) || '<< /Length ' || length(d) || ' >>' || chr(10) || 'stream' || chr(10) || d || chr(10) || 'endstream' || chr(10) || 'endobj' || chr(10) as o2,
+  encode(k + 2 || ' 0 obj' || chr(10) || '<< /Type /XObject /Subtype /Image /Width 64 /Height ' || h || ' /ColorSpace /DeviceGray /BitsPerComponent 8 /Length ' || 64 * h || ' >>' || chr(10) || 'stream' || chr(10)) || px || encode(chr(10) || 'endstream' || chr(10) || 'endobj' || chr(10)) as o3 from drawn),
+pg as (select *, cast(9 + coalesce(sum(length(o1) + length(o2) + octet_length(o3)) over (partition by session_id order by rank rows between unbounded preceding and 1 preceding), 0) as bigint) as pos from ob),
+pend as (select session_id, cast(9 + sum(length(o1) + length(o2) + octet_length(o3)) as bigint) as e from ob group by session_id),
+np as (select nt.*, cast(e + coalesce(sum(length(text)) over (partition by nt.session_id order by l, j rows between unbounded preceding and 1 preceding), 0) as bigint) as pos from nt join pend using (session_id)),
+fin as (select session_id, n, top, top + length(ttext) as root, top + length(ttext) + 49 as x, nodes + 3 * n + 1 as c from (select np.session_id, arg_max(pos, l) as top, arg_max(text, l) as ttext, count(*) as nodes from np group by np.session_id) join sess using (session_id)),
+fx as (select *, c + 1 || ' 0 obj' || chr(10) || '<< /Type /XRef /Size ' || c + 2 || ' /W [1 8 0] /Root 1 0 R /Length ' || 9 * (c + 2) || ' >>' || chr(10) || 'stream' || chr(10) as opening, chr(10) || 'endstream' || chr(10) || 'endobj' || chr(10) || 'startxref' || chr(10) || x || chr(10) || '%%EOF' || chr(10) as closing from fin),
+fe as (select *, x + length(opening) as entries from fx)"""
+
 ORACLES: dict[str, str] = {
     "gate_tiles": f"""{_GATE}select page_id, round(sharpness, 6) as sharpness, glare_hot_tiles, 64 as long_edge,
   concat_ws(',', case when sharpness < 500 then 'blur' end, case when glare_hot_tiles > 2 then 'glare' end, 'low_resolution') as flags, false as passed,
@@ -173,6 +197,17 @@ select name, length, kind, case when length = 0 then 'empty file' when kind is n
     "changed_pages": f"""with {_EDITS}, early as (select * from ed where event_id <= (select max(event_id) / 2 from events)), a as ({_STATE.format('ed')}), b as ({_STATE.format('early')})
 select a.page_id from a left join b on a.page_id = b.page_id and a.rotation = b.rotation and a.mode = b.mode and a.demoire is not distinct from b.demoire and a.inset is not distinct from b.inset where b.page_id is null""",
     "export_metrics": f"with {_CAT} select session_id, cast(count(*) as bigint) as pages, round_even(sum(pct) / (100.0::double * count(*)), 3) as mean_confidence, cast(count(*) filter (pct < 60) as bigint) as low_pages from cat where not deleted group by session_id",
+    "session_pdf_objects": f"""with {_PDF}
+select session_id, cast(k as bigint) as number, pos as at, cast(length(o1) as bigint) as length from pg union all select session_id, k + 1, pos + length(o1), length(o2) from pg union all select session_id, k + 2, pos + length(o1) + length(o2), octet_length(o3) from pg
+union all select session_id, number, pos, length(text) from np union all select session_id, 1, root, 49 from fe union all select session_id, c + 1, x, length(opening) + 9 * (c + 2) + 18 from fe""",
+    "session_pdfs": rf"""with {_PDF},
+part as (select session_id, 0 as pos, encode('%PDF-1.5' || chr(10)) as data from fe union all select session_id, pos, encode(o1 || o2) || o3 from pg union all select session_id, pos, encode(text) from np
+union all select session_id, root, encode('1 0 obj' || chr(10) || '<< /Type /Catalog /Pages 2 0 R >>' || chr(10) || 'endobj' || chr(10) || opening) || unhex(repeat('00', 9) || '01' || lpad(hex(root), 16, '0') || '01' || lpad(hex(top), 16, '0')) from fe
+union all select pg.session_id, entries + 9 * k, unhex('01' || lpad(hex(pos), 16, '0') || '01' || lpad(hex(pos + length(o1)), 16, '0') || '01' || lpad(hex(pos + length(o1) + length(o2)), 16, '0')) from pg join fe using (session_id)
+union all select np.session_id, entries + 9 * number, unhex('01' || lpad(hex(pos), 16, '0')) from np join fe using (session_id) where number > 2
+union all select session_id, entries + 9 * (c + 1), unhex('01' || lpad(hex(x), 16, '0')) || encode(closing) from fe),
+dig as (select session_id, cast(sum(('0x' || substr(md5(encode(pos || ':') || data), 1, 8))::bigint) as bigint) as digest, count(*) as parts from part group by session_id)
+select session_id, n as pages, cast(c + 1 as bigint) as objects, cast(entries + 9 * (c + 2) + length(closing) as bigint) as size, digest, parts from fe join dig using (session_id)""",
     "live_pages": f"with {_CAT} select id, session_id, \"order\", cast(row_number() over (partition by session_id order by \"order\", id) as int) as place, pct / 100.0::double < 0.6 as low_confidence, passthrough, '/api/scans/' || session_id || '/pages/' || id || '/preview' as preview from cat where not deleted",
     "scan_pages": f"""with {_CAT}, l as (select session_id, count(*) as n, string_agg("order" || ':' || id, ',' order by "order", id, pct) as pages from cat where not deleted group by session_id)
 select o_orderkey as session_id, cast(coalesce(n, 0) as int) as n_pages, coalesce(pages, '') as pages from orders left join l on o_orderkey = session_id""",

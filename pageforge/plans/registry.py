@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pageforge.config import SETTINGS
 from pageforge.functions import lab
 from pageforge.kernels import color, filters, light, outline, warp
-from pageforge.operators import catalog, geometry, pages, score, stats, uploads
+from pageforge.operators import assembly, catalog, geometry, pages, score, stats, uploads
 from pageforge.plans.oracles import ORACLES
 from pageforge.sources import fixtures
 
@@ -330,6 +330,21 @@ def export_metrics(spark, sf_dir):
     return catalog.export_metrics(fixtures.catalogue(spark, sf_dir))
 
 
+@query
+def session_pdf_objects(spark, sf_dir):
+    """Number, place and length of every object of each conversation's file, with few pages a node so that trees are deep."""
+    return assembly.assembled(fixtures.turns(spark, sf_dir), "raw", fan=4).objects
+
+
+@query
+def session_pdfs(spark, sf_dir):
+    """Pages, objects and bytes of each conversation's file, and a digest of its parts and their places."""
+    files = assembly.assembled(fixtures.turns(spark, sf_dir), "raw", fan=4)
+    name = F.md5(F.concat(F.encode(F.concat(F.col("at").cast("string"), F.lit(":")), "utf-8"), "data"))
+    digests = files.parts.groupBy("session_id").agg(F.sum(F.conv(F.substring(name, 1, 8), 16, 10).cast("long")).alias("digest"), F.count("*").alias("parts"))
+    return files.sessions.join(digests, "session_id")
+
+
 @query
 def live_pages(spark, sf_dir):
     """Live pages with their place in the session and what a client sees of them."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -36,6 +38,32 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder that the driver and every executor can reach, in spark.checkpoint.dir.
+
+    Where that is unset, a local folder is set on a single machine; on a cluster this is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="pageforge-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/pageforge-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, where: str, name: str) -> DataFrame:
+    """Writes a table into the shared folder and reads it: a lineage cut that survives lost executors."""
+    path = f"{where}/{name}"
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def local(name: str = "pageforge", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and local runs."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)

@@ -135,3 +135,21 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         (100 - F.round(F.col("l_discount") * 500).cast("int")).alias("confidence_pct"),
         F.col("l_shipdate").alias("created_at"),
     )
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of sessions from conversations: a gray page for each turn, 64 bytes of its text a line, the system's deleted."""
+    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    height = F.floor((F.octet_length(data) + 63) / 64).cast("int")
+    fill = F.unhex(F.repeat(F.lit("FF"), height * 64 - F.octet_length(data)))
+    raster = F.struct(height.alias("height"), F.lit(64).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.concat(data, fill).alias("data"))
+    row = table(spark, sf_dir, "conversations")
+    return row.select(
+        F.col("conv_id").alias("session_id"),
+        F.col("turn").cast("string").alias("id"),
+        F.col("turn").alias("order"),
+        (F.col("role") == "system").alias("deleted"),
+        F.lit(False).alias("passthrough"),
+        F.lit(None).cast("binary").alias("pdf"),
+        raster.alias("raster"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS
 from pageforge.kernels import color, encode, filters, light, model, outline, pdf, stats, warp
-from pageforge.operators import documents, pages
+from pageforge.operators import assembly, documents, pages
 from pageforge.sources import images
 
 
@@ -199,10 +199,10 @@ def test_photos_are_turned_upright(spark, tmp_path):
 
 def test_pdf_of_pages(spark):
     page, _ = snapshot(seed=3, size=0.1)
-    live = rasters(spark, [page] * 61 + [None]).selectExpr("7L as session_id", "cast(page_id as string) as id", "cast(100 - page_id as int) as order", "page_id = 5 as deleted", "raster")
-    row = documents.assemble(live).first()
+    live = rasters(spark, [page] * 61 + [None]).selectExpr("7L as session_id", "cast(page_id as string) as id", "cast(100 - page_id as int) as order", "page_id = 5 as deleted", "false as passthrough", "cast(null as binary) as pdf", "raster")
+    row = assembly.export(live).first()
     assert row["pages"] == 60 and row["pdf"][:5] == b"%PDF-" and b"Exif" not in row["pdf"] and row["pdf"].count(b"/DCTDecode") == 60
-    png = documents.assemble(live, "png").first()["pdf"]
+    png = assembly.export(live, "png").first()["pdf"]
     body = png[png.index(b"stream\n", png.index(b"/FlateDecode")) + 7 :]
     assert zlib.decompressobj().decompress(body) == page[..., ::-1].tobytes()
     assert documents.image_pdfs(rasters(spark, [page])).first()["pdf"].count(b"/Type /Page ") == 1
@@ -261,7 +261,7 @@ def test_export_keeps_text_and_order(spark):
     raster = pages.packed(page)
     rows = [(1, "b", 1, False, True, born, None), (1, "a", 2, False, False, None, raster), (1, "c", 0, False, False, None, raster), (1, "d", 3, True, True, born, None), (2, "e", 0, True, False, None, raster)]
     table = spark.createDataFrame(rows, "session_id long, id string, `order` int, deleted boolean, passthrough boolean, pdf binary, raster struct<height:int,width:int,nChannels:int,mode:int,data:binary>")
-    (one,) = documents.export(table, "png").collect()
+    (one,) = assembly.export(table, "png").collect()
     file = pdf.File(bytes(one["pdf"]))
     assert one["pages"] == 3 and [file.text(p)[:7] for p in file.pages] == ["", "Kept as", ""] and (file.image(file.pages[0]) == page).all()
     turned = documents.turned_pdfs(table.where("passthrough"), F.lit(-90)).first()["pdf"]

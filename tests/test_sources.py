@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from pageforge.operators import documents
+from pageforge.operators import assembly
 from pageforge.operators.uploads import validate
 from pageforge.sources import images
 from pageforge.streaming import uploads as stream
@@ -29,7 +29,8 @@ def test_pdf_of_a_session(spark):
     raster = (5, 4, 3, 16, DATA)
     rows = [(1, "b", 1, False, raster), (1, "a", 0, False, raster), (1, "c", 2, True, raster), (2, "d", 0, True, raster)]
     pages = spark.createDataFrame(rows, "session_id long, id string, `order` int, deleted boolean, raster struct<height:int,width:int,nChannels:int,mode:int,data:binary>")
-    (one,) = documents.assemble(pages).collect()
+    pages = pages.selectExpr("*", "false as passthrough", "cast(null as binary) as pdf")
+    (one,) = assembly.export(pages).collect()
     pdf = bytes(one["pdf"])
     assert one["pages"] == 2 and pdf.startswith(b"%PDF-") and pdf.endswith(b"%%EOF\n") and b"/Count 2" in pdf and b"Exif" not in pdf
 
