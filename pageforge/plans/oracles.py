@@ -145,6 +145,25 @@ own as (select page_id, y, x, min(root) as root from reach group by all),
 blobs as (select page_id, root, count(*) as n, avg(x) as cx, avg(y) as cy from own group by all),
 best as (select *, row_number() over (partition by page_id order by n desc, root) as k from blobs)
 select v0.page_id, round(cx, 6) as x, round(cy, 6) as y from v0 left join (select * from best where k = 1) using (page_id)""",
+    "mask_regions": f"""with recursive {_GRAY64},
+lit as (select page_id, y, x, x - row_number() over (partition by page_id, y order by x) as g from px join v0 using (page_id) where v > 28 * label + 11 + page_id % 8),
+run as (select page_id, y, min(x) as s, max(x) as e, y * 1000 + min(x) as id from lit group by page_id, y, g),
+touch as (select a.page_id, a.id as u, b.id as v from run a join run b on a.page_id = b.page_id and b.y = a.y - 1 and b.s <= a.e + 1 and b.e >= a.s - 1),
+side as (select page_id, u, v from touch union all select page_id, v, u from touch),
+reach as (select page_id, id, id as root from run union select r.page_id, s.v, r.root from reach r join side s on s.page_id = r.page_id and s.u = r.id),
+own as (select page_id, id, min(root) as root from reach group by page_id, id),
+box as (select page_id, root, sum(e - s + 1) as area, min(s) as l, min(y) as t, max(e) as r, max(y) as b, sum((e - s + 1) * (s + e)) / (2 * sum(e - s + 1))::double as cx, sum((e - s + 1) * y) / sum(e - s + 1)::double as cy from run join own using (page_id, id) group by page_id, root)
+select page_id, cast(root // 1000 as bigint) as y, cast(root % 1000 as bigint) as x, cast(area as bigint) as area, cast(l as bigint) as "left", cast(t as bigint) as top, cast(r as bigint) as "right", cast(b as bigint) as bottom, round(cx, 6) as cx, round(cy, 6) as cy from box""",
+    "hough_turns": f"""with {_VEC},
+p as (select page_id, cast(floor(e[1] * 96) as bigint) as m, k, x from v0, range(1, 4) a(k), range(48) b(x)),
+px as (select page_id, 40 * k + cast(floor(x * m / 64.0::double) as bigint) as y, x from p),
+d as (select t, cast(round(cos(pi() * t / 180) * 65536) as bigint) as c, cast(round(sin(pi() * t / 180) * 65536) as bigint) as s from range(180) r(t)),
+votes as (select page_id, t, cast(floor((x * c + y * s + 32768) / 65536.0::double) as bigint) as rho, count(*) as n from px, d group by all),
+near as (select *, coalesce(max(n) over (partition by page_id, t order by rho range between 1 preceding and 1 preceding), 0) as a, coalesce(max(n) over (partition by page_id, t order by rho range between 1 following and 1 following), 0) as b,
+  coalesce(max(n) over (partition by page_id, rho order by t range between 1 preceding and 1 preceding), 0) as c, coalesce(max(n) over (partition by page_id, rho order by t range between 1 following and 1 following), 0) as d from votes),
+best as (select page_id, t - 90 as g, row_number() over (partition by page_id order by n desc, t, rho) as place from near where n > 30 and n > a and n >= b and n > c and n >= d),
+mid as (select page_id, quantile_cont(g, 0.5) as turn from best where place <= 100 and g > -45 and g < 45 group by page_id)
+select page_id, case when abs(turn) < 0.5 then 0.0 else turn end::double as turn from mid""",
     "model_corners": f"""with {_QUADS},
 mp as (select page_id, case when page_id % 5 = 0 and k = 2 then 420.0::double else x end as x, case when page_id % 5 = 0 and k = 2 then 430.0::double else y end as y from rect),
 mc as (select *, atan2(y - avg(y) over (partition by page_id), x - avg(x) over (partition by page_id)) as a from mp),

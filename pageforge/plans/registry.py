@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pageforge.config import SETTINGS
 from pageforge.functions import lab
 from pageforge.kernels import color, filters, light, outline, warp
-from pageforge.operators import assembly, catalog, geometry, pages, score, stats, uploads
+from pageforge.operators import assembly, catalog, geometry, lines, pages, regions, score, stats, uploads
 from pageforge.plans.oracles import ORACLES
 from pageforge.sources import fixtures
 
@@ -136,6 +136,21 @@ def corner_heat(spark, sf_dir):
     return pages.per_page(fixtures.rasters8(spark, sf_dir), run, "x double, y double").select("page_id", r("x"), r("y"))
 
 
+@query
+def mask_regions(spark, sf_dir):
+    """First pixel, area, box and centre of every connected region of bright spots on pages of 64 by 64."""
+    bright = 28 * F.col("label") + 11 + F.col("page_id") % 8
+    rows = fixtures.gray64(spark, sf_dir)
+    found = regions.regions(regions.labelled(regions.runs(rows, F.transform("v", lambda v: v > bright))))
+    return found.withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+
+
+@query
+def hough_turns(spark, sf_dir):
+    """The turn of pages on which lines of one slope are drawn, by their votes."""
+    return lines.turns(lines.lines(fixtures.strokes(spark, sf_dir), least=30))
+
+
 @query
 def model_corners(spark, sf_dir):
     """Whether corners are what a model may give: those of the outlines, every fifth page with one corner drawn inwards."""

@@ -32,7 +32,7 @@ def gray64(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir).select("page_id", "label", "e", F.posexplode("e").alias("y", "vy"))
     scale = 5 * (1 + F.col("page_id") % 8)
     v = F.transform("e", lambda vx: clip(F.floor(28 * F.col("label") + 10 + scale * (F.col("vy") + vx)), 0, 255).cast("int"))
-    return rows.select("page_id", "y", F.lit(64).alias("h"), F.lit(64).alias("w"), v.alias("v"))
+    return rows.select("page_id", "y", F.lit(64).alias("h"), F.lit(64).alias("w"), v.alias("v"), "label")
 
 
 def rasters64(spark: SparkSession, sf_dir: str, color: bool = False) -> DataFrame:
@@ -153,3 +153,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("binary").alias("pdf"),
         raster.alias("raster"),
     )
+
+
+def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge pixels (page_id, y, x) of three parallel lines for each vector, 48 pixels wide, sloping by its first component."""
+    rows = _vectors(spark, sf_dir).select("page_id", F.floor(F.get("e", F.lit(0)) * 96).alias("slope"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"))
+    rows = rows.select("page_id", "slope", "k", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("x"))
+    return rows.select("page_id", (40 * F.col("k") + F.floor(F.col("x") * F.col("slope") / 64)).alias("y"), "x")
