@@ -164,6 +164,21 @@ near as (select *, coalesce(max(n) over (partition by page_id, t order by rho ra
 best as (select page_id, t - 90 as g, row_number() over (partition by page_id order by n desc, t, rho) as place from near where n > 30 and n > a and n >= b and n > c and n >= d),
 mid as (select page_id, quantile_cont(g, 0.5) as turn from best where place <= 100 and g > -45 and g < 45 group by page_id)
 select page_id, case when abs(turn) < 0.5 then 0.0 else turn end::double as turn from mid""",
+    "tile_gaussian": f"""with {_GRAY64}, tap as (select d, exp(-(d * d) / 1.28::double) / sum(exp(-(d * d) / 1.28::double)) over () as t from range(-3, 4) r(d)),
+near as (select p.i, d, t, case when p.i + d < 0 then -p.i - d when p.i + d > 63 then 126 - p.i - d else p.i + d end as k from range(64) p(i), tap),
+across as (select page_id, y, i as x, sum(t * v) as v from px join near on px.x = near.k group by all),
+down as (select page_id, i as y, x, sum(t * v) as v from across join near on across.y = near.k group by page_id, i, x)
+select page_id, cast(sum(cast(floor(v + 0.5::double) as bigint) * (y + 1) * (x + 1)) as bigint) as weighted_sum, cast(count(*) as bigint) as pixels from down group by page_id""",
+    "tile_warp": f"""with {_QUADS}, {_GRAY64.replace(_VEC + ',', '')},
+c as (select page_id, max(x) filter (k = 0) * 0.064::double as x0, max(y) filter (k = 0) * 0.064::double as y0, max(x) filter (k = 1) * 0.064::double as x1, max(y) filter (k = 1) * 0.064::double as y1, max(x) filter (k = 2) * 0.064::double as x2, max(y) filter (k = 2) * 0.064::double as y2, max(x) filter (k = 3) * 0.064::double as x3, max(y) filter (k = 3) * 0.064::double as y3 from rect group by page_id),
+s as (select *, greatest(1, round_even(greatest(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), sqrt((x2 - x3) * (x2 - x3) + (y2 - y3) * (y2 - y3))), 0)) as ow, greatest(1, round_even(greatest(sqrt((x3 - x0) * (x3 - x0) + (y3 - y0) * (y3 - y0)), sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))), 0)) as oh,
+  x0 - x1 + x2 - x3 as sx, y0 - y1 + y2 - y3 as sy, x1 - x2 as ax, y1 - y2 as ay, x3 - x2 as bx, y3 - y2 as byy from c),
+m as (select *, (sx * byy - bx * sy) / (ax * byy - bx * ay) as g, (ax * sy - sx * ay) / (ax * byy - bx * ay) as hh from s),
+o as (select page_id, oy, ox, (x0 + (x1 - x0 + g * x1) * u + (x3 - x0 + hh * x3) * v) / (1 + g * u + hh * v) as sx, (y0 + (y1 - y0 + g * y1) * u + (y3 - y0 + hh * y3) * v) / (1 + g * u + hh * v) as sy
+  from (select *, ox / (ow - 1)::double as u, oy / (oh - 1)::double as v from (select *, unnest(range(cast(ow as bigint))) as ox from (select *, unnest(range(cast(oh as bigint))) as oy from m)))),
+q as (select page_id, oy, ox, a, b, cast(floor(sx) as bigint) + a as i, cast(floor(sy) as bigint) + b as j, (case when a = 1 then sx - floor(sx) else 1 - (sx - floor(sx)) end) * (case when b = 1 then sy - floor(sy) else 1 - (sy - floor(sy)) end) as t from o, range(2) ra(a), range(2) rb(b)),
+val as (select q.page_id, oy, ox, sum(t * coalesce(px.v, 0)) as v from q left join px on px.page_id = q.page_id and px.x = q.i and px.y = q.j group by q.page_id, oy, ox)
+select page_id, cast(sum(cast(floor(v + 0.5::double) as bigint) * (oy + 1) * (ox + 1)) as bigint) as weighted_sum, cast(count(*) as bigint) as pixels from val group by page_id""",
     "model_corners": f"""with {_QUADS},
 mp as (select page_id, case when page_id % 5 = 0 and k = 2 then 420.0::double else x end as x, case when page_id % 5 = 0 and k = 2 then 430.0::double else y end as y from rect),
 mc as (select *, atan2(y - avg(y) over (partition by page_id), x - avg(x) over (partition by page_id)) as a from mp),

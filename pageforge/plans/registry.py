@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pageforge.config import SETTINGS
 from pageforge.functions import lab
 from pageforge.kernels import color, filters, light, outline, warp
-from pageforge.operators import assembly, catalog, geometry, lines, pages, regions, score, stats, uploads
+from pageforge.operators import assembly, catalog, geometry, lines, pages, regions, score, stats, tiles, uploads
 from pageforge.plans.oracles import ORACLES
 from pageforge.sources import fixtures
 
@@ -151,6 +151,22 @@ def hough_turns(spark, sf_dir):
     return lines.turns(lines.lines(fixtures.strokes(spark, sf_dir), least=30))
 
 
+@query
+def tile_gaussian(spark, sf_dir):
+    """Pages of 64 by 64, cut into tiles of 24, blurred as for sharpening; their pixels added up by place."""
+    cells = tiles.tiled(fixtures.rasters64(spark, sf_dir), 24)
+    return tiles.weighted(tiles.stencil(cells, 3, lambda page: filters.gaussian(page[..., 0], 0.8), 24))
+
+
+@query
+def tile_warp(spark, sf_dir):
+    """Outlines of pages of 64 by 64 as upright pages, from tiles of 24 that output tiles ask for; pixels added up by place."""
+    shrink = lambda k: F.transform(geometry.ordered(F.col("pts")), lambda p: F.struct((p["x"] * k).alias("x"), (p["y"] * k).alias("y")))
+    corners = fixtures.quads(spark, sf_dir).select("page_id", F.lit(64).alias("h"), F.lit(64).alias("w"), shrink(0.064).alias("rect"))
+    corners = corners.withColumn("size", geometry.warp_size(F.col("rect"))).select("page_id", "h", "w", "rect", F.col("size.w").alias("out_w"), F.col("size.h").alias("out_h"))
+    return tiles.weighted(tiles.warped(tiles.tiled(fixtures.rasters64(spark, sf_dir), 24), corners, 24))
+
+
 @query
 def model_corners(spark, sf_dir):
     """Whether corners are what a model may give: those of the outlines, every fifth page with one corner drawn inwards."""
