@@ -1,10 +1,11 @@
 """Best-fit packing by a configuration linear program (operator 7).
 
 The histogram of piece lengths (at most `capacity` rows, so it may go to the driver) defines a covering program with
-one variable for each way to fill a sequence.  Multiplicative weights price the lengths, a knapsack dynamic program
-finds what fillings are worth at those prices, and fractional fillings cover the demand; the prices give a lower bound,
-so the gap of the solution is known.  Rounded down, the fillings become a plan; where rounding leaves lengths over, the
-fillings go on with subset sums of what is left.  The plan says for each length which of its pieces, by rank, go where;
+one variable for each way to fill a sequence.  Prices of the lengths start as their sizes; at each pricing a knapsack
+dynamic program finds what the best filling is worth, fillings near that worth cover what they can of the demand, and
+by multiplicative weights the prices of lengths that they leave open go up.  Every pricing gives a lower bound, every
+cover a solution; the best of each are kept until they are within `GAP`, or prices have settled.  Rounded down, the
+fillings become a plan; where rounding leaves lengths over, the fillings go on with subset sums of what is left.  The plan says for each length which of its pieces, by rank, go where;
 its size depends on `capacity` alone.  Ranks come from counts by length and bucket, and rows are dealt into buckets by a
 number that each got when the pieces were written, so neither a length nor an id that a third of all pieces share is
 ranked in one task.
@@ -30,9 +31,9 @@ from pageforge.llm.common import cut, pick, shared_dir, shuffle_parts, slices, t
 from pageforge.llm.wordcodes import library_codes
 
 CAPACITY, END_ID = 4096, 1
-#: Pricings of the linear program, how fast prices fall where demand is covered, the share of the best filling's value
-#: that another may lose, and what counts as nothing.
-ROUNDS, RATE, STEP, EMPTY = 16, 1e-3, 1e-3, 1e-9
+#: Pricings of the linear program at most, the share of the bound that its solution may lie above it, the factor's logarithm
+#: by which prices rise at first, classes of lengths (of equal volume) that rise together, and what counts as nothing.
+ROUNDS, GAP, RATE, CLASSES, EMPTY = 120, 5e-3, 0.5, 64, 1e-9
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -71,46 +72,74 @@ def knapsack(prices: np.ndarray) -> np.ndarray:
     return best
 
 
-def solve(demand: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE, step: float = STEP) -> tuple[dict[tuple[int, ...], float], float]:
-    """Fractional fillings that cover the demand, and a lower bound on what any solution needs.
+def cover(prices: np.ndarray, best: np.ndarray, want: np.ndarray, slack: float) -> tuple[Counter, np.ndarray]:
+    """Fillings whose worth is within `slack` (a share) of the best one's, and the demand that they leave open.
 
-    A filling starts with the longest length whose demand is open.  As long as there is room, lengths follow that keep
-    it within a small step of the greatest value that the knapsack program finds at the prices, and of these the
-    longest one with open demand.  It is taken until one of its lengths is covered.  By multiplicative weights a length's
-    price falls with the share of its demand that is covered; the program is solved anew `rounds` times along the way.
-    At any prices, the demand's worth over that of the best filling bounds the number of sequences from below.
+    A filling starts with the longest length that still has some; others follow, the longest one first of those that
+    keep the filling within the slack.  It is taken until one of its lengths is used up.  Nothing is covered twice.
     """
-    lengths = np.array(sorted(demand, reverse=True))
-    want, size = np.zeros(capacity + 1), np.arange(capacity + 1)
-    want[lengths] = [demand[n] for n in lengths.tolist()]
-    held, left, bound = want > 0, want.copy(), float(want @ size) / capacity
-    out: dict[tuple[int, ...], float] = {}
-    best, done, price_at = np.zeros(0), 0.0, 0.0
-    for n in lengths.tolist():
+    left, out, capacity = want.copy(), Counter(), len(want) - 1
+    for n in np.flatnonzero(want)[::-1].tolist():
         while left[n] > EMPTY:
-            if done >= price_at:
-                prices = np.where(held, size / capacity * np.exp(-rate * (1 - left / np.maximum(want, 1))), 0)
-                best = knapsack(prices)
-                bound = max(bound, float(want @ prices) / best[capacity])
-                price_at += bound / rounds
-            filling, room, slack = [n], capacity - n, step * best[capacity]
-            while room:
+            filling, room, spare = [n], capacity - n, slack * best[capacity] - (best[capacity] - prices[n] - best[capacity - n])
+            while room and spare >= 0:
                 lost = best[room] - prices[1 : room + 1] - best[:room][::-1]  # by a length that goes in next
-                fits = np.flatnonzero((lost <= slack) & held[1 : room + 1])
+                fits = np.flatnonzero((lost <= spare) & (left[1 : room + 1] > EMPTY))
                 if not len(fits):
+                    spare -= best[room]  # the rest stays empty
                     break
-                still = fits[left[1:][fits] > EMPTY]
-                m = int(still[-1] if len(still) else fits[left[1:][fits].argmax()])
-                slack -= max(0.0, float(lost[m]))
+                m = int(fits[-1])
+                spare -= max(0.0, float(lost[m]))
                 filling.append(m + 1)
                 room -= m + 1
+            if spare < 0:
+                break
             counts = Counter(filling)
-            times = min(left[m] / k for m, k in counts.items() if m == n or left[m] > EMPTY)
-            out[tuple(filling)] = out.get(tuple(filling), 0.0) + times
-            done += times
+            times = min(left[m] / k for m, k in counts.items())
+            out[tuple(filling)] += times
             for m, k in counts.items():
                 left[m] -= k * times
-    return out, bound
+    return out, np.where(left > EMPTY, left, 0)
+
+
+def solve(demand: dict[int, int], capacity: int, rounds: int = ROUNDS, gap: float = GAP, rate: float = RATE) -> tuple[dict[tuple[int, ...], float], float]:
+    """Fractional fillings that cover the demand, and a lower bound on what any solution needs.
+
+    At any prices the demand's worth over that of the best filling is a bound.  A cover by fillings that are all worth
+    nearly as much as the best one needs hardly more sequences than the bound says, so when near-best fillings leave
+    nothing open, the program is solved.  Until then the prices of what is left open rise, by classes of lengths; where
+    the bound stops rising, steps are halved and start again from the best prices.  What near-best fillings leave open is
+    covered by the best ones that its lengths have.
+    """
+    lengths, size, want = np.array(sorted(demand)), np.arange(capacity + 1.0), np.zeros(capacity + 1)
+    want[lengths] = [demand[n] for n in lengths.tolist()]
+    volume = np.cumsum(want * size)[lengths]
+    kind = np.unique((volume / volume[-1] * CLASSES).astype(int), return_inverse=True)[1]
+    count = np.bincount(kind, want[lengths])
+    middle = np.bincount(kind, want[lengths] * lengths) / count
+    weight = held = np.zeros(len(count))
+    bound, least, stalled, slack, found = 0.0, float("inf"), 0, 1e-3, Counter()
+    for _ in range(rounds):
+        prices = np.zeros(capacity + 1)
+        prices[lengths] = np.maximum.accumulate(lengths * np.exp(np.interp(lengths, middle, weight)))
+        best = knapsack(prices)
+        prices, best = prices / best[capacity], best / best[capacity]
+        worth = float(want @ prices)
+        stalled = 0 if worth > bound * (1 + 1e-4) else stalled + 1
+        if worth >= bound:
+            bound, held = worth, weight
+        near, left = cover(prices, best, want, slack)
+        rest, _ = cover(prices, best, left, 1.0)
+        if (total := near.total() + rest.total()) < least:
+            least, found = total, near + rest
+        if least <= bound * (1 + gap) or rate < gap / 4:
+            break
+        if stalled >= 4:
+            rate, stalled, weight = rate / 2, 0, held
+        slack = max(gap / 2, min(rate / 2, 0.05))
+        open_share = np.bincount(kind, left[lengths]) / count
+        weight = weight + rate * open_share / max(open_share.max(), EMPTY)
+    return dict(found), bound
 
 
 def completed(core: Counter, lengths: list[int], left: dict[int, int], capacity: int) -> dict[int, int]:
@@ -137,12 +166,12 @@ def completed(core: Counter, lengths: list[int], left: dict[int, int], capacity:
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, facts: dict | None = None) -> list[tuple[dict[int, int], int]]:
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, facts: dict | None = None) -> list[tuple[dict[int, int], int]]:
     """Fillings and how many sequences get each; together they take every piece once.
 
-    The fractional solution is rounded down, then each filling is taken once more in order of what rounding lost.
-    Where other fillings have used up a length, the filling goes on without it, and its room is completed by lengths
-    that are left; what no filling covers is filled in the same way, longest piece first.  `facts` gets the numbers of
+    The fractional solution is rounded down, then each filling is taken once more in order of what rounding lost: with
+    what is left of its lengths, and its room completed by others that are left.  What no filling covers is filled in the
+    same way, longest piece first.  `facts` gets the numbers of
     sequences of each kind, the fractional solution's and the bound.
     """
     left = {n: c for n, c in histogram.items() if n < capacity}
@@ -162,17 +191,19 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
         return share
 
     if left:
-        solved, made["bound"] = solve(left, capacity, rounds)
+        solved, made["bound"] = solve(left, capacity)
         made["fractional"] = float(sum(solved.values()))
-        rounded = [(f, int(x)) for f, x in solved.items()] + [(f, 1) for f, x in sorted(solved.items(), key=lambda f: int(f[1]) - f[1]) if x > int(x)]
-        for filling, times in rounded:
-            whole = Counter(filling)
-            times -= take(whole, times, "rounded")
-            while times and left[filling[0]]:  # a filling whose longest piece is gone has no use
+        whole = [(f, int(x)) for f, x in solved.items() if x >= 1]
+        parts = sorted((f for f, x in solved.items() if x > int(x)), key=lambda f: int(solved[f]) - solved[f])
+        for filling, times in whole:
+            times -= take(Counter(filling), times, "rounded")
+        for filling in parts:
+            if left[filling[0]]:  # a filling whose longest piece is gone has no use
                 core = Counter()
                 for n in filling:
                     core[n] += left[n] > core[n]
-                times -= take(completed(+core, order, left, capacity), times, "completed")
+                found = completed(+core, order, left, capacity)
+                take(found, 1, "rounded" if found == Counter(filling) else "completed")
         while order:
             found = completed(Counter(order[:1]), order, left, capacity)
             take(found, left[order[0]], "rest")

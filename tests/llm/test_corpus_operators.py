@@ -132,6 +132,31 @@ def test_configurations_are_near_the_optimum_and_the_bound_holds():
     assert best.tolist() == [0, 0, 3, 3, 6, 6, 9, 9]
 
 
+@pytest.mark.parametrize(
+    "histogram,most",
+    [
+        ({1366: 900, 2731: 300, 700: 500}, 750),  # two of 1366 with one of 700: fuller sequences would be more
+        ({2100: 10, 500: 1}, 10),
+        (dict(Counter(random.Random(1).randint(1500, 2500) for _ in range(4000))), 2000),
+    ],
+)
+def test_the_program_is_solved_where_volume_does_not_bind(monkeypatch, histogram, most):
+    facts: dict = {}
+    made = sum(times for _, times in packing.configurations(dict(histogram), facts=facts))
+    volume = sum(n * k for n, k in histogram.items()) / packing.CAPACITY
+    assert volume < facts["bound"] - 1 and facts["bound"] <= facts["fractional"] <= made + 1e-6 and made <= most
+    assert facts["fractional"] <= 1.01 * facts["bound"]
+    covered = Counter()
+    for filling, x in packing.solve(histogram, packing.CAPACITY)[0].items():
+        assert sum(filling) <= packing.CAPACITY
+        for n in filling:
+            covered[n] += x
+    assert all(abs(covered[n] - k) < 1e-6 for n, k in histogram.items())
+    if most == 750:  # what completes fillings alone does not find it
+        monkeypatch.setattr(packing, "solve", lambda *_: ({}, 0.0))
+        assert sum(times for _, times in packing.configurations(dict(histogram))) > 780
+
+
 def brute_groups(rows):
     sets = []
     for _, text in rows:
