@@ -301,6 +301,8 @@ def _held_sets(docs: DataFrame, owned: DataFrame, where: str, name: str) -> Data
 
 def _verified(docs: DataFrame, pairs: DataFrame, where: str, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar, of pairs with their owners (a, b, oa, ob)."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     owned = pairs.select(F.col("a").alias("node"), F.col("oa").alias("owner")).union(pairs.select("b", "ob"))
     held = _held_sets(docs, owned, where, f"{name}-sets")
     out = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
@@ -340,6 +342,8 @@ def _large(docs: DataFrame, sizes: DataFrame, held: DataFrame, where: str) -> Da
     Large signatures have much the same holders (variants of one text), so those that share holders are put together
     and their holders compared once, block by block, however many signatures they share.
     """
+    if held.isEmpty():
+        return held.select(F.col("node").alias("a"), F.col("part").alias("b"))
     first = F.min("sig").over(Window.partitionBy("node"))  # a node's signatures go with its first one
     own = cut(held.select("sig", "node", "n", "part", first.alias("first")), where, "own")
     alike = components(own.select(F.col("sig").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), where, "crowds")
@@ -428,21 +432,25 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
     ends = held.select("node", F.explode(F.array("least", "most")).alias("a")).where("node <> a")
     stars = ends.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     stars = cut(unordered(likely(stars)), where, "stars")
-    links = _verified(docs, stars, where, "links")
-    apart = parted(held.select("sig", "node", "n"), components(links, where, "parts"), where, "apart1")
-    drop(spark, where, "held", "parts", "apart1-sigs")
+    parts = components(_verified(docs, stars, where, "links"), where, "parts")
+    apart = parted(held.select("sig", "node", "n"), parts, where, "apart1")
+    drop(spark, where, "links", "held", "apart1-sigs")
+
+    def joined(parts: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Components after further links: those known so far are stars already and stand for all links before."""
+        return parts if links.isEmpty() else components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), where, name)
 
     center = F.min_by(F.struct("node", "part"), F.xxhash64("node", F.pmod("sig", F.lit(CENTERS)))).alias("center")
     chosen = cut(apart.groupBy("sig").agg(center).select("sig", F.col("center.node").alias("a"), F.col("center.part").alias("pa")), where, "centers")
     tried = apart.join(chosen, "sig").where("part <> pa").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     tried = cut(unordered(likely(tried)).join(stars, ["a", "b"], "left_anti"), where, "tried")
-    links = cut(links.union(_verified(docs, tried, where, "links2")), where, "links12")
+    parts = joined(parts, _verified(docs, tried, where, "links2"), "parts2")
     tried = stars.union(tried)
 
     # Signatures across provisional components: every pair of holders in different ones.
-    held = parted(apart.select("sig", "node", "n"), components(links, where, "parts2"), where, "apart2")
+    held = parted(apart.select("sig", "node", "n"), parts, where, "apart2")
     sizes2 = cut(held.groupBy("sig").count(), where, "holders")
-    drop(spark, where, "apart1", "apart2-sigs", "parts2", "centers")
+    drop(spark, where, "links2", "apart1", "apart2-sigs", "centers")
     large = _large(docs, sizes, held.join(sizes2.where(F.col("count") > LARGE), "sig"), where)
     held = held.join(sizes2.where(F.col("count") <= LARGE), "sig").drop("count")
     main = held.groupBy("sig", "part").count().groupBy("sig").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
@@ -453,8 +461,8 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
     pairs = pairs.groupBy(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).agg(F.count("*").alias("c"))
     pairs = cut(likely(pairs).join(tried, ["a", "b"], "left_anti"), where, "pairs")
     more = _verified(docs, pairs, where, "more")
-    parts = components(links.union(more).union(large), where, "nodes")
-    drop(spark, where, "sizes", "stars", "links", "links2", "links12", "tried", "apart2", "holders", "main", "pairs", "more", "crowd-links")
+    parts = joined(parts, more.union(large), "nodes")
+    drop(spark, where, "sizes", "stars", "tried", "apart2", "holders", "main", "pairs", "more", "crowd-links")
 
     out = facts.select("doc_id", "node", "n").join(parts, "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("part"))
     first = cut(out.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("component_id")), where, "smallest")
@@ -474,7 +482,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     spark = df.sparkSession
     where = shared_dir(spark)
     found = cut(named_groups(df, doc_id, text, where), where, "groups").where(F.col("doc_id").isNotNull())
-    drop(spark, where, "facts", "nodes", "smallest")
+    drop(spark, where, "facts", "parts", "parts2", "nodes", "smallest")
     stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     fate = cut(found.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.min(stays).alias("every_stays")).where("n_rows > 1 or not every_stays"), where, "fate")
     unsure = spark.sparkContext.broadcast(Filter(fate, "doc_id"))
