@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pageforge.kernels import light, warp
 from pageforge.operators.rasters import unpacked
 
-#: Edge of a tile in pixels: with three channels about 3 MB.
-SIZE = 1024
+#: Edge of a tile in pixels: with three channels about 3 MB.  Bytes of pixels from which on rows are passed on.
+SIZE, HELD = 1024, 1 << 22
 
 _PLACE = ["h", "w", "ty", "tx", "top", "left", "height", "width", "channels"]
 
@@ -38,8 +38,28 @@ def _schema(kind: str) -> str:
     return f"page_id {kind}, {', '.join(f'{c} int' for c in _PLACE)}, data binary"
 
 
-def _batch(ids: pa.Array, rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, *(pa.array([r[c] for r in rows], pa.int32()) for c in _PLACE), pa.array([r["data"] for r in rows], pa.binary())], ["page_id", *_PLACE, "data"])
+class Rows:
+    """Gathers rows for some input rows of a batch, and gives them as a batch when they are large enough, or at the end."""
+
+    def __init__(self, names: list[str], kinds: list[pa.DataType], kept: list[str]) -> None:
+        self.names, self.kinds, self.kept = names, kinds, kept
+        self.at, self.rows, self.size = [], [], 0
+
+    def add(self, at: int, row: tuple, size: int) -> None:
+        self.at.append(at)
+        self.rows.append(row)
+        self.size += size
+
+    def given(self, b: pa.RecordBatch, least: int = 0) -> Iterator[pa.RecordBatch]:
+        if self.rows and self.size >= least:
+            at = pa.array(self.at)
+            columns = [pa.array(c, t) for c, t in zip(zip(*self.rows), self.kinds)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in self.kept), *columns], [*self.kept, *self.names])
+            self.at, self.rows, self.size = [], [], 0
+
+
+def _tile_rows() -> Rows:
+    return Rows([*_PLACE, "data"], [pa.int32()] * len(_PLACE) + [pa.binary()], ["page_id"])
 
 
 def tiled(pages: DataFrame, size: int = SIZE) -> DataFrame:
@@ -47,6 +67,7 @@ def tiled(pages: DataFrame, size: int = SIZE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out = _tile_rows()
             for i in range(b.num_rows):
                 raster = b.column("raster")[i].as_py()
                 page = unpacked(raster)
@@ -57,8 +78,9 @@ def tiled(pages: DataFrame, size: int = SIZE) -> DataFrame:
                 for ty in range(-(-h // size)):
                     for tx in range(-(-w // size)):
                         part = page[ty * size : ty * size + size, tx * size : tx * size + size]
-                        row = dict(zip(_PLACE, (h, w, ty, tx, ty * size, tx * size, part.shape[0], part.shape[1], n))) | {"data": part.tobytes()}
-                        yield _batch(b.column("page_id").slice(i, 1), [row])
+                        out.add(i, (h, w, ty, tx, ty * size, tx * size, part.shape[0], part.shape[1], n, part.tobytes()), part.size)
+                        yield from out.given(b, HELD)
+            yield from out.given(b)
 
     return pages.select("page_id", "raster").mapInArrow(run, _schema(_kind(pages)))
 
@@ -88,20 +110,23 @@ def stencil(tiles: DataFrame, reach: int, run: Callable[[np.ndarray], np.ndarray
     def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each tile in reach the part of this one that lies in its halo; for itself all of it."""
         for b in batches:
+            out = Rows([*names, "data"], [pa.int32()] * len(names) + [pa.binary()], ["page_id"])
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in [*_PLACE, "data"]}
-                page, rows = _array(r), []
+                page = _array(r)
                 bottom, right = r["top"] + r["height"], r["left"] + r["width"]
                 for ty in range(max(0, r["top"] - reach) // size, (min(r["h"], bottom + reach) - 1) // size + 1):
                     for tx in range(max(0, r["left"] - reach) // size, (min(r["w"], right + reach) - 1) // size + 1):
                         y0, y1 = max(r["top"], ty * size - reach), min(bottom, ty * size + size + reach)
                         x0, x1 = max(r["left"], tx * size - reach), min(right, tx * size + size + reach)
-                        rows.append((r["h"], r["w"], ty, tx, y0, x0, y1 - y0, x1 - x0, r["channels"], page[y0 - r["top"] : y1 - r["top"], x0 - r["left"] : x1 - r["left"]].tobytes()))
-                ids = b.column("page_id").take(pa.array([i] * len(rows)))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in rows], pa.int32()) for k in range(9)), pa.array([x[9] for x in rows], pa.binary())], ["page_id", *names, "data"])
+                        part = page[y0 - r["top"] : y1 - r["top"], x0 - r["left"] : x1 - r["left"]].tobytes()
+                        out.add(i, (r["h"], r["w"], ty, tx, y0, x0, y1 - y0, x1 - x0, r["channels"], part), len(part))
+                yield from out.given(b, HELD)
+            yield from out.given(b)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows = _tile_rows()
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in ("h", "w", "ty", "tx", "pieces")}
                 top, left = r["ty"] * size, r["tx"] * size
@@ -110,7 +135,9 @@ def stencil(tiles: DataFrame, reach: int, run: Callable[[np.ndarray], np.ndarray
                 block = _put(r["pieces"], y0, x0, min(r["h"], top + height + reach) - y0, min(r["w"], left + width + reach) - x0)
                 out = run(block)[top - y0 : top - y0 + height, left - x0 : left - x0 + width]
                 out = np.ascontiguousarray(out.reshape(height, width, -1), np.uint8)
-                yield _batch(b.column("page_id").slice(i, 1), [dict(zip(_PLACE, (r["h"], r["w"], r["ty"], r["tx"], top, left, height, width, out.shape[2]))) | {"data": out.tobytes()}])
+                rows.add(i, (r["h"], r["w"], r["ty"], r["tx"], top, left, height, width, out.shape[2], out.tobytes()), out.size)
+                yield from rows.given(b, HELD)
+            yield from rows.given(b)
 
     parts = tiles.mapInArrow(strips, f"page_id {_kind(tiles)}, {', '.join(f'{c} int' for c in names)}, data binary")
     halos = parts.groupBy("page_id", "ty", "tx").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.collect_list(F.struct("y", "x", "height", "width", "channels", "data")).cast(_PIECES).alias("pieces"))
@@ -163,10 +190,12 @@ def warped(tiles: DataFrame, corners: DataFrame, size: int = SIZE) -> DataFrame:
     kind = _kind(tiles)
     places = "oy int, ox int, top int, left int, height int, width int"
     box = "y0 int, x0 int, y1 int, x1 int"
+    asks = ["ty", "tx", "oy", "ox", "top", "left", "height", "width", "y0", "x0", "y1", "x1"]
 
     def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each output tile and each source tile that it needs."""
         for b in batches:
+            rows = Rows(asks, [pa.int32()] * len(asks), ["page_id"])
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in ("h", "w", "rect", "out_w", "out_h")}
                 if r["rect"] is None or not r["out_w"] or not r["out_h"]:
@@ -174,7 +203,6 @@ def warped(tiles: DataFrame, corners: DataFrame, size: int = SIZE) -> DataFrame:
                 target = np.array([[0, 0], [r["out_w"] - 1, 0], [r["out_w"] - 1, r["out_h"] - 1], [0, r["out_h"] - 1]], float)
                 matrix = warp.homography(target, np.array([[p["x"], p["y"]] for p in r["rect"]])) if min(r["out_w"], r["out_h"]) > 1 else None
                 for oy in range(-(-r["out_h"] // size)):
-                    rows = []
                     for ox in range(-(-r["out_w"] // size)):
                         top, left = oy * size, ox * size
                         height, width = min(size, r["out_h"] - top), min(size, r["out_w"] - left)
@@ -182,9 +210,9 @@ def warped(tiles: DataFrame, corners: DataFrame, size: int = SIZE) -> DataFrame:
                         y0, x0, y1, x1 = spot or (0, 0, 1, 1)
                         for ty in range(y0 // size, (y1 - 1) // size + 1):
                             for tx in range(x0 // size, (x1 - 1) // size + 1):
-                                rows.append((ty, tx, oy, ox, top, left, height, width, y0, x0, y1, x1))
-                    ids = b.column("page_id").take(pa.array([i] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in rows], pa.int32()) for k in range(12))], ["page_id", "ty", "tx", "oy", "ox", "top", "left", "height", "width", "y0", "x0", "y1", "x1"])
+                                rows.add(i, (ty, tx, oy, ox, top, left, height, width, y0, x0, y1, x1), 4 * len(asks))
+                    yield from rows.given(b, HELD)
+            yield from rows.given(b)
 
     asked = corners.select("page_id", "h", "w", "rect", "out_w", "out_h").mapInArrow(planned, f"page_id {kind}, ty int, tx int, {places}, {box}")
     met = asked.join(tiles.select("page_id", "ty", "tx", F.col("top").alias("t"), F.col("left").alias("l"), F.col("height").alias("th"), F.col("width").alias("tw"), "channels", "data"), ["page_id", "ty", "tx"])
@@ -192,13 +220,15 @@ def warped(tiles: DataFrame, corners: DataFrame, size: int = SIZE) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What of a source tile an output tile has asked for."""
         for b in batches:
+            rows = Rows(["piece"], [piece], ["page_id", *asks[2:]])
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in ("t", "l", "th", "tw", "channels", "data", "y0", "x0", "y1", "x1")}
                 part = np.frombuffer(r["data"], np.uint8).reshape(r["th"], r["tw"], r["channels"])
                 y0, x0, y1, x1 = max(r["y0"], r["t"]), max(r["x0"], r["l"]), min(r["y1"], r["t"] + r["th"]), min(r["x1"], r["l"] + r["tw"])
                 row = {"y": y0, "x": x0, "height": y1 - y0, "width": x1 - x0, "channels": r["channels"], "data": part[y0 - r["t"] : y1 - r["t"], x0 - r["l"] : x1 - r["l"]].tobytes()}
-                kept = ["page_id", "oy", "ox", "top", "left", "height", "width", "y0", "x0", "y1", "x1"]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in kept), pa.array([row], piece)], [*kept, "piece"])
+                rows.add(i, (row,), len(row["data"]))
+                yield from rows.given(b, HELD)
+            yield from rows.given(b)
 
     piece = pa.struct([("y", pa.int32()), ("x", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
     parts = met.mapInArrow(pieces, f"page_id {kind}, {places}, {box}, piece struct<y:int,x:int,height:int,width:int,channels:int,data:binary>")
@@ -207,7 +237,9 @@ def warped(tiles: DataFrame, corners: DataFrame, size: int = SIZE) -> DataFrame:
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r, at in ((x, i) for i, x in enumerate(b.drop_columns(["page_id"]).to_pylist())):
+            rows = _tile_rows()
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i].as_py() for c in [*asks[2:], "pieces", "h", "w", "rect", "out_w", "out_h"]}
                 window = _put(r["pieces"], r["y0"], r["x0"], r["y1"] - r["y0"], r["x1"] - r["x0"])
                 rect = np.array([[p["x"], p["y"]] for p in r["rect"]])
                 x, y = np.arange(r["left"], r["left"] + r["width"]), np.arange(r["top"], r["top"] + r["height"])[:, None]
@@ -222,7 +254,9 @@ def warped(tiles: DataFrame, corners: DataFrame, size: int = SIZE) -> DataFrame:
                     z = m[2, 0] * x + m[2, 1] * y + m[2, 2]
                     u, v = (m[0, 0] * x + m[0, 1] * y + m[0, 2]) / z, (m[1, 0] * x + m[1, 1] * y + m[1, 2]) / z
                 out = between(window, r["y0"], r["x0"], u, v, r["h"], r["w"])
-                yield _batch(b.column("page_id").slice(at, 1), [dict(zip(_PLACE, (r["out_h"], r["out_w"], r["oy"], r["ox"], r["top"], r["left"], r["height"], r["width"], out.shape[2]))) | {"data": out.tobytes()}])
+                rows.add(i, (r["out_h"], r["out_w"], r["oy"], r["ox"], r["top"], r["left"], r["height"], r["width"], out.shape[2], out.tobytes()), out.size)
+                yield from rows.given(b, HELD)
+            yield from rows.given(b)
 
     return windows.mapInArrow(drawn, _schema(kind))
 

@@ -134,6 +134,12 @@ wide as (select page_id, ay.i as y, ax.i as x, v::double as v from px join pad a
 rows as (select page_id, y, x, v, sum(v) over w as s1, sum(v * v) over w as s2 from wide window w as (partition by page_id, y order by x rows between 12 preceding and 12 following)),
 sums as (select page_id, y, x, v, sum(s1) over w / 625 as m, sum(s2) over w / 625 as q from rows window w as (partition by page_id, x order by y rows between 12 preceding and 12 following)),
 white as (select page_id, y, x from sums where y between 0 and 63 and x between 0 and 63 and v > m * (1 + 0.2::double * (sqrt(greatest(0, q - m * m)) / 127.5::double - 1)))
+select page_id, cast(count(y) as bigint) as white, cast(coalesce(sum((y + 1) * (x + 1)), 0) as bigint) as weighted_sum from v0 left join white using (page_id) group by page_id""",
+    "sauvola_lines": f"""with {_GRAY8}, pad as (select t.i, case when ((t.i % 14) + 14) % 14 < 8 then ((t.i % 14) + 14) % 14 else 14 - ((t.i % 14) + 14) % 14 end as k from range(-12, 20) t(i)),
+wide as (select page_id, ay.i as y, ax.i as x, v::double as v from px join pad ay on px.y = ay.k join pad ax on px.x = ax.k),
+rows as (select page_id, y, x, v, sum(v) over w as s1, sum(v * v) over w as s2 from wide window w as (partition by page_id, y order by x rows between 12 preceding and 12 following)),
+sums as (select page_id, y, x, v, sum(s1) over w / 625 as m, sum(s2) over w / 625 as q from rows window w as (partition by page_id, x order by y rows between 12 preceding and 12 following)),
+white as (select page_id, y, x from sums where y between 0 and 7 and x between 0 and 7 and v > m * (1 + 0.2::double * (sqrt(greatest(0, q - m * m)) / 127.5::double - 1)))
 select page_id, cast(count(y) as bigint) as white, cast(coalesce(sum((y + 1) * (x + 1)), 0) as bigint) as weighted_sum from v0 left join white using (page_id) group by page_id""",
     "background_close": f"""with {_GRAY8},
 d as (select page_id, y, x, greatest(v, lag(v) over wx, lead(v) over wx, lag(v) over wy, lead(v) over wy) as v from px window wx as (partition by page_id, y order by x), wy as (partition by page_id, x order by y)),
@@ -228,6 +234,8 @@ select name, length, kind, case when length = 0 then 'empty file' when kind is n
     "page_order": "select conv_id as session_id, turn % 3 as upload, turn as page, cast(row_number() over (partition by conv_id order by turn % 3, turn) - 1 as int) as \"order\" from conversations",
     "page_rotation": f"with {_EDITS} select page_id, rotation from ({_STATE.format('ed')})",
     "page_state": f"with {_EDITS} select page_id, round(inset, 6) as inset, mode, demoire, deleted, n_exports, n_edits from ({_STATE.format('ed')})",
+    "snapshot_state": f"with {_EDITS} select page_id, round(inset, 6) as inset, mode, demoire, deleted, n_exports, n_edits, rotation from ({_STATE.format('ed')})",
+    "replayed_batches": "select source, cast(((doc_id % 3) + 3) % 3 as int) as batch, cast(count(*) as bigint) as n, cast(sum(doc_id) as bigint) as ids, cast(sum(octet_length(encode(text))) as bigint) as bytes from documents group by all",
     "changed_pages": f"""with {_EDITS}, early as (select * from ed where event_id <= (select max(event_id) / 2 from events)), a as ({_STATE.format('ed')}), b as ({_STATE.format('early')})
 select a.page_id from a left join b on a.page_id = b.page_id and a.rotation = b.rotation and a.mode = b.mode and a.demoire is not distinct from b.demoire and a.inset is not distinct from b.inset where b.page_id is null""",
     "export_metrics": f"with {_CAT} select session_id, cast(count(*) as bigint) as pages, round_even(sum(pct) / (100.0::double * count(*)), 3) as mean_confidence, cast(count(*) filter (pct < 60) as bigint) as low_pages from cat where not deleted group by session_id",

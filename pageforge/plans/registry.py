@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pageforge.config import SETTINGS
 from pageforge.functions import lab
 from pageforge.kernels import color, filters, light, outline, warp
-from pageforge.operators import assembly, catalog, geometry, lines, pages, regions, score, stats, tiles, uploads
+from pageforge.operators import assembly, catalog, geometry, integral, lines, pages, regions, score, snapshots, stats, tiles, uploads
 from pageforge.plans.oracles import ORACLES
+from pageforge.session import shared_dir
 from pageforge.sources import fixtures
+from pageforge.streaming import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -114,6 +116,14 @@ def black_white(spark, sf_dir):
     return pages.per_page(fixtures.rasters64(spark, sf_dir), run, "white long, weighted_sum long").drop("raster")
 
 
+@query
+def sauvola_lines(spark, sf_dir):
+    """Pages of 8 by 8 in black and white from scan lines, by running sums in both directions; windows reach beyond all borders."""
+    white = integral.black_white(fixtures.gray8(spark, sf_dir))
+    place = F.when(F.col("white"), (F.col("y") + 1) * (F.col("x") + 1))
+    return white.groupBy("page_id").agg(F.count_if("white").alias("white"), F.coalesce(F.sum(place), F.lit(0)).cast("long").alias("weighted_sum"))
+
+
 @query
 def background_close(spark, sf_dir):
     """Marks closed on pages of 8 by 8 by a disc of 3 by 3 (a cross), added up by place."""
@@ -347,6 +357,29 @@ def page_state(spark, sf_dir):
     return catalog.page_state(fixtures.edits(spark, sf_dir)).select("page_id", inset, "mode", "demoire", "deleted", "n_exports", "n_edits")
 
 
+@query
+def snapshot_state(spark, sf_dir):
+    """The states of pages by stored snapshots: the log arrives in four batches, in each of which edits of all times are."""
+    where = shared_dir(spark)
+    log = fixtures.edits(spark, sf_dir).withColumn("batch", F.pmod(F.xxhash64("seq"), F.lit(4)).cast("int"))
+    for k in range(4):
+        tables.write_batch(log.where(F.col("batch") == k).drop("batch"), k, f"{where}/log")
+        snapshots.advance(spark, f"{where}/states", tables.read(spark, f"{where}/log"))
+    inset = F.round(F.col("corners")[0][0], 6).alias("inset")
+    return snapshots.state(snapshots.stored(spark, f"{where}/states")).select("page_id", inset, "mode", "demoire", "deleted", "n_exports", "n_edits", "rotation")
+
+
+@query
+def replayed_batches(spark, sf_dir):
+    """Documents stored in three batches, of which one is written again, whole, after a broken attempt: as if once."""
+    where = f"{shared_dir(spark)}/table"
+    rows = fixtures.table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("size"))
+    part = lambda k: rows.where(F.pmod(F.col("doc_id"), F.lit(3)) == k)
+    for k, batch in ((0, part(0)), (1, rows), (2, part(2)), (1, part(1)), (0, part(0))):
+        tables.write_batch(batch, k, where)
+    return tables.read(spark, where).groupBy("source", "batch").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.sum("size").alias("bytes"))
+
+
 @query
 def changed_pages(spark, sf_dir):
     """Pages whose state differs between half of the log and all of it."""
