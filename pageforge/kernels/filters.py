@@ -105,6 +105,23 @@ def resize(page: np.ndarray, height: int, width: int, area: bool = False) -> np.
     return np.clip(np.floor(_resample(_resample(page, height, 0, area), width, 1, area) + 0.5), 0, 255).astype(np.uint8)
 
 
+def _cubic(plane: np.ndarray, n: int, axis: int) -> np.ndarray:
+    p = np.moveaxis(plane.astype(np.float64), axis, 0)
+    m, a = len(p), -0.75  # a fixed value of the kernel
+    at = (np.arange(n) + 0.5) * (m / n) - 0.5
+    low, out = np.floor(at).astype(int), 0.0
+    for k in range(-1, 3):
+        t = np.abs(at - low - k).reshape(-1, *[1] * (p.ndim - 1))
+        near, far = ((a + 2) * t - (a + 3)) * t * t + 1, ((a * t - 5 * a) * t + 8 * a) * t - 4 * a
+        out = out + p[np.clip(low + k, 0, m - 1)] * np.where(t <= 1, near, far)
+    return np.moveaxis(out, 0, axis)
+
+
+def enlarged(page: np.ndarray, height: int, width: int) -> np.ndarray:
+    """8-bit pages by cubic interpolation between pixel centres, edges replicated."""
+    return np.clip(np.floor(_cubic(_cubic(page, height, 0), width, 1) + 0.5), 0, 255).astype(np.uint8)
+
+
 def bilateral(page: np.ndarray, size: int, sigma_color: float, sigma_space: float) -> np.ndarray:
     """Means of a disc's pixels, weighted by nearness in place and colour (the sum of the channels' differences)."""
     planes = np.ascontiguousarray(page[None] if page.ndim == 2 else np.moveaxis(page, 2, 0))

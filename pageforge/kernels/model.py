@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
-from pageforge.kernels.filters import _resample, resize
+from pageforge.kernels.filters import _resample, enlarged, resize
 from pageforge.kernels.outline import blob_center
 
 # The border and size of the corner model's input, the fill of the moire model's border (r, g, b).
 BORDER, SIZE, HEAT = (40, 40, 40), 256, 0.2
 FILL, STEP = (0.3827, 0.4141, 0.3912), 32
+#: The longest edge that the moire model sees, a fixed value too.
+MOST = 1280
 
 
 def corner_input(page: np.ndarray, share: float) -> tuple[np.ndarray, int]:
@@ -36,13 +38,16 @@ def border_to(size: int, step: int = STEP) -> tuple[int, int]:
     return spare // 2, spare - spare // 2
 
 
-def without_moire(page: np.ndarray, model, most: int) -> np.ndarray:
-    """The page through a model that takes and gives [1, 3, h, w], on a smaller copy where it is large."""
+def without_moire(page: np.ndarray, model, most: int = MOST) -> np.ndarray:
+    """The page through a model that takes and gives [1, 3, h, w], on a smaller copy where it is large; as it is where the model gives nothing."""
     h, w = page.shape[:2]
     scale = min(1.0, most / max(h, w))
-    small = resize(page, round(h * scale), round(w * scale), area=True) if scale < 1 else page
+    small = resize(page, max(1, round(h * scale)), max(1, round(w * scale)), area=True) if scale < 1 else page
     down, across = border_to(small.shape[0]), border_to(small.shape[1])
     x = np.stack([np.pad(small[..., 2 - k] / 255.0, (down, across), constant_values=FILL[k]) for k in range(3)])[None].astype(np.float32)
-    out = np.clip(model(x)[0, :, down[0] : down[0] + small.shape[0], across[0] : across[0] + small.shape[1]], 0, 1)
+    out = model(x)
+    if out is None:
+        return page
+    out = np.clip(np.asarray(out)[0, :, down[0] : down[0] + small.shape[0], across[0] : across[0] + small.shape[1]], 0, 1)
     clean = (out[::-1].transpose(1, 2, 0) * 255).astype(np.uint8)
-    return resize(clean, h, w) if scale < 1 else clean
+    return enlarged(clean, h, w) if scale < 1 else clean

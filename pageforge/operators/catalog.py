@@ -5,7 +5,10 @@ Edits are an append-only log that is folded to the state of each page; nothing i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS, Settings
@@ -135,3 +138,33 @@ def low_confidence_count(pages: DataFrame, by: list[str], s: Settings = SETTINGS
 def audit(actor: Column, action: str, target: Column, detail: Column) -> list[Column]:
     """Columns of an audit event."""
     return [F.sha2(F.concat_ws("|", actor, F.lit(action), target), 256).alias("id"), actor.alias("actor"), F.lit(action).alias("action"), target.alias("target"), detail.alias("detail"), F.current_timestamp().alias("timestamp")]
+
+
+EVENTS = "id string, actor string, action string, target string, detail map<string,string>, timestamp timestamp"
+_log = logging.getLogger(__name__)
+
+
+def counted(rows: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and what the metrics amount to when they are written: counts come from the same pass over the data."""
+    seen = Observation()
+    return rows.observe(seen, *[c.alias(n) for n, c in metrics.items()]), seen
+
+
+def record(spark: SparkSession, folder: str, actor: str, action: str, target: str, detail: Observation | dict) -> bool:
+    """Appends an event to the table of events, with metrics of a finished write (`counted`) or other details.
+
+    A failure is logged and otherwise ignored: it never reaches the caller, who gets False.
+    """
+    try:
+        found = detail.get if isinstance(detail, Observation) else detail
+        event = (uuid.uuid4().hex, actor, action, target, {k: str(v) for k, v in found.items()})
+        row = spark.createDataFrame([event], EVENTS.rpartition(",")[0]).withColumn("timestamp", F.current_timestamp())
+        row.coalesce(1).write.mode("append").parquet(folder)
+        return True
+    except Exception as fault:
+        _log.warning("event %s of %s is not recorded: %s", action, target, fault)
+        return False
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(folder)

@@ -142,9 +142,10 @@ def rectify(pages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 
 
 def enhance(pages: DataFrame, demoire: Callable[[np.ndarray], np.ndarray] | None = None, s: Settings = SETTINGS) -> DataFrame:
-    """The finished raster of each warped page; adds aspect, uniform_frac and sanity_flags.
+    """The finished raster of each warped page; adds aspect, uniform_frac, sanity_flags and mode_error.
 
-    In: raster, denoise, sharpen, document_like, routed, output_mode.  `demoire` is a model (page to page).
+    In: raster, denoise, sharpen, document_like, routed, output_mode.  `demoire` takes a page and gives a page, as
+    `moire_model` does.  A page whose mode is unknown comes in colour, and mode_error says so.
     """
     c, a = s.light, s.adaptive
 
@@ -164,11 +165,13 @@ def enhance(pages: DataFrame, demoire: Callable[[np.ndarray], np.ndarray] | None
         page = light.denoised(page, row["denoise"]["mode"], row["denoise"]["sigma_color"])
         page = light.sharpened(page, a.rerun_amount if row["routed"] else row["sharpen"]["amount"], row["sharpen"]["radius"])
         lap("ms_denoise")
-        page = light.in_mode(page, row["output_mode"] or "color")
+        mode = row["output_mode"] or "color"
+        known = mode in light.MODES
+        page = light.in_mode(page, mode if known else "color")
         lap("ms_output")
-        return out | {"raster": packed(page)} | checked(page)
+        return out | {"raster": packed(page), "mode_error": None if known else f"unknown output mode {mode}"} | checked(page)
 
-    adds = f"{RASTER}, aspect double, wide double, uniform_frac double, ms_demoire double, ms_illumination double, ms_denoise double, ms_output double"
+    adds = f"{RASTER}, aspect double, wide double, uniform_frac double, ms_demoire double, ms_illumination double, ms_denoise double, ms_output double, mode_error string"
     out = per_page(pages, run, adds, ("denoise", "sharpen", "document_like", "routed", "output_mode"), EMPTY)
     return out.withColumn("sanity_flags", sanity_flags(s)).drop("wide")
 
@@ -195,7 +198,7 @@ def sanity(pages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 
 
 def process(pages: DataFrame, corners: Callable | None = None, demoire: Callable | None = None, s: Settings = SETTINGS) -> DataFrame:
-    """The whole way of each page: raster cleaned, quad (normalized corners), flags, confidence, routed, timings_ms.
+    """The whole way of each page: raster cleaned, quad (normalized corners), flags, confidence, routed, timings_ms, mode_error.
 
     In: page_id, raster and, where given, forced (four normalized corners as array<struct<x,y>>), demoire (boolean, the
     user's wish) and output_mode (color, gray, bw).  Other columns stay.  `corners` and `demoire` are models.
@@ -243,7 +246,22 @@ def corner_model(run: Callable[[np.ndarray], np.ndarray], pad: float = 0.30) ->
         try:
             heat = run(x)
         except Exception:  # a model that fails counts as one that finds nothing
+            heat = None
+        if heat is None:
             return None
         return model.corners_of(np.asarray(heat)[0], *page.shape[:2], border)
 
     return corners
+
+
+def moire_model(run: Callable[[np.ndarray], np.ndarray | None], most: int = model.MOST) -> Callable[[np.ndarray], np.ndarray]:
+    """What `enhance` calls, from a model that takes and gives [1, 3, h, w] of 0 to 1: the page made small, bordered to
+    whole steps, and back.  Pages stay as they are where the model fails or gives nothing."""
+
+    def clean(page):
+        try:
+            return model.without_moire(page, run, most)
+        except Exception:
+            return page
+
+    return clean

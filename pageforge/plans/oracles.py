@@ -151,6 +151,14 @@ own as (select page_id, y, x, min(root) as root from reach group by all),
 blobs as (select page_id, root, count(*) as n, avg(x) as cx, avg(y) as cy from own group by all),
 best as (select *, row_number() over (partition by page_id order by n desc, root) as k from blobs)
 select v0.page_id, round(cx, 6) as x, round(cy, 6) as y from v0 left join (select * from best where k = 1) using (page_id)""",
+    "shipped_model": f"""with recursive {_GRAY8}, hot as (select page_id, y, x from px where v >= 160),
+reach as (select page_id, y, x, y * 8 + x as root from hot union select h.page_id, h.y, h.x, r.root from reach r join hot h on h.page_id = r.page_id and abs(h.y - r.y) <= 1 and abs(h.x - r.x) <= 1),
+own as (select page_id, y, x, min(root) as root from reach group by all),
+blobs as (select page_id, root, count(*) as n, avg(x) as cx, avg(y) as cy from own group by all),
+best as (select *, row_number() over (partition by page_id order by n desc, root) as k from blobs)
+select v0.page_id, round(cx, 6) as x, round(cy, 6) as y, false as broken from v0 left join (select * from best where k = 1) using (page_id)""",
+    "moire_stage": f"with {_GRAY64} select page_id, cast(sum(cast(v // 2 as bigint) * (y + 1) * (x + 1)) as bigint) as weighted_sum from px group by page_id",
+    "export_audit": "select 'scan.export' as action, 'conversations' as target, cast(count(distinct conv_id) as bigint) as sessions, cast(count(*) as bigint) as pages from conversations where role <> 'system'",
     "mask_regions": f"""with recursive {_GRAY64},
 lit as (select page_id, y, x, x - row_number() over (partition by page_id, y order by x) as g from px join v0 using (page_id) where v > 28 * label + 11 + page_id % 8),
 run as (select page_id, y, min(x) as s, max(x) as e, y * 1000 + min(x) as id from lit group by page_id, y, g),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +13,11 @@ from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS
 from pageforge.functions import lab
-from pageforge.kernels import color, filters, light, outline, warp
+from pageforge.kernels import color, filters, light, model, outline, warp
 from pageforge.operators import assembly, catalog, geometry, integral, lines, pages, regions, score, snapshots, stats, tiles, uploads
 from pageforge.plans.oracles import ORACLES
 from pageforge.session import shared_dir
-from pageforge.sources import fixtures
+from pageforge.sources import fixtures, models
 from pageforge.streaming import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,12 +209,55 @@ def warp_coordinates(spark, sf_dir):
 
 @query
 def moire_borders(spark, sf_dir):
-    """Pixels before and after that bring sizes to multiples of 32."""
-    from pageforge.kernels.model import STEP
+    """Pixels before and after that bring sizes to whole steps of the moire model."""
 
-    size = F.col("p_size") * 10 + F.col("p_partkey") % 7
-    spare = F.pmod(-size, F.lit(STEP))
-    return fixtures.table(spark, sf_dir, "part").select("p_partkey", F.floor(spare / 2).cast("int").alias("before"), (spare - F.floor(spare / 2)).cast("int").alias("after"))
+    def run(batches):
+        for b in batches:
+            both = [model.border_to(n) for n in b.column("size").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("p_partkey"), *(pa.array([x[k] for x in both], pa.int32()) for k in (0, 1))], ["p_partkey", "before", "after"])
+
+    sizes = fixtures.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 10 + F.col("p_partkey") % 7).alias("size"))
+    return sizes.mapInArrow(run, "p_partkey long, before int, after int")
+
+
+@query
+def moire_stage(spark, sf_dir):
+    """Pages through the moire stage with a model that halves light: bordered, taken back, pixels added up."""
+    halve = pages.moire_model(lambda x: x * np.float32(0.5))
+    run = lambda page, _: {"weighted_sum": int((halve(page)[..., 0].astype(np.int64) * np.outer(np.arange(1, len(page) + 1), np.arange(1, page.shape[1] + 1))).sum())}
+    return pages.per_page(fixtures.rasters64(spark, sf_dir), run, "weighted_sum long").drop("raster")
+
+
+@query
+def shipped_model(spark, sf_dir):
+    """Centres of the largest hot region by a model that comes as a file, and by one whose file cannot be read as one."""
+    folder = Path(tempfile.mkdtemp(prefix="models-"))  # on the driver alone; Spark ships the files
+    np.save(folder / "heat.npy", np.array([160]))
+    (folder / "broken.npy").write_bytes(b"no model")
+
+    def load(path):
+        (least,) = np.load(path)
+        return lambda plane: outline.blob_center(plane, int(least))
+
+    good, bad = (models.Shipped(spark, str(folder / f"{n}.npy"), load) for n in ("heat", "broken"))
+
+    def run(page, _):
+        spot, none = good(page[..., 0]), bad(page[..., 0])
+        return {"x": spot[0] if spot else None, "y": spot[1] if spot else None, "broken": none is not None}
+
+    return pages.per_page(fixtures.rasters8(spark, sf_dir), run, "x double, y double, broken boolean").select("page_id", r("x"), r("y"), "broken")
+
+
+@query
+def export_audit(spark, sf_dir):
+    """The audit event of an export of all conversations: sessions and pages, counted while they are written."""
+    where = shared_dir(spark)
+    live = fixtures.turns(spark, sf_dir).where("not deleted").groupBy("session_id").agg(F.count("*").alias("pages"))
+    rows, seen = catalog.counted(live, sessions=F.count("*"), pages=F.sum("pages"))
+    rows.write.parquet(f"{where}/exports")
+    catalog.record(spark, f"{where}/events", "system", "scan.export", "conversations", seen)
+    found = catalog.events(spark, f"{where}/events")
+    return found.select("action", "target", *[F.col("detail")[n].cast("long").alias(n) for n in ("sessions", "pages")])
 
 
 @query
