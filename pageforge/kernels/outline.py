@@ -6,7 +6,7 @@ import numpy as np
 
 from pageforge.kernels.filters import dilate, erode, sobel
 
-#: Shares of the hull's length that its outline may be simplified by, tried in this order.
+#: Shares of the hull's length that its outline may be simplified by, tried in this order.
 SHARES = (0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.10)
 
 
@@ -46,6 +46,12 @@ def regions(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
     return np.cumsum(marks[:, :-1], 1, dtype=np.int32), int(label.max()) + 1
 
 
+def thresholds(gray: np.ndarray) -> tuple[int, int]:
+    """Between which gradients edges may go on: a third below and above the median, cut to whole numbers."""
+    middle = float(np.median(gray))
+    return int(max(0.0, (1.0 - 0.33) * middle)), int(min(255.0, (1.0 + 0.33) * middle))
+
+
 def canny(plane: np.ndarray, low: float, high: float) -> np.ndarray:
     """Edges: ridges of the gradient (sum of the absolute derivatives) above `low` that hang together with one above `high`."""
     gx, gy = sobel(plane, "edge")

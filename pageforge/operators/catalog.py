@@ -8,7 +8,7 @@ from __future__ import annotations
 import logging
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS, Settings
@@ -62,8 +62,9 @@ def to_recompute(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("co
 
 
 def ordered_pages(pages: DataFrame) -> DataFrame:
-    """Live pages in order; ties by id."""
-    return pages.where(~F.col("deleted")).orderBy("session_id", "order", "id")
+    """Live pages in order, with place, their number in the session from 1 on; ties by id."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("order", "id"))
+    return pages.where(~F.col("deleted")).withColumn("place", place).orderBy("session_id", "place")
 
 
 def reorder(pages: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -70,8 +70,7 @@ def found_outlines(page: np.ndarray, s: Settings) -> list[dict]:
     small = filters.resize(page, max(1, round(h * scale)), max(1, round(w * scale)), area=True) if scale < 1 else page
     frame = float(small.shape[0] * small.shape[1])
     gray = filters.bilateral(color.gray(small), 9, 60, 60)
-    middle = float(np.median(gray))
-    edges = outline.edge_mask(gray, int(max(0, 0.67 * middle)), int(min(255, 1.33 * middle)))
+    edges = outline.edge_mask(gray, *outline.thresholds(gray))
     bright = outline.paper_mask(color.saturation(small), color.value(small), s.boundary.paper_sat, s.boundary.paper_val)
     rows = []
     for strategy, (mask, holes) in enumerate(((edges, True), (bright, False))):

@@ -110,6 +110,7 @@ ORACLES: dict[str, str] = {
     "gate_lines": f"""{_GATE}select page_id, round(sharpness, 6) as sharpness, glare_hot_tiles, 64 as long_edge,
   concat_ws(',', case when sharpness < 500 then 'blur' end, case when glare_hot_tiles > 2 then 'glare' end, 'low_resolution') as flags, false as passed from one""",
     "noise_sigma": f"with {_GRAY8} {_SIGMA} select page_id, round(sigma, 6) as sigma from noise",
+    "page_noise": f"with {_GRAY8} {_SIGMA} select page_id, round(sigma, 6) as sigma from noise",
     "moire_score": f"with {_COLOR64} {_LAB} {_MOIRE} select page_id, round(moire, 5) as moire from moire",
     "adaptive_params": f"""with {_NOISY8} {_SIGMA}, {_COLOR64.replace(_VEC + ',', '').replace('ev as', 'ev2 as').replace('from ev a join ev b', 'from ev2 a join ev2 b')} {_LAB} {_MOIRE}
 select page_id, round(round_even(sigma, 2), 1) as noise_sigma, case when sigma < 2 then 'none' when sigma < 9 then 'bilateral' else 'nlm' end as denoise,
@@ -129,6 +130,8 @@ st as (select page_id, x, y, case when hi - lo < 1 then v else cast(floor(greate
 select page_id, cast(sum(v::bigint * (x + 1) * (y + 1)) as bigint) as weighted_sum, max(v) as top, min(v) as bottom from st group by page_id""",
     "edge_thresholds": f"""with {_GRAY64}, m as (select page_id, quantile_cont(v, 0.5) as median from px group by page_id)
 select page_id, median, cast(trunc(greatest(0.0, (1.0::double - 0.33::double) * median)) as int) as low, cast(trunc(least(255.0, (1.0::double + 0.33::double) * median)) as int) as high from m""",
+    "page_thresholds": f"""with {_GRAY64}, m as (select page_id, quantile_cont(v, 0.5) as median from px group by page_id)
+select page_id, cast(trunc(greatest(0.0, (1.0::double - 0.33::double) * median)) as int) as low, cast(trunc(least(255.0, (1.0::double + 0.33::double) * median)) as int) as high from m""",
     "black_white": f"""with {_GRAY64}, pad as (select t.i, case when t.i < 0 then -t.i when t.i > 63 then 126 - t.i else t.i end as k from range(-12, 76) t(i)),
 wide as (select page_id, ay.i as y, ax.i as x, v::double as v from px join pad ay on px.y = ay.k join pad ax on px.x = ax.k),
 rows as (select page_id, y, x, v, sum(v) over w as s1, sum(v * v) over w as s2 from wide window w as (partition by page_id, y order by x rows between 12 preceding and 12 following)),
@@ -222,6 +225,15 @@ ic as (select page_id, s, k, trunc(x * s) as x, trunc(y * s) as y, trunc(nx * s)
 cv as (select page_id, s, bool_and((x - px) * (ny - y) - (y - py) * (nx - x) > 0) or bool_and((x - px) * (ny - y) - (y - py) * (nx - x) < 0) as convex from ic group by all),
 f as (select p.*, a / 1000000.0 as cover from p join cv on cv.page_id = p.page_id and cv.s = p.s where convex and place <= 8 and a >= 0.18 * 1000000 and a / 1000000.0 between 0.18 and 0.985),
 g as (select *, cover * (0.5 + 0.5 * a / ra) * (case when method = 'approx' then 1.0 else 0.85 end)::double as score from f)
+select page_id, cast(strategy as int) as strategy, cast(nth as int) as nth, method, round(score, 6) as score from (select *, row_number() over (partition by page_id order by score desc, strategy, place) as n from g) where n = 1""",
+    "quad_best": f"""with {_QUADS} {_JUDGED},
+c as (select page_id, k, 1.0::double - 0.06::double * ((k * 5 + page_id) % 12) as s, area from judged, range(12) t(k)),
+m as (select page_id, k % 2 as strategy, k // 2 as nth, area * s * s as a, area * s * s * (1.0::double + (k % 3) / 10.0::double) as ra, case when k % 3 = 0 then 'rect' else 'approx' end as method, s from c),
+p as (select *, row_number() over (partition by page_id, strategy order by a desc, nth) as place from m),
+ic as (select page_id, s, k, trunc(x * s) as x, trunc(y * s) as y, trunc(nx * s) as nx, trunc(ny * s) as ny, trunc(px * s) as px, trunc(py * s) as py from ring, (select distinct s from c)),
+cv as (select page_id, s, bool_and((x - px) * (ny - y) - (y - py) * (nx - x) > 0) or bool_and((x - px) * (ny - y) - (y - py) * (nx - x) < 0) as convex from ic group by all),
+f as (select p.*, a / 1000000.0 as cover from p join cv on cv.page_id = p.page_id and cv.s = p.s where convex and place <= 8 and a >= 0.18 * 1000000 and a / 1000000.0 between 0.18 and 0.985),
+g as (select *, cover * (0.5 + 0.5 * a / ra) * (case when method = 'approx' then 1.0 else 0.85 end)::double as score from f)
 select page_id, cast(strategy as int) as strategy, cast(nth as int) as nth, method, round(score, 6) as score from (select *, row_number() over (partition by page_id order by score desc, strategy, place) as n from g) where n = 1""",
     "page_decisions": f"""with {_QUADS} {_JUDGED}, {_NOISY8.replace(_VEC + ',', '')} {_SIGMA},
 d as (select page_id, page_id as i, case when page_id % 3 = 0 then 'blur' when page_id % 7 = 0 then 'blur,glare' else '' end as gf, case when page_id % 3 = 0 then 1 when page_id % 7 = 0 then 2 else 0 end as ng,

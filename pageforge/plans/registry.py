@@ -53,6 +53,12 @@ def noise_sigma(spark, sf_dir):
     return stats.noise_sigma(fixtures.gray8(spark, sf_dir)).select("page_id", r("sigma"))
 
 
+@query
+def page_noise(spark, sf_dir):
+    """The same measure as the stages of a page take it."""
+    return pages.measure(fixtures.rasters8(spark, sf_dir)).select("page_id", r("sigma"))
+
+
 @query
 def adaptive_params(spark, sf_dir):
     noise = stats.noise_sigma(fixtures.gray8(spark, sf_dir, noisy=True))
@@ -100,6 +106,13 @@ def edge_thresholds(spark, sf_dir):
     return stats.edge_thresholds(fixtures.gray64(spark, sf_dir))
 
 
+@query
+def page_thresholds(spark, sf_dir):
+    """The same thresholds, without the median, as the search for outlines takes them."""
+    run = lambda page, _: dict(zip(("low", "high"), outline.thresholds(page[..., 0])))
+    return pages.per_page(fixtures.rasters64(spark, sf_dir), run, "low int, high int").drop("raster")
+
+
 @query
 def clean_pages(spark, sf_dir):
     """The whole way of small colour pages; its stages have queries of their own with SQL, the whole has tests."""
@@ -328,13 +341,12 @@ def detection_scale(spark, sf_dir):
     return rows.select("p_partkey", F.round(geometry.detection_scale(F.col("h"), F.col("w")), 9).alias("scale"))
 
 
-@query
-def quad_choice(spark, sf_dir):
-    """The best of each page's candidate outlines; contours are made from the outlines of pages with the same label."""
+def candidates(spark, sf_dir):
+    """Contours of each page, made from the outlines of pages with the same label."""
     q = fixtures.quads(spark, sf_dir).withColumn("rect", geometry.ordered(F.col("pts")))
     made = F.explode(F.sequence(F.lit(0), F.lit(11)))
     c = q.withColumn("k", made).withColumn("shrink", 1.0 - 0.06 * ((F.col("k") * 5 + F.col("page_id")) % 12))
-    c = c.select(
+    return c.select(
         "page_id",
         (F.col("k") % 2).alias("strategy"),
         F.floor(F.col("k") / 2).cast("int").alias("nth"),
@@ -344,7 +356,25 @@ def quad_choice(spark, sf_dir):
         F.when(F.col("k") % 3 == 0, "rect").otherwise("approx").alias("method"),
         geometry.scaled(F.col("rect"), F.col("shrink"), F.col("shrink")).alias("pts"),
     )
-    return geometry.choose(c).select("page_id", "strategy", "nth", "method", r("score"))
+
+
+@query
+def quad_choice(spark, sf_dir):
+    """The best of each page's candidate outlines."""
+    return geometry.choose(candidates(spark, sf_dir)).select("page_id", "strategy", "nth", "method", r("score"))
+
+
+@query
+def quad_best(spark, sf_dir):
+    """The same choice among candidates in an array, as the stages of a page make it."""
+    c = candidates(spark, sf_dir)
+    first = F.struct((-F.col("area")).alias("a"), "nth", F.struct(*[F.col(n) for n in c.columns[1:]]).alias("c"))
+    c = c.groupBy("page_id", "strategy").agg(F.slice(F.array_sort(F.collect_list(first)), 1, SETTINGS.boundary.top).alias("top"))
+    c = c.select("page_id", F.transform("top", lambda x, i: x["c"].withField("nth", i)).alias("top"), F.transform("top", lambda x: x["nth"]).alias("names"), "strategy")
+    c = c.groupBy("page_id").agg(F.flatten(F.array_sort(F.collect_list("top"))).alias("all"), F.map_from_entries(F.collect_list(F.struct("strategy", "names"))).alias("names"))
+    best = geometry.best_of(F.col("all"))
+    out = c.select("page_id", "names", best.alias("b")).where("b is not null").withColumn("strategy", -F.col("b.s"))
+    return out.select("page_id", "strategy", F.get(F.element_at("names", F.col("strategy")), -F.col("b.n")).alias("nth"), F.col("b.method").alias("method"), F.round("b.score", 6).alias("score"))
 
 
 @query
@@ -457,11 +487,8 @@ def session_pdfs(spark, sf_dir):
 @query
 def live_pages(spark, sf_dir):
     """Live pages with their place in the session and what a client sees of them."""
-    from pyspark.sql import Window
-
-    p = fixtures.catalogue(spark, sf_dir).where(~F.col("deleted")).withColumn("confidence", F.col("confidence_pct") / 100.0)
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("order", "id"))
-    return catalog.page_view(p).select("id", "session_id", "order", place.alias("place"), "low_confidence", "passthrough", "preview")
+    p = catalog.ordered_pages(fixtures.catalogue(spark, sf_dir).withColumn("confidence", F.col("confidence_pct") / 100.0))
+    return catalog.page_view(p).select("id", "session_id", "order", "place", "low_confidence", "passthrough", "preview")
 
 
 @query
