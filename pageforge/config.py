@@ -5,9 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
-# The limits and thresholds of the page service that results must agree with.
+# The numbers of every group are fixed values: results must agree with those of the page service.
+
+
 @dataclass(frozen=True)
 class Upload:
+    """What uploads may be."""
+
     max_bytes: int = 40 * 1024 * 1024
     max_pixels: int = 60_000_000
     max_pages: int = 50
@@ -16,6 +20,8 @@ class Upload:
 
 @dataclass(frozen=True)
 class Ingest:
+    """Sizes for detection and gate, characters of a page that counts as written."""
+
     detect_edge: int = 1500
     low_edge: int = 800
     born_digital_chars: int = 30
@@ -23,6 +29,8 @@ class Ingest:
 
 @dataclass(frozen=True)
 class Gate:
+    """Sharpness and glare by tiles."""
+
     sharp: float = 500.0
     content: float = 0.10
     grid: int = 8
@@ -33,6 +41,8 @@ class Gate:
 
 @dataclass(frozen=True)
 class Boundary:
+    """Outlines that count."""
+
     min_area: float = 0.18
     max_cover: float = 0.985
     top: int = 8
@@ -43,6 +53,8 @@ class Boundary:
 
 @dataclass(frozen=True)
 class Perspective:
+    """When and how far pages are warped."""
+
     flat_cover: float = 0.92
     flat_skew: float = 2.0
     margin: float = 0.05
@@ -54,6 +66,8 @@ class Perspective:
 
 @dataclass(frozen=True)
 class Light:
+    """Flattening of light and gating of chroma."""
+
     estimate_edge: int = 256
     close_share: float = 0.25
     tiles: int = 8
@@ -73,6 +87,8 @@ class Light:
 
 @dataclass(frozen=True)
 class Adaptive:
+    """Strength of denoising and sharpening, route to the moire stage."""
+
     skip: float = 2.0
     light: float = 5.0
     heavy: float = 9.0
@@ -88,6 +104,8 @@ class Adaptive:
 
 @dataclass(frozen=True)
 class Sanity:
+    """Shapes and emptiness of results."""
+
     min_aspect: float = 0.4
     max_aspect: float = 3.5
     uniform: float = 0.98
@@ -95,6 +113,8 @@ class Sanity:
 
 @dataclass(frozen=True)
 class Output:
+    """Encoding, resolution, the confidence that counts as low."""
+
     encoding: str = "jpeg"
     quality: int = 95
     dpi: int = 200

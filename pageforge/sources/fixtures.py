@@ -64,7 +64,9 @@ def _painted(spark: SparkSession, sf_dir: str, pixels: Callable[[int, int, np.nd
             pages = [packed(np.clip(np.floor(pixels(i, label, np.array(e))), 0, 255).astype(np.uint8)) for i, label, e in rows]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(pages, kind)], ["page_id", "raster"])
 
-    return _vectors(spark, sf_dir).select("page_id", "label", "e").mapInArrow(run, f"page_id long, {RASTER}")
+    # A page is far larger than the vector that it is made of, so vectors are dealt out first.
+    rows = _vectors(spark, sf_dir).select("page_id", "label", "e").repartition(4 * spark.sparkContext.defaultParallelism, "page_id")
+    return rows.mapInArrow(run, f"page_id long, {RASTER}")
 
 
 def gray8(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
