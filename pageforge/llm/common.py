@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageforge.session import cut, shared_dir, shuffle_parts
+
+__all__ = ["cut", "shared_dir", "shuffle_parts"]  # of the session, for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,27 +24,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").alias(name) for name, src in columns.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and every executor can reach.
-
-    It lies in spark.checkpoint.dir.  Only where that is unset (tests, a single machine) a local folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="pageforge-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/pageforge-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, where: str, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it: a lineage cut that survives lost executors."""
-    path = f"{where}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop(spark: SparkSession, where: str, *names: str) -> None:
     """Removes tables that `cut` wrote, once what was made of them is written itself."""
     for name in names:
@@ -50,10 +31,6 @@ def drop(spark: SparkSession, where: str, *names: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and each row's offsets in them; null counts as empty."""
     if column.null_count:
