@@ -144,6 +144,17 @@ rows as (select page_id, y, x, v, sum(v) over w as s1, sum(v * v) over w as s2 f
 sums as (select page_id, y, x, v, sum(s1) over w / 625 as m, sum(s2) over w / 625 as q from rows window w as (partition by page_id, x order by y rows between 12 preceding and 12 following)),
 white as (select page_id, y, x from sums where y between 0 and 7 and x between 0 and 7 and v > m * (1 + 0.2::double * (sqrt(greatest(0, q - m * m)) / 127.5::double - 1)))
 select page_id, cast(count(y) as bigint) as white, cast(coalesce(sum((y + 1) * (x + 1)), 0) as bigint) as weighted_sum from v0 left join white using (page_id) group by page_id""",
+    "contrast_lines": f"""with {_GRAY64},
+cnt as (select page_id, y // 8 as ty, x // 8 as tx, v, count(*) as n from px group by all),
+sp as (select page_id, ty, tx, sum(greatest(n - 1, 0)) as spare from cnt group by all),
+lut as (select sp.page_id, sp.ty, sp.tx, l.v, sum(least(coalesce(n, 0), 1) + spare // 256 + case when l.v % greatest(1, 256 // greatest(spare % 256, 1)) = 0 and l.v // greatest(1, 256 // greatest(spare % 256, 1)) < spare % 256 then 1 else 0 end) over (partition by sp.page_id, sp.ty, sp.tx order by l.v) as s
+  from sp cross join range(256) l(v) left join cnt on cnt.page_id = sp.page_id and cnt.ty = sp.ty and cnt.tx = sp.tx and cnt.v = l.v),
+t as (select page_id, ty, tx, v, least(255, floor(s * (255.0::double / 64) + 0.5::double)) as t from lut),
+pos as (select i, greatest(0.0::double, least(7.0::double, i / 8.0::double - 0.5::double)) as u from range(64) r(i)),
+b as (select i, cast(floor(p.u) as int) + case when side = 1 and p.u < 7 then 1 else 0 end as k, case side when 0 then 1 - (p.u - floor(p.u)) else p.u - floor(p.u) end as f from pos p, range(2) s(side)),
+near as (select px.page_id, px.y, px.x, px.v, byy.k as ty, bx.k as tx, byy.f * bx.f as f from px join b byy on byy.i = px.y join b bx on bx.i = px.x where byy.f * bx.f > 0),
+o as (select near.page_id, near.y, near.x, sum(f * t.t) as v from near join t on t.page_id = near.page_id and t.ty = near.ty and t.tx = near.tx and t.v = near.v group by all)
+select page_id, cast(sum(cast(floor(v + 0.5::double) as bigint) * (y + 1) * (x + 1)) as bigint) as weighted_sum from o group by page_id""",
     "background_close": f"""with {_GRAY8},
 d as (select page_id, y, x, greatest(v, lag(v) over wx, lead(v) over wx, lag(v) over wy, lead(v) over wy) as v from px window wx as (partition by page_id, y order by x), wy as (partition by page_id, x order by y)),
 e as (select page_id, y, x, least(v, lag(v) over wx, lead(v) over wx, lag(v) over wy, lead(v) over wy) as v from d window wx as (partition by page_id, y order by x), wy as (partition by page_id, x order by y))

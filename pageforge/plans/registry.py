@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pageforge.config import SETTINGS
 from pageforge.functions import lab
 from pageforge.kernels import color, filters, light, model, outline, warp
-from pageforge.operators import assembly, catalog, geometry, integral, lines, pages, regions, score, snapshots, stats, tiles, uploads
+from pageforge.operators import assembly, catalog, contrast, geometry, integral, lines, pages, regions, score, snapshots, stats, tiles, uploads
 from pageforge.plans.oracles import ORACLES
 from pageforge.session import shared_dir
 from pageforge.sources import fixtures, models
@@ -139,6 +139,14 @@ def sauvola_lines(spark, sf_dir):
     return white.groupBy("page_id").agg(F.count_if("white").alias("white"), F.coalesce(F.sum(place), F.lit(0)).cast("long").alias("weighted_sum"))
 
 
+@query
+def contrast_lines(spark, sf_dir):
+    """Pages of 64 by 64 with their contrast equalized as documents', added up by place."""
+    lines = contrast.equalized(fixtures.gray64(spark, sf_dir), SETTINGS.light.document[4])
+    line = F.aggregate(F.transform("v", lambda v, x: v * (x + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
+    return lines.groupBy("page_id").agg(F.sum(line * (F.col("y") + 1)).alias("weighted_sum"))
+
+
 @query
 def background_close(spark, sf_dir):
     """Marks closed on pages of 8 by 8 by a disc of 3 by 3 (a cross), added up by place."""
