@@ -167,13 +167,25 @@ class Filter:
     """A set of 64-bit keys as bits of a fixed number; it may hold too much, never too little."""
 
     def __init__(self, keys: DataFrame, name: str, bits: int = FILTER_BITS) -> None:
-        """From a column of longs, nulls aside; at most `bits` numbers reach the driver."""
-        held = np.zeros(bits, bool)
+        """From a column of longs, nulls aside.  The bits of 2**15 cells at a time are made in tasks and reach the driver packed."""
+        span = min(bits, 1 << 15)
+
+        def packed(batches):
+            for b in batches:
+                rows = b.column("cells")
+                at, cells = rows.offsets.to_numpy(), rows.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                made = []
+                for k in range(b.num_rows):
+                    held = np.zeros(span, bool)
+                    held[cells[at[k] : at[k + 1]]] = True
+                    made.append(np.packbits(held).tobytes())  # eight cells a byte: workers hold several filters
+                yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(made, pa.binary())], ["block", "bits"])
+
         cells = keys.where(F.col(name).isNotNull()).select(F.pmod(F.col(name), F.lit(bits)).cast("int").alias("c"))
-        cells = cells.groupBy(F.shiftright("c", 15).alias("block")).agg(F.collect_set(F.col("c").bitwiseAND(32767).cast("short")).alias("cells"))
-        for row in cells.toLocalIterator(prefetchPartitions=True):
-            held[(row["block"] << 15) + np.array(row["cells"], np.int64)] = True
-        self.bits = np.packbits(held)  # eight cells a byte: workers hold several filters
+        cells = cells.groupBy(F.floor(F.col("c") / span).cast("int").alias("block")).agg(F.collect_set((F.col("c") % span).cast("short")).alias("cells"))
+        self.bits = np.zeros(bits // 8, np.uint8)
+        for row in cells.mapInArrow(packed, "block int, bits binary").collect():
+            self.bits[row["block"] * span // 8 :][: span // 8] = np.frombuffer(row["bits"], np.uint8)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         at = keys.astype(np.int64, copy=False) & (8 * len(self.bits) - 1)
@@ -255,7 +267,7 @@ def _grades(docs: DataFrame, where: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(rows, pa.binary())], ["block", "grades"])
 
     out = np.zeros(CELLS, np.int8)
-    for row in sums.mapInArrow(graded, "block int, grades binary").toLocalIterator():  # CELLS bytes in all
+    for row in sums.mapInArrow(graded, "block int, grades binary").collect():  # CELLS bytes in all
         out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["grades"], np.int8)
     drop(docs.sparkSession, where, "cells")
     return out
