@@ -1,8 +1,8 @@
 """Straight lines of pages by voting: the turn of a page as an aggregate over its edge pixels.
 
-Every edge pixel (page_id, y, x) votes for one line in each of 180 directions.  Votes are counted in each task before
-they are shuffled, so what moves is bounded by directions times distances of a page; the lines that stand out from their
-neighbours are found by window frames.  Distances are rounded from whole-number sines and cosines, so that they are the
+Every edge pixel (page_id, y, x) votes for one line in each of 180 directions.  Only edge pixels are shuffled, by page
+and into partitions of about `EDGES` of them: votes are counted, and the lines that stand out from their neighbours found
+by window frames, where the page's edges are.  A page's votes are bounded by directions times distances.  Distances are rounded from whole-number sines and cosines, so that they are the
 same wherever they are worked out.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 # A direction for each degree; votes that a line must exceed, lines looked at, degrees that count as level.
 DIRECTIONS, VOTES, MOST, LEVEL = 180, 200, 100, 0.5
-#: What sines and cosines are multiplied by.
-UNIT = 1 << 16
+#: What sines and cosines are multiplied by; edge pixels of a partition, of which each votes in every direction.
+UNIT, EDGES = 1 << 16, 20_000
 
 
 def votes(edges: DataFrame) -> DataFrame:
@@ -34,11 +34,12 @@ def lines(edges: DataFrame, least: int = VOTES, most: int = MOST) -> DataFrame:
         frame = Window.partitionBy("page_id", by).orderBy(along).rangeBetween(step, step)
         return F.coalesce(F.max("n").over(frame), F.lit(0))
 
-    found = votes(edges)
+    n = F.col("n")
+    spread = edges.select("page_id", "y", "x").repartition(edges.count() // EDGES + 1, "page_id")
+    found = votes(spread).where(n > least)  # a neighbour with fewer votes outdoes none of these
     found = found.withColumns({"nearer": beside("theta", "rho", -1), "farther": beside("theta", "rho", 1)})
     found = found.withColumns({"before": beside("rho", "theta", -1), "after": beside("rho", "theta", 1)})
-    n = F.col("n")
-    found = found.where((n > least) & (n > F.col("nearer")) & (n >= F.col("farther")) & (n > F.col("before")) & (n >= F.col("after")))
+    found = found.where((n > F.col("nearer")) & (n >= F.col("farther")) & (n > F.col("before")) & (n >= F.col("after")))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "theta", "rho"))
     return found.withColumn("place", place).where(F.col("place") <= most).select("page_id", "theta", "rho", "n")
 
