@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +78,26 @@ def scan_lines(pages: DataFrame, raster: str = "raster", page_id: str = "page_id
     return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, y int, h int, w int, b array<int>, g array<int>, r array<int>")
 
 
+def in_order(lines: DataFrame) -> DataFrame:
+    """Scan lines dealt by page, a page's lines one after the other in their task."""
+    return lines.repartition("page_id").sortWithinPartitions("page_id", "y")
+
+
+def page_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of lines in order, each of one page; a page has one part or more."""
+    for b in batches:
+        if b.num_rows:
+            ids = b.column("page_id")
+            cuts = [0, *(np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                yield b.slice(i, j - i)
+
+
+def pixels_of(lines: pa.RecordBatch, name: str) -> np.ndarray:
+    """[lines, pixels] of lines of the same width."""
+    return lines.column(name).flatten().to_numpy(zero_copy_only=False).reshape(lines.num_rows, -1)
+
+
 def pack(lines: DataFrame) -> DataFrame:
     """The packed rasters of scan lines with b, g, r."""
     byte = lambda c: F.lpad(F.hex(c), 2, "0")

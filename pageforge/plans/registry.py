@@ -143,8 +143,8 @@ def sauvola_lines(spark, sf_dir):
 def contrast_lines(spark, sf_dir):
     """Pages of 64 by 64 with their contrast equalized as documents', added up by place."""
     lines = contrast.equalized(fixtures.gray64(spark, sf_dir), SETTINGS.light.document[4])
-    line = F.aggregate(F.transform("v", lambda v, x: v * (x + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
-    return lines.groupBy("page_id").agg(F.sum(line * (F.col("y") + 1)).alias("weighted_sum"))
+    pixels = lines.select("page_id", "y", F.posexplode("v").alias("x", "v"))
+    return pixels.groupBy("page_id").agg(F.sum(F.col("v").cast("long") * (F.col("x") + 1) * (F.col("y") + 1)).alias("weighted_sum"))
 
 
 @query

@@ -11,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from pageforge.functions import clip
 from pageforge.operators.rasters import RASTER, packed
 
+#: Bytes of pixels that a batch of painted pages holds.
+HELD = 1 << 22
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,12 +28,54 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("page_id"), F.col("label").cast("long").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("e"))
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors, dealt out before anything is painted: a page is far larger than the vector that it is made of."""
+    return _vectors(spark, sf_dir).select("page_id", "label", "e").repartition(4 * spark.sparkContext.defaultParallelism, "page_id")
+
+
+def _lined(spark: SparkSession, sf_dir: str, names: tuple[str, ...], pixels: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
+    """Scan lines of 64 pixels (page_id, y, h, w, an array for each name, label) of a page of 64 by 64 for each vector.
+
+    `pixels` gives a plane for each name from ids and labels [n, 1, 1] and components down [n, 64, 1] and across
+    [n, 1, 64].  Where a number is null, pixels are 255, as greatest and least skip nulls; NaN counts as 0.
+    """
+    edge, kind = 64, pa.list_(pa.int32())
+    some = HELD // (edge * edge * 4 * len(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, some):
+                b = whole.slice(start, some)
+                n = b.num_rows
+                ids, labels = (b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(n, 1, 1) for c in ("page_id", "label"))
+                flat = b.column("e").flatten()
+                e = flat.to_numpy(zero_copy_only=False).reshape(n, edge)
+                known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(n, edge) & b.column("label").is_valid().to_numpy(zero_copy_only=False)[:, None]
+                planes = []
+                for plane, of in pixels(ids, labels, e[:, :, None], e[:, None, :]):
+                    v = np.nan_to_num(np.clip(np.floor(np.broadcast_to(plane, (n, edge, edge))), 0, 255), copy=False)
+                    if not known.all():
+                        v[np.broadcast_to(~of(known[:, :, None], known[:, None, :]), v.shape)] = 255
+                    planes.append(pa.ListArray.from_arrays(pa.array(np.arange(n * edge + 1, dtype=np.int32) * edge), pa.array(v.astype(np.int32).ravel())).cast(kind))
+                at = pa.array(np.repeat(np.arange(n), edge))
+                size = pa.array(np.full(n * edge, edge, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("page_id").take(at), pa.array(np.tile(np.arange(edge, dtype=np.int32), n)), size, size, *planes, b.column("label").take(at)], ["page_id", "y", "h", "w", *names, "label"])
+
+    planes = ", ".join(f"{c} array<int>" for c in names)
+    return _dealt(spark, sf_dir).mapInArrow(run, f"page_id long, y int, h int, w int, {planes}, label long")
+
+
+def _down(down: np.ndarray, _) -> np.ndarray:
+    return down
+
+
+def _across(_, across: np.ndarray) -> np.ndarray:
+    return across
+
+
 def gray64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan lines of a gray page of 64 by 64 for each vector: its components summed pairwise, scaled by label and id."""
-    rows = _vectors(spark, sf_dir).select("page_id", "label", "e", F.posexplode("e").alias("y", "vy"))
-    scale = 5 * (1 + F.col("page_id") % 8)
-    v = F.transform("e", lambda vx: clip(F.floor(28 * F.col("label") + 10 + scale * (F.col("vy") + vx)), 0, 255).cast("int"))
-    return rows.select("page_id", "y", F.lit(64).alias("h"), F.lit(64).alias("w"), v.alias("v"), "label")
+    return _lined(spark, sf_dir, ("v",), lambda ids, labels, down, across: [(28 * labels + 10 + 5 * (1 + np.fmod(ids, 8)) * (down + across), np.logical_and)])
 
 
 def rasters64(spark: SparkSession, sf_dir: str, color: bool = False) -> DataFrame:
@@ -55,18 +98,22 @@ def rasters8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _painted(spark, sf_dir, lambda _, __, e: np.repeat((e.reshape(8, 8, 1) + 0.6) * 212.5, 3, 2))
 
 
-def _painted(spark: SparkSession, sf_dir: str, pixels: Callable[[int, int, np.ndarray], np.ndarray]) -> DataFrame:
-    kind = to_arrow_schema(T._parse_datatype_string(RASTER)).field("raster").type
+def _paint(batches: Iterator[pa.RecordBatch], pixels: Callable[[int, int, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The pages of vectors, in batches of about HELD bytes however many vectors come at once."""
+    kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+    for b in batches:
+        ids, start, pages, size = b.column("page_id"), 0, [], 0
+        for k in range(b.num_rows):
+            e = np.array(b.column("e")[k].as_py())
+            pages.append(packed(np.clip(np.floor(pixels(ids[k].as_py(), b.column("label")[k].as_py(), e)), 0, 255).astype(np.uint8)))
+            size += len(pages[-1]["data"])
+            if size >= HELD or k + 1 == b.num_rows:
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(pages)), pa.array(pages, kind)], ["page_id", "raster"])
+                start, pages, size = k + 1, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(b.column("page_id").to_pylist(), b.column("label").to_pylist(), b.column("e").to_pylist())
-            pages = [packed(np.clip(np.floor(pixels(i, label, np.array(e))), 0, 255).astype(np.uint8)) for i, label, e in rows]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(pages, kind)], ["page_id", "raster"])
 
-    # A page is far larger than the vector that it is made of, so vectors are dealt out first.
-    rows = _vectors(spark, sf_dir).select("page_id", "label", "e").repartition(4 * spark.sparkContext.defaultParallelism, "page_id")
-    return rows.mapInArrow(run, f"page_id long, {RASTER}")
+def _painted(spark: SparkSession, sf_dir: str, pixels: Callable[[int, int, np.ndarray], np.ndarray]) -> DataFrame:
+    return _dealt(spark, sf_dir).mapInArrow(lambda batches: _paint(batches, pixels), f"page_id long, {RASTER}")
 
 
 def gray8(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
@@ -83,12 +130,12 @@ def gray8(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
 
 def color64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan lines of a colour page of 64 by 64 for each vector: bright paper with more or less tint."""
-    rows = _vectors(spark, sf_dir).select("page_id", "label", "e", F.posexplode("e").alias("y", "vy"))
-    base, tint = 172 + 8 * F.col("label"), 4 * (1 + F.col("page_id") % 12)
-    b = F.transform("e", lambda vx: clip(F.floor(base + tint * F.col("vy")), 0, 255).cast("int"))
-    g = F.transform("e", lambda vx: clip(F.floor(base + tint * vx), 0, 255).cast("int"))
-    r = F.transform("e", lambda vx: clip(F.floor(base + 4 + tint * (vx + F.col("vy")) / 2), 0, 255).cast("int"))
-    return rows.select("page_id", "y", F.lit(64).alias("h"), F.lit(64).alias("w"), b.alias("b"), g.alias("g"), r.alias("r"))
+
+    def pixels(ids, labels, down, across):
+        base, tint = 172 + 8 * labels, 4 * (1 + np.fmod(ids, 12))
+        return [(base + tint * down, _down), (base + tint * across, _across), (base + 4 + tint * (across + down) / 2, np.logical_and)]
+
+    return _lined(spark, sf_dir, ("b", "g", "r"), pixels).drop("label")
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 import datetime
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pageforge.operators import assembly
 from pageforge.operators.uploads import validate
-from pageforge.sources import images
+from pageforge.sources import fixtures, images
 from pageforge.streaming import uploads as stream
 
 DATA = bytes((3 * i * i + i) % 256 for i in range(5 * 4 * 3))
@@ -79,3 +81,11 @@ def test_stream_of_uploads(spark, tmp_path):
     counted = stream.per_hour(arriving).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination()
     assert [(r["accepted"], r["rejected"]) for r in spark.table("hours").collect()] == [(2, 1)]
+
+
+def test_painted_batches_are_bounded():
+    """Many vectors in a batch make batches of pages of a bounded size, each page once and in order."""
+    b = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array([1] * 900, pa.int64()), pa.array([[0.1] * 64] * 900)], ["page_id", "label", "e"])
+    out = list(fixtures._paint(iter([b, b.slice(0, 0)]), lambda i, label, e: np.zeros((64, 64, 3))))
+    assert [i for o in out for i in o.column("page_id").to_pylist()] == list(range(900))
+    assert len(out) > 2 and max(o.get_total_buffer_size() for o in out) < 1.1 * fixtures.HELD
