@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageforge.kernels.filters import level_tables, looked_up
-from pageforge.operators.rasters import in_order, page_parts, pixels_of
+from pageforge.operators.rasters import in_order, pages_of, pixels_of
 
 # Tiles in each direction, levels.
 GRID, LEVELS = 8, 256
@@ -57,6 +57,10 @@ class Tiles:
         return level_tables(self.counts.reshape(-1, LEVELS), self.th * self.tw, clip).reshape(self.grid, self.grid, LEVELS)
 
 
+def tables(self, clip: float) -> np.ndarray:
+        return level_tables(self.counts.reshape(-1, LEVELS), self.th * self.tw, clip).reshape(self.grid, self.grid, LEVELS)
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
     """The parts of pages, and whether a page begins with one."""
     last = None
@@ -75,7 +79,7 @@ def tables(lines: DataFrame, clip: float, grid: int = GRID) -> DataFrame:
             return pa.RecordBatch.from_arrays([head.column(c) for c in ("page_id", "h", "w")] + [pa.array([tiles.tables(clip).tobytes()])], ["page_id", "h", "w", "tables"])
 
         tiles = None
-        for part, begins in _pages(batches):
+        for part, begins in pages_of(batches):
             if begins:
                 if tiles:
                     yield made()
@@ -118,7 +122,7 @@ def equalized(lines: DataFrame, clip: float, grid: int = GRID, held: int = HELD)
                     draw(part)
                 waiting.clear()
 
-        for part, begins in _pages(batches):
+        for part, begins in pages_of(batches):
             if begins:
                 end()
                 tiles, table = Tiles(part.column("h")[0].as_py(), part.column("w")[0].as_py(), grid), None

@@ -93,6 +93,15 @@ def page_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield b.slice(i, j - i)
 
 
+def pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """The parts of pages, and whether a page begins with one."""
+    last = None
+    for part in page_parts(batches):
+        here = part.column("page_id")[0]
+        yield part, last is None or here != last
+        last = here
+
+
 def pixels_of(lines: pa.RecordBatch, name: str) -> np.ndarray:
     """[lines, pixels] of lines of the same width."""
     return lines.column(name).flatten().to_numpy(zero_copy_only=False).reshape(lines.num_rows, -1)

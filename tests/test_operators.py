@@ -2,9 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pageforge.kernels import color, light
+from pageforge.kernels import stats as kernel
 from pageforge.operators import catalog, geometry, rasters, score, stats, uploads
 
 
@@ -125,3 +128,24 @@ def test_reorder_takes_the_last_place_of_doubles(spark):
     pages = spark.createDataFrame([("a", 1, 0), ("b", 1, 1), ("c", 1, 2)], "id string, session_id long, order int")
     wanted = spark.createDataFrame([(1, ["c", "a", "c"])], "session_id long, page_ids array<string>")
     assert {r["id"]: r["order"] for r in catalog.reorder(pages, wanted).collect()} == {"a": 1, "b": 1, "c": 2}
+
+
+def test_measures_do_not_depend_on_how_lines_arrive(spark):
+    """Sharpness, glare and chroma over lines, a few at a time, against those of whole pages."""
+    rng = np.random.default_rng(5)
+    shapes = [(23, 19), (1, 9), (2, 64), (64, 1), (64, 64), (9, 200)]
+    planes = [np.where(rng.random((*s, 1)) < 0.3, 255, rng.integers(0, 256, (*s, 3))).astype(np.uint8) for s in shapes]
+    rows = [(i, (*p.shape[:2], 3, 16, p.tobytes())) for i, p in enumerate(planes)]
+    lines = rasters.scan_lines(spark.createDataFrame(rows, "page_id long, raster struct<height:int,width:int,nChannels:int,mode:int,data:binary>"))
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for some in (1, 2, 7, 1000):
+            spark.conf.set(key, some)
+            got = {r["page_id"]: r for r in stats.gate(rasters.gray_lines(lines)).collect()}
+            tints = {r["page_id"]: r for r in stats.chroma(lines).collect()}
+            for i, p in enumerate(planes):
+                gray, tint = color.gray(p), light.gated(color.lab(p)[..., 1:], 12, 30)
+                assert got[i]["sharpness"] == pytest.approx(kernel.sharpness(gray, 8, 0.1)) and got[i]["glare_hot_tiles"] == kernel.hot_tiles(gray, 8, 250, 0.6)
+                assert tuple(tints[i])[1:] == (*tint.sum((0, 1), dtype=int), (tint != 128).any(2).sum())
+    finally:
+        spark.conf.set(key, old)
