@@ -29,33 +29,6 @@ def gray(b: Column, g: Column, r: Column) -> Column:
     return nearest(0.114 * b + 0.587 * g + 0.299 * r)
 
 
-def _linear(byte: int) -> float:
-    x = byte / 255.0
-    return x / 12.92 if x <= 0.04045 else ((x + 0.055) / 1.055) ** 2.4
-
-
-def _bend(t: Column) -> Column:
-    return F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16.0 / 116.0)
-
-
-def lab(pixels: Column) -> Column:
-    """An array of b, g, r structs as l, a, b on the 8-bit scale, by the published sRGB (D65) formulae.
-
-    One step after the other over the whole array, so that nothing is worked out twice for a pixel; the linear values
-    of the 256 bytes are a constant array.
-    """
-    line = F.array(*[F.lit(_linear(v)) for v in range(256)])
-    at = lambda c: F.get(line, c)
-    light = F.transform(pixels, lambda p: F.struct(at(p["r"]).alias("r"), at(p["g"]).alias("g"), at(p["b"]).alias("b")))
-    x = lambda p: (0.412453 * p["r"] + 0.357580 * p["g"] + 0.180423 * p["b"]) / 0.950456
-    y = lambda p: 0.212671 * p["r"] + 0.715160 * p["g"] + 0.072169 * p["b"]
-    z = lambda p: (0.019334 * p["r"] + 0.119193 * p["g"] + 0.950227 * p["b"]) / 1.088754
-    xyz = F.transform(light, lambda p: F.struct(x(p).alias("x"), y(p).alias("y"), z(p).alias("z")))
-    bent = F.transform(xyz, lambda p: F.struct(*[_bend(p[k]).alias(k) for k in "xyz"], F.when(p["y"] > 0.008856, 116.0 * F.cbrt(p["y"]) - 16.0).otherwise(903.3 * p["y"]).alias("l")))
-    to_byte = lambda c: clip(nearest(c), 0, 255)
-    return F.transform(bent, lambda p: F.struct(to_byte(p["l"] * 255.0 / 100.0).alias("l"), to_byte(500.0 * (p["x"] - p["y"]) + 128.0).alias("a"), to_byte(200.0 * (p["y"] - p["z"]) + 128.0).alias("b")))
-
-
 def python_strip(text: Column) -> Column:
     """Without white space at either end, white space in the Unicode sense."""
     space = "[\\\\s\\\\x{1c}-\\\\x{1f}\\\\x{85}\\\\x{a0}\\\\x{1680}\\\\x{2000}-\\\\x{200a}\\\\x{2028}\\\\x{2029}\\\\x{202f}\\\\x{205f}\\\\x{3000}]".replace("\\\\", "\\")

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageforge.config import SETTINGS
-from pageforge.functions import lab
 from pageforge.kernels import color, filters, light, model, outline, warp
 from pageforge.operators import assembly, catalog, contrast, geometry, integral, lines, pages, regions, score, snapshots, stats, tiles, uploads
 from pageforge.plans.oracles import ORACLES
@@ -43,7 +42,7 @@ def gate_tiles(spark, sf_dir):
 
 @query
 def gate_lines(spark, sf_dir):
-    """The same measures over scan lines, by windows and aggregates instead of arrays."""
+    """The same measures over scan lines that stream through a task in order, instead of whole pages."""
     g = stats.gate(fixtures.gray64(spark, sf_dir))
     return g.select("page_id", r("sharpness"), "glare_hot_tiles", "long_edge", F.array_join("flags", ",").alias("flags"), "passed")
 
@@ -295,11 +294,8 @@ def chroma_gate(spark, sf_dir):
 
 @query
 def chroma_lines(spark, sf_dir):
-    """The same over scan lines, by array functions."""
-    px = fixtures.color64(spark, sf_dir).withColumn("px", stats.gate_chroma(lab(F.arrays_zip("b", "g", "r"))))
-    one = lambda k: F.aggregate("px", F.lit(0).cast("long"), lambda s, p: s + p[k])
-    left = F.size(F.filter("px", lambda p: (p["a"] != 128) | (p["b"] != 128)))
-    return px.groupBy("page_id").agg(F.sum(one("a")).alias("sum_a"), F.sum(one("b")).alias("sum_b"), F.sum(left).alias("colored"))
+    """The same over scan lines, whatever part of a page comes at a time."""
+    return stats.chroma(fixtures.color64(spark, sf_dir))
 
 
 @query
