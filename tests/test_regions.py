@@ -107,3 +107,25 @@ def test_turn_of_a_sheet(spark):
         rows += [(i, int(y), int(x)) for y, x in zip(*np.nonzero(outline.canny(gray, 50, 150)))]
     got = {r["page_id"]: r["turn"] for r in lines.turns(lines.lines(spark.createDataFrame(rows, "page_id int, y int, x int"), 150)).collect()}
     assert set(got) == set(want) and all(abs(got[i] + a) <= 1 for i, a in enumerate((0, 3, -4)))
+
+
+def test_regions_across_seams(spark):
+    """Runs that arrive a few at a time, lines that batches cut, and short strips: the same regions, by edges at seams alone."""
+    rng = np.random.default_rng(4)
+    masks = [rng.random((37, 50)) < 0.5, spiral(31), np.ones((9, 9), bool), rng.random((20, 300)) < 0.6]
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for some, strip in ((1, 100), (40, 5), (10000, 1)):
+            spark.conf.set(key, some)
+            for diagonal in (True, False):
+                found = regions.regions(regions.labelled(regions.runs(mask_lines(spark, masks), F.col("on")), diagonal, strip=strip)).collect()
+                for i, m in enumerate(masks):
+                    assert {(*tuple(r)[1:8], round(r["cx"], 6), round(r["cy"], 6)) for r in found if r["page_id"] == i} == plain(m, diagonal), (some, diagonal, i)
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_whole_pages_in_a_batch_leave_no_edges(spark, tmp_path):
+    masks = [np.random.default_rng(k).random((30, 40)) < 0.5 for k in range(6)]
+    regions.labelled(regions.runs(mask_lines(spark, masks), F.col("on")), where=str(tmp_path)).count()
+    assert spark.read.parquet(f"{tmp_path}/edges-0").count() < 60  # of about 1700; a partition's last line comes in a batch of its own
