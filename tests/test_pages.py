@@ -275,3 +275,16 @@ def test_edited_pages_are_made_anew(spark):
     row = pages.reprocess(rasters(spark, [page]).join(state, "page_id")).first()
     done = pages.unpacked(row["raster"].asDict())
     assert done.shape[:2] == (round(0.5 * page.shape[1]), round(0.8 * page.shape[0])) and (done[..., 0] == done[..., 2]).all() and row["mode"] == "gray" and row["rotation"] == 90
+
+
+def test_few_edges_have_no_lines(monkeypatch):
+    """Pages with fewer edge pixels than a line needs votes are not voted on; small planes have the same medians as large ones."""
+    plane = np.zeros((40, 40), np.uint8)
+    plane[10:30, 10:30] = 255
+    monkeypatch.setattr(warp.np, "bincount", lambda *_, **__: pytest.fail("voted"))
+    assert len(warp.line_angles(plane)) == 0
+    monkeypatch.undo()
+    noisy = np.random.default_rng(8).integers(0, 256, (30, 41)).astype(np.uint8)
+    small = filters.median(noisy, 5)
+    monkeypatch.setattr(filters, "SMALL", 0)
+    assert (filters.median(noisy, 5) == small).all()
