@@ -103,9 +103,11 @@ def _paint(batches: Iterator[pa.RecordBatch], pixels: Callable[[int, int, np.nda
     kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
     for b in batches:
         ids, start, pages, size = b.column("page_id"), 0, [], 0
-        for k in range(b.num_rows):
-            e = np.array(b.column("e")[k].as_py())
-            pages.append(packed(np.clip(np.floor(pixels(ids[k].as_py(), b.column("label")[k].as_py(), e)), 0, 255).astype(np.uint8)))
+        flat = b.column("e").flatten()
+        rows = flat.to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows and not flat.null_count else None
+        for k, (page_id, label) in enumerate(zip(ids.to_pylist(), b.column("label").to_pylist())):
+            e = np.array(b.column("e")[k].as_py()) if rows is None else rows[k]
+            pages.append(packed(np.clip(np.floor(pixels(page_id, label, e)), 0, 255).astype(np.uint8)))
             size += len(pages[-1]["data"])
             if size >= HELD or k + 1 == b.num_rows:
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(pages)), pa.array(pages, kind)], ["page_id", "raster"])
