@@ -2,6 +2,7 @@
 
 import datetime
 import struct
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +90,16 @@ def test_painted_batches_are_bounded():
     out = list(fixtures._paint(iter([b, b.slice(0, 0)]), lambda i, label, e: np.zeros((64, 64, 3))))
     assert [i for o in out for i in o.column("page_id").to_pylist()] == list(range(900))
     assert len(out) > 2 and max(o.get_total_buffer_size() for o in out) < 1.1 * fixtures.HELD
+
+
+def test_painting_holds_one_batch_of_pages():
+    """What painting holds at most does not grow with the vectors that come at once."""
+    n = 4000
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([1] * n, pa.int64()), pa.array([[0.1] * 64] * n)], ["page_id", "label", "e"])
+    floor, arrow, seen = pa.total_allocated_bytes(), 0, 0
+    tracemalloc.start()
+    for out in fixtures._paint(iter([b]), lambda i, label, e: np.zeros((64, 64, 3))):
+        arrow, seen = max(arrow, pa.total_allocated_bytes() - floor), seen + out.num_rows
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and held < 2 * fixtures.HELD and arrow < 3 * fixtures.HELD
