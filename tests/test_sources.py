@@ -10,6 +10,7 @@ import pytest
 
 from pageforge.operators import assembly
 from pageforge.operators.uploads import validate
+from pageforge.session import BATCH
 from pageforge.sources import fixtures, images
 from pageforge.streaming import uploads as stream
 
@@ -103,3 +104,19 @@ def test_painting_holds_one_batch_of_pages():
     held = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert seen == n and held < 2 * fixtures.HELD and arrow < 3 * fixtures.HELD
+
+
+def test_painted_pages_reach_stages_in_bounded_batches(spark, tmp_path):
+    """More pages in a task than a batch may hold come to the next stage in several batches, each page once."""
+    n = 16000
+    spark.range(n).selectExpr("id as vec_id", "cast(id % 10 as int) as label", "transform(sequence(1, 64), i -> cast(i as float) / 64) as embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes], "pages": [b.num_rows]})
+
+    painted = fixtures.rasters64(spark, str(tmp_path))
+    tasks = painted.rdd.getNumPartitions()
+    seen = painted.mapInArrow(run, "size long, pages long").collect()
+    assert sum(r["pages"] for r in seen) == n and n * 64 * 64 * 3 / tasks > 1.2 * BATCH[1]
+    assert max(r["size"] for r in seen) < 1.1 * BATCH[1]
