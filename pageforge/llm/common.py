@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.session import cut, shared_dir, shuffle_parts
+from pageforge.session import cut, freeing, shared_dir, shuffle_parts
 
-__all__ = ["cut", "shared_dir", "shuffle_parts"]  # of the session, for the operators
+__all__ = ["cut", "freeing", "shared_dir", "shuffle_parts"]  # of the session, for the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

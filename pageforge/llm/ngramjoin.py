@@ -26,6 +26,7 @@ sequence is the one shingle.  Repeated rows are documents of their own with equa
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageforge.llm.common import SpanHasher, byte_view, cut, drop, pick, shared_dir, shuffle_parts, signed, slices, splitmix, table
+from pageforge.llm.common import SpanHasher, byte_view, cut, drop, freeing, pick, shared_dir, shuffle_parts, signed, slices, splitmix, table
 from pageforge.llm.components import components
 from pageforge.llm.wordcodes import forget
 
@@ -46,8 +47,12 @@ FREQUENT, OVER_MEAN, GRADES = 8, 3, 20
 CENTERS = 8
 #: Holders from which on a signature is large; rows and tokens of a block in which the holders of large ones are compared.
 LARGE, ROWS, TOKENS = 64, 256, 1 << 19
+#: Copies of a block that are shuffled at once to meet others.
+COPIES = 8
 #: Cells of the grade array and bits of the candidate filters: fixed sizes for broadcasts.
 CELLS, BLOCK, FILTER_BITS = 1 << 24, 1 << 14, 1 << 25
+#: Bits of the filter of signatures: so many for each, up to a fixed size.  A full filter lets all signatures through to the shuffle.
+BITS_EACH, MOST_BITS = 8, 1 << 27
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -218,6 +223,16 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(signed(flat)))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of a block; most are small and few differ, so they are shuffled in a fraction of their bytes."""
+    return zlib.compress((counts.astype(np.uint8) if counts.max() < 256 else counts).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data)
+    return np.frombuffer(raw, np.uint8 if len(raw) == BLOCK else np.uint16)
+
+
 def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens by cell of a task's documents, as blocks of cells; several rows for a block where counts would overflow."""
     count = np.zeros(CELLS, np.uint16)
@@ -228,7 +243,7 @@ def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(blocks.any(1))
         for at in range(0, len(some), 64):
             own = some[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([blocks[i].tobytes() for i in own], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([_packed(blocks[i]) for i in own], pa.binary())], ["block", "counts"])
 
     for _, sets, _, new in _sets(batches):
         tokens = [s for s, n in zip(sets, new) if n]
@@ -246,7 +261,7 @@ def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for block, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-            sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.uint16).astype(np.uint32)
+            sums[block] = sums.get(block, 0) + _unpacked(counts).astype(np.uint32)
     for block, total in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([int(total.sum())])], ["block", "counts", "all"])
 
@@ -366,10 +381,15 @@ def _large(docs: DataFrame, sizes: DataFrame, held: DataFrame, where: str) -> Da
     counts = cut(crowd.groupBy("crowd").agg(blocks.alias("blocks")), where, "crowd-sizes")
     rows = crowd.join(counts, "crowd")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("crowd", "node", "part", "tokens", "block", other)
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    out = cut(rows.groupBy("crowd", "i", "j").applyInArrow(_block_links, "a long, b long"), where, "crowd-links")
+    # Blocks meet by turns, those with one sum of their numbers at once, so that a turn shuffles few copies of a set.
+    most, out = counts.agg(F.max("blocks")).first()[0], None
+    for turn in range(0, most, COPIES):
+        sums = F.sequence(F.lit(turn), F.least(F.lit(turn + COPIES), "blocks") - 1)
+        other = F.explode(F.transform(sums, lambda s: F.pmod(s - F.col("block"), F.col("blocks")))).alias("other")
+        met = rows.where(F.col("blocks") > turn).select("crowd", "node", "part", "tokens", "block", other)
+        met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        links = cut(met.groupBy("crowd", "i", "j").applyInArrow(_block_links, "a long, b long"), where, f"crowd-links/{turn}")
+        out = links if out is None else out.union(links)
     drop(docs.sparkSession, where, "own", "crowds", "crowd", "crowd-sets", "crowd-sizes")
     return out
 
@@ -395,9 +415,12 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str
 
 def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", where: str | None = None) -> DataFrame:
     """The groups with each row's node, and part: the smallest node of its component."""
-    spark = df.sparkSession
-    where = where or shared_dir(spark)
-    docs = pick(df, doc_id=doc_id, text=text)
+    with freeing(df.sparkSession):
+        return _named_groups(pick(df, doc_id=doc_id, text=text), where or shared_dir(df.sparkSession))
+
+
+def _named_groups(docs: DataFrame, where: str) -> DataFrame:
+    spark = docs.sparkSession
     grades = spark.sparkContext.broadcast(_grades(docs, where))
 
     def index(batches):
@@ -421,11 +444,14 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
         enough = "not (sa and sb) or c + ceil(4 * greatest(na, nb) / 5) - 1 >= ceil(4 * (na + nb) / 9)"
         return pairs.where(f"{near} and ({enough})").select("a", "b", "oa", "ob")
 
-    # Signatures that several nodes hold; most are held by one and go no further than these counts.
+    # Signatures that several nodes hold; most are held by one and go no further than these counts, which are the most
+    # that is shuffled, so one half comes after the other.
     every = facts.select("node", F.explode("sigs").alias("sig"))
-    shared = every.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    shared = cut(shared, where, "shared")
-    several = spark.sparkContext.broadcast(Filter(shared, "sig"))
+    ends = F.min("node").alias("least"), F.max("node").alias("most")
+    low, high = (every.where(half).groupBy("sig").agg(*ends).where("least <> most") for half in ("sig < 0", "sig >= 0"))
+    shared = cut(low, where, "shared/low").union(cut(high, where, "shared/high"))
+    bits = min(MOST_BITS, max(FILTER_BITS, 1 << (BITS_EACH * shared.count()).bit_length()))
+    several = spark.sparkContext.broadcast(Filter(shared, "sig", bits))
 
     def holders(batches):
         for b in batches:
@@ -438,7 +464,8 @@ def named_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wher
 
     held = facts.where(F.size("sigs") > 0).select("node", "n", "sigs").mapInArrow(holders, "sig long, node long, n long")
     held = cut(held.distinct().join(shared, "sig"), where, "held")
-    drop(spark, where, "shared")
+    facts = cut(facts.select("doc_id", "node", "n"), where, "rows")  # the signatures are not needed any more
+    drop(spark, where, "shared", "facts")
 
     # First every holder with the smallest and the largest one; then, for what is still apart, with a few others.
     ends = held.select("node", F.explode(F.array("least", "most")).alias("a")).where("node <> a")
@@ -494,7 +521,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     spark = df.sparkSession
     where = shared_dir(spark)
     found = cut(named_groups(df, doc_id, text, where), where, "groups").where(F.col("doc_id").isNotNull())
-    drop(spark, where, "facts", "parts", "parts2", "nodes", "smallest")
+    drop(spark, where, "rows", "parts", "parts2", "nodes", "smallest")
     stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     fate = cut(found.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.min(stays).alias("every_stays")).where("n_rows > 1 or not every_stays"), where, "fate")
     unsure = spark.sparkContext.broadcast(Filter(fate, "doc_id"))

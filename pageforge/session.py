@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +55,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pageforge-{uuid.uuid4().hex}"
 
 
+#: Whether a query's shuffle files go when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within it leave no shuffle files; others' stay until the driver happens to collect its garbage."""
+    held = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, held)
+
+
 def cut(df: DataFrame, where: str, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it: a lineage cut that survives lost executors."""
+    """Writes a table into the shared folder and reads it: a lineage cut that survives lost executors.
+
+    What was shuffled for it is removed, as nothing reads it again.
+    """
     path = f"{where}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with freeing(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

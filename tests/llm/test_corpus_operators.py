@@ -1,6 +1,7 @@
 """Operators over whole tables, against brute force and exact round trips."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -213,6 +214,41 @@ def test_ngram_join_of_sets_one_rare_token_short(spark, monkeypatch):
     assert got == brute_groups(list(enumerate(texts))) and (1, 120, 0) in got
 
 
+def test_ngram_join_frees_disk(spark, monkeypatch, tmp_path):
+    """Nothing shuffled and no signature stays on disk once it is used; blocks of a crowd meet by turns, all of them."""
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in store.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 3)
+    monkeypatch.setattr(ngramjoin, "OVER_MEAN", 0)
+    monkeypatch.setattr(ngramjoin, "LARGE", 5)
+    monkeypatch.setattr(ngramjoin, "ROWS", 8)
+    monkeypatch.setattr(ngramjoin, "COPIES", 3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rng = random.Random(3)
+    texts = [f"{passage} {' '.join(rng.choices(['x', 'y', 'z', 'u', 'v'], k=rng.randint(5, 40)))}" for _ in range(150)]
+    where, before, left = f"file://{tmp_path}/shared", shuffled(), set()
+    turns, write = [], ngramjoin.cut
+
+    def cut(df, to, name):
+        turns.extend([name] * name.startswith("crowd-links"))
+        return write(df, to, name)
+
+    monkeypatch.setattr(ngramjoin, "cut", cut)
+    out = ngramjoin.groups(docs(spark, texts), where=where)
+    for _ in range(100):  # they are removed in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and not (tmp_path / "shared/facts").exists() and len(turns) > 1
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()} == brute_groups(list(enumerate(texts)))
+
+
+def test_counts_of_cells_are_packed():
+    for most in (2, 255, 65535):
+        counts = np.random.default_rng(most).integers(0, most + 1, ngramjoin.BLOCK).astype(np.uint16)
+        assert (ngramjoin._unpacked(ngramjoin._packed(counts)) == counts).all()
+
+
 def test_ngram_join_of_rows_without_ids(spark):
     some = " ".join(f"w{k}" for k in range(40))
     texts = [some, some + " end", some + " more", "other words"]
