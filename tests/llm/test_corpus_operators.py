@@ -222,7 +222,7 @@ def test_ngram_join_frees_disk(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(ngramjoin, "OVER_MEAN", 0)
     monkeypatch.setattr(ngramjoin, "LARGE", 5)
     monkeypatch.setattr(ngramjoin, "ROWS", 8)
-    monkeypatch.setattr(ngramjoin, "COPIES", 3)
+    monkeypatch.setattr(ngramjoin, "AT_ONCE", 1)
     passage = " ".join(f"p{i}" for i in range(60))
     rng = random.Random(3)
     texts = [f"{passage} {' '.join(rng.choices(['x', 'y', 'z', 'u', 'v'], k=rng.randint(5, 40)))}" for _ in range(150)]
@@ -243,6 +243,16 @@ def test_ngram_join_frees_disk(spark, monkeypatch, tmp_path):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()} == brute_groups(list(enumerate(texts)))
 
 
+def test_rare_tokens_stay_rare_in_large_tables():
+    """A token that passes for rare has few holders whatever the input: 64 would make a crowd of them."""
+    cells = ngramjoin.CELLS
+    rng = np.random.default_rng(5)
+    for tokens in (10**8, 1_400_000_000, 2_000_000_000):
+        others = rng.poisson(tokens / cells, 100_000)
+        least = ngramjoin.least_of(tokens)
+        assert (others + ngramjoin.LARGE >= least).mean() > 0.98 and (others >= least).mean() < 0.02
+
+
 def test_counts_of_cells_are_packed():
     for most in (2, 255, 65535):
         counts = np.random.default_rng(most).integers(0, most + 1, ngramjoin.BLOCK).astype(np.uint16)
