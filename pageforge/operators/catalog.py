@@ -40,6 +40,19 @@ def page_state(log: DataFrame) -> DataFrame:
     return out.withColumn("rotation", F.pmod(F.coalesce("degrees", F.lit(0)), F.lit(360)).cast("int")).drop("degrees")
 
 
+def _by_page(rows: DataFrame, held: DataFrame, on: list[str], how: str) -> DataFrame:
+    """rows.join(held, on, how), where `on` names a page's id and its session_id.
+
+    An id is one page's, so rows meet by it alone, and the session is checked on what was found: rows that already lie by
+    id stay where they are.  isin keeps the check from being a join key: for two keys, Spark deals both sides out anew.
+    """
+    (page,) = set(on) - {"session_id"}
+    held = held.withColumnsRenamed({page: "held_page", "session_id": "held_session"})
+    same = (F.col(page) == F.col("held_page")) & F.col("session_id").isin(F.col("held_session"))
+    found = rows.join(held, same, how).drop("held_page", "held_session")
+    return found.select(*on, *[c for c in found.columns if c not in on])
+
+
 def check_edits(log: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds error to edits (session_id, page_id, op, degrees, mode, corners): why it cannot be applied, else null."""
     known = pages.where(~F.col("deleted")).select(F.col("id").alias("page_id"), "session_id", "passthrough")
@@ -70,7 +83,7 @@ def ordered_pages(pages: DataFrame) -> DataFrame:
 def reorder(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """New orders from (session_id, page_ids): the place in the list; pages that it lacks keep theirs; of doubles the last counts."""
     place = wanted.select("session_id", F.posexplode("page_ids").alias("pos", "id")).groupBy("session_id", "id").agg(F.max("pos").alias("pos"))
-    return pages.join(place, ["session_id", "id"], "left").withColumn("order", F.coalesce("pos", "order").cast("int")).drop("pos")
+    return _by_page(pages, place, ["session_id", "id"], "left").withColumn("order", F.coalesce("pos", "order").cast("int")).drop("pos")
 
 
 def page_view(pages: DataFrame, s: Settings = SETTINGS) -> DataFrame:
