@@ -52,3 +52,40 @@ def test_reorder_leaves_pages_where_they_lie(spark):
         got = catalog.reorder(pages, wanted)
         assert len(dealt(got)) == 3 and "session_id, id" not in dealt(got)
         assert rows(got) == [(1, "a", 1), (1, "b", 0)]
+
+
+def test_check_edits_of_odd_rows(spark):
+    """Null keys and arguments, an id in two sessions, a page that comes twice, edits that come twice, pages that are gone."""
+    pages = spark.createDataFrame([("a", 1, False, False), ("a", 2, True, False), ("b", 1, False, False), ("b", 1, True, False), ("c", 1, False, True), ("d", 1, None, False), ("e", 1, False, None), (None, 1, False, False), ("f", None, False, False)], "id string, session_id long, passthrough boolean, deleted boolean")
+    gone, through, four, turn, mode = "page not found", "page passes through", "four corners needed", "degrees must be a multiple of 90", "unknown mode"
+    square = [[0.0, 0.0]] * 4
+    edits = [
+        (("a", 1, "recrop", None, None, square), [None]), (("a", 1, "recrop", 45, "sepia", square[1:]), [four]), (("a", 1, "recrop", 90, None, None), [four]),
+        (("a", 2, "recrop", None, None, square), [through]), (("a", 2, "rotate", 90, None, None), [None]), (("a", 3, "rotate", 90, None, None), [gone]),
+        (("b", 1, "mode", None, "bw", None), [None, through]), (("b", 1, "mode", None, "sepia", None), [mode, through]), (("a", 1, "mode", None, None, None), [mode]),
+        (("a", 1, "rotate", -180, None, None), [None]), (("a", 1, "rotate", 45, None, None), [turn]), (("a", 1, "rotate", 45, None, None), [turn]), (("a", 1, "rotate", None, None, None), [turn]),
+        (("a", 1, None, 45, "sepia", None), [None]), (("a", 2, None, 45, "sepia", None), [None]), (("a", 2, "demoire", None, None, None), [through]), (("a", 1, "export", 1, "x", None), [None]),
+        (("c", 1, "rotate", 90, None, None), [gone]), (("d", 1, "rotate", 45, None, None), [gone]), (("e", 1, "rotate", 90, None, None), [gone]), ((None, 1, "rotate", 90, None, None), [gone]), (("f", None, "rotate", 90, None, None), [gone]), (("x", 1, "recrop", 90, None, None), [gone]),
+    ]
+    log = spark.createDataFrame([(*e[1:2], e[0], *e[2:]) for e, _ in edits], "session_id long, page_id string, op string, degrees int, mode string, corners array<array<double>>")
+    want = sorted([(*e, error) for e, errors in edits for error in errors], key=repr)
+    got = catalog.check_edits(log, pages)
+    assert got.columns == ["page_id", "session_id", "op", "degrees", "mode", "corners", "passthrough", "error"]
+    few = got.drop("passthrough")
+    assert rows(few) == want  # by broadcast
+    with tables_too_large_to_broadcast(spark):
+        assert rows(few) == want
+
+
+def test_check_edits_leaves_rows_where_they_lie(spark):
+    """Edits and pages that lie by page are not dealt out again, and the join does not carry what only an edit's own errors need."""
+    pages = spark.createDataFrame([("a", 1, False, False)], "id string, session_id long, passthrough boolean, deleted boolean").dropDuplicates(["id"])
+    log = spark.createDataFrame([("a", 1, "rotate", 45, None, None)], "page_id string, session_id long, op string, degrees int, mode string, corners array<array<double>>").dropDuplicates(["page_id"])
+    with tables_too_large_to_broadcast(spark):
+        got = catalog.check_edits(log, pages).select("op", "error")
+        assert len(dealt(got)) == 2
+        join = got._jdf.queryExecution().optimizedPlan()
+        while join.nodeName() != "Join":
+            join = join.children().head()
+        assert not {"degrees", "mode", "corners"} & {*join.children().head().schema().fieldNames()}
+        assert rows(got) == [("rotate", "degrees must be a multiple of 90")]
