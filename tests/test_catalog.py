@@ -35,13 +35,11 @@ def test_reorder_keeps_odd_pages(spark):
     pages = spark.createDataFrame([("a", 1, 7, "x"), ("a", 2, 8, "y"), ("b", 1, 9, "z"), ("b", 1, 5, "z"), (None, 1, 3, "n"), ("c", None, 4, "n"), ("d", 3, None, "o")], "id string, session_id long, order int, name string")
     wanted = spark.createDataFrame([(1, ["b", "a", "b", None]), (1, ["a"]), (2, ["b"]), (None, ["c"]), (3, []), (3, None), (4, ["d"])], "session_id long, page_ids array<string>")
     want = [(1, "a", 1, "x"), (2, "a", 8, "y"), (1, "b", 2, "z"), (1, "b", 2, "z"), (1, None, 3, "n"), (None, "c", 4, "n"), (3, "d", None, "o")]
-    for few in (True, False):  # joined by broadcast, and by shuffles
-        if few:
-            got = catalog.reorder(pages, wanted)
-            assert got.columns == ["session_id", "id", "order", "name"] and rows(got) == sorted(want, key=repr)
-        else:
-            with tables_too_large_to_broadcast(spark):
-                assert rows(catalog.reorder(pages, wanted)) == sorted(want, key=repr)
+    got = catalog.reorder(pages, wanted)
+    assert got.columns == ["session_id", "id", "order", "name"]
+    assert rows(got) == sorted(want, key=repr)  # by broadcast
+    with tables_too_large_to_broadcast(spark):
+        assert rows(got.select("*")) == sorted(want, key=repr)
 
 
 def test_reorder_leaves_pages_where_they_lie(spark):
@@ -71,10 +69,9 @@ def test_check_edits_of_odd_rows(spark):
     want = sorted([(*e, error) for e, errors in edits for error in errors], key=repr)
     got = catalog.check_edits(log, pages)
     assert got.columns == ["page_id", "session_id", "op", "degrees", "mode", "corners", "passthrough", "error"]
-    few = got.drop("passthrough")
-    assert rows(few) == want  # by broadcast
+    assert rows(got.drop("passthrough")) == want  # by broadcast
     with tables_too_large_to_broadcast(spark):
-        assert rows(few) == want
+        assert rows(got.drop("passthrough")) == want
 
 
 def test_check_edits_leaves_rows_where_they_lie(spark):
@@ -89,3 +86,25 @@ def test_check_edits_leaves_rows_where_they_lie(spark):
             join = join.children().head()
         assert not {"degrees", "mode", "corners"} & {*join.children().head().schema().fieldNames()}
         assert rows(got) == [("rotate", "degrees must be a multiple of 90")]
+
+
+def test_page_images_of_odd_rows(spark):
+    """Null keys and references, an id in two sessions, a page that comes twice, pages that are gone, rows asked for twice."""
+    pages = spark.createDataFrame([("a", 1, "o1", "p1", False), ("a", 2, "o2", None, False), ("b", 1, "o3", "p3", False), ("b", 1, "o4", "p4", False), ("c", 1, "o5", "p5", True), ("d", 1, "o6", "p6", None), (None, 1, "o7", "p7", False), ("e", None, "o8", "p8", False)], "id string, session_id long, original_ref string, processed_ref string, deleted boolean")
+    asked = spark.createDataFrame([("a", 1, True, 1), ("a", 1, True, 1), ("a", 2, False, 2), ("a", 3, True, 3), ("b", 1, False, 4), ("b", 1, None, 5), ("c", 1, True, 6), ("d", 1, True, 7), (None, 1, True, 8), ("e", None, True, 9), ("x", 1, True, 10)], "id string, session_id long, original boolean, n long")
+    want = [(1, "a", True, 1, "o1"), (1, "a", True, 1, "o1"), (2, "a", False, 2, None), (1, "b", False, 4, "p3"), (1, "b", False, 4, "p4"), (1, "b", None, 5, "p3"), (1, "b", None, 5, "p4")]
+    got = catalog.page_images(pages, asked)
+    assert got.columns == ["session_id", "id", "original", "n", "ref"]
+    assert rows(got) == sorted(want, key=repr)  # by broadcast
+    with tables_too_large_to_broadcast(spark):
+        assert rows(got.select("*")) == sorted(want, key=repr)
+
+
+def test_page_images_leaves_rows_where_they_lie(spark):
+    """What is asked for and pages that lie by id are not dealt out again."""
+    pages = spark.createDataFrame([("a", 1, "o", "p", False)], "id string, session_id long, original_ref string, processed_ref string, deleted boolean").dropDuplicates(["id"])
+    asked = spark.createDataFrame([("a", 1, True), ("b", 1, True)], "id string, session_id long, original boolean").dropDuplicates(["id"])
+    with tables_too_large_to_broadcast(spark):
+        got = catalog.page_images(pages, asked)
+        assert len(dealt(got)) == 2
+        assert rows(got) == [(1, "a", True, "o")]
